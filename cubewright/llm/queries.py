@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, simhash, tokens, toxicity
+from . import decontaminate, embeddings, mixing, simhash, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,7 +51,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate)}
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op8_embeddings)}
 
 ORACLES = {
     "op1_mixing": r"""
