@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, mixing, simhash, tokens, toxicity
+from . import decontaminate, embeddings, mixing, pii, simhash, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,11 +51,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.report(F.col("base")), 256).alias("base_sha256"), pii.report(F.col("found")).alias("spans"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op8_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings)}
 
 ORACLES = {
     "op1_mixing": r"""
