@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, mixing, pii, simhash, tokens, toxicity
+from . import decontaminate, embeddings, mixing, pii, secrets, simhash, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,7 +62,15 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.train(docs))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    report = lambda c: pii.report(F.col(c), secrets.KINDS)
+    return found.select("doc_id", *counts, F.sha2(report("base"), 256).alias("base_sha256"), report("found").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op10_secrets)}
 
 ORACLES = {
     "op1_mixing": r"""
