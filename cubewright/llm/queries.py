@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, mixing, pii, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, mixing, pages, pii, secrets, simhash, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,6 +62,11 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.find(docs, secrets.train(docs))
@@ -70,7 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(report("base"), 256).alias("base_sha256"), report("found").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op9_pages, op10_secrets)}
 
 ORACLES = {
     "op1_mixing": r"""
