@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, mixing, pages, pii, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, lines, mixing, pages, pii, secrets, simhash, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(lines.line_matches(table(spark, sf_dir, "documents")))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -75,7 +79,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(report("base"), 256).alias("base_sha256"), report("found").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op9_pages, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op9_pages, op10_secrets)}
 
 ORACLES = {
     "op1_mixing": r"""
