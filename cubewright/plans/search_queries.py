@@ -1,3 +1,170 @@
+"""Queries of search, retrieval, sampling and question cues."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cubewright.functions import text
+from cubewright.operators import search
+
+from .cubes import tables
 from .registering import Registry
 
 REGISTRY = Registry()
+add = REGISTRY.add
+
+RECORD = "SELECT CAST(doc_id AS VARCHAR) AS pid, substr(split_part(text, chr(10), 1), 1, 80) AS title, text FROM documents WHERE text IS NOT NULL"
+QUESTIONS = ["the and", "la que", "license version", "zzz", "Der %", "e_t"]
+ASKED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+
+
+def records(spark, sf_dir):
+    docs = tables(spark, sf_dir)["documents"].where("text is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("pid"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), "text")
+
+
+def asked(spark):
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
+
+
+@add(f"""
+WITH r AS ({RECORD}), q AS (SELECT query_id, unnest(string_split(lower(query), ' ')) AS term FROM (VALUES {ASKED}) q(query_id, query)),
+h AS (SELECT query_id, pid, title, contains(lower(title), term) AS t, contains(lower(text), term) AS x, pid = term AS i FROM r, q)
+SELECT query_id, pid, title, CAST(count(*) FILTER (WHERE t) AS INT) AS title_hits, CAST(count(*) FILTER (WHERE x) AS INT) AS text_hits FROM h GROUP BY 1, 2, 3 HAVING bool_and(t OR x OR i)
+""")
+def table_search(spark, sf_dir):
+    return search.table_search(records(spark, sf_dir), asked(spark))
+
+
+@add(f"""
+WITH r AS (SELECT pid, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM ({RECORD})), q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM (VALUES {ASKED}) q(query_id, query)),
+s AS (SELECT query_id, pid, CAST(4 * len(list_intersect(t, w)) + len(list_intersect(x, w)) AS INT) AS score FROM r, q)
+SELECT query_id, pid, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+""")
+def lexical_rank(spark, sf_dir):
+    return search.ranked(search.lexical_scores(records(spark, sf_dir), asked(spark)), ["query_id"], [F.desc("score"), F.col("pid")], 20)
+
+
+COSINE = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id, e.label, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS score FROM e q, e WHERE q.vec_id < 10 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+"""
+
+
+def nearest(spark, sf_dir, top):
+    e = tables(spark, sf_dir)["embeddings"]
+    return search.cosine_topk(e, e.where("vec_id < 10"), top)
+
+
+@add(COSINE + "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+def cosine_topk(spark, sf_dir):
+    return nearest(spark, sf_dir, 20).withColumn("score", F.round("score", 6))
+
+
+@add(COSINE + ", f AS (SELECT query_id, vec_id AS id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 50 UNION ALL SELECT q, vec_id, 0.5 / (60 + vec_id) FROM embeddings, (SELECT unnest(range(0, 10)) AS q) WHERE vec_id BETWEEN 1 AND 30) SELECT query_id, id, round(sum(part), 9) AS score FROM f GROUP BY 1, 2")
+def rrf_fuse(spark, sf_dir):
+    first = nearest(spark, sf_dir, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
+    other = tables(spark, sf_dir)["embeddings"].where("vec_id between 1 and 30").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("query_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"))
+    return search.rrf_fuse([(first, 1.0), (other, 0.5)]).withColumn("score", F.round("score", 9))
+
+
+@add(COSINE + ", h AS (SELECT query_id, min(rank) AS rank FROM r WHERE rank <= 100 AND ql = label GROUP BY 1), a AS (SELECT DISTINCT query_id FROM s WHERE ql = label) SELECT count(*) AS n_queries, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS r5, avg(CASE WHEN rank <= 12 THEN 1.0 ELSE 0 END) AS r12, avg(CASE WHEN rank <= 100 THEN 1.0 ELSE 0 END) AS r100, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM a LEFT JOIN h USING (query_id)")
+def retrieval_eval(spark, sf_dir):
+    e = tables(spark, sf_dir)["embeddings"]
+    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = e.join(F.broadcast(queries), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
+    return search.retrieval_eval(nearest(spark, sf_dir, 100).select("query_id", F.col("vec_id").alias("id"), "rank"), relevant).withColumn("mrr", F.round("mrr", 9))
+
+
+@add("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0")
+def stale_documents(spark, sf_dir):
+    docs = tables(spark, sf_dir)["documents"]
+    index = docs.where("doc_id % 3 = 0").select("doc_id", text.content_hash(F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))).alias("hash"))
+    return search.stale_documents(docs, index)
+
+
+@add("SELECT l_orderkey AS query_id, l_linenumber AS id, l_discount * 10 AS score FROM lineitem WHERE false UNION ALL SELECT * FROM (WITH s AS (SELECT l_orderkey AS query_id, l_linenumber AS id, max(l_discount * 10) AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER w AS n, coalesce(lag(score) OVER w - score >= 0.15, false) AS cut FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)), x AS (SELECT *, bool_or(cut) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM k) SELECT query_id, id, score FROM x WHERE score >= 0.52 AND top - score <= 0.27 AND n <= 12 AND NOT after)")
+def cluster_cut(spark, sf_dir):
+    scores = tables(spark, sf_dir)["lineitem"].groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id")).agg(F.max(F.col("l_discount") * 10).alias("score"))
+    return search.cluster_cut(scores)
+
+
+@add("""
+WITH c AS (SELECT p_type AS text, CAST(p_partkey AS VARCHAR) || ';' || CAST(p_partkey + 1 AS VARCHAR) AS pids FROM part WHERE p_size < 10), e AS (SELECT text, unnest(string_split(pids, ';')) AS pid FROM c)
+SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_name AS title, string_agg(DISTINCT text, '; ' ORDER BY text) AS concepts FROM supplier JOIN e ON pid = CAST(s_suppkey AS VARCHAR) GROUP BY 1, 2
+""")
+def concept_documents(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    concepts = t["part"].where("p_size < 10").select(F.col("p_type").alias("text"), F.concat_ws(";", F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")).alias("pids"))
+    return search.concept_documents(concepts, t["supplier"].select(F.col("s_suppkey").cast("string").alias("pid"), F.col("s_name").alias("title")))
+
+
+@add(r"""
+WITH q AS (SELECT p_partkey AS question_id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{3,}')) AS q FROM part),
+c AS (SELECT col0 AS concept_no, col1 AS label, list_distinct(regexp_extract_all(lower(col1), '[a-z0-9]{3,}')) AS l, list_distinct(regexp_extract_all(lower(col2), '[a-z0-9]{3,}')) AS d FROM (VALUES (1, 'red widget', 'small economy'), (2, 'small ring', 'promo red'), (3, 'economy', 'widget ring'))),
+s AS (SELECT question_id, label, concept_no, len(list_intersect(q, l)) AS lh, CAST(2 * len(list_intersect(q, l)) + len(list_intersect(q, d)) AS INT) AS score FROM q, c)
+SELECT question_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, concept_no) AS r FROM s WHERE lh > 0 AND score > 1) WHERE r = 1
+""")
+def concept_match(spark, sf_dir):
+    concepts = spark.createDataFrame([(1, "red widget", "small economy"), (2, "small ring", "promo red"), (3, "economy", "widget ring")], "concept_no int, label string, description string")
+    questions = tables(spark, sf_dir)["part"].select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question"))
+    return search.concept_match(questions, concepts)
+
+
+@add(r"""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS word FROM part),
+t AS (SELECT DISTINCT word || 'x' AS word FROM v UNION SELECT DISTINCT substr(word, 2) FROM v),
+n AS (SELECT t.word, v.word AS known, levenshtein(t.word, v.word) AS d FROM t, v WHERE length(t.word) >= 5 AND t.word NOT IN (SELECT word FROM v) AND levenshtein(t.word, v.word) <= CASE WHEN length(t.word) >= 7 THEN 2 ELSE 1 END)
+SELECT word, min(known) AS fixed FROM (SELECT *, min(d) OVER (PARTITION BY word) AS least FROM n) WHERE d = least GROUP BY word HAVING count(*) = 1
+""")
+def spell_fix(spark, sf_dir):
+    v = tables(spark, sf_dir)["part"].select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    tokens = v.select(F.concat("word", F.lit("x")).alias("word")).union(v.select(F.expr("substring(word, 2)"))).distinct()
+    return search.spell_fix(tokens, v)
+
+
+ASK = "CASE o_orderkey % 4 WHEN 0 THEN 'Orders over the last ' || CAST(1 + o_orderkey % 9 AS VARCHAR) || ' years as a bar chart' WHEN 1 THEN 'Share of orders from 1996 to 1999' WHEN 2 THEN 'Year over year change since ' || CAST(1990 + o_orderkey % 9 AS VARCHAR) ELSE 'Index of price' END"
+ASK_SPARK = ASK.replace("VARCHAR", "STRING")
+
+
+@add(f"""
+WITH q AS (SELECT o_orderkey AS question_id, o_orderkey % 4 AS k, lower({ASK}) AS q FROM orders)
+SELECT question_id, CASE WHEN k = 0 THEN CAST(1 + question_id % 9 AS INT) END AS years, CASE k WHEN 1 THEN '1996' WHEN 2 THEN CAST(1990 + question_id % 9 AS VARCHAR) END AS from_year, CASE k WHEN 1 THEN '1999' WHEN 2 THEN CAST(1990 + question_id % 9 AS VARCHAR) END AS to_year,
+  CASE k WHEN 0 THEN 'level' WHEN 1 THEN 'share_of_x' WHEN 2 THEN 'pct_change_yoy' ELSE 'index_first' END AS transform, CASE k WHEN 0 THEN 'bar' ELSE 'line' END AS chart FROM q
+""")
+def extract_cues(spark, sf_dir):
+    return search.extract_cues(tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(ASK_SPARK).alias("question")))
+
+
+@add("SELECT o_orderkey AS question_id, CASE o_orderkey % 4 WHEN 0 THEN 'orders as a bar chart' WHEN 1 THEN 'share of orders' WHEN 2 THEN 'year over year change' ELSE 'index of price' END AS stripped FROM orders")
+def strip_phrases(spark, sf_dir):
+    questions = tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(ASK_SPARK).alias("question"))
+    return questions.select("question_id", search.strip_phrases(F.col("question")).alias("stripped"))
+
+
+@add("SELECT event_type AS split, count(*) AS n, round(avg(CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0 END), 9) AS accuracy, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+def plan_scorecard(spark, sf_dir):
+    results = tables(spark, sf_dir)["events"].select(F.col("event_type").alias("split"), (F.col("user_id") % 2 == 0).alias("ok"), F.col("value").alias("latency"))
+    return search.scorecard(results).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@add("""
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT *, greatest(60 - count(*) OVER (), 0) AS rest, greatest(60 - count(*) OVER (), 0) * n / sum(n) OVER () AS quota FROM c),
+a AS (SELECT lang, n, least(n, 1 + floor(quota) + CASE WHEN row_number() OVER (ORDER BY round(quota - floor(quota), 9) DESC, sha256('s7' || chr(0) || lang)) <= rest - sum(floor(quota)) OVER () THEN 1 ELSE 0 END) AS take FROM s),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('s7' || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) AS p FROM documents)
+SELECT doc_id, lang FROM r JOIN a USING (lang) WHERE p <= take
+""")
+def stratified_sample(spark, sf_dir):
+    return search.stratified_sample(tables(spark, sf_dir)["documents"].select("doc_id", "lang"), ["lang"], "doc_id", 60, "s7").select("doc_id", "lang")
+
+
+@add("SELECT lang, quantile_disc(n_chars, 0.25) AS p25, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.75) AS p75, min(n_chars) AS least, max(n_chars) AS most, CAST(sum(n_chars) AS BIGINT) AS total, count(*) - count(n_chars) AS unknown FROM documents GROUP BY lang")
+def size_percentiles(spark, sf_dir):
+    sizes = search.size_percentiles(tables(spark, sf_dir)["documents"], "lang", "n_chars")
+    return sizes.withColumns({p: F.col(p).cast("long") for p in ("p25", "p50", "p75")})
+
+
+@add("WITH u AS (SELECT * FROM (SELECT doc_id, 'long' AS l FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3) UNION ALL SELECT * FROM (SELECT doc_id, 'short' FROM documents ORDER BY n_chars, doc_id LIMIT 3) UNION ALL SELECT * FROM (SELECT doc_id, 'first' FROM documents ORDER BY doc_id, doc_id LIMIT 3)) SELECT doc_id, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM u GROUP BY 1")
+def edge_cohort(spark, sf_dir):
+    return search.edge_cohort(tables(spark, sf_dir)["documents"], "doc_id", {"long": F.desc("n_chars"), "short": F.asc("n_chars"), "first": F.asc("doc_id")})
