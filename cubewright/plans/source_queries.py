@@ -1,3 +1,203 @@
+"""Queries of sources and sinks: each writes a shape derived from the tables and reads it back through the operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cubewright.sources import archives, storage
+
+from .cubes import LINES, ORDERS, cube, oracle, tables
 from .registering import Registry
 
 REGISTRY = Registry()
+add = REGISTRY.add
+
+
+def inventory(spark, sf_dir):
+    part = tables(spark, sf_dir)["part"]
+    dimension = lambda i, name, unit: F.struct(F.lit(name).alias("dimensionNameEn"), F.lit(i).alias("dimensionPositionId"), unit.alias("hasUOM"))
+    record = F.struct(
+        (F.col("p_partkey") - 3).alias("productId"), F.when(F.col("p_size") > 1, F.col("p_name")).otherwise("").alias("cubeTitleEn"), F.col("p_size").alias("frequencyCode"), F.array(F.col("p_type")).alias("subjectCode"),
+        F.array(dimension(1, "Geography", F.lit(False)), dimension(2, "Size", F.col("p_size") > 20)).alias("dimensions"),
+    )
+    path = storage.work_path(spark, "inventory")
+    # a catalogue file is one JSON array
+    part.agg(F.to_json(F.collect_list(record)).alias("value")).write.text(path)
+    return archives.read_inventory(spark, path)
+
+
+@add("SELECT CAST(p_partkey - 3 AS VARCHAR) AS pid, p_partkey - 3 AS productId, CASE WHEN p_size > 1 THEN p_name ELSE '' END AS title, p_size AS frequency_code, p_type AS subject, CAST(2 AS INT) AS n_dimensions FROM part")
+def read_inventory(spark, sf_dir):
+    cube = inventory(spark, sf_dir)["cube"]
+    return cube.select("pid", "productId", "title", "frequency_code", F.col("subject_codes")[0].alias("subject"), "n_dimensions")
+
+
+@add("SELECT CAST(p_partkey - 3 AS VARCHAR) AS pid, i AS dimension_id, CASE i WHEN 1 THEN 'Geography' ELSE 'Size' END AS name, i = 2 AND p_size > 20 AS has_uom FROM part, (SELECT unnest([1, 2]) AS i)")
+def inventory_dimension(spark, sf_dir):
+    return inventory(spark, sf_dir)["inventory_dimension"]
+
+
+@add("SELECT CAST(p_partkey - 3 AS VARCHAR) AS pid, 'productId' AS problem FROM part WHERE p_partkey <= 3 UNION ALL SELECT CAST(p_partkey - 3 AS VARCHAR), 'title' FROM part WHERE p_size <= 1")
+def check_inventory(spark, sf_dir):
+    return archives.check_inventory(inventory(spark, sf_dir)["cube"])
+
+
+HEADERS = ["Cube", "Members", "Notes"]
+STACK = """SELECT CAST(c_custkey AS STRING) AS pid, i AS line_no, CASE WHEN i IN (0, 3, 6) THEN CASE i WHEN 0 THEN 'Cube' WHEN 3 THEN CASE WHEN c_custkey % 9 = 0 THEN 'Cube' ELSE 'Members' END ELSE 'Notes' END ELSE concat(c_mktsegment, ' ', CAST(i AS STRING)) END AS line FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) v(i)"""
+
+
+def stack(spark, sf_dir):
+    return spark.sql(STACK, customer=tables(spark, sf_dir)["customer"])
+
+
+@add("WITH l AS (" + STACK.format(customer="customer") + ") SELECT pid, line_no, line, CASE WHEN line_no < 3 THEN 'Cube' WHEN line_no < 6 THEN CASE WHEN CAST(pid AS BIGINT) % 9 = 0 THEN 'Cube' ELSE 'Members' END ELSE 'Notes' END AS block FROM l WHERE line_no NOT IN (0, 3, 6)")
+def split_blocks(spark, sf_dir):
+    return archives.split_blocks(stack(spark, sf_dir), HEADERS)
+
+
+@add("SELECT CAST(c_custkey AS VARCHAR) AS pid, h AS header, CAST(n AS BIGINT) AS n FROM customer, (VALUES ('Cube', 2), ('Members', 0)) v(h, n) WHERE c_custkey % 9 = 0")
+def block_errors(spark, sf_dir):
+    return archives.block_errors(stack(spark, sf_dir), HEADERS)
+
+
+@add("SELECT CAST(o_custkey AS VARCHAR) AS pid, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS record, CAST(o_orderkey AS VARCHAR) || ',note' || chr(10) || o_orderpriority || chr(10) || '' AS text FROM orders")
+def fold_loose_records(spark, sf_dir):
+    orders = tables(spark, sf_dir)["orders"].select(F.col("o_custkey").cast("string").alias("pid"), "o_orderkey", F.posexplode(F.array(F.concat(F.col("o_orderkey").cast("string"), F.lit(",note")), F.col("o_orderpriority"), F.lit(""))).alias("i", "line"))
+    return archives.fold_records(orders.select("pid", (F.col("o_orderkey") * 10 + F.col("i")).alias("line_no"), "line"), r"^\d+,")
+
+
+@add("""SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(1 AS INT) AS dimension_id, c_mktsegment || ' "old" x' AS member_name, '[' || c_nationkey || ']' AS code, CAST(c_custkey AS INT) AS member_id, CASE WHEN c_custkey % 2 = 0 THEN CAST(1 AS INT) END AS parent_member_id FROM customer""")
+def member_lines(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"]
+    line = F.concat(F.lit('1,"'), "c_mktsegment", F.lit(' "old" x",['), F.col("c_nationkey").cast("string"), F.lit("],"), F.col("c_custkey").cast("string"), F.lit(","), F.when(F.col("c_custkey") % 2 == 0, "1").otherwise(""), F.lit(",f"))
+    return archives.parse_members(c.select(F.col("c_custkey").cast("string").alias("pid"), line.alias("line")))
+
+
+TYPES = "SELECT p_type, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT DISTINCT p_type FROM part)"
+
+
+@add(f"WITH t AS ({TYPES}), c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) SELECT b.p_brand AS brand, b.p_brand || '.' || CAST(id AS VARCHAR) AS coordinate, CAST(n AS VARCHAR) AS value, CASE WHEN n IS NULL THEN 'x' ELSE '' END AS symbol FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN t LEFT JOIN c ON c.p_brand = b.p_brand AND c.p_type = t.p_type")
+def unpivot_wide(spark, sf_dir):
+    part = tables(spark, sf_dir)["part"]
+    types = [r["p_type"] for r in part.select("p_type").distinct().orderBy("p_type").collect()]  # the header of the wide file
+    wide = part.groupBy(F.col("p_brand").alias("brand")).pivot("p_type", types).count()
+    values = F.array(*[F.col(f"`{t}`").cast("string") for t in types])
+    rows = wide.select("brand", F.col("brand").alias("coordinate"), values.alias("v"), F.transform(values, lambda v: F.when(v.isNull(), "x").otherwise("")).alias("s"))
+    return archives.unpivot_wide(rows.withColumnRenamed("brand", "brand"), ["brand"], list(range(1, len(types) + 1)), "v", "s")
+
+
+@add("SELECT n_nationkey AS position, CAST(n_nationkey AS INT) AS member_id, CASE WHEN n_nationkey % 3 = 0 THEN 'other' ELSE n_name END AS label, n_nationkey % 3 <> 0 AS known FROM nation")
+def decode_wide_header(spark, sf_dir):
+    nation = tables(spark, sf_dir)["nation"]
+    name = F.concat(F.lit("Geo (25):"), F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise(F.col("n_name")), F.lit("["), F.col("n_nationkey").cast("string"), F.lit("]"))
+    return archives.decode_wide_header(nation.select(F.col("n_nationkey").alias("position"), name.alias("name")), nation.select(F.col("n_nationkey").alias("member_id"), F.col("n_name").alias("member_name")))
+
+
+@add("SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS en, CASE WHEN n_nationkey % 2 = 0 THEN 'x' END AS representation FROM nation")
+def code_sets(spark, sf_dir):
+    record = F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("en"), F.when(F.col("n_nationkey") % 2 == 0, "x").alias("representation"))
+    path = storage.work_path(spark, "codes")
+    tables(spark, sf_dir)["nation"].agg(F.to_json(F.struct(F.collect_list(record).alias("object"))).alias("value")).write.text(path)
+    return storage.read_code_set(spark, path)
+
+
+@add("SELECT r_name AS name, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY CAST(n_nationkey AS VARCHAR)) AS codes FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def reference_csv(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    path = storage.work_path(spark, "regions")
+    joined = t["region"].join(t["nation"], F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("r_name").alias("name"))
+    joined.agg(F.array_join(F.array_sort(F.collect_list(F.col("n_nationkey").cast("string"))), ";").alias("codes")).write.csv(path, header=True)
+    return storage.read_reference(spark, path, "name string, codes string").select("name", F.array_join(F.split("codes", ";"), ",").alias("codes"))
+
+
+@add("SELECT * FROM supplier WHERE s_suppkey % 3 <> 2 OR s_suppkey % 2 = 0")
+def union_builds(spark, sf_dir):
+    s = tables(spark, sf_dir)["supplier"]
+    return storage.union_builds([s.where("s_suppkey % 3 <> 2"), s.where("s_suppkey % 2 = 0")])[0]
+
+
+@add("SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 2) + (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS rows, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 2 OR s_suppkey % 2 = 0) AS kept, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 2 AND s_suppkey % 2 = 0) AS repeats")
+def union_builds_report(spark, sf_dir):
+    s = tables(spark, sf_dir)["supplier"]
+    return storage.union_builds([s.where("s_suppkey % 3 <> 2"), s.where("s_suppkey % 2 = 0")])[1]
+
+
+@add("SELECT c_custkey AS pid, CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS build FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) AND (c_custkey % 3 = 0 OR c_custkey % 5 = 0)")
+def merge_manifests(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"))
+    return storage.merge_manifests(c.where("pid % 3 = 0"), c.where("pid % 5 = 0"))[0]
+
+
+@add("SELECT c_custkey AS pid, c_name FROM customer WHERE c_custkey % 4 <> 0")
+def assemble_catalogue(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"), "c_name")
+    return storage.assemble_catalogue(c, c.select("pid", F.when(F.col("pid") % 4 == 0, "failed").otherwise("ok").alias("status")), ["c_name"])
+
+
+@add("SELECT c_custkey AS pid FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 7 = 0")
+def pending_tables(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"))
+    reports = c.select("pid", F.when(F.col("pid") % 4 == 0, "failed").otherwise("ok").alias("status"), (F.col("pid") * 10).alias("bytes"))
+    return storage.pending_tables(c, reports, c.select("pid", (F.col("pid") * 10 + F.when(F.col("pid") % 7 == 0, 1).otherwise(0)).alias("size")))
+
+
+@add("SELECT c_name AS path, CASE WHEN c_custkey % 6 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM customer WHERE c_custkey % 6 = 0 OR c_custkey % 11 = 0")
+def verify_hashes(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"]
+    expected = c.select(F.col("c_name").alias("path"), F.sha2("c_mktsegment", 256).alias("hash"))
+    actual = c.where("c_custkey % 6 <> 0").select(F.col("c_name").alias("path"), F.sha2(F.when(F.col("c_custkey") % 11 == 0, "x").otherwise(F.col("c_mktsegment")), 256).alias("hash"))
+    return storage.verify_hashes(expected, actual)
+
+
+@add(oracle(ORDERS, "SELECT m1, m2, m3, ref_date, value, status FROM obs"))
+def write_sorted_parquet(spark, sf_dir):
+    path = storage.work_path(spark, "obs")
+    storage.write_sorted(cube(spark, sf_dir, ORDERS, "obs"), path, ["m1", "m2", "m3", "ref_date"], 8)
+    return spark.read.parquet(path).select("m1", "m2", "m3", "ref_date", "value", "status")
+
+
+@add(oracle(LINES, "SELECT m1, m2, m3, ref_date, value FROM obs WHERE m1 = 4"))
+def write_series_parts(spark, sf_dir):
+    path = storage.work_path(spark, "parts")
+    storage.write_parts(cube(spark, sf_dir, LINES, "obs"), path, "m1")
+    return spark.read.parquet(path).where("m1 = 4").select("m1", "m2", "m3", "ref_date", "value")
+
+
+@add(oracle(LINES, "SELECT m1, count(*) AS rows FROM obs GROUP BY m1"))
+def write_manifest(spark, sf_dir):
+    return storage.manifest(cube(spark, sf_dir, LINES, "obs"), "m1").select("m1", "rows")
+
+
+@add("SELECT CAST(o_custkey AS VARCHAR) AS series, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS points FROM orders GROUP BY 1")
+def export_view(spark, sf_dir):
+    path = storage.work_path(spark, "export")
+    rows = tables(spark, sf_dir)["orders"].groupBy(F.col("o_custkey").cast("string").alias("series")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("points"))
+    storage.export_csv(rows, path)
+    return spark.read.csv(path, header=True, schema="series string, points string")
+
+
+@add(oracle(LINES, "SELECT concat('1000', lpad(CAST(m1 AS VARCHAR), 4, '0')) AS pid, count(*) AS n_rows, min(ref_date) AS first, max(value) AS most FROM obs GROUP BY m1"))
+def scan_archives(spark, sf_dir):
+    """Archives are written by the tasks to the shared folder, which this query needs to be a mounted one."""
+    import pandas as pd
+
+    folder = storage.work_path(spark, "archives").removeprefix("file://")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import zipfile
+
+        os.makedirs(folder, exist_ok=True)
+        pid = f"1000{int(frame.m1.iloc[0]):04d}"
+        with zipfile.ZipFile(f"{folder}/{pid}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"{pid}.csv", "﻿REF_DATE,COORDINATE,VALUE\r\n" + "".join(f"{d},{c},{v}\r\n" for d, c, v in zip(frame.ref_date, frame.coordinate, frame.value, strict=True)))
+            z.writestr(f"{pid}_MetaData.csv", "")
+        return pd.DataFrame({"path": [f"{folder}/{pid}.zip"]})
+
+    made = cube(spark, sf_dir, LINES, "obs").select("m1", "ref_date", "coordinate", "value").groupBy("m1").applyInPandas(pack, "path string")
+    paths = sorted(r["path"] for r in made.collect())  # one an archive
+    spark.dataSource.register(archives.StatZip)
+    lines = spark.read.format("statzip").option("paths", ",".join(paths)).load()
+    cells = F.split("line", ",")
+    rows = lines.where("row_index > 1").select("pid", cells[0].alias("ref_date"), cells[2].alias("value"))
+    return rows.groupBy("pid").agg(F.count("*").alias("n_rows"), F.min("ref_date").alias("first"), F.max("value").alias("most"))
