@@ -8,8 +8,8 @@ Exact phrases are then read off the document's words along each alignment.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ascii_lower, bounded_broadcast, materialize, new_path
 
 CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = re.compile(CLASS)
-UPPER = {i: i + 32 for i in range(65, 91)}
+#: Bytes of UTF-8 text with A-Z lower-cased and all that stands between words as a blank.
+PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Test terms that one pass over the training texts looks up; more are looked up in further passes.
 MAX_TERMS = 400_000
 #: Documents with alignments that are broadcast to the texts; more are joined by a shuffle.
@@ -28,9 +28,13 @@ MAX_ALIGNED = 30_000
 NO_ID = -(1 << 63)
 
 
-def words(text: str | None) -> list[str]:
-    """Words of a text, A-Z lower-cased; none of a null."""
-    return WORDS.findall(text.translate(UPPER)) if text else []
+def words(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text, A-Z lower-cased; none of a null."""
+    return text.translate(PLAIN).split() if text else []
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def item_words(bench: DataFrame) -> DataFrame:
@@ -40,15 +44,18 @@ def item_words(bench: DataFrame) -> DataFrame:
     return rows.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("p", "term"))
 
 
-def _blocks(terms: DataFrame) -> Iterator[dict[str, int]]:
+def _blocks(terms: DataFrame) -> Iterator[dict[bytes, int]]:
     """The distinct terms with numbers, at most about MAX_TERMS to a block."""
     count = terms.count()
     parts = -(-count // MAX_TERMS) or 1
-    at = 0
     for k in range(parts):
         found = [r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
-        yield {t: at + i for i, t in enumerate(sorted(found))}
-        at += len(found)
+        yield {t.encode(): i for i, t in enumerate(sorted(found))}
+
+
+def _numbers(found: list[bytes], block: dict[bytes, int]) -> np.ndarray:
+    """Each word's number in the block, -1 for those it lacks."""
+    return np.fromiter(map(block.get, found, repeat(-1)), dtype=np.int64, count=len(found))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -63,16 +70,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            first = min(shared.value.values(), default=0)
-            total = np.zeros(len(shared.value), dtype=np.int64)
-            get = shared.value.get
+            total = np.zeros(len(shared.value) + 1, dtype=np.int64)
             for b in batches:
-                for t in b.column("text"):
-                    hits = np.fromiter([k for k in map(get, words(t.as_py())) if k is not None], dtype=np.int64)
-                    total += np.bincount(hits - first, minlength=len(total))
+                for t in _texts(b):
+                    hits = _numbers(words(t), shared.value)
+                    np.add.at(total, hits[hits >= 0], 1)
             names = list(shared.value)
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[some], pa.int64())], ["term", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i].decode() for i in some], pa.string()), pa.array(total[some], pa.int64())], ["term", "df"])
 
         part = docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         found = part if found is None else found.union(part)
@@ -87,18 +92,23 @@ def postings(docs: DataFrame, terms: DataFrame, path: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            get = shared.value.get
+            names = pa.array([t.decode() for t in shared.value], pa.string())
             for b in batches:
-                ids, terms, places = [], [], []
-                for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                    found: dict[str, list[int]] = {}
-                    for p, w in enumerate(words(t.as_py())):
-                        if get(w) is not None:
-                            found.setdefault(w, []).append(p)
-                    ids += [doc] * len(found)
-                    terms += found
-                    places += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "doc_id", "positions"])
+                docs, terms, places = [], [], []
+                for doc, t in enumerate(_texts(b)):
+                    number = _numbers(words(t), shared.value)
+                    at = np.flatnonzero(number >= 0)
+                    if len(at):
+                        at = at[np.argsort(number[at], kind="stable")]
+                        docs.append(np.full(len(at), doc))
+                        terms.append(number[at])
+                        places.append(at)
+                if not docs:
+                    continue
+                doc, term, place = np.concatenate(docs), np.concatenate(terms), np.concatenate(places).astype(np.int32)
+                start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(place)), pa.int32()), pa.array(place))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(term[start])), b.column("doc_id").take(pa.array(doc[start])), lists], ["term", "doc_id", "positions"])
 
         index = rows.mapInArrow(run, "term string, doc_id long, positions array<int>")
         index.write.mode("append" if k else "errorifexists").option("compression", "zstd").parquet(path)
@@ -147,21 +157,20 @@ def _index(docs: DataFrame, bench: DataFrame, width: int) -> tuple[DataFrame, Da
 def _verify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = zip(b.column("text"), b.column("aligned"), strict=True)
-            found = [hits(t.as_py(), a.as_py() or [], width) for t, a in texts]
+            found = [hits(t, a.as_py() or [], width) for t, a in zip(_texts(b), b.column("__aligned"), strict=True)]
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_words", "n_hit", "items"])
 
     return run
 
 
-def hits(text: str | None, aligned: list[dict], width: int) -> tuple[int, int, list[str]]:
+def hits(text: bytes | None, aligned: list[dict], width: int) -> tuple[int, int, list[str]]:
     """Words, hit words and items with a window in the text, along the given alignments."""
     found = words(text)
     hit = np.zeros(len(found), dtype=bool)
     items = set()
     for a in aligned:
-        own, shift = a["own"], a["shift"]
+        own, shift = [w.encode() for w in a["own"]], a["shift"]
         size = min(width, len(own))
         run = 0
         for p in range(max(0, -shift), min(len(own), len(found) - shift)):
@@ -173,12 +182,12 @@ def hits(text: str | None, aligned: list[dict], width: int) -> tuple[int, int, l
 
 
 def _aligned(docs: DataFrame, bench: DataFrame, width: int) -> DataFrame:
-    """``key, aligned``: for every document with alignments, each with its item's words."""
+    """``__key, __aligned``: for every document with alignments, each with its item's words."""
     items, marks, index = _index(docs, bench, width)
     at = alignments(index, marks).select("item_id", "doc_id", "shift").distinct()
     own = items.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("own"))
-    each = at.join(bounded_broadcast(own), "item_id").groupBy(F.col("doc_id").alias("key"))
-    return materialize(each.agg(F.collect_list(F.struct("item_id", "shift", "own")).alias("aligned")), "alignments")
+    each = at.join(bounded_broadcast(own), "item_id").groupBy(F.col("doc_id").alias("__key"))
+    return materialize(each.agg(F.collect_list(F.struct("item_id", "shift", "own")).alias("__aligned")), "alignments")
 
 
 def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
@@ -191,7 +200,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
     columns are not read.
     """
     aligned = bounded_broadcast(_aligned(docs, bench, width), MAX_ALIGNED)
-    rows = keyed(docs).join(aligned, F.col("doc_id") == F.col("key"), "left").select("doc_id", "text", "aligned")
+    rows = keyed(docs).join(aligned, F.col("doc_id") == F.col("__key"), "left").select("doc_id", "text", "__aligned")
     found = rows.mapInArrow(_verify(width), "doc_id long, n_words long, n_hit long, items array<string>")
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
@@ -209,12 +218,12 @@ def near_matches(docs: DataFrame, bench: DataFrame, width: int = 10, slop: int =
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows in which a window of a test item occurs, with their own columns."""
     aligned = bounded_broadcast(_aligned(docs, bench, width), MAX_ALIGNED)
-    rows = docs.join(aligned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("key"), "left").drop("key")
+    rows = docs.join(aligned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__key"), "left").drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = zip(b.column("text"), b.column("aligned"), strict=True)
-            clean = [not a.as_py() or not hits(t.as_py(), a.as_py(), width)[1] for t, a in texts]
-            yield b.filter(pa.array(clean, pa.bool_())).drop_columns(["aligned"])
+            texts = zip(_texts(b), b.column("__aligned"), strict=True)
+            clean = [not a.is_valid or not hits(t, a.as_py(), width)[1] for t, a in texts]
+            yield b.filter(pa.array(clean, pa.bool_())).drop_columns(["__aligned"])
 
     return rows.mapInArrow(run, docs.schema)
