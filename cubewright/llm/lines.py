@@ -55,25 +55,33 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def line_sets(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of lines, and the distinct words of each: line numbers, rising, and word hashes."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+def line_sets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each line of a lower-cased text: line numbers, rising, and word hashes."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    total = data.count(b"\n") + 1
     blank = BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return total, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     up, down = _Powers.to(len(raw) + 1)
     with np.errstate(over="ignore"):
-        run = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+        run = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
         words = mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP)
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-    order = np.lexsort((words, line))
+    order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (words >> np.uint64(24)))
     line, words = line[order], words[order]
     new = np.concatenate(([True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])))
-    return total, line[new], words[new]
+    return line[new], words[new]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray]]:
+    """Slices of at most ``rows`` documents: the slice, its lower-cased texts joined by line ends, and their numbers of lines."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield part, b"\n".join(texts).translate(LOWER), np.array([t.count(b"\n") + 1 for t in texts])
 
 
 def set_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +98,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with their class, and at the end the task's counts of words by bucket."""
     count = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
     names = ["doc_id", "line", "k1", "k2", "bucket", "count"]
-    for b in batches:
-        docs, lines, k1, k2 = [], [], [], []
-        for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            total, line, words = line_sets(t.as_py())
-            a, c = [None] * total, [None] * total
-            if len(line):
-                starts = _starts(line)
-                np.add.at(count, (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-                for at, x, y in zip(line[starts].tolist(), *[k.tolist() for k in set_keys(words, starts)], strict=True):
-                    a[at], c[at] = x, y
-            docs += [doc] * total
-            lines += range(total)
-            k1 += a
-            k2 += c
-        none = pa.nulls(len(docs), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, none], names)
+    for part, data, totals in chunks(batches):
+        line, words = line_sets(data)
+        total = int(totals.sum())
+        keys, bare = np.zeros((2, total), dtype=np.int64), np.ones(total, dtype=bool)
+        if len(line):
+            np.add.at(count, (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            starts = _starts(line)
+            at = line[starts]
+            keys[0][at], keys[1][at] = set_keys(words, starts)
+            bare[at] = False
+        docs = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(totals)), totals)))
+        numbers = np.arange(total) - np.repeat(np.cumsum(totals) - totals, totals)
+        none = pa.nulls(total, pa.int32())
+        yield pa.RecordBatch.from_arrays([docs, pa.array(numbers.astype(np.int32)), pa.array(keys[0], mask=bare), pa.array(keys[1], mask=bare), none, none], names)
     at = np.flatnonzero(count)
     for i in range(0, len(at), 100_000):
         some = at[i : i + 100_000]
@@ -131,23 +137,16 @@ def _rarity(counts: DataFrame) -> np.ndarray:
     return whole
 
 
-def _ordered(text: str | None, rarity: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Each line's class and its words from the rarest on, with their counts."""
-    _, line, words = line_sets(text)
+def _ordered(data: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Words of all lines, each line's from the rarest on; their counts; where lines start; and the lines' classes."""
+    line, words = line_sets(data)
     if not len(line):
-        return
-    count = rarity[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    k1, k2 = set_keys(words, _starts(line))
-    order = np.lexsort((words, count, line))
-    line, words, count = line[order], words[order], count[order]
+        return None
     starts = _starts(line)
-    ends = np.append(starts[1:], len(line))
-    for s, e, a, b in zip(starts.tolist(), ends.tolist(), k1.tolist(), k2.tolist(), strict=True):
-        yield a, b, words[s:e], count[s:e]
-
-
-def _prefix(size: int, similarity: float) -> int:
-    return size - int(np.ceil(similarity * size - 1e-9)) + 1
+    k1, k2 = set_keys(words, starts)
+    count = rarity[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (count.astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
+    return words[order], count[order], starts, k1, k2
 
 
 def _postings(rarity, similarity: float):
@@ -155,25 +154,30 @@ def _postings(rarity, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # classes this task has posted; forgetting some only repeats rows
-        for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for t in b.column("text"):
-                for k1, k2, words, count in _ordered(t.as_py(), rarity.value):
-                    n = len(words)
-                    if n < least or k1 in done:
-                        continue
-                    done.add(k1)
-                    bits = (words >> np.uint64(20)).astype(np.int64) & 127
-                    marks = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64)) * (bits < 64)), np.bitwise_or.reduce(np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64)) * (bits >= 64))
-                    marks = [int(np.array(m, dtype=np.uint64).view(np.int64)) for m in marks]
-                    for p in range(_prefix(n, similarity)):
-                        if count[p] > 1:  # else no other line has the word
-                            for column, value in zip(out, (int(words[p].view(np.int64)), k1, k2, n, p, *marks), strict=True):
-                                column.append(value)
+        for _, data, _ in chunks(batches):
+            found = _ordered(data, rarity.value)
+            if found is None:
+                continue
+            words, count, starts, k1, k2 = found
+            n = np.diff(np.append(starts, len(words)))
+            new = n >= least
+            for i in np.flatnonzero(new).tolist():
+                key = int(k1[i])
+                if key in done:
+                    new[i] = False
+                else:
+                    done.add(key)
             if len(done) > 2_000_000:
                 done.clear()
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["word", "k1", "k2", "n", "p", "m1", "m2"])
+            bits = (words >> np.uint64(20)) & np.uint64(127)
+            one = np.uint64(1) << (bits & np.uint64(63))
+            marks = [np.bitwise_or.reduceat(np.where(half, one, np.uint64(0)), starts).view(np.int64) for half in (bits < 64, bits >= 64)]
+            place = np.arange(len(words)) - np.repeat(starts, n)
+            prefix = np.where(new, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            at = np.flatnonzero((place < np.repeat(prefix, n)) & (count > 1))  # else no other line has the word
+            row = np.repeat(np.arange(len(n)), n)[at]
+            columns = [words[at].view(np.int64), k1[row], k2[row], n[row].astype(np.int32), place[at].astype(np.int32), marks[0][row], marks[1][row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "k1", "k2", "n", "p", "m1", "m2"])
 
     return run
 
@@ -226,19 +230,19 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 def _payload(rarity, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for b in batches:
-            k1s, k2s, sets = [], [], []
-            for t in b.column("text"):
-                for k1, k2, words, _ in _ordered(t.as_py(), rarity.value):
-                    bit = k1 & ((1 << BLOOM_BITS) - 1)
-                    if k1 not in done and wanted.value[bit >> 3] >> (7 - (bit & 7)) & 1:
-                        done.add(k1)
-                        k1s.append(k1)
-                        k2s.append(k2)
-                        sets.append(words.tobytes())
+        for _, data, _ in chunks(batches):
+            found = _ordered(data, rarity.value)
+            if found is None:
+                continue
+            words, _, starts, k1, k2 = found
+            ends = np.append(starts[1:], len(words))
+            bit = k1 & ((1 << BLOOM_BITS) - 1)
+            some = [i for i in np.flatnonzero(wanted.value[bit >> 3] >> (7 - (bit & 7)) & 1).tolist() if int(k1[i]) not in done]
+            done.update(k1[some].tolist())
             if len(done) > 2_000_000:
                 done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), pa.array(sets, pa.binary())], ["k1", "k2", "words"])
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(k1[some]), pa.array(k2[some]), pa.array([words[starts[i] : ends[i]].tobytes() for i in some], pa.binary())], ["k1", "k2", "words"])
 
     return run
 
