@@ -215,3 +215,59 @@ def run_view(obs: DataFrame, spec: dict) -> DataFrame:
     full = grid.join(shown, ["layer", "series", "period_start"], "left")
     bare = F.broadcast(coverage_bounds(full).select("layer", "series", "unpublished"))
     return full.join(bare, ["layer", "series"]).select("series", "period_start", "value", "unpublished")
+
+
+def series_detail(series: DataFrame, points: DataFrame) -> DataFrame:
+    """A series' record beside its points, and whether their number is the record's."""
+    counted = points.groupBy("series_key").agg(F.count("*").alias("n_seen"), F.min("ref_date").alias("first"), F.max("ref_date").alias("last"))
+    return series.join(counted, "series_key", "left").select("series_key", "n_obs", "first", "last", F.col("n_obs").eqNullSafe(F.col("n_seen")).alias("consistent"))
+
+
+def candidate_semijoin(tables: DataFrame, series: DataFrame, least_periods: int) -> DataFrame:
+    """Tables with a series of at least ``least_periods`` periods: the small side is reduced before series are read."""
+    good = series.where(F.col("n_obs") >= least_periods).select("pid").distinct()
+    return tables.join(good, "pid", "left_semi")
+
+
+def member_sets(a: DataFrame, b: DataFrame, every: DataFrame) -> DataFrame:
+    """``set, member_id`` of union, intersection and complement."""
+    both = a.union(b).distinct()
+    named = lambda df, name: df.select(F.lit(name).alias("set"), "member_id")
+    return named(both, "union").union(named(a.intersect(b), "intersection")).union(named(every.exceptAll(both), "complement"))
+
+
+def order_by_mention(questions: DataFrame, members: DataFrame) -> DataFrame:
+    """Members named in each question, by first mention. ``members`` is a short list."""
+    found = questions.join(F.broadcast(members), F.expr("instr(lower(question), lower(member_name)) > 0"))
+    at = found.withColumn("at", F.expr("instr(lower(question), lower(member_name))"))
+    return at.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_name"))), lambda x: x["member_name"]), ",").alias("members"))
+
+
+def concept_fit(pairs: DataFrame) -> DataFrame:
+    """Question and table pairs whose title contradicts no frequency or metric that the question asks for."""
+    q, t = F.lower("question"), F.lower("title")
+    clash = lambda word, others: q.contains(word) & t.rlike("|".join(others))
+    bad = clash("monthly", ["annual", "quarterly"]) | clash("annual", ["monthly", "quarterly"]) | (q.contains("price") & t.contains("volume"))
+    return pairs.withColumn("fits", ~bad)
+
+
+def candidate_rank(sources: list[DataFrame], top: int) -> DataFrame:
+    """Tables of several sources with their best score: three a title hit, one a member hit, one if curated."""
+    whole = sources[0]
+    for s in sources[1:]:
+        whole = whole.unionByName(s)
+    score = 3 * F.col("title_hits") + F.col("member_hits") + F.col("curated").cast("int")
+    best = whole.withColumn("score", score).groupBy("question_id", "pid").agg(F.max("score").alias("score"))
+    own = Window.partitionBy("question_id").orderBy(F.desc("score"), "pid")
+    return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top)
+
+
+def read_observations(lines: DataFrame, header: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a long file by the expected header, and the rows of another width. ``lines`` has ``pid, row_index, line``."""
+    schema = ", ".join(f"`{h}` string" for h in header)
+    width = F.size(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1))
+    rows = lines.where("row_index > 1").withColumn("width", width)
+    good = rows.where(F.col("width") == len(header))
+    cells = good.select("pid", (F.col("row_index") - 1).alias("row_index"), F.from_csv("line", schema, {"escape": '"', "nullValue": "\0"}).alias("c"))
+    blank = [F.coalesce(F.col(f"c.`{h}`"), F.lit("")).alias(h.lower()) for h in header]
+    return cells.select("pid", "row_index", *blank), rows.where(F.col("width") != len(header)).select("pid", "row_index", "width")

@@ -184,3 +184,53 @@ SELECT series, period_start, round(value, 6) AS value, count(value) OVER (PARTIT
 def run_view(spark, sf_dir):
     spec = {"where": {"m1": [7, 8, 9, 10], "m2": [2, 3], "m3": [1]}, "series": ["m1", "m2"], "transform": "pct_change_yoy", "years": 3}
     return records.run_view(obs(spark, sf_dir), spec).withColumn("value", F.round("value", 6))
+
+
+@add("SELECT o_custkey AS series_key, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n_obs, min(strftime(o_orderdate, '%Y-%m')) AS first, max(strftime(o_orderdate, '%Y-%m')) AS last, count(*) FILTER (WHERE o_orderstatus <> 'P') = count(*) AS consistent FROM orders GROUP BY 1")
+def series_detail(spark, sf_dir):
+    o = tables(spark, sf_dir)["orders"].withColumn("series_key", F.col("o_custkey"))
+    series = o.groupBy("series_key").agg(F.count_if(F.col("o_orderstatus") != "P").alias("n_obs"))
+    return records.series_detail(series, o.select("series_key", F.date_format("o_orderdate", "yyyy-MM").alias("ref_date")))
+
+
+@add("SELECT c_custkey AS pid, c_name AS title FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 12)")
+def candidate_semijoin(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    series = t["orders"].groupBy(F.col("o_custkey").alias("pid")).agg(F.count("*").alias("n_obs"))
+    return records.candidate_semijoin(t["customer"].select(F.col("c_custkey").alias("pid"), F.col("c_name").alias("title")), series, 12)
+
+
+@add("SELECT 'union' AS set, n_nationkey AS member_id FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0 UNION ALL SELECT 'intersection', n_nationkey FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT 'complement', n_nationkey FROM nation WHERE n_nationkey % 2 <> 0 AND n_nationkey % 3 <> 0")
+def member_sets(spark, sf_dir):
+    n = tables(spark, sf_dir)["nation"].select(F.col("n_nationkey").alias("member_id"))
+    return records.member_sets(n.where("member_id % 2 = 0"), n.where("member_id % 3 = 0"), n)
+
+
+@add("SELECT s_suppkey AS question_id, r_name || ',NATION_' || CASE WHEN s_nationkey >= 10 THEN substr(CAST(s_nationkey AS VARCHAR), 1, 1) || ',NATION_' || CAST(s_nationkey AS VARCHAR) ELSE CAST(s_nationkey AS VARCHAR) END AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def order_by_mention(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    joined = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    questions = joined.select(F.col("s_suppkey").alias("question_id"), F.concat(F.lit("in "), "r_name", F.lit(" or "), "n_name").alias("question"))
+    return records.order_by_mention(questions, t["nation"].select(F.col("n_name").alias("member_name")).union(t["region"].select("r_name")))
+
+
+FIT = "CASE s_suppkey % 3 WHEN 0 THEN 'monthly sales' WHEN 1 THEN 'annual price' ELSE 'price of wheat' END"
+TITLE = "CASE s_suppkey % 4 WHEN 0 THEN 'Sales, annual' WHEN 1 THEN 'Prices, monthly' WHEN 2 THEN 'Trade volume' ELSE 'Sales' END"
+
+
+@add(f"SELECT s_suppkey, q AS question, t AS title, NOT ((s_suppkey % 3 = 0 AND s_suppkey % 4 = 0) OR (s_suppkey % 3 = 1 AND s_suppkey % 4 = 1) OR (s_suppkey % 3 > 0 AND s_suppkey % 4 = 2)) AS fits FROM (SELECT s_suppkey, {FIT} AS q, {TITLE} AS t FROM supplier)")
+def concept_fit(spark, sf_dir):
+    return records.concept_fit(tables(spark, sf_dir)["supplier"].select("s_suppkey", F.expr(FIT).alias("question"), F.expr(TITLE).alias("title")))
+
+
+@add("WITH s AS (SELECT l_orderkey AS question_id, l_suppkey AS pid, max(3 * CAST(l_quantity AS INT) + l_linenumber + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS score FROM lineitem GROUP BY 1, 2) SELECT question_id, pid, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pid) AS rank FROM s) WHERE rank <= 3")
+def candidate_rank(spark, sf_dir):
+    rows = tables(spark, sf_dir)["lineitem"].select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("pid"), F.col("l_quantity").cast("int").alias("title_hits"), F.col("l_linenumber").alias("member_hits"), (F.col("l_returnflag") == "R").alias("curated"))
+    return records.candidate_rank([rows.where("curated"), rows.where("not curated")], 3)
+
+
+@add("SELECT CAST(o_custkey AS VARCHAR) AS pid, CAST(o_orderkey + 1 AS BIGINT) AS row_index, strftime(o_orderdate, '%Y-%m') AS ref_date, 'a, \"b\"' AS geo, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS value FROM orders WHERE o_orderkey % 7 <> 0")
+def read_observations(spark, sf_dir):
+    line = F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit(',"a, ""b""",'), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 7 == 0, ",x").otherwise(""))
+    lines = tables(spark, sf_dir)["orders"].select(F.col("o_custkey").cast("string").alias("pid"), (F.col("o_orderkey") + 2).alias("row_index"), line.alias("line"))
+    return records.read_observations(lines, ["REF_DATE", "GEO", "VALUE"])[0]
