@@ -68,7 +68,8 @@ def masks(radius: int) -> list[int]:
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect the same fingerprints as all pairs within the radius do: at most one a fingerprint."""
     n = len(fps)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)  # the count of a negative number would be that of its absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = np.arange(n)
     while True:
         low = np.where(near, label[None, :], n).min(axis=1)
