@@ -88,7 +88,10 @@ def test_close_fingerprints_in_one_bucket(spark):
     """Many fingerprints around one point come out as one component, in blocks as well."""
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 62))
-    near = sorted({centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (60, 2))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    near = sorted({centre} | {signed(centre ^ (1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 64, (60, 2))})
+    pairs = {(a, b) for a, b in simhash._forest(np.array([5, signed((1 << 63) ^ 5), -6, 5 ^ 31 << 8]), 4)}
+    assert pairs == {(signed((1 << 63) ^ 5), 5)}
     from cubewright.llm.common import connected_components
 
     found = connected_components(simhash.links(spark.createDataFrame([(x,) for x in near], "fp long"), 4, 8))
