@@ -149,7 +149,8 @@ def _ordered(data: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return words[order], count[order], starts, k1, k2
 
 
-def _postings(rarity, similarity: float):
+def _postings(rarity, similarity: float, frequent: bool):
+    """Postings of the prefixes' words of each class: those of words on fewer than 255 lines, or the others."""
     least = next(n for n in range(1, 1000) if int(np.floor(n / similarity + 1e-9)) > n)  # shorter lines match only their equals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,36 +170,80 @@ def _postings(rarity, similarity: float):
                     done.add(key)
             if len(done) > 2_000_000:
                 done.clear()
-            bits = (words >> np.uint64(20)) & np.uint64(127)
-            one = np.uint64(1) << (bits & np.uint64(63))
-            marks = [np.bitwise_or.reduceat(np.where(half, one, np.uint64(0)), starts).view(np.int64) for half in (bits < 64, bits >= 64)]
+            one = np.uint64(1) << ((words >> np.uint64(20)) & np.uint64(63))
+            marks = np.bitwise_or.reduceat(one, starts).view(np.int64)
             place = np.arange(len(words)) - np.repeat(starts, n)
             prefix = np.where(new, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-            at = np.flatnonzero((place < np.repeat(prefix, n)) & (count > 1))  # else no other line has the word
+            wanted = count == 255 if frequent else (count > 1) & (count < 255)  # a word on one line has no partner
+            at = np.flatnonzero((place < np.repeat(prefix, n)) & wanted)
             row = np.repeat(np.arange(len(n)), n)[at]
-            columns = [words[at].view(np.int64), k1[row], k2[row], n[row].astype(np.int32), place[at].astype(np.int32), marks[0][row], marks[1][row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "k1", "k2", "n", "p", "m1", "m2"])
+            columns = [words[at].view(np.int64), k1[row], n[row] << 32 | place[at], marks[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "k1", "np", "marks"])
 
     return run
 
 
+def _alike(similarity: float, a: tuple, b: tuple) -> np.ndarray:
+    """Whether pairs of postings pass the length, position and signature filters; each side is (k1, np, marks)."""
+    (k, x, m), (l, y, w) = a, b
+    n, o = x >> 32, y >> 32
+    need = np.ceil(similarity / (1 + similarity) * (n + o) - 1e-9)
+    left = np.minimum(n - (x & 0xFFFFFFFF), o - (y & 0xFFFFFFFF))
+    apart = np.bitwise_count((m ^ w).view(np.uint64)).astype(np.int64)
+    return (k != l) & (left >= need) & (apart <= n + o - 2 * need)
+
+
 def _filtered(similarity: float):
-    """Rows of a cell that pass the length, position and signature filters with some other row of it."""
+    """Postings of less frequent words, sorted by word and class, that pass the filters with another of their word.
+
+    A word's postings are fewer than 255, so each is compared with those 1, 2, 3 ... places on while they are its word's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["cell"]):
-            if g.num_rows < 2:
+        held = None
+
+        def passed(rows: tuple) -> pa.RecordBatch:
+            word, *rest = rows
+            first = np.concatenate(([True], (word[1:] != word[:-1]) | (rest[0][1:] != rest[0][:-1])))
+            word, *rest = (c[first] for c in rows)  # a class may be posted by several tasks
+            live = np.zeros(len(word), dtype=bool)
+            at = np.arange(len(word))
+            for step in range(1, len(word)):
+                at = at[at + step < len(word)]
+                at = at[word[at + step] == word[at]]
+                if not len(at):
+                    break
+                hit = at[_alike(similarity, tuple(c[at] for c in rest), tuple(c[at + step] for c in rest))]
+                live[hit] = live[hit + step] = True
+            return pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(rest[0][live])], ["word", "k1"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            n, p = (g.column(c).to_numpy().astype(np.int32) for c in ("n", "p"))
-            k1, k2 = g.column("k1").to_numpy(), g.column("k2").to_numpy()
-            m1, m2 = (g.column(c).to_numpy().view(np.uint64) for c in ("m1", "m2"))
-            need = np.ceil(similarity / (1 + similarity) * (n[:, None] + n[None, :]) - 1e-9)
-            left = np.minimum((n - p)[:, None], (n - p)[None, :])
-            apart = np.bitwise_count(m1[:, None] ^ m1[None, :]).astype(np.int32) + np.bitwise_count(m2[:, None] ^ m2[None, :])
-            live = (left >= need) & (apart <= n[:, None] + n[None, :] - 2 * need) & ((k1[:, None] != k1[None, :]) | (k2[:, None] != k2[None, :]))
-            some = np.flatnonzero(live.any(axis=1))
-            if len(some):
-                yield g.combine_chunks().to_batches()[0].take(pa.array(some)).select(["cell", "word", "k1", "k2", "own", "other"])
+            rows = tuple(b.column(c).to_numpy() for c in ("word", "k1", "np", "marks"))
+            if held is not None:
+                rows = tuple(np.concatenate(c) for c in zip(held, rows, strict=True))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on
+            if cut:
+                yield passed(tuple(c[:cut] for c in rows))
+            held = tuple(c[cut:] for c in rows)
+        if held is not None:
+            yield passed(held)
+
+    return run
+
+
+def _filtered_blocks(similarity: float):
+    """The same for postings of frequent words, in cells of one block or two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["cell"]):
+            if g.num_rows > 1:
+                rows = tuple(g.column(c).to_numpy() for c in ("k1", "np", "marks"))
+                live = _alike(similarity, tuple(c[:, None] for c in rows), tuple(c[None, :] for c in rows))
+                some = np.flatnonzero(live.any(axis=1))
+                if len(some):
+                    yield g.combine_chunks().to_batches()[0].take(pa.array(some)).select(["cell", "word", "k1", "own", "other"])
 
     return run
 
@@ -250,41 +295,79 @@ def _payload(rarity, wanted):
 def _verified(similarity: float):
     """Links and earliest linked line of each class of a cell, over the pairs whose first shared word is the cell's."""
 
+    def few(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = []
+        for r in rows:
+            words = np.frombuffer(r[6], dtype=np.int64).tolist()
+            sets.append((frozenset(words), frozenset(words[: words.index(r[1])])))
+        for i in range(len(rows)):
+            for j in range(i):
+                if rows[i][4] == rows[i][5] or rows[i][4] != rows[j][4]:
+                    (a, x), (b, y) = sets[i], sets[j]
+                    shared = len(a & b)
+                    if shared >= similarity * (len(a) + len(b) - shared) - 1e-6 and x.isdisjoint(y):
+                        yield i, j
+
+    def many(rows: list[tuple]) -> np.ndarray:
+        word = rows[0][1]
+        sets = [np.frombuffer(r[6], dtype=np.int64) for r in rows]
+        sizes = np.array([len(s) for s in sets])
+        known, number = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        has = np.zeros((len(sets), len(known)), dtype=np.float32)
+        has[row, number] = 1
+        ahead = np.zeros_like(has)  # words that come before the cell's in their set
+        place = np.concatenate([np.arange(n) for n in sizes])
+        at = np.repeat([int(np.flatnonzero(s == word)[0]) for s in sets], sizes)
+        ahead[row[place < at], number[place < at]] = 1
+        shared = has @ has.T
+        linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+        linked &= (ahead @ ahead.T) == 0
+        np.fill_diagonal(linked, False)
+        own = np.array([r[4] for r in rows])
+        if rows[0][4] != rows[0][5]:
+            linked &= own[:, None] != own[None, :]
+        return linked
+
+    def found(rows: list[tuple]) -> Iterator[tuple]:
+        places = [(r[7] is not None, r[7], r[8]) for r in rows]
+        if len(rows) <= 8:
+            count, least = [0] * len(rows), [None] * len(rows)
+            for i, j in few(rows):
+                for a, b in ((i, j), (j, i)):
+                    count[a] += 1
+                    least[a] = places[b] if least[a] is None else min(least[a], places[b])
+        else:
+            linked = many(rows)
+            order = sorted(range(len(rows)), key=places.__getitem__)
+            rank = np.empty(len(rows), dtype=np.int64)
+            rank[order] = np.arange(len(rows))
+            count = linked.sum(axis=1).tolist()
+            first = np.where(linked, rank[None, :], len(rows)).min(axis=1).tolist()
+            least = [places[order[f]] if f < len(rows) else None for f in first]
+        for r, n, p in zip(rows, count, least, strict=True):
+            if n:
+                yield r[2], r[3], n, p[1], p[2]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["cell"]):
-            if g.num_rows < 2:
-                continue
-            word = np.int64(g.column("word")[0].as_py()).view(np.uint64)
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in g.column("words").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            known, number = np.unique(np.concatenate(sets), return_inverse=True)
-            row = np.repeat(np.arange(len(sets)), sizes)
-            has = np.zeros((len(sets), len(known)), dtype=np.float32)
-            has[row, number] = 1
-            ahead = np.zeros_like(has)  # words that come before the cell's in their set
-            place = np.concatenate([np.arange(n) for n in sizes])
-            at = np.repeat([int(np.flatnonzero(s == word)[0]) for s in sets], sizes)
-            ahead[row[place < at], number[place < at]] = 1
-            shared = has @ has.T
-            linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
-            linked &= (ahead @ ahead.T) == 0
-            np.fill_diagonal(linked, False)
-            own, other = g.column("own").to_numpy(), g.column("other").to_numpy()
-            if (own != other).any():
-                linked &= own[:, None] != own[None, :]
-            some = np.flatnonzero(linked.any(axis=1))
-            if not len(some):
-                continue
-            first = list(zip(g.column("doc").to_pylist(), g.column("line").to_pylist(), strict=True))
-            order = sorted(range(len(first)), key=lambda i: (first[i][0] is not None, first[i]))
-            rank = np.empty(len(first), dtype=np.int64)
-            rank[order] = np.arange(len(first))
-            least = np.where(linked, rank[None, :], len(first)).min(axis=1)
-            early = [first[order[least[i]]] for i in some]
-            yield pa.RecordBatch.from_arrays(
-                [g.column("k1").combine_chunks().take(pa.array(some)), g.column("k2").combine_chunks().take(pa.array(some)), pa.array(linked.sum(axis=1)[some].astype(np.int64)), pa.array([e[0] for e in early], pa.int64()), pa.array([e[1] for e in early], pa.int32())],
-                ["k1", "k2", "links", "doc", "line"],
-            )
+        out: list[tuple] = []
+        held: list[tuple] = []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["k1", "k2", "links", "doc", "line"])
+        for b in batches:
+            for row in zip(*[b.column(c).to_pylist() for c in ("cell", "word", "k1", "k2", "own", "other", "words", "doc", "line")], strict=True):
+                if held and held[0][0] != row[0]:
+                    if len(held) > 1:
+                        out += found(held)
+                    held = []
+                held.append(row)
+            if len(out) > 20_000:
+                yield made()
+                out = []
+        if len(held) > 1:
+            out += found(held)
+        if out:
+            yield made()
 
     return run
 
@@ -307,21 +390,26 @@ def line_matches(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -
     place = F.min(F.struct(F.col("doc_id").alias("doc"), "line")).alias("first")
     classes = materialize(lines.where("k1 is not null").groupBy("k1", "k2").agg(place), "line-classes")
 
-    posted = rows.select("text").mapInArrow(_postings(rarity, similarity), "word long, k1 long, k2 long, n int, p int, m1 long, m2 long")
-    posted = materialize(posted, "line-postings")
+    posting = "word long, k1 long, np long, marks long"
+    rare = rows.select("text").mapInArrow(_postings(rarity, similarity, False), posting)
+    rare = rare.repartition(parts, "word").sortWithinPartitions("word", "k1").mapInArrow(_filtered(similarity), "word long, k1 long")
+    none = F.lit(-1)
+    rare = rare.select(F.xxhash64("word", none, none).alias("cell"), "word", "k1", none.alias("own"), none.alias("other"))
+
+    posted = materialize(rows.select("text").mapInArrow(_postings(rarity, similarity, True), posting).dropDuplicates(["word", "k1"]), "line-postings")
     full = posted.groupBy("word").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     cells = posted.join(full.drop("size"), "word").withColumn("own", F.pmod(F.col("k1"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("cell", F.xxhash64("word", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks")
     cells = cells.repartition(parts, "cell").sortWithinPartitions("cell")
-    live = cells.mapInArrow(_filtered(similarity), "cell long, word long, k1 long, k2 long, own int, other int")
-    live = materialize(live.dropDuplicates(["cell", "k1", "k2"]), "line-candidates")
+    common = cells.mapInArrow(_filtered_blocks(similarity), "cell long, word long, k1 long, own int, other int")
+    live = materialize(rare.union(common), "line-candidates")
 
     wanted = spark.sparkContext.broadcast(_bloom(live))
     sets = rows.select("text").mapInArrow(_payload(rarity, wanted), "k1 long, k2 long, words binary")
-    keys = live.select("k1", "k2").distinct()
-    sets = sets.dropDuplicates(["k1", "k2"]).join(keys, ["k1", "k2"], "left_semi").join(classes, ["k1", "k2"])
-    ready = live.join(sets.select("k1", "k2", "words", "first.doc", "first.line"), ["k1", "k2"])
+    keys = live.select("k1").distinct()
+    sets = sets.dropDuplicates(["k1", "k2"]).join(keys, "k1", "left_semi").join(classes, ["k1", "k2"])
+    ready = live.join(sets.select("k1", "k2", "words", "first.doc", "first.line"), "k1")
     ready = ready.repartition(parts, "cell").sortWithinPartitions("cell")
     found = ready.mapInArrow(_verified(similarity), "k1 long, k2 long, links long, doc long, line int")
     found = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("near"))
