@@ -9,25 +9,39 @@ The ranks' ids are written beside the segments.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, new_path
 
 END_ID = 2
 #: Pieces of text whose ids a task remembers, and documents or ids of a segment.
-MAX_PIECES, SEGMENT_DOCS, SEGMENT_IDS = 300_000, 2_000, 1_000_000
+MAX_PIECES, SEGMENT_DOCS, SEGMENT_IDS = 250_000, 2_000, 1_000_000
 
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 UNSPLIT = re.compile(r"\s\s|<\|")
 
 
+class _Pieces(dict):
+    """Ids of known pieces; a new piece is encoded when it is first looked up."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.encode(piece)
+        return found
+
+
 class Encoder:
     """Whole texts to ids with a byte-level BPE tokenizers file, remembering the ids of pieces between single blanks.
 
@@ -44,45 +58,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # pieces are remembered here; the model only gets new ones
+        self.tokenize = model.tokenize
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.code = {"<u2": "H", "<u4": "I"}[self.width]
         self.end = np.array([END_ID], dtype=self.width).tobytes()
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        shown = {}  # the printable character that stands for each byte, as the tokenizer itself shows them
-        for c in range(0x250):
-            for byte, mark in zip(chr(c).encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0], strict=True):
-                shown[byte] = mark
-        self.shown = shown
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # each character as the printable ones that stand for its bytes, which is what the tokenizer's model takes
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {c: shown(chr(c))[0][0] for c in range(0x250)}
+        self.blank = self.shown[32]
+        self.marks = {m: self._whole(m) for m in ".,;:!?"}
+        self.known, self.older = _Pieces(self._piece), {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def _words(self, piece: str) -> list[str]:
-        """The tokenizer's words of a piece, as its model takes them."""
-        if piece.isalpha():
-            words = [" " + piece]
-        elif piece[:-1].isalpha() and piece[-1] in ".,":
-            words = [" " + piece[:-1], piece[-1]]
-        else:
-            words = self.words(piece if piece[0] == "\n" else " " + piece)
-        if piece.isascii() and piece.isprintable():
-            return [w.replace(" ", self.shown[32]) for w in words]
-        return [w.encode().decode("latin-1").translate(self.shown) for w in words]
-
     def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that isn't known, with the blank or line end before it."""
         found = self.older.get(piece)
-        if found is None:
+        if found is not None:
+            return found
+        tokenize = self.tokenize
+        if piece.isalpha():
+            if piece.isascii():
+                return array(self.code, [t.id for t in tokenize(self.blank + piece)]).tobytes()
             if max(piece) < "\u0250":
-                tokenize = self.tokenizer.model.tokenize
-                found = array(self.code, [t.id for w in self._words(piece) for t in tokenize(w)]).tobytes()
-            else:
-                found = self._whole(piece if piece[0] == "\n" else " " + piece)
-        if len(self.known) >= MAX_PIECES:
-            self.known, self.older = {}, self.known
-        self.known[piece] = found
-        return found
+                return array(self.code, [t.id for t in tokenize(self.blank + piece.translate(self.shown))]).tobytes()
+        elif piece[-1] in self.marks and piece[:-1].isalpha():  # a mark after a word is a word of its own
+            return self.known[piece[:-1]] + self.marks[piece[-1]]
+        text = piece if piece[0] == "\n" else " " + piece
+        if max(piece) < "\u0250":
+            return array(self.code, [t.id for w in self.words(text) for t in tokenize(w.translate(self.shown))]).tobytes()
+        return self._whole(text)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of the text, the end id included."""
@@ -92,34 +102,53 @@ class Encoder:
             return np.frombuffer(self._whole(text) + self.end, dtype=self.width)
         # each piece starts at a blank or a line end; the first line end is put there and its id dropped
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        known = self.known.get
-        ids = b"".join([known(p) or self._piece(p) for p in pieces])
+        if len(self.known) >= MAX_PIECES:
+            self.known, self.older = _Pieces(self._piece), self.known
+        ids = b"".join(map(self.known.__getitem__, pieces))
         return np.frombuffer(ids + self.end, dtype=self.width)[1:]
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks."""
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a process, so that what a task has learned serves the next."""
+    return Encoder(path)
+
+
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and where in them, in steps of two bits, each rank's code stands."""
+    widths = -(-counts // 4)
+    skipped = np.cumsum(widths * 4 - counts) - (widths * 4 - counts)
+    return widths, np.arange(counts.sum()) + np.repeat(skipped, counts)
+
+
+def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each of the documents whose ranks stand one after another."""
     values = ranks.astype("<u4")
     code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(code) // 4) * 4, dtype=np.uint8)
-    padded[: len(code)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4)[None, :] <= code[:, None]]
-    return control.tobytes(), data.tobytes()
-
-
-def decode(control: bytes, data: bytes, count: int) -> tuple[np.ndarray, int]:
-    """``count`` ranks and the number of data bytes they took."""
-    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count].astype(np.int64)
-    ends = np.cumsum(lengths)
-    used = int(ends[-1]) if count else 0
-    raw = np.frombuffer(data, dtype=np.uint8, count=used)
-    raw = np.concatenate([raw, np.zeros(3, dtype=np.uint8)]).astype(np.uint32)
-    starts = ends - lengths
-    ranks = raw[starts]
+    widths, places = _padded(counts)
+    padded = np.zeros(int(widths.sum()) * 4, dtype=np.uint8)
+    padded[places] = code
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    if values.max(initial=0) <= 0xFFFF:
+        values = values.astype("<u2")
+    width = values.dtype.itemsize
+    data = values.view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]].tobytes()
+    cut = np.concatenate(([0], np.cumsum(widths))).tolist()
+    ends = np.concatenate(([0], np.cumsum(code.astype(np.int64) + 1)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    return [control[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The ranks of all documents, one after another."""
+    _, places = _padded(counts)
+    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[places]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
+    ranks = raw[starts].astype(np.uint32)
     for i in (1, 2, 3):
-        ranks |= np.where(lengths > i, raw[starts + i], 0).astype(np.uint32) << np.uint32(8 * i)
-    return ranks, used
+        long = np.flatnonzero(lengths > i)
+        ranks[long] |= raw[starts[long] + i].astype(np.uint32) << np.uint32(8 * i)
+    return ranks
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:
@@ -134,21 +163,32 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, ids`` (little-endian, 2 or 4 bytes each by the vocabulary's size) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for b in batches:
+        encoder = encoder_for(tokenizer)
+        for b in slices(batches, 1024):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([encoder(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` documents, so that arrays over all of a batch's ids stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def joined(ids: pa.Array, width: str) -> np.ndarray:
+    """The ids of all documents of a column, one after another."""
+    return np.frombuffer(b"".join(ids.to_pylist()), dtype=width)
+
+
 def frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray:
     """Ids by falling frequency, ties by id; as long as the vocabulary, which bounds what the driver gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=width), minlength=size)
+        for b in slices(batches):
+            total += np.bincount(joined(b.column("ids"), width), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
@@ -179,16 +219,13 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id")
             keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            codes, counts = [], []
-            for x in b.column("ids"):
-                found = np.frombuffer(x.as_buffer(), dtype=width)
-                counts.append(len(found))
-                codes.append(encode(ranks[found]))
+            counts = pc.binary_length(b.column("ids")).to_numpy() // np.dtype(width).itemsize
+            control, data = encode(ranks[joined(b.column("ids"), width)], counts.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, keys, side="left"), pa.int32()), ids, pa.array(counts, pa.int64()), pa.array([c for c, _ in codes], pa.binary()), pa.array([d for _, d in codes], pa.binary())],
+                [pa.array(np.searchsorted(bounds, keys, side="left"), pa.int32()), ids, pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 ["bucket", "doc_id", "n", "control", "data"],
             )
 
@@ -233,16 +270,12 @@ def read(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                docs, starts, found = row["doc_ids"], [], []
-                start, c, d = base[row["bucket"]] + row["at"], 0, 0
-                control, data = memoryview(row["control"]), memoryview(row["data"])
-                for n in row["counts"]:
-                    width = -(-n // 4)
-                    ranks, used = decode(control[c : c + width], data[d:], n)
-                    starts.append(start)
-                    found.append(order.value[ranks].astype("<u4").tobytes())
-                    start, c, d = start + n, c + width, d + used
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                counts = np.array(row["counts"], dtype=np.int64)
+                ids = order.value[decode(row["control"], row["data"], counts)].astype("<u4").tobytes()
+                ends = np.cumsum(counts)
+                starts = base[row["bucket"]] + row["at"] + ends - counts
+                found = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), row["counts"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
