@@ -141,10 +141,11 @@ def train(labelled: DataFrame) -> Machine:
 
     # contexts, the word before, stand for occurrences: text that is copied from toxic text has one context a word
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    pairs = F.array_distinct(F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, p: F.struct(w.alias("word"), p.alias("before"))))
-    seen = rows.select("toxic", words.alias("w")).select("toxic", F.explode(pairs).alias("p")).where("p.word is not null")
-    clean = F.regexp_replace("p.word", r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$", "")
-    seen = seen.select(clean.alias("word"), F.col("p.before").alias("before"), "toxic").where(F.length("word").between(3, 24)).distinct()
+    pairs = F.array_distinct(F.transform("w", lambda x, i: F.concat(F.when(i > 0, F.get("w", i - 1)).otherwise(""), F.lit(" "), x)))
+    seen = rows.select("toxic", words.alias("w")).select("toxic", F.explode(pairs).alias("p"))
+    word, before = F.substring_index("p", " ", -1), F.substring_index("p", " ", 1)
+    clean = F.regexp_replace(word, r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$", "")
+    seen = seen.select(clean.alias("word"), before.alias("before"), "toxic").where(F.length("word").between(3, 24)).distinct()
     table = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     chance = F.col("bad") * -math.log10(base)
     table = materialize(table.where((F.col("n") > F.col("bad")) | (chance >= 2)).withColumn("evidence", chance), "toxic-words")
