@@ -65,7 +65,7 @@ def norm(lengths: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(total > 0, total, 1.0))
 
 
-@functools.lru_cache(maxsize=20_000)
+@functools.lru_cache(maxsize=8_000)
 def features(word: str) -> dict[int, float]:
     """The subsequences of the word with its ends marked, and their normalised weights."""
     c = np.concatenate(([0], _codes(word)[0], [0]))
@@ -171,6 +171,7 @@ def train(labelled: DataFrame) -> Machine:
         if len(hard) == len(known):
             break
 
+    features.cache_clear()  # the driver keeps nothing of the words
     described = rows.select("text", "toxic").mapInArrow(_run(machine, ["toxic"]), "toxic int, high double, count double").collect()
     x = np.array([[1.0, r["high"], r["count"]] for r in described])
     y = np.array([r["toxic"] for r in described], dtype=float)
