@@ -38,10 +38,14 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def item_words(bench: DataFrame) -> DataFrame:
-    """``item_id, p, term, n``: every test word with its position and its item's length."""
+    """``item, item_id, n, p, term``: every test word with its position and its item's length.
+
+    ``item`` numbers the distinct rows (item_id, text), as ids may be null or shared; it holds only once stored.
+    """
     split = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(CLASS), F.lit(0))
-    rows = bench.select(F.col("item_id").cast("string").alias("item_id"), split.alias("w"))
-    return rows.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("p", "term"))
+    rows = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    rows = rows.select(F.monotonically_increasing_id().alias("item"), "item_id", split.alias("w"))
+    return rows.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("p", "term"))
 
 
 def _blocks(terms: DataFrame) -> Iterator[dict[bytes, int]]:
@@ -116,7 +120,7 @@ def postings(docs: DataFrame, terms: DataFrame, path: str) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
-    """``item_id, n, p1, term1, p2, term2``: for every window its rarest place and the next rarest, without repeats.
+    """``item, n, p1, term1, p2, term2``: for every window its rarest place and the next rarest, without repeats.
 
     An item shorter than the window is one window. The second is null where the window has one word.
     """
@@ -124,25 +128,25 @@ def anchors(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     rank = F.struct(F.col("df"), F.col("p"), F.col("term"))
     size = F.least(F.lit(width), "n")
     starts = F.sequence(F.greatest(F.lit(0), F.col("p") - size + 1), F.least(F.col("p"), F.col("n") - size))
-    cells = placed.select("item_id", "n", rank.alias("r"), F.explode(starts).alias("start"))
-    two = cells.groupBy("item_id", "n", "start").agg(F.array_sort(F.collect_list("r")).alias("r"))  # at most width entries
+    cells = placed.select("item", "n", rank.alias("r"), F.explode(starts).alias("start"))
+    two = cells.groupBy("item", "n", "start").agg(F.array_sort(F.collect_list("r")).alias("r"))  # at most width entries
     first, second = F.element_at("r", 1), F.try_element_at("r", F.lit(2))
-    return two.select("item_id", "n", first["p"].alias("p1"), first["term"].alias("term1"), second["p"].alias("p2"), second["term"].alias("term2")).distinct()
+    return two.select("item", "n", first["p"].alias("p1"), first["term"].alias("term1"), second["p"].alias("p2"), second["term"].alias("term2")).distinct()
 
 
 def alignments(index: DataFrame, marks: DataFrame, slop: int = 0) -> DataFrame:
-    """``item_id, doc_id, shift, p1``: where a window's two rarest terms stand at their offsets, give or take ``slop`` words.
+    """``item, doc_id, shift, p1``: where a window's two rarest terms stand at their offsets, give or take ``slop`` words.
 
     ``shift`` is the document position of the item's first word.
     """
-    first = marks.select("item_id", F.col("term1").alias("term"), "p1", "p2", "term2")
+    first = marks.select("item", F.col("term1").alias("term"), "p1", "p2", "term2")
     lists = index.join(bounded_broadcast(first), "term")
     moved = F.explode(F.transform("positions", lambda x: x - F.col("p1")))
-    base = lists.select("item_id", "doc_id", "p1", "p2", "term2", moved.alias("shift"))
-    alone = base.where("term2 is null").select("item_id", "doc_id", "shift", "p1")
+    base = lists.select("item", "doc_id", "p1", "p2", "term2", moved.alias("shift"))
+    alone = base.where("term2 is null").select("item", "doc_id", "shift", "p1")
     pair = base.where("term2 is not null").join(index.withColumnRenamed("term", "term2"), ["term2", "doc_id"])
     near = F.exists("positions", lambda x: F.abs(x - F.col("shift") - F.col("p2")) <= slop)
-    return pair.where(near).select("item_id", "doc_id", "shift", "p1").union(alone)
+    return pair.where(near).select("item", "doc_id", "shift", "p1").union(alone)
 
 
 def _index(docs: DataFrame, bench: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,24 +182,24 @@ def hits(text: bytes | None, aligned: list[dict], width: int) -> tuple[int, int,
             if run >= size:
                 hit[p + shift - size + 1 : p + shift + 1] = True
                 items.add(a["item_id"])
-    return len(found), int(hit.sum()), sorted(x for x in items if x is not None)
+    return len(found), int(hit.sum()), sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def _aligned(docs: DataFrame, bench: DataFrame, width: int) -> DataFrame:
     """``__key, __aligned``: for every document with alignments, each with its item's words."""
     items, marks, index = _index(docs, bench, width)
-    at = alignments(index, marks).select("item_id", "doc_id", "shift").distinct()
-    own = items.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("own"))
-    each = at.join(bounded_broadcast(own), "item_id").groupBy(F.col("doc_id").alias("__key"))
+    at = alignments(index, marks).select("item", "doc_id", "shift").distinct()
+    own = items.groupBy("item", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("own"))
+    each = at.join(bounded_broadcast(own), "item").groupBy(F.col("doc_id").alias("__key"))
     return materialize(each.agg(F.collect_list(F.struct("item_id", "shift", "own")).alias("__aligned")), "alignments")
 
 
 def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` of every row of ``docs``: hit words lie in an occurrence of a window of ``width``
     consecutive words of a test item, or of a whole shorter item; ``items`` are the ids, as sorted strings, of those
-    with occurring windows.
+    with occurring windows, with one null at the end where those without an id are among them.
 
-    Null and empty texts have no words; items without words match nothing; repeated rows are each matched by their
+    Repeated items count once, and texts that share an item_id are matched each. Null and empty texts have no words; items without words match nothing; repeated rows are each matched by their
     own words, also where they share a doc_id or have none. Empty tables give empty results or no hits; other
     columns are not read.
     """
@@ -207,11 +211,12 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
 
 def near_matches(docs: DataFrame, bench: DataFrame, width: int = 10, slop: int = 3, share: float = 0.5) -> DataFrame:
     """``item_id, doc_id, share``: proximity matches, where at least ``share`` of an item's windows have their two rarest
-    terms in the document within ``slop`` words of their distance in the item."""
-    _, marks, index = _index(docs, bench, width)
-    total = marks.groupBy("item_id").agg(F.count_distinct("p1").alias("marks"))
-    found = alignments(index, marks, slop).groupBy("item_id", "doc_id").agg(F.count_distinct("p1").alias("found"))
-    rated = found.join(bounded_broadcast(total), "item_id").withColumn("share", F.col("found") / F.col("marks"))
+    terms in the document within ``slop`` words of their distance in the item; texts that share an item_id are rated each."""
+    items, marks, index = _index(docs, bench, width)
+    total = marks.groupBy("item").agg(F.count_distinct("p1").alias("marks"))
+    found = alignments(index, marks, slop).groupBy("item", "doc_id").agg(F.count_distinct("p1").alias("found"))
+    total = total.join(items.select("item", "item_id").distinct(), "item")
+    rated = found.join(bounded_broadcast(total), "item").withColumn("share", F.col("found") / F.col("marks"))
     return rated.where(F.col("share") >= share).select("item_id", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "share")
 
 

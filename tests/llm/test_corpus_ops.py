@@ -233,6 +233,19 @@ def test_decontamination_against_brute_force(spark):
     assert {r["n_hit"] for r in decontaminate.matches(docs(spark, rows), none).collect()} == {0}
 
 
+def test_decontamination_of_repeated_shared_and_null_items(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(14)) for c in "pqrstu"]
+    items = [("1", texts[0]), ("1", texts[0]), ("2", texts[1]), ("2", texts[2]), (None, texts[3]), (None, texts[4]), ("3", texts[0]), ("5", None)]
+    rows = [(i, "a b " + t[4:] + " c d", "a") for i, t in enumerate(texts)] + [(10, " ".join(texts), "a"), (11, "a b c", "a")]
+    bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id string, text string, doc_id long")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.matches(docs(spark, rows), bench).collect()}
+    want = {i: brute_hits(t, items) for i, t, _ in rows}
+    assert got == {i: (n, h, [None if x == "None" else x for x in f]) for i, (n, h, f) in want.items()}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()} == {5, 11}
+    near = decontaminate.near_matches(docs(spark, rows), bench).where("doc_id = 10").collect()
+    assert sorted((r["item_id"] or "", r["share"]) for r in near) == [("", 1.0)] * 2 + [("1", 1.0)] + [("2", 1.0)] * 2 + [("3", 1.0)]
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
