@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_broadcast, groups, materialize
@@ -30,7 +31,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LEFT_OUT = frozenset(["nav", "aside", "footer", "form", "menu", "dialog", "button", "head"])
 OUTSIDE = LEFT_OUT | {"header"}
 WORDS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"])
-#: Pages that must agree on a text before it counts as the template's; partial wrappers of a host merged by one task.
+#: Distinct pages that must agree on a text before it counts as the template's; partial wrappers of a host merged by one task.
 AGREE, FAN_IN = 3, 64
 
 
@@ -87,19 +88,37 @@ def parse(page: str) -> Node:
     return root
 
 
-def shape(node: Node) -> dict:
-    """A page's own wrapper: key k, pages n, slot characters t, constant text c, repeated r, children ch."""
-    found = {"k": node.key, "n": 1, "t": 0, "c": "", "r": 0, "ch": []}
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def identity(page: Node) -> int:
+    """What copies of a page have in common: a digest of its texts outside menus, adverts and the like."""
+
+    def texts(node: Node, test) -> Iterator[str]:
+        for c in node.children:
+            if isinstance(c, str):
+                yield from c.split()
+            elif c.tag not in LEFT_OUT and test(c):
+                yield from texts(c, test)
+
+    return digest(" ".join(texts(page, lambda c: not c.words & WORDS)) or " ".join(texts(page, lambda c: True)))
+
+
+def shape(node: Node, page: int = 0) -> dict:
+    """A page's own wrapper: key k, pages n, slot characters t, length and digest of constant text c, up to AGREE
+    identities of pages with a text d, repeated r, children ch."""
+    found = {"k": node.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
     for child in node.children:
         if isinstance(child, str):
             text = " ".join(child.split())
             if not text:
                 continue
-            one = {"k": "#", "n": 1, "t": len(text), "c": text[:200], "r": 0, "ch": []}
+            one = {"k": "#", "n": 1, "t": len(text), "c": f"{len(text)}:{digest(text):x}", "d": [page], "r": 0, "ch": []}
         elif child.tag in LEFT_OUT or child.words & WORDS:
-            one = {"k": child.key, "n": 1, "t": 0, "c": "", "r": 0, "ch": []}
+            one = {"k": child.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
         else:
-            one = shape(child)
+            one = shape(child, page)
         last = found["ch"][-1] if found["ch"] else None
         if last and last["k"] == one["k"]:
             found["ch"][-1] = merged(last, one, pages=1) | {"r": 1}
@@ -141,7 +160,8 @@ def merged(a: dict, b: dict, pages: int = 0) -> dict:
             children[-1] = merged(last, one, max(last["n"], one["n"])) | {"r": 1}
         else:
             children.append(one)
-    return {"k": a["k"], "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "r": a["r"] | b["r"], "ch": children}
+    seen = sorted({*a["d"], *b["d"]})[:AGREE]
+    return {"k": a["k"], "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "d": seen, "r": a["r"] | b["r"], "ch": children}
 
 
 def main_path(wrapper: dict) -> list[str]:
@@ -149,7 +169,7 @@ def main_path(wrapper: dict) -> list[str]:
 
     def slots(w: dict) -> int:  # text that isn't the template's
         if w["k"] == "#":
-            return 0 if w["c"] and w["n"] >= AGREE else w["t"]
+            return 0 if w["c"] and len(w["d"]) >= AGREE else w["t"]
         return sum(slots(c) for c in w["ch"]) or 0
 
     def tagged(w: dict, test, path: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -169,9 +189,9 @@ def main_path(wrapper: dict) -> list[str]:
     path, here = [], wrapper
     while True:  # down to the last element that holds most of the slot text
         total = slots(here)
-        inner = [(slots(c), c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS and names(c["k"])[0] != "header"]
+        inner = [(slots(c), c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS - OUTSIDE]
         size, best = max(inner, key=lambda x: x[0], default=(0, None))
-        if not best or size < 0.6 * total or best["r"] or names(best["k"])[0] in ("p", "li", "td", "h1", "h2", "h3"):
+        if not total or not best or size < 0.6 * total or best["r"] or names(best["k"])[0] in ("p", "li", "td", "h1", "h2", "h3"):
             return path
         path.append(best["k"])
         here = best
@@ -225,7 +245,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         found: dict[str, dict] = {}
         for b in batches:
             for h, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                one = shape(parse(page.as_py() or ""))
+                tree = parse(page.as_py() or "")
+                one = shape(tree, identity(tree))
                 found[h] = merged(found[h], one) if h in found else one
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
 

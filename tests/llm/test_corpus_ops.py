@@ -332,6 +332,26 @@ def test_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def main_texts(spark, pages_of):
+    """Texts by page number of hosts' pages."""
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page) for h, found in enumerate(pages_of) for i, page in enumerate(found)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    return [[got[100 * h + i] for i in range(len(found))] for h, found in enumerate(pages_of)]
+
+
+def test_pages_that_are_copies_or_open_alike(spark):
+    menu = "<nav><ul><li>Home<li>News</ul></nav>"
+    page = lambda text: f"<html><body>{menu}<div id='x'><p>{text}</p></div></body></html>"
+    alike = ["same opening words " * 20 + f"and then page {i}" for i in range(5)]
+    copies, opened, adverts = main_texts(spark, [
+        [page("A whole article, copied.")] * 4, [page(t) for t in alike],
+        [page("A whole article, copied.").replace("<div", f"<div class='ad'>Buy {i} now</div><div") for i in range(4)],
+    ])
+    assert copies == adverts == ["A whole article, copied."] * 4
+    assert opened == alike
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(10)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
