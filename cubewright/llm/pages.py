@@ -5,7 +5,8 @@ after another: equal elements match, an element that only one side has becomes o
 slot, and repeats stay repeated. The result, a wrapper, tells the template (texts that never change, optional and
 repeated groups) from the slots, and where most slot text lies: that element is the host's main container, and a
 page's text is read from there. Menus, headers, footers, sidebars, notices, adverts, forms and comments inside it
-are left out by their element or by the words in their class, id or role.
+are left out by their element, or by a class, id or role that names nothing else where they hold less than half of
+the container's text. Names never hide an element that has the container in it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -31,24 +33,40 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LEFT_OUT = frozenset(["nav", "aside", "footer", "form", "menu", "dialog", "button", "head"])
 OUTSIDE = LEFT_OUT | {"header"}
 WORDS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"])
+#: Words that only say how an element named by WORDS is laid out; elements that their names never leave out.
+LAYOUT = frozenset(["area", "bar", "block", "body", "box", "button", "buttons", "container", "inner", "item", "items", "link", "links", "list", "outer", "section", "slot", "top", "bottom", "unit", "wrap", "wrapper", "post", "posts"])
+KEPT = frozenset(["html", "body", "main", "article"])
+#: Share of an element's slot text below which its children without (also with) names of WORDS count for nothing.
+FEW = {1: 0.2, 2: 0.1}
 #: Distinct pages that must agree on a text before it counts as the template's; partial wrappers of a host merged by one task.
 AGREE, FAN_IN = 3, 64
 
 
 class Node:
-    __slots__ = ("children", "key", "words")
+    __slots__ = ("children", "key", "named")
 
-    def __init__(self, key: str, words: frozenset):
-        self.key, self.words, self.children = key, words, []
+    def __init__(self, key: str, named: int = 0):
+        self.key, self.named, self.children = key, named, []
 
     @property
     def tag(self) -> str:
         return self.key.split(".", 1)[0]
 
 
+@lru_cache(maxsize=100_000)
+def names_of(key: str) -> int:
+    """2 where a class, id or role says nothing but that it is a menu, advert and so on, 1 where only a part of one says so, else 0."""
+    parts = [{w for w in re.split(r"[^a-z]+", n) if w} for v in key.lower().split(".")[1:] for n in v.split()]
+    return max((2 if p <= WORDS | LAYOUT else 1 for p in parts if p & WORDS), default=0)
+
+
+def named(key: str, kept: frozenset = KEPT) -> int:
+    return 0 if key.split(".", 1)[0] in kept else names_of(key)
+
+
 def parse(page: str) -> Node:
     """The page's tree; children are nodes and decoded texts. Unclosed and stray tags are tolerated."""
-    root = Node("#page", frozenset())
+    root = Node("#page")
     stack = [root]
     at = 0
     while m := TOKEN.search(page, at):
@@ -79,7 +97,8 @@ def parse(page: str) -> Node:
                 if stack[i].tag in BLOCKS:
                     break
         names = [v.strip("\"'") for _, v in NAMED.findall(m.group(3) or m.group(6) or "")]
-        node = Node(".".join([tag, *sorted(names)]), frozenset(w for v in names for w in re.split(r"[^a-z]+", v.lower())))
+        key = ".".join([tag, *sorted(names)])
+        node = Node(key, named(key))
         stack[-1].children.append(node)
         if tag not in VOID and not (m.group(3) or m.group(6) or "").endswith("/"):
             stack.append(node)
@@ -102,7 +121,7 @@ def identity(page: Node) -> int:
             elif c.tag not in LEFT_OUT and test(c):
                 yield from texts(c, test)
 
-    return digest(" ".join(texts(page, lambda c: not c.words & WORDS)) or " ".join(texts(page, lambda c: True)))
+    return digest(" ".join(texts(page, lambda c: c.named < 2)) or " ".join(texts(page, lambda c: True)))
 
 
 def shape(node: Node, page: int = 0) -> dict:
@@ -115,7 +134,7 @@ def shape(node: Node, page: int = 0) -> dict:
             if not text:
                 continue
             one = {"k": "#", "n": 1, "t": len(text), "c": f"{len(text)}:{digest(text):x}", "d": [page], "r": 0, "ch": []}
-        elif child.tag in LEFT_OUT or child.words & WORDS:
+        elif child.tag in LEFT_OUT:
             one = {"k": child.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
         else:
             one = shape(child, page)
@@ -170,26 +189,36 @@ def main_path(wrapper: dict) -> list[str]:
     def slots(w: dict) -> int:  # text that isn't the template's
         if w["k"] == "#":
             return 0 if w["c"] and len(w["d"]) >= AGREE else w["t"]
-        return sum(slots(c) for c in w["ch"]) or 0
+        sizes = [0, 0, 0]
+        for c in w["ch"]:
+            sizes[named(c["k"])] += slots(c)
+        return sum(sizes[: 1 + least(sizes)])
+
+    def least(sizes: list[int]) -> int:  # how plainly a child may be named by WORDS to count beside the others
+        if sizes[0] < FEW[1] * (sizes[0] + sizes[1]):
+            return 1 if sizes[0] + sizes[1] >= FEW[2] * sum(sizes) else 2
+        return 0 if sizes[0] >= FEW[2] * sum(sizes) else 2
 
-    def tagged(w: dict, test, path: list[str]) -> Iterator[tuple[int, list[str]]]:
+    def tagged(w: dict, test, path: list[str]) -> Iterator[tuple[int, int, list[str]]]:
         for c in w["ch"]:
             if c["k"] != "#":
                 here = [*path, c["k"]]
                 if test(c["k"]):
-                    yield c["t"], here
+                    if c["t"]:
+                        yield -max(named(k, KEPT - {"article"}) for k in here), c["t"], here
                 else:
                     yield from tagged(c, test, here)
 
     names = lambda k: k.split(".")
     for test in (lambda k: names(k)[0] == "article", lambda k: names(k)[0] == "main" or "main" in names(k)[1:]):
-        found = max(tagged(wrapper, test, []), key=lambda x: x[0], default=(0, []))
-        if found[0]:
-            return found[1]
+        found = max(tagged(wrapper, test, []), key=lambda x: x[:2], default=None)
+        if found:
+            return found[2]
     path, here = [], wrapper
     while True:  # down to the last element that holds most of the slot text
         total = slots(here)
-        inner = [(slots(c), c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS - OUTSIDE]
+        sizes = [sum(slots(c) for c in here["ch"] if named(c["k"]) == k) for k in range(3)]
+        inner = [(slots(c) if named(c["k"]) <= least(sizes) else 0, c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS - OUTSIDE]
         size, best = max(inner, key=lambda x: x[0], default=(0, None))
         if not total or not best or size < 0.6 * total or best["r"] or names(best["k"])[0] in ("p", "li", "td", "h1", "h2", "h3"):
             return path
@@ -201,17 +230,22 @@ def text_of(page: Node, path: list[str]) -> str | None:
     """Blocks of the elements at ``path``, one a line; None where the page has no such element."""
     found = [page]
     for key in path:
-        found = [c for n in found for c in n.children if isinstance(c, Node) and c.key == key and not c.words & WORDS]
+        found = [c for n in found for c in n.children if isinstance(c, Node) and c.key == key]
     if not found:
         return None
     left_out = LEFT_OUT if path and path[-1].split(".")[0] in ("article", "main") else OUTSIDE
     blocks: list[list[str]] = [[]]
 
+    def size(node: Node) -> int:
+        return sum(len(c.strip()) if isinstance(c, str) else size(c) for c in node.children if isinstance(c, str) or c.tag not in left_out)
+
+    whole = sum(map(size, found))
+
     def walk(node: Node) -> None:
         for c in node.children:
             if isinstance(c, str):
                 blocks[-1].append(c)
-            elif c.tag in left_out or c.words & WORDS:
+            elif c.tag in left_out or c.named > 1 and 2 * size(c) < whole:
                 blocks[-1].append(" ")
             elif c.tag == "br":
                 blocks[-1].append(" ")

@@ -352,6 +352,20 @@ def test_pages_that_are_copies_or_open_alike(spark):
     assert opened == alike
 
 
+def test_pages_whose_containers_are_named_like_menus(spark):
+    text = lambda i: f"Some article text of page {i}, number {i * 7}, which is long enough"
+    inner = lambda i: f"<h1>Title {i}</h1><p>{text(i)}</p><p class='notice-of-appeal'>Appeal {i}</p><div class='search-results'>Found {i}</div><section class='related-work'><p>Prior work {i}</p></section><div class='related-posts'>Old {i}</div><div class='ad'>Buy {i}</div>"
+    want = lambda i: f"Title {i}\n{text(i)}\nAppeal {i}\nFound {i}\nPrior work {i}"
+    around = [
+        "<body class='right-sidebar'><article>%s</article>", "<body class='no-sidebar'><div id='x'>%s</div><footer>f</footer>",
+        "<body><div id='content-sidebar-wrap'><div id='x'>%s</div><div class='sidebar'>Menu</div></div><p>End</p>",
+        "<body><main class='has-share'>%s</main><div class='sidebar'>Menu</div>", "<body><div class='sidebar'><article>%s</article></div>",
+        "<body><article>%s</article><article class='comment'>" + "A long comment. " * 20 + "</article>",
+    ]
+    assert main_texts(spark, [[a.replace("%s", inner(i)) for i in range(4)] for a in around]) == [[want(i) for i in range(4)]] * len(around)
+    assert main_texts(spark, [[a.replace("%s", inner(5))] for a in around]) == [[want(5)]] * len(around)
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(10)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
