@@ -4,7 +4,7 @@ A page is a tree of elements; runs of equal siblings fold into a repeated group.
 after another: equal elements match, an element that only one side has becomes optional, texts that differ become a
 slot, and repeats stay repeated. The result, a wrapper, tells the template (texts that never change, optional and
 repeated groups) from the slots, and where most slot text lies: that element is the host's main container, and a
-page's text is read from there. Menus, headers, footers, sidebars, notices, adverts, forms and comments inside it
+page's text is read from there, without the blocks that hold only the template's texts. Menus, headers, footers, sidebars, notices, adverts, forms and comments inside it
 are left out by their element, or by a class, id or role that names nothing else where they hold less than half of
 the container's text. Names never hide an element that has the container in it.
 """
@@ -111,6 +111,10 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def named_text(text: str) -> str:
+    return f"{len(text)}:{digest(text):x}"
+
+
 def identity(page: Node) -> int:
     """What copies of a page have in common: a digest of its texts outside menus, adverts and the like."""
 
@@ -133,7 +137,7 @@ def shape(node: Node, page: int = 0) -> dict:
             text = " ".join(child.split())
             if not text:
                 continue
-            one = {"k": "#", "n": 1, "t": len(text), "c": f"{len(text)}:{digest(text):x}", "d": [page], "r": 0, "ch": []}
+            one = {"k": "#", "n": 1, "t": len(text), "c": named_text(text), "d": [page], "r": 0, "ch": []}
         elif child.tag in LEFT_OUT:
             one = {"k": child.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
         else:
@@ -183,12 +187,37 @@ def merged(a: dict, b: dict, pages: int = 0) -> dict:
     return {"k": a["k"], "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "d": seen, "r": a["r"] | b["r"], "ch": children}
 
 
+def constant(w: dict) -> bool:
+    """Whether a text is the template's: the same on distinct pages of the host."""
+    return bool(w["c"]) and len(w["d"]) >= AGREE
+
+
+def place(path: tuple[str, ...], text: str) -> int:
+    """A digest of a text's length and digest with the keys from the page's root to it."""
+    return digest("\0".join((*path, text)))
+
+
+def template(wrapper: dict, path: list[str]) -> list[int]:
+    """Places of the template's texts within the host's main container."""
+
+    def texts(w: dict, at: tuple[str, ...]) -> Iterator[int]:
+        for c in w["ch"]:
+            here = (*at, c["k"])
+            if c["k"] == "#":
+                if constant(c):
+                    yield place(at, c["c"])
+            elif here[: len(path)] == tuple(path[: len(here)]):
+                yield from texts(c, here)
+
+    return sorted(set(texts(wrapper, ())))
+
+
 def main_path(wrapper: dict) -> list[str]:
     """Keys from the page's root to the host's main container."""
 
     def slots(w: dict) -> int:  # text that isn't the template's
         if w["k"] == "#":
-            return 0 if w["c"] and len(w["d"]) >= AGREE else w["t"]
+            return 0 if constant(w) else w["t"]
         sizes = [0, 0, 0]
         for c in w["ch"]:
             sizes[named(c["k"])] += slots(c)
@@ -226,8 +255,11 @@ def main_path(wrapper: dict) -> list[str]:
         here = best
 
 
-def text_of(page: Node, path: list[str]) -> str | None:
-    """Blocks of the elements at ``path``, one a line; None where the page has no such element."""
+def text_of(page: Node, path: list[str], constants: frozenset = frozenset()) -> str | None:
+    """Blocks of the elements at ``path``, one a line; None where the page has no such element.
+
+    Blocks of which all texts are among the template's ``constants`` are left out, unless that leaves none.
+    """
     found = [page]
     for key in path:
         found = [c for n in found for c in n.children if isinstance(c, Node) and c.key == key]
@@ -241,24 +273,30 @@ def text_of(page: Node, path: list[str]) -> str | None:
 
     whole = sum(map(size, found))
 
-    def walk(node: Node) -> None:
+    varied: set[int] = set()  # blocks with a text of the page's own
+
+    def walk(node: Node, at: tuple[str, ...]) -> None:
         for c in node.children:
             if isinstance(c, str):
                 blocks[-1].append(c)
+                if constants and len(blocks) not in varied and (text := " ".join(c.split())) and place(at, named_text(text)) not in constants:
+                    varied.add(len(blocks))
             elif c.tag in left_out or c.named > 1 and 2 * size(c) < whole:
                 blocks[-1].append(" ")
             elif c.tag == "br":
                 blocks[-1].append(" ")
             elif c.tag in BLOCKS:
                 blocks.append([])
-                walk(c)
+                walk(c, (*at, c.key))
                 blocks.append([])
             else:
-                walk(c)
+                walk(c, (*at, c.key))
 
     for n in found:
         blocks.append([])
-        walk(n)
+        walk(n, tuple(path))
+    if varied:
+        blocks = [b for i, b in enumerate(blocks, 1) if i in varied]
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
@@ -269,7 +307,7 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, path``: the main container of every host, from the wrapper over all of its pages.
+    """``host, path, template``: the main container of every host and the template's texts in it, from the wrapper over all of its pages.
 
     Each task aligns its own pages of a host first; partial wrappers are then merged FAN_IN at a time, so that a
     host with most of the pages never comes to one task whole.
@@ -294,7 +332,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([main_path(json.loads(w)) for w in b.column("wrapper").to_pylist()], pa.list_(pa.string()))], ["host", "path"])
+            whole = [json.loads(w) for w in b.column("wrapper").to_pylist()]
+            found = [main_path(w) for w in whole]
+            fixed = [template(w, p) for w, p in zip(whole, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(found, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.int64()))], ["host", "path", "template"])
 
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(local, "host string, wrapper string"), "wrappers")
@@ -305,7 +346,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         salted = salted.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "wrapper")
         rows = materialize(salted.select("host", "salt", "wrapper").mapInArrow(merge, "host string, wrapper string"), "wrappers")
         most = rows.groupBy("host").count().agg(F.max("count")).first()[0]
-    return rows.mapInArrow(paths, "host string, path array<string>")
+    return rows.mapInArrow(paths, "host string, path array<string>, template array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -320,12 +361,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for page, path in zip(b.column("html"), b.column("path").to_pylist(), strict=True):
+            for page, path, fixed in zip(b.column("html"), b.column("path").to_pylist(), b.column("template").to_pylist(), strict=True):
                 tree = parse(page.as_py() or "")
-                text = text_of(tree, path) if path else None
+                text = text_of(tree, path, frozenset(fixed)) if path else None
                 found.append(text or text_of(tree, main_path(shape(tree))) or "")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     paths = bounded_broadcast(materialize(wrappers(pages), "main-paths").withColumnRenamed("host", "__host"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(paths, host(F.col("url")) == F.col("__host"), "left")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "path", "template").mapInArrow(run, "page_id long, url string, text string")

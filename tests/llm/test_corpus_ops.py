@@ -366,6 +366,14 @@ def test_pages_whose_containers_are_named_like_menus(spark):
     assert main_texts(spark, [[a.replace("%s", inner(5))] for a in around]) == [[want(5)]] * len(around)
 
 
+def test_pages_with_template_texts_in_the_article(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p class='lead'>Follow <b>us</b></p><p><b>Note</b> Own text of page {i}</p><p>More {i}</p><div class='x'>All rights reserved</div></article>"
+    whole = lambda i: f"Title {i}\nFollow us\nNote Own text of page {i}\nMore {i}\nAll rights reserved"
+    many, two, copies = main_texts(spark, [[page(i) for i in range(4)], [page(i) for i in range(2)], [page(1)] * 4])
+    assert many == [f"Title {i}\nNote Own text of page {i}\nMore {i}" for i in range(4)]
+    assert two == [whole(i) for i in range(2)] and copies == [whole(1)] * 4
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(10)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
