@@ -103,19 +103,23 @@ def brute_lines(rows, similarity=0.8):
     places = []
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            places.append(((i, n), frozenset(line.encode().translate(lines.LOWER).split())))
+            places.append((((i is not None, i or 0), n), frozenset(line.encode().translate(lines.LOWER).split())))
     places.sort(key=lambda x: x[0])
     sets = {s for _, s in places if s}
     near = {s: [o for o in sets if o != s and len(s & o) / len(s | o) >= similarity] for s in sets}
     first = {}
     for p, s in places:
         first.setdefault(s, p)
-    return {p: (not s or p == min([first[s], *[first[o] for o in near[s]]]), len(near[s]) if s else 0) for p, s in places}
+    plain = lambda p: (p[0][1] if p[0][0] else None, p[1])
+    found = {}
+    for p, s in places:
+        others = [first[o] for o in near[s]] if s else []
+        row = (not s or p == min([first[s], *others]), len(others), plain(first[s]) if s else (None, None), plain(min(others)) if others else (None, None))
+        found.setdefault(plain(p), set()).add(row)
+    return found
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_lines_against_brute_force(spark, block):
-    rng = np.random.default_rng(4)
+def line_rows(rng):
     words = [f"w{i}" for i in range(60)]
     base = [list(rng.choice(words, 12, replace=False)) for _ in range(15)]
     rows = []
@@ -127,9 +131,19 @@ def test_lines_against_brute_force(spark, block):
                 line[rng.integers(12)] = str(rng.choice(words))
             own.append(" ".join(line))
         rows.append((i, "\n".join(own)))
-    rows += [(100, None), (101, ""), (102, "a b c d\n\na b c d e\nA  B c d"), (103, " ")]
-    got = lines.line_matches(docs(spark, [(i, t, "s") for i, t in rows]), block=block).collect()
-    assert {(r["doc_id"], r["line"]): (r["kept"], r["links"]) for r in got} == brute_lines(rows)
+    return [*rows, (100, None), (101, ""), (102, "a b c d\n\na b c d e\nA  B c d"), (103, " ")]
+
+
+@pytest.mark.parametrize(("block", "most"), [(512, 8192), (2, 3)])
+def test_lines_against_brute_force(spark, block, most):
+    rows = line_rows(np.random.default_rng(4))
+    long = " ".join(f"v{i % 20_000}" for i in range(60_000))  # one line of over 256 KB, and a near copy
+    rows += [(None, "p q r s t\nu"), (7, "a repeated id\np q r s t"), (7, "a repeated id\nx"), (-5, long + " end"), (104, "other\n" + long), (105, "\n".join(f"l{i % 9} m n o p" for i in range(9_000)))]
+    got = lines.line_matches(docs(spark, [(i, t, "s") for i, t in rows]), block=block, most=most).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r["doc_id"], r["line"]), set()).add((r["kept"], r["links"], (r["class_doc"], r["class_line"]), (r["near_doc"], r["near_line"])))
+    assert found == brute_lines(rows) and len(got) == sum((t or "").count("\n") + 1 for _, t in rows)
 
 
 def test_lines_empty_and_rewritten(spark):
