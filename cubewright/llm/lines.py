@@ -27,6 +27,8 @@ BUCKET_BITS, BLOCK_BITS = 24, 16
 BLOCK = 512
 #: Lines with a word from which its postings are dealt out by class instead of by word.
 FREQUENT = 8_192
+#: Words from which a line has a signature of 256 bits instead of 64, which its many words would fill.
+WIDE = 100
 #: Postings that one task sorts and compares at a time, and those a task holds before it sends them.
 BUCKET_POSTINGS, HELD_POSTINGS = 250_000, 150_000
 #: Bits of the filter that tells which classes' words are wanted again.
@@ -196,22 +198,40 @@ def _class(k1: np.ndarray) -> np.ndarray:
     return k1 & ((1 << CLASS_BITS) - 1)
 
 
-def _pack(word: np.ndarray, k: np.ndarray, marks: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray) -> bytes:
-    """Word, class, parity signature, line's size, place and the word before: columns one after another, narrow where all sizes are."""
+def _signatures(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each line's words in 64 bits; and, for lines of WIDE words or more, the second to fourth quarter of 256
+    bits that fold to those 64, else zeros."""
+    bit = np.uint64(1) << (words >> np.uint64(8) & np.uint64(63))
+    marks, quarters = np.bitwise_xor.reduceat(bit, starts), np.zeros((len(n), 3), dtype=np.uint64)
+    wide = np.flatnonzero(n >= WIDE)
+    if len(wide):
+        of = np.repeat(n >= WIDE, n)
+        bit, quarter = bit[of], words[of] >> np.uint64(14) & np.uint64(3)
+        at = np.cumsum(n[wide]) - n[wide]
+        for q in (1, 2, 3):
+            quarters[wide, q - 1] = np.bitwise_xor.reduceat(np.where(quarter == q, bit, np.uint64(0)), at)
+    return marks, quarters
+
+
+def _pack(word: np.ndarray, k: np.ndarray, marks: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray, quarters: np.ndarray) -> bytes:
+    """Word, class, signature, line's size, place and the word before: columns one after another, narrow where all sizes
+    are, and at the end the other quarters of wide signatures."""
     size = "<u2" if n.max() < 1 << 16 else "<u4"
-    columns = [(word & np.uint64(0xFFFFFFFF), "<u4"), (word >> np.uint64(32), "<u2"), (k & 0xFFFFFFFF, "<u4"), (k >> 32, "<u2"), (marks, "<u8"), (n, size), (place, size), (before, "<u4")]
-    return b"".join(c.astype(t).tobytes() for c, t in columns)
+    columns = [(word & np.uint64(0xFFFFFFFF), "<u4"), (word >> np.uint64(32), "<u2"), (k & 0xFFFFFFFF, "<u4"), (k >> 32, "<u2"), (marks, "<u8"), (n, size), (place, size), (before, "<u4"), (quarters[n >= WIDE], "<u8")]
+    return bytes([int(n.max() >= 1 << 16)]) + b"".join(c.astype(t).tobytes() for c, t in columns)
 
 
 def _unpack(rows: int, data: bytes) -> tuple[np.ndarray, ...]:
-    size = "<u2" if len(data) == rows * 28 else "<u4"
-    found, at = [], 0
+    size = "<u4" if data[0] else "<u2"
+    found, at = [], 1
     for kind in ("<u4", "<u2", "<u4", "<u2", "<u8", size, size, "<u4"):
         found.append(np.frombuffer(data, dtype=kind, count=rows, offset=at))
         at += found[-1].nbytes
     low, high, k_low, k_high, marks, n, place, before = found
+    quarters = np.zeros((rows, 3), dtype=np.uint64)
+    quarters[n >= WIDE] = np.frombuffer(data, dtype="<u8", offset=at).reshape(-1, 3)
     word = low.astype(np.int64) | high.astype(np.int64) << 32
-    return word, k_low.astype(np.int64) | k_high.astype(np.int64) << 32, marks, n.astype(np.int64), place.astype(np.int64), before
+    return word, k_low.astype(np.int64) | k_high.astype(np.int64) << 32, marks, n.astype(np.int64), place.astype(np.int64), before, quarters
 
 
 def _postings(rarity, similarity: float, buckets: int, frequent: int):
@@ -223,13 +243,13 @@ def _postings(rarity, similarity: float, buckets: int, frequent: int):
         held: list[tuple] = []
 
         def sent() -> pa.RecordBatch:
-            word, k, marks, n, place, before, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            word, k, marks, n, place, before, quarters, count = (np.concatenate(c) for c in zip(*held, strict=True))
             by_word = (word >> np.uint64(WORD_BITS - BUCKET_BITS)).astype(np.int64) * buckets >> BUCKET_BITS
             bucket = np.where(count >= _byte(frequent), buckets + (k >> 16) % buckets, by_word)
             order = np.lexsort((word, bucket))
             cut = np.append(_starts(bucket[order]), len(order)).tolist()
             rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            data = [_pack(*(c[r] for c in (word, k, marks, n, place, before))) for r in rows]
+            data = [_pack(*(c[r] for c in (word, k, marks, n, place, before, quarters))) for r in rows]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([int(bucket[r[0]]) for r in rows], pa.int32()), pa.array([len(r) for r in rows], pa.int32()), pa.array(data, pa.binary())], ["bucket", "rows", "data"])
 
@@ -249,13 +269,13 @@ def _postings(rarity, similarity: float, buckets: int, frequent: int):
                         done.add(key)
                 if len(done) > 250_000:
                     done.clear()
-                marks = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(8) & np.uint64(63)), starts)
+                marks, quarters = _signatures(words, starts, n)
                 place = np.arange(len(words)) - np.repeat(starts, n)
                 prefix = np.where(new, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
                 at = np.flatnonzero((place < np.repeat(prefix, n)) & (count > 1))  # a word on one line has no partner
                 row = np.repeat(np.arange(len(n)), n)[at]
                 before = np.where(place[at] > 0, words[at - 1] & np.uint64(0xFFFFFFFF), np.uint64(0))
-                held.append((words[at], _class(k1)[row], marks[row], n[row], place[at], before, count[at]))
+                held.append((words[at], _class(k1)[row], marks[row], n[row], place[at], before, quarters[row], count[at]))
                 holding += len(at)
                 if holding > HELD_POSTINGS:
                     yield sent()
@@ -285,11 +305,11 @@ def _filtered(similarity: float, buckets: int):
     def passed(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
         rows = tuple(np.concatenate(c) for c in zip(*[_unpack(*x) for x in blobs], strict=True))
         order = np.lexsort((rows[1], rows[3], rows[0]))
-        word, k, marks, n, place, before = (c[order] for c in rows)
+        word, k, marks, n, place, before, quarters = (c[order] for c in rows)
         first = np.concatenate(([True], (word[1:] != word[:-1]) | (k[1:] != k[:-1])))  # a class may be posted by several tasks
-        return tuple(c[first] for c in (word, k, marks, n, place, before))
+        return tuple(c[first] for c in (word, k, marks, n, place, before, quarters))
 
-    def compared(word, k, marks, n, place, before) -> tuple[np.ndarray, ...]:
+    def compared(word, k, marks, n, place, before, quarters) -> tuple[np.ndarray, ...]:
         live = np.zeros(len(word), dtype=bool)
         at = np.arange(len(word))
         for step in range(1, len(word)):
@@ -300,7 +320,14 @@ def _filtered(similarity: float, buckets: int):
             on = at + step
             hit = _alike(similarity, (k[at], marks[at], n[at], place[at]), (k[on], marks[on], n[on], place[on]))
             hit &= (place[at] == 0) | (place[on] == 0) | (before[at] != before[on])
-            live[at[hit]] = live[on[hit]] = True
+            at_, on_ = at[hit], on[hit]
+            both = np.flatnonzero((n[at_] >= WIDE) & (n[on_] >= WIDE))
+            a, b = at_[both], on_[both]
+            other = quarters[a] ^ quarters[b]
+            apart = np.bitwise_count(other).sum(axis=1, dtype=np.int64) + np.bitwise_count(marks[a] ^ marks[b] ^ np.bitwise_xor.reduce(other, axis=1))
+            fine = np.ones(len(at_), dtype=bool)
+            fine[both] = apart <= n[a] + n[b] - 2 * np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
+            live[at_[fine]] = live[on_[fine]] = True
         return tuple(c[live] for c in (word, k, marks, n, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

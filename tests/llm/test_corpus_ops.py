@@ -139,6 +139,8 @@ def test_lines_against_brute_force(spark, block, most):
     rows = line_rows(np.random.default_rng(4))
     long = " ".join(f"v{i % 20_000}" for i in range(60_000))  # one line of over 256 KB, and a near copy
     rows += [(None, "p q r s t\nu"), (7, "a repeated id\np q r s t"), (7, "a repeated id\nx"), (-5, long + " end"), (104, "other\n" + long), (105, "\n".join(f"l{i % 9} m n o p" for i in range(9_000)))]
+    wide = [[f"u{k}-{i}" for i in range(140)] for k in range(3)]  # lines of 100 to 200 words, near each other and not
+    rows += [(200 + i, "\n".join(" ".join([*w[: 140 - 9 * i], *(f"q{i}-{k}-{j}" for j in range(i))]) for k, w in enumerate(wide))) for i in range(5)]
     got = lines.line_matches(docs(spark, [(i, t, "s") for i, t in rows]), block=block, most=most).collect()
     found = {}
     for r in got:
@@ -156,9 +158,9 @@ def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(queries.tokenizer_path())
-    rows = [r for r in MIXED if r[0] is not None] + [(9, "a  b\t c\n\n d <|endoftext|> e ", "a"), (8, "it's 12ab — naïve. Ça,va", "b")]
+    rows = MIXED + [(9, "a  b\t c\n\n d <|endoftext|> e ", "a"), (8, "it's 12ab — naïve. Ça,va", "b"), (10, "First\nSecond, third\nÉté. a-b 7x\n漢字, déjà\n", "b"), (11, "one\ntwo;three\n'quoted' we'll", "b")]
     got = sorted(tokens.write_and_read(docs(spark, rows), queries.tokenizer_path()).collect(), key=lambda r: r["start"])
-    assert [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
+    assert [r["doc_id"] for r in got] == [None, *sorted(r[0] for r in rows if r[0] is not None)]
     want = {}
     for i, t, _ in rows:
         want.setdefault(i, []).append(plain.encode(t or "", add_special_tokens=False).ids + [2])
@@ -167,11 +169,22 @@ def test_tokens_round_trip(spark):
         ids = np.frombuffer(r["ids"], dtype="<u4").tolist()
         assert r["start"] == at and r["n_tokens"] == len(ids) and ids in want[r["doc_id"]]
         at += len(ids)
-    shown = tokens.digest(tokens.write_and_read(docs(spark, [(3, "x", "s")]), queries.tokenizer_path())).first()
+    shown = tokens.write_and_read(docs(spark, [(3, "x", "s")]), queries.tokenizer_path(), tokens.read_digests).first()
     assert shown["ids_crc32"] == zlib.crc32(np.array(want_ids(plain, "x"), dtype="<u4").tobytes())
     assert tokens.write_and_read(docs(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_pieces_are_encoded_as_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path())
+    rng = np.random.default_rng(12)
+    parts = ["word", "Word,", "été", "ünï.", "漢字", "12", "a1", "don't", "x-y", "\n", " ", "\n", " ", "😀", "end!", "'s", "<|endoftext|>", "\t", "É;", "ǅ"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        assert encoder(text).tolist() == want_ids(plain, text), text
+
+
 def want_ids(plain, text):
     return plain.encode(text, add_special_tokens=False).ids + [2]
 
@@ -182,7 +195,7 @@ def test_codec():
         counts = rng.integers(0, 9, 40)
         ranks = rng.integers(0, top + 1, counts.sum())
         control, data = tokens.encode(ranks, counts)
-        assert (tokens.decode(b"".join(control), b"".join(data), counts) == ranks).all()
+        assert (tokens.decode(control, data, counts) == ranks).all()
 
 
 def test_toxicity_learns_gapped_insults(spark):
