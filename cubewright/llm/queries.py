@@ -33,7 +33,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.digest(tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), tokens.read_digests)
 
 
 def train_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
@@ -135,5 +135,22 @@ WITH i AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op8_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT DISTINCT a AS id, a AS reached FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+), c AS (
+  SELECT id, min(reached) AS component_id FROM r GROUP BY id
+)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
 """,
 }

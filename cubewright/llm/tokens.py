@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -69,7 +70,7 @@ class Encoder:
         # each character as the printable ones that stand for its bytes, which is what the tokenizer's model takes
         shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown = {c: shown(chr(c))[0][0] for c in range(0x250)}
-        self.blank = self.shown[32]
+        self.blank, self.line_end = self.shown[32], self._whole("\n")
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
         self.known, self.older = _Pieces(self._piece), {}
 
@@ -81,19 +82,26 @@ class Encoder:
         found = self.older.get(piece)
         if found is not None:
             return found
-        tokenize = self.tokenize
         if piece.isalpha():
-            if piece.isascii():
-                return array(self.code, [t.id for t in tokenize(self.blank + piece)]).tobytes()
-            if max(piece) < "\u0250":
-                return array(self.code, [t.id for t in tokenize(self.blank + piece.translate(self.shown))]).tobytes()
-        elif piece[-1] in self.marks and piece[:-1].isalpha():  # a mark after a word is a word of its own
-            return self.known[piece[:-1]] + self.marks[piece[-1]]
-        text = piece if piece[0] == "\n" else " " + piece
-        if max(piece) < "\u0250":
-            return array(self.code, [t.id for w in self.words(text) for t in tokenize(w.translate(self.shown))]).tobytes()
+            return self._word(self.blank, piece)
+        # a line end, a word and a mark after it are words of their own to the tokenizer
+        first, word, last = (self.line_end, piece[1:], b"") if piece[:1] == "\n" else (b"", piece, b"")
+        if word[-1:] in self.marks:
+            word, last = word[:-1], self.marks[word[-1]]
+        if word.isalpha():
+            return first + self._word("" if first else self.blank, word) + last
+        text = piece if first else " " + piece
+        if text.isascii() or max(text) < "\u0250":
+            return array(self.code, [t.id for w in self.words(text) for t in self.tokenize(w.translate(self.shown))]).tobytes()
         return self._whole(text)
 
+    def _word(self, before: str, word: str) -> bytes:
+        if not word.isascii():
+            if max(word) >= "\u0250":
+                return self._whole((" " if before else "") + word)
+            word = word.translate(self.shown)
+        return array(self.code, [t.id for t in self.tokenize(before + word)]).tobytes()
+
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of the text, the end id included."""
         if not text:
@@ -121,8 +129,8 @@ def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return widths, np.arange(counts.sum()) + np.repeat(skipped, counts)
 
 
-def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control and data bytes of each of the documents whose ranks stand one after another."""
+def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of the documents whose ranks stand one after another."""
     values = ranks.astype("<u4")
     code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     widths, places = _padded(counts)
@@ -133,9 +141,7 @@ def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[byt
         values = values.astype("<u2")
     width = values.dtype.itemsize
     data = values.view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]].tobytes()
-    cut = np.concatenate(([0], np.cumsum(widths))).tolist()
-    ends = np.concatenate(([0], np.cumsum(code.astype(np.int64) + 1)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-    return [control[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return control, data
 
 
 def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -159,42 +165,46 @@ def _bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, ids`` (little-endian, 2 or 4 bytes each by the vocabulary's size) of every row."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` documents and, but for a longer document, ``most`` bytes of text."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text").cast(pa.binary())), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))))
+            yield b.slice(at, stop - at)
+            at = stop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer)
-        for b in slices(batches, 1024):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([encoder(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+def _tokenized(docs: DataFrame, tokenizer: str, bounds: np.ndarray) -> DataFrame:
+    """``bucket, doc_id, ids`` of every row, and each task's count ``n`` of every ``id``, with null ``ids``."""
+    kinds = {"bucket": pa.int32(), "doc_id": pa.int64(), "ids": pa.binary(), "id": pa.int32(), "n": pa.int64()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer)
+        total = np.zeros(encoder.size, dtype=np.int64)
+        made = lambda rows, **c: pa.RecordBatch.from_arrays([pa.array(c[k], t) if k in c else pa.nulls(rows, t) for k, t in kinds.items()], list(kinds))
+        for b in slices(batches):
+            ids = [encoder(t) for t in b.column("text").to_pylist()]
+            total += np.bincount(np.concatenate(ids), minlength=encoder.size)
+            keys = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+            yield made(len(ids), bucket=np.searchsorted(bounds, keys, side="left"), doc_id=b.column("doc_id"), ids=[x.tobytes() for x in ids])
+        seen = np.flatnonzero(total)
+        yield made(len(seen), id=seen, n=total[seen])
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` documents, so that arrays over all of a batch's ids stay small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "bucket int, doc_id long, ids binary, id int, n long")
 
 
-def joined(ids: pa.Array, width: str) -> np.ndarray:
-    """The ids of all documents of a column, one after another."""
-    return np.frombuffer(b"".join(ids.to_pylist()), dtype=width)
+def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``doc_id, ids`` (little-endian, 2 or 4 bytes each by the vocabulary's size) of every row; null texts are empty."""
+    return _tokenized(docs, tokenizer, np.zeros(0, dtype=np.int64)).where("ids is not null").select("doc_id", "ids")
 
 
-def frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray:
+def frequencies(counts: DataFrame, size: int) -> np.ndarray:
     """Ids by falling frequency, ties by id; as long as the vocabulary, which bounds what the driver gets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for b in slices(batches):
-            total += np.bincount(joined(b.column("ids"), width), minlength=size)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(size, dtype=np.int64)
-    for r in rows:
+    for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect():
         count[r["id"]] = r["n"]
     return np.lexsort((np.arange(size), -count)).astype(np.int32)
 
@@ -203,65 +213,52 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the ids of ``docs`` in ascending doc_id order to ``path``, in the format above.
 
     Every text is encoded whole; null texts are empty; each document ends with id 2. Null ids come first; rows that
-    share a doc_id are ordered by their codes. Other columns are not read.
+    share a doc_id are ordered by their ids' bytes. An empty table gives no segments; other columns are not read.
     """
     spark = docs.sparkSession
     encoder = Encoder(tokenizer)
     size, width = encoder.size, encoder.width
-    tokens = materialize(tokenize(docs, tokenizer), "token-ids-unranked")
-    order = frequencies(tokens, size, width)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = materialize(_tokenized(docs, tokenizer, np.array(_bounds(docs, parts), dtype=np.int64)), "token-ids-unranked")
+    order = frequencies(tokens.where("id is not null").select("id", "n"), size)
     spark.createDataFrame([(order.astype("<i4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     shared = spark.sparkContext.broadcast(rank)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_bounds(tokens, parts), dtype=np.int64)
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        for b in slices(batches):
-            ids = b.column("doc_id")
-            keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            counts = pc.binary_length(b.column("ids")).to_numpy() // np.dtype(width).itemsize
-            control, data = encode(ranks[joined(b.column("ids"), width)], counts.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, keys, side="left"), pa.int32()), ids, pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                ["bucket", "doc_id", "n", "control", "data"],
-            )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        bucket, at, size = None, 0, 0
+        bucket, at, size, docs, held = None, 0, 0, [], []
 
         def segment() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([[x[0] for x in held]], pa.list_(pa.int64())), pa.array([[x[1] for x in held]], pa.list_(pa.int64())), pa.array([b"".join(x[2] for x in held)], pa.binary()), pa.array([b"".join(x[3] for x in held)], pa.binary())],
-                ["bucket", "at", "ids", "doc_ids", "counts", "control", "data"],
-            )
+            counts = np.array([len(x) for x in held], dtype=np.int64) // np.dtype(width).itemsize
+            control, data = encode(shared.value[np.frombuffer(b"".join(held), dtype=width)], counts)
+            long = pa.list_(pa.int64())
+            columns = [([bucket], pa.int32()), ([at], pa.int64()), ([size], pa.int64()), ([docs], long), ([counts], long), ([control], pa.binary()), ([data], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["bucket", "at", "ids", "doc_ids", "counts", "control", "data"])
 
         for b in batches:
-            for k, doc, n, control, data in zip(*[b.column(c).to_pylist() for c in ("bucket", "doc_id", "n", "control", "data")], strict=True):
+            for k, doc, ids in zip(b.column("bucket").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 if held and (k != bucket or len(held) >= SEGMENT_DOCS or size >= SEGMENT_IDS):
                     yield segment()
-                    at += size
-                    held, size = [], 0
+                    at, size, docs, held = at + size, 0, [], []
                 if k != bucket:
                     bucket, at = k, 0
-                held.append((doc, n, control, data))
-                size += n
+                docs.append(doc)
+                held.append(ids.as_py())
+                size += len(held[-1]) // np.dtype(width).itemsize
         if held:
             yield segment()
 
-    rows = tokens.mapInArrow(encoded, "bucket int, doc_id long, n long, control binary, data binary")
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "control", "data")
+    rows = tokens.where("ids is not null").select("bucket", "doc_id", "ids")
+    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     rows = rows.mapInArrow(packed, "bucket int, at long, ids long, doc_ids array<long>, counts array<long>, control binary, data binary")
     rows.write.option("compression", "zstd").parquet(f"{path}/segments")
 
 
-def read(spark, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every document in the files under ``path``."""
+def _decoded(spark, path: str, name: str, kind: pa.DataType, of) -> DataFrame:
+    """``doc_id, start, n_tokens`` and what ``of`` makes of the bytes of a document's ids, for every document under ``path``."""
     segments = spark.read.parquet(f"{path}/segments")
-    order = spark.sparkContext.broadcast(np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first()["ids"]), dtype="<i4"))
+    order = spark.sparkContext.broadcast(np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first()["ids"]), dtype="<i4").astype("<u4"))
     base, total = {}, 0  # one entry a bucket: as many as the writer had partitions
     for r in segments.groupBy("bucket").agg(F.sum("ids").alias("ids")).orderBy("bucket").collect():
         base[r["bucket"]] = total
@@ -269,24 +266,30 @@ def read(spark, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                counts = np.array(row["counts"], dtype=np.int64)
-                ids = order.value[decode(row["control"], row["data"], counts)].astype("<u4").tobytes()
+            for i in range(b.num_rows):
+                row = {k: b.column(k)[i] for k in b.schema.names}
+                counts = row["counts"].values.to_numpy()
+                ids = memoryview(order.value[decode(row["control"].as_py(), row["data"].as_py(), counts)].view(np.uint8))
                 ends = np.cumsum(counts)
-                starts = base[row["bucket"]] + row["at"] + ends - counts
-                found = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), row["counts"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                starts = base[row["bucket"].as_py()] + row["at"].as_py() + ends - counts
+                found = [of(ids[4 * a : 4 * e]) for a, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(starts), row["counts"].values, pa.array(found, kind)], ["doc_id", "start", "n_tokens", name])
+
+    return segments.select("bucket", "at", "doc_ids", "counts", "control", "data").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'binary' if kind == pa.binary() else 'long'}")
 
-    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+def read(spark, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every document in the files under ``path``."""
+    return _decoded(spark, path, "ids", pa.binary(), bytes)
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """``read``'s rows with the CRC-32 of their ids in place of the ids."""
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def read_digests(spark, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32``: the files read like ``read`` does, with the CRC-32 of each document's ids."""
+    return _decoded(spark, path, "ids_crc32", pa.int64(), zlib.crc32)
 
 
-def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write ``docs`` to a new folder in the shared storage and read the files back."""
+def write_and_read(docs: DataFrame, tokenizer: str, of=read) -> DataFrame:
+    """Write ``docs`` to a new folder in the shared storage and read the files back, by ``read`` or ``read_digests``."""
     path = new_path(docs.sparkSession, "token-ids")
     write(docs, path, tokenizer)
-    return read(docs.sparkSession, path)
+    return of(docs.sparkSession, path)
