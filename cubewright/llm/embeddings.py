@@ -46,17 +46,18 @@ def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if v.is_valid and label.is_valid:
                 values = v.values
                 x = values.to_numpy(zero_copy_only=False) if not values.null_count and len(values) else np.zeros(0)
-                with np.errstate(over="ignore"):
-                    if np.isfinite(x).all() and 0 < (x @ x) < np.inf:
-                        key = hashlib.blake2b((x + 0.0).tobytes() + str(label.as_py()).encode(), digest_size=16).digest()
+                if np.isfinite(x).all() and x.any():
+                    key = hashlib.blake2b((x + 0.0).tobytes() + str(label.as_py()).encode(), digest_size=16).digest()
             keys.append(key)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "key"])
 
 
 def _unit(vectors: pa.Array) -> list[np.ndarray]:
+    """The vectors at length 1; divided by their largest component first, so that no square is too large or too small."""
     found = []
     for v in vectors:
         x = v.values.to_numpy(zero_copy_only=False)
+        x = x / np.abs(x).max()
         found.append(x / np.sqrt(x @ x))
     return found
 
@@ -113,7 +114,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
     lengths don't link. Equal vectors of a label are one class before anything is compared, so that a large group of
     copies costs one row; every row of the class counts as a link of the others. A pair is counted in the first
-    table in which it meets. An empty table gives an empty result; other columns are not read.
+    table in which it meets. Rows that repeat a vec_id, or have none, are compared each by its own vector; a row whose
+    component has no id at all gets a null component_id. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,9 +124,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     tagged = rows.mapInArrow(_identify, f"vec_id long, vector array<double>, label {kind}, key binary")
     ids = materialize(tagged.select("vec_id", "key"), "vector-ids")
     equal = tagged.where("key is not null").groupBy("key")
-    classes = equal.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
-    classes = materialize(classes, "vector-classes")
-    own = classes.dropDuplicates(["rep"]).select("rep", "size", "label", "vector")
+    classes = equal.agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
+    # vec_ids may be null or name several vectors, so classes get numbers of their own, which hold once stored
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    own = classes.select("rep", "size", "label", "vector").repartition(parts)  # a small table is one split or two
 
     cells = own.select("rep", "label", "vector").mapInArrow(_bucketed, f"key long, salt long, label {kind}, rep long")
     cells = materialize(cells.select(F.xxhash64("key", "salt", "label").alias("bucket"), "salt", "rep"), "vector-buckets")
@@ -133,14 +136,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select(F.xxhash64("bucket", low, high).alias("cell"), "salt", "rep", "own", "other").join(own.drop("label"), "rep")
+    met = met.select(F.xxhash64("bucket", low, high).alias("cell"), "salt", "rep", "own", "other").join(classes.select("rep", "size", "vector"), "rep")
     met = met.repartition(parts, "cell").sortWithinPartitions("cell")
     found = materialize(met.mapInArrow(_compare(threshold), "a long, b long, links long"), "vector-links")
 
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(component, "rep", "left")
-    known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = classes.select("rep", "key", "size", "least").join(links, "rep", "left").join(component, "rep", "left")
+    known = known.withColumn("component", F.coalesce("component", "rep"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     out = ids.join(known, "key", "left")
     own_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own_id.alias("component_id"), own_id.eqNullSafe(F.col("vec_id")).alias("kept"))

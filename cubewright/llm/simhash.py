@@ -82,18 +82,18 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: edges among the distinct fingerprints ``fp`` that connect just what all pairs within the radius connect."""
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))]))
-    cells = fps.select("fp", tables.alias("c")).select("c.t", "c.key", "fp")
-    size = cells.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))]))
+    cells = fps.select("fp").repartition(parts).select(tables.alias("bucket"), "fp")  # a small table is one split or two
+    size = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     size = materialize(size, "simhash-buckets")
     pairs = size.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
 
-    many = cells.join(size.where("n > 2").select("t", "key", "n"), ["t", "key"])
+    many = cells.join(size.where("n > 2").select("bucket", "n"), "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["cell"]):

@@ -29,7 +29,7 @@ def test_stages_keep_their_columns(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     result = con.execute(queries.ORACLES[name])
     names = [d[0] for d in result.description]
