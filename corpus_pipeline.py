@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.digest(tokens.write_and_read(docs, tokenizer_path()))
+    return tokens.write_and_read(docs, tokenizer_path(), tokens.read_digests)
 
 
 STAGES = [
