@@ -2,11 +2,14 @@
 
 A page is a tree of elements; runs of equal siblings fold into a repeated group. Pages of a host are aligned one
 after another: equal elements match, an element that only one side has becomes optional, texts that differ become a
-slot, and repeats stay repeated. The result, a wrapper, tells the template (texts that never change, optional and
-repeated groups) from the slots, and where most slot text lies: that element is the host's main container, and a
-page's text is read from there, without the blocks that hold only the template's texts. Menus, headers, footers, sidebars, notices, adverts, forms and comments inside it
-are left out by their element, or by a class, id or role that names nothing else where they hold less than half of
-the container's text. Names never hide an element that has the container in it.
+slot, and repeats stay repeated. Elements are equal by tag, class and role, digits aside; ids are a page's own. The
+result, a wrapper, tells the template (texts that never change) from the slots, and where most slot text lies: the
+descent from the root to that element, which ends at an article or main element on its way, is the host's main
+container. Only where no element holds most of it, or a host has a single page, do tags alone name the container.
+A page's text is read from there, without the blocks that hold only the template's texts. Menus, headers, footers,
+sidebars, notices, adverts, forms and comments inside it are left out by their element, or by a class, id or role that
+names nothing else where they hold less than half of the container's text. Names never hide an element that has the
+container in it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,11 +43,16 @@ LAYOUT = frozenset(["area", "bar", "block", "body", "box", "button", "buttons",
 KEPT = frozenset(["html", "body", "main", "article"])
 #: Share of an element's slot text below which its children without (also with) names of WORDS count for nothing.
 FEW = {1: 0.2, 2: 0.1}
+#: Depth from which a page's elements are read as blocks of the one at that depth; cells of an alignment's table.
+DEPTH, CELLS = 200, 1 << 20
 #: Distinct pages that must agree on a text before it counts as the template's; partial wrappers of a host merged by one task.
 AGREE, FAN_IN = 3, 64
 
 
 class Node:
+    """An element: ``key`` (tag, classes, role) is what alignment compares, ``named`` says how plainly its names say that it
+    is a menu, advert and so on."""
+
     __slots__ = ("children", "key", "named")
 
     def __init__(self, key: str, named: int = 0):
@@ -64,46 +74,75 @@ def named(key: str, kept: frozenset = KEPT) -> int:
     return 0 if key.split(".", 1)[0] in kept else names_of(key)
 
 
+@lru_cache(maxsize=100_000)
+def key_of(tag: str, attributes: str) -> tuple[str, int]:
+    """What names an element in a wrapper: tag, classes and role with digits aside; and ``named`` of these and its id."""
+    names = sorted((k.lower(), v.strip("\"'")) for k, v in NAMED.findall(attributes))
+    own = ".".join([tag, *(v for k, v in names if k != "id")])
+    return re.sub(r"[0-9]+", "0", own), named(".".join([tag, *(v for _, v in names)]))
+
+
 def parse(page: str) -> Node:
-    """The page's tree; children are nodes and decoded texts. Unclosed and stray tags are tolerated."""
+    """The page's tree; children are nodes and decoded texts. Unclosed and stray tags are tolerated.
+
+    Below DEPTH, blocks are marked by empty nodes around their texts, in the element at that depth; what is left out still
+    has a node of its own. So a tree is never deeper, whatever the page is.
+    """
     root = Node("#page")
-    stack = [root]
+    stack = [("#page", root)]  # open elements, each with the node that its content goes to
+    opened = Counter()
     at = 0
+
+    def close(i: int) -> None:
+        for k in range(len(stack) - 1, i - 1, -1):
+            tag, node = stack.pop()
+            opened[tag] -= 1
+            if node is stack[-1][1] and tag in BLOCKS:
+                node.children.append(Node("div"))
+
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
+            stack[-1][1].children.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = m.group(2) or m.group(5)
         if not tag:
             continue
         tag = tag.lower()
         if m.group(1) or m.group(4):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
+        attributes = m.group(3) or m.group(6) or ""
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if not (m.group(3) or m.group(6) or "").endswith("/"):
+            if not attributes.endswith("/"):
                 at = end.end() if end else len(page)
             continue
         if tag in BLOCKS:
             shut = {"p"} | CLOSES.get(tag, set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
-        names = [v.strip("\"'") for _, v in NAMED.findall(m.group(3) or m.group(6) or "")]
-        key = ".".join([tag, *sorted(names)])
-        node = Node(key, named(key))
-        stack[-1].children.append(node)
-        if tag not in VOID and not (m.group(3) or m.group(6) or "").endswith("/"):
-            stack.append(node)
+            if any(opened[t] for t in shut):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in shut:
+                        close(i)
+                        break
+                    if stack[i][0] in BLOCKS:
+                        break
+        key, level = key_of(tag, attributes)
+        node, parent = Node(key, level), stack[-1][1]
+        deep = len(stack) > DEPTH
+        out = tag in LEFT_OUT or level > 1
+        if not deep or tag in VOID or (out and not (parent.tag in LEFT_OUT or parent.named > 1)):
+            parent.children.append(node)
+        elif tag in BLOCKS:
+            parent.children.append(Node("div"))
+            node = parent
+        else:
+            node = parent
+        if tag not in VOID and not attributes.endswith("/"):
+            stack.append((tag, node))
+            opened[tag] += 1
     if at < len(page):
-        stack[-1].children.append(entities.unescape(page[at:]))
+        stack[-1][1].children.append(entities.unescape(page[at:]))
     return root
 
 
@@ -129,17 +168,17 @@ def identity(page: Node) -> int:
 
 
 def shape(node: Node, page: int = 0) -> dict:
-    """A page's own wrapper: key k, pages n, slot characters t, length and digest of constant text c, up to AGREE
+    """A page's own wrapper: key k, how plainly named m, pages n, slot characters t, length and digest of constant text c, up to AGREE
     identities of pages with a text d, repeated r, children ch."""
-    found = {"k": node.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
+    found = {"k": node.key, "m": node.named, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
     for child in node.children:
         if isinstance(child, str):
             text = " ".join(child.split())
             if not text:
                 continue
-            one = {"k": "#", "n": 1, "t": len(text), "c": named_text(text), "d": [page], "r": 0, "ch": []}
+            one = {"k": "#", "m": 0, "n": 1, "t": len(text), "c": named_text(text), "d": [page], "r": 0, "ch": []}
         elif child.tag in LEFT_OUT:
-            one = {"k": child.key, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
+            one = {"k": child.key, "m": child.named, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
         else:
             one = shape(child, page)
         last = found["ch"][-1] if found["ch"] else None
@@ -152,9 +191,60 @@ def shape(node: Node, page: int = 0) -> dict:
 
 
 def aligned(a: list[dict], b: list[dict]) -> Iterator[tuple[dict | None, dict | None]]:
-    """Pairs of equal keys in the order of both lists, the longest such alignment, and what only one has."""
-    if len(a) == len(b) and all(x["k"] == y["k"] for x, y in zip(a, b, strict=True)):
-        yield from zip(a, b, strict=True)
+    """Pairs of equal keys in the order of both lists, the longest such alignment, and what only one has.
+
+    Where its table would have more than CELLS cells, keys that both lists have once are matched first, as many as keep
+    their order, and the longest alignment is found between them.
+    """
+    first, end = 0, 0
+    while first < min(len(a), len(b)) and a[first]["k"] == b[first]["k"]:
+        first += 1
+    while end < min(len(a), len(b)) - first and a[-1 - end]["k"] == b[-1 - end]["k"]:
+        end += 1
+    yield from zip(a[:first], b[:first], strict=True)
+    yield from _between(a[first : len(a) - end], b[first : len(b) - end])
+    if end:
+        yield from zip(a[-end:], b[-end:], strict=True)
+
+
+def _between(a: list[dict], b: list[dict]) -> Iterator[tuple[dict | None, dict | None]]:
+    if len(a) * len(b) > CELLS:
+        once = [{k for k, n in Counter(x["k"] for x in xs).items() if n == 1} for xs in (a, b)]
+        place = {x["k"]: j for j, x in enumerate(b) if x["k"] in once[0] & once[1]}
+        tops: list[int] = []  # longest rising run of places, by its last places
+        links: list[tuple[int, int, int]] = []
+        for i, x in enumerate(a):
+            if x["k"] in place:
+                j = place[x["k"]]
+                n = bisect_left(tops, j, key=lambda t: links[t][1])
+                links.append((i, j, tops[n - 1] if n else -1))
+                tops[n : n + 1] = [len(links) - 1]
+        chain, t = [], tops[-1] if tops else -1
+        while t >= 0:
+            chain.append(links[t][:2])
+            t = links[t][2]
+        if not chain:  # nothing to hold on to: matched greedily, in order
+            j = 0
+            later = {}
+            for k, y in enumerate(b):
+                later.setdefault(y["k"], []).append(k)
+            for x in a:
+                spots = later.get(x["k"], [])
+                n = bisect_left(spots, j)
+                if n < len(spots):
+                    yield from ((None, y) for y in b[j : spots[n]])
+                    yield x, b[spots[n]]
+                    j = spots[n] + 1
+                else:
+                    yield x, None
+            yield from ((None, y) for y in b[j:])
+            return
+        i = j = 0
+        for x, y in reversed(chain):
+            yield from _between(a[i:x], b[j:y])
+            yield a[x], b[y]
+            i, j = x + 1, y + 1
+        yield from _between(a[i:], b[j:])
         return
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -184,7 +274,7 @@ def merged(a: dict, b: dict, pages: int = 0) -> dict:
         else:
             children.append(one)
     seen = sorted({*a["d"], *b["d"]})[:AGREE]
-    return {"k": a["k"], "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "d": seen, "r": a["r"] | b["r"], "ch": children}
+    return {"k": a["k"], "m": max(a["m"], b["m"]), "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "d": seen, "r": a["r"] | b["r"], "ch": children}
 
 
 def constant(w: dict) -> bool:
@@ -220,7 +310,7 @@ def main_path(wrapper: dict) -> list[str]:
             return 0 if constant(w) else w["t"]
         sizes = [0, 0, 0]
         for c in w["ch"]:
-            sizes[named(c["k"])] += slots(c)
+            sizes[c["m"]] += slots(c)
         return sum(sizes[: 1 + least(sizes)])
 
     def least(sizes: list[int]) -> int:  # how plainly a child may be named by WORDS to count beside the others
@@ -239,20 +329,34 @@ def main_path(wrapper: dict) -> list[str]:
                     yield from tagged(c, test, here)
 
     names = lambda k: k.split(".")
-    for test in (lambda k: names(k)[0] == "article", lambda k: names(k)[0] == "main" or "main" in names(k)[1:]):
-        found = max(tagged(wrapper, test, []), key=lambda x: x[:2], default=None)
-        if found:
-            return found[2]
-    path, here = [], wrapper
-    while True:  # down to the last element that holds most of the slot text
-        total = slots(here)
-        sizes = [sum(slots(c) for c in here["ch"] if named(c["k"]) == k) for k in range(3)]
-        inner = [(slots(c) if named(c["k"]) <= least(sizes) else 0, c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS - OUTSIDE]
-        size, best = max(inner, key=lambda x: x[0], default=(0, None))
-        if not total or not best or size < 0.6 * total or best["r"] or names(best["k"])[0] in ("p", "li", "td", "h1", "h2", "h3"):
-            return path
-        path.append(best["k"])
-        here = best
+    article = lambda k: names(k)[0] == "article"
+    main = lambda k: names(k)[0] == "main" or "main" in names(k)[1:]
+
+    def by_slots() -> list[str]:  # down to the last element that holds most of the slot text
+        path, here = [], wrapper
+        while True:
+            total = slots(here)
+            sizes = [sum(slots(c) for c in here["ch"] if c["m"] == k) for k in range(3)]
+            inner = [(slots(c) if c["m"] <= least(sizes) else 0, c) for c in here["ch"] if c["k"] != "#" and names(c["k"])[0] in BLOCKS - OUTSIDE]
+            size, best = max(inner, key=lambda x: x[0], default=(0, None))
+            if not total or not best or size < 0.6 * total or best["r"] or names(best["k"])[0] in ("p", "li", "td", "h1", "h2", "h3"):
+                return path
+            path.append(best["k"])
+            here = best
+            if article(best["k"]) or main(best["k"]):
+                return path
+
+    def by_tags() -> list[str] | None:
+        for test in (article, main):
+            found = max(tagged(wrapper, test, []), key=lambda x: x[:2], default=None)
+            if found:
+                return found[2]
+        return None
+
+    path = by_slots()
+    if wrapper["n"] > 1 and path and names(path[-1])[0] not in ("html", "body"):
+        return path
+    return by_tags() or path
 
 
 def text_of(page: Node, path: list[str], constants: frozenset = frozenset()) -> str | None:

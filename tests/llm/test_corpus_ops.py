@@ -401,10 +401,10 @@ def test_pages(spark):
 
 def main_texts(spark, pages_of):
     """Texts by page number of hosts' pages."""
-    rows = [(100 * h + i, f"http://h{h}.example/{i}", page) for h, found in enumerate(pages_of) for i, page in enumerate(found)]
+    rows = [(1000 * h + i, f"http://h{h}.example/{i}", page) for h, found in enumerate(pages_of) for i, page in enumerate(found)]
     got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == len(rows)
-    return [[got[100 * h + i] for i in range(len(found))] for h, found in enumerate(pages_of)]
+    return [[got[1000 * h + i] for i in range(len(found))] for h, found in enumerate(pages_of)]
 
 
 def test_pages_that_are_copies_or_open_alike(spark):
@@ -441,6 +441,40 @@ def test_pages_with_template_texts_in_the_article(spark):
     assert two == [whole(i) for i in range(2)] and copies == [whole(1)] * 4
 
 
+def test_pages_of_any_depth_and_with_own_ids(spark):
+    text = lambda i: f"Own text of page {i}, number {i * 7}, which is long enough to be the article's"
+    deep = lambda i: "<html><body><div id='x'>" + "<div>" * 5_000 + f"<p>{text(i)}</p><nav>Menu</nav>one {i}<b> two</b><div class='ad'>Buy</div><div>three {i}</div>" + "</div>" * 5_000 + "</div><footer>f</footer></body></html>"
+    own = lambda i: f"<body><div class='menu'>Home</div><div id='post-{i}'><p id='p{i}-1'>{text(i)}</p><p id='p{i}-2'>More {i}</p></div><div>Imprint</div></body>"
+    stray = "</div>" * 3_000 + "<p>" * 3_000 + "alone" + "<span>" * 3_000
+    deeps, owns, strays = main_texts(spark, [[deep(i) for i in range(4)], [own(i) for i in range(300)], [stray]])
+    assert deeps == [f"{text(i)}\none {i} two\nthree {i}" for i in range(4)]
+    assert owns == [f"{text(i)}\nMore {i}" for i in range(300)] and strays == ["alone"]
+    whole = None
+    for i in range(300):
+        one = pages.shape(pages.parse(own(i)), i)
+        whole = pages.merged(whole, one) if whole else one
+    assert len(str(whole)) < 3_000  # ids don't make it grow
+
+
+def test_alignment_against_brute_force():
+    rng = np.random.default_rng(13)
+    lengths = lambda a, b: [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for _ in range(200):
+        a, b = ([{"k": str(x)} for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        best = lengths(a, b)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i]["k"] == b[j]["k"] else max(best[i][j + 1], best[i + 1][j])
+        found = list(pages.aligned(a, b))
+        assert [x for x, _ in found if x] == a and [y for _, y in found if y] == b
+        assert sum(x is not None and y is not None for x, y in found) == best[-1][-1]
+        assert all(x["k"] == y["k"] for x, y in found if x and y)
+    long = [[{"k": str(x)} for x in rng.integers(0, top, 3_000)] for top in (10_000, 10_000, 3, 3)]
+    for a, b in ((long[0], long[1]), (long[2], long[3])):  # beyond the table's bound
+        found = list(pages.aligned(a, b))
+        assert [x for x, _ in found if x] == a and [y for _, y in found if y] == b and all(x["k"] == y["k"] for x, y in found if x and y)
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(10)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
