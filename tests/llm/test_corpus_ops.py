@@ -475,17 +475,44 @@ def test_alignment_against_brute_force():
         assert [x for x, _ in found if x] == a and [y for _, y in found if y] == b and all(x["k"] == y["k"] for x, y in found if x and y)
 
 
-def test_secrets(spark):
-    rng = np.random.default_rng(10)
+def brute_secrets(text):
+    """The contract's patterns, on their own."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m.group(2)) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group(0)) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group(0)) >= 32]
+    return sorted(found)
+
+
+def secret_docs(rng, n=120):
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
-    rows = [(i, f"the config word ordinary sentence password={hexes(18)} and API_Key: '{hexes(20)}' then {hexes(40)} AKIA{'A1B2' * 4}, token=short", "s") for i in range(60)]
-    frame = docs(spark, rows + [(90, None, "s"), (91, "", "s"), (92, "é😀 secret = abcdefgh1", "s"), (93, f"see k9{hexes(24)}Z now", "s")])
-    chains = secrets.train(frame)
-    got = {r["doc_id"]: r for r in secrets.find(frame, chains).collect()}
-    assert [x["kind"] for x in got[0]["base"]] == [0, 0, 2, 1] and got[90]["found"] == [] and got[91]["base"] == []
-    assert [(x["start"], x["end"]) for x in got[92]["base"]] == [(3, 21)]
-    assert any(x["kind"] == 3 for x in got[93]["found"])
-    assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["found"])) for r in got.values())
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    words = "configuration ordinary sentence about several interesting questions without answers before another morning internationalization".split()
+    line = lambda: " ".join(rng.choice(words, 30))
+    return [(i, f"{line()} password={mixed(18)} and API_Key: '{mixed(20)}' then {hexes(40)} AKIA{'A1B2' * 4}, token=short {line()}", "s") for i in range(n)], mixed
+
+
+def test_secrets_base_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    parts = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", " = ", "'", '"', "abc123XY", "0123456789abcdef", "AKIA", "ABCD1234", "é", "😀", ".", "secret", "\n", "-", "x"]
+    rows = [(i, "".join(rng.choice(parts, rng.integers(0, 30))), "s") for i in range(400)] + [(900, None, "s"), (900, "", "s"), (None, "token=abcdefgh", "s")]
+    got = secrets.find(docs(spark, rows), secrets.Chains(np.zeros(2 * secrets.SYMBOLS**3))).collect()
+    shown = lambda spans: [(x["start"], x["kind"], x["end"]) for x in spans]
+    want = sorted(str((i, brute_secrets(t or ""))) for i, t, _ in rows)
+    assert sorted(str((r["doc_id"], shown(r["base"]))) for r in got) == want and all(r["found"] == r["base"] for r in got)
+
+
+def test_secrets_without_a_name_are_found(spark):
+    """Planted in texts that weren't trained on: recall and precision of what the chains add, and whole runs of any length."""
+    rng = np.random.default_rng(10)
+    rows, mixed = secret_docs(rng)
+    chains = secrets.train(docs(spark, rows))
+    names = ["getUserNameFromConfiguration", "ordinary_sentence_about_answers", "internationalization", "several/interesting/questions", "ANOTHER_MORNING_BEFORE_QUESTIONS"]
+    held = [(i, f"see {mixed(rng.integers(20, 41))} and {names[i % 5]}", "s") for i in range(100)] + [(200, "see " + re.sub("[0-9]", "Q", mixed(300)) + mixed(99) + "9xZ", "s"), (201, None, "s"), (202, "", "s"), (203, mixed(15), "s")]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"]] for r in secrets.find(docs(spark, held), chains).collect()}
+    right = sum((4, held[i][1].index(" and")) in got[i] for i in range(100))
+    added = sum(len(got[i]) for i in range(100))
+    assert right >= 95 and right / added >= 0.95
+    assert got[200] == [(4, 406)] and got[201] == got[202] == got[203] == []
     assert secrets.find(docs(spark, []), secrets.train(docs(spark, []))).count() == 0
 
 
