@@ -22,7 +22,7 @@ CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Test terms that one pass over the training texts looks up; more are looked up in further passes.
 MAX_TERMS = 400_000
-#: Documents with alignments that are broadcast to the texts; more are joined by a shuffle.
+#: Documents with alignments that are broadcast to the texts, if their bytes are few as well; more are joined by a shuffle.
 MAX_ALIGNED = 30_000
 #: Stands for a null doc_id inside this module.
 NO_ID = -(1 << 63)
@@ -174,24 +174,25 @@ def hits(text: bytes | None, aligned: list[dict], width: int) -> tuple[int, int,
     hit = np.zeros(len(found), dtype=bool)
     items = set()
     for a in aligned:
-        own, shift = [w.encode() for w in a["own"]], a["shift"]
+        own = [w.encode() for w in a["own"]]
         size = min(width, len(own))
-        run = 0
-        for p in range(max(0, -shift), min(len(own), len(found) - shift)):
-            run = run + 1 if own[p] == found[p + shift] else 0
-            if run >= size:
-                hit[p + shift - size + 1 : p + shift + 1] = True
-                items.add(a["item_id"])
+        for shift in a["shifts"]:
+            run = 0
+            for p in range(max(0, -shift), min(len(own), len(found) - shift)):
+                run = run + 1 if own[p] == found[p + shift] else 0
+                if run >= size:
+                    hit[p + shift - size + 1 : p + shift + 1] = True
+                    items.add(a["item_id"])
     return len(found), int(hit.sum()), sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def _aligned(docs: DataFrame, bench: DataFrame, width: int) -> DataFrame:
-    """``__key, __aligned``: for every document with alignments, each with its item's words."""
+    """``__key, __aligned``: for every document with alignments its items, each with its words once and its alignments."""
     items, marks, index = _index(docs, bench, width)
-    at = alignments(index, marks).select("item", "doc_id", "shift").distinct()
+    at = alignments(index, marks).groupBy("item", "doc_id").agg(F.collect_set("shift").alias("shifts"))
     own = items.groupBy("item", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("own"))
-    each = at.join(bounded_broadcast(own), "item").groupBy(F.col("doc_id").alias("__key"))
-    return materialize(each.agg(F.collect_list(F.struct("item_id", "shift", "own")).alias("__aligned")), "alignments")
+    each = at.join(bounded_broadcast(materialize(own, "test-items")), "item").groupBy(F.col("doc_id").alias("__key"))
+    return materialize(each.agg(F.collect_list(F.struct("item_id", "shifts", "own")).alias("__aligned")), "alignments")
 
 
 def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
@@ -211,7 +212,10 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
 
 def near_matches(docs: DataFrame, bench: DataFrame, width: int = 10, slop: int = 3, share: float = 0.5) -> DataFrame:
     """``item_id, doc_id, share``: proximity matches, where at least ``share`` of an item's windows have their two rarest
-    terms in the document within ``slop`` words of their distance in the item; texts that share an item_id are rated each."""
+    terms in the document within ``slop`` words of their distance in the item; texts that share an item_id are rated each.
+
+    Nulls, empty and repeated rows, and empty tables are treated as by ``matches``; rows that share a doc_id, or have
+    none, are rated together."""
     items, marks, index = _index(docs, bench, width)
     total = marks.groupBy("item").agg(F.count_distinct("p1").alias("marks"))
     found = alignments(index, marks, slop).groupBy("item", "doc_id").agg(F.count_distinct("p1").alias("found"))
@@ -221,7 +225,10 @@ def near_matches(docs: DataFrame, bench: DataFrame, width: int = 10, slop: int =
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
-    """``docs`` without the rows in which a window of a test item occurs, with their own columns."""
+    """``docs`` without the rows in which a window of a test item occurs, with their own columns.
+
+    Every row is decided by its own text, also where ids are null or repeated; rows without words stay; empty tables give
+    empty results or drop nothing."""
     aligned = bounded_broadcast(_aligned(docs, bench, width), MAX_ALIGNED)
     rows = docs.join(aligned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__key"), "left").drop("__key")
 

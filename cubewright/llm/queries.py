@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, embeddings, lines, mixing, pages, pii, secrets, simhash, tokens, toxicity
+from .common import small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,9 +39,9 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out() & F.col("toxic").isNotNull())
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.train(texts.join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.train(texts.join(toxicity.sampled(labels, "doc_id"), "doc_id").select("text", "toxic"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

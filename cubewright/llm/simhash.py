@@ -127,8 +127,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """``docs`` without the rows that have a near copy of a smaller doc_id.
 
-    The kept ids are joined back, so texts are shuffled only where the kept ids are too many to broadcast. Rows
-    that repeat a doc_id stay or go together.
+    The ids that go are joined back, so texts are shuffled only where these are too many to broadcast. Rows that repeat
+    a doc_id stay or go together; rows without an id stay, as nothing names them; null and empty texts are near copies of
+    each other; an empty table gives an empty result; columns and texts are as they were.
     """
     gone = near_duplicates(docs, radius, width).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = materialize(gone, "simhash-gone")

@@ -24,7 +24,9 @@ DECAY, SPAN = 0.6, 6
 #: Letters a-z are 1-26, other letters fold into 27-39; 0 is a word's end.
 LETTERS = 40
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-WORD = r"[^\x20\x09-\x0D]{3,24}"
+WORD = r"[^\x20\x09-\x0D]+"
+#: Longest word that is learned from.
+MAX_LETTERS = 24
 #: Bounds of what is learned from: labelled texts, words of either class, ordinary words that look like insults, landmarks.
 MAX_TEXTS, MAX_INSULTS, MAX_ORDINARY, MAX_HARD, LANDMARKS = 20_000, 1_500, 4_000, 2_000, 384
 #: An insult's contexts in toxic texts must be this unlikely by chance (as a negative power of ten).
@@ -122,16 +124,21 @@ def joined(text: str) -> str:
     return re.sub(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)", lambda m: m.group(0).replace(" ", ""), text)
 
 
+def sampled(rows: DataFrame, key: str) -> DataFrame:
+    """About MAX_TEXTS of ``rows``, chosen by a hash of ``key``, whatever their number; all where there are fewer."""
+    keep = min(1.0, MAX_TEXTS / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(keep * 1_000_000)) if keep < 1 else rows
+
+
 def train(labelled: DataFrame) -> Machine:
     """Learn from rows ``text, toxic``; at most about MAX_TEXTS of them, chosen by a hash of the text.
 
-    Exact copies count once. With no toxic or no clean row the score is the share of toxic rows.
+    Exact copies count once, null texts are empty, rows without a label are left out. With no toxic or no clean row, as in
+    an empty table, the score is the share of toxic rows. Words of more than MAX_LETTERS characters are not learned from;
+    texts are scored whole, whatever their words.
     """
     rows = labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    keep = min(1.0, MAX_TEXTS / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < int(keep * 1_000_000))
-    rows = materialize(rows.dropDuplicates(["text"]), "toxic-train")
+    rows = sampled(materialize(rows.dropDuplicates(["text"]), "toxic-train"), "text")
     count = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = count.get(1, 0), count.get(0, 0)
     base = (bad + 1) / (bad + good + 2)
@@ -140,12 +147,12 @@ def train(labelled: DataFrame) -> Machine:
         return Machine(np.zeros(LETTERS**3), -1.0, prior)
 
     # contexts, the word before, stand for occurrences: text that is copied from toxic text has one context a word
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda x: F.length(x) >= 3)
     pairs = F.array_distinct(F.transform("w", lambda x, i: F.concat(F.when(i > 0, F.get("w", i - 1)).otherwise(""), F.lit(" "), x)))
     seen = rows.select("toxic", words.alias("w")).select("toxic", F.explode(pairs).alias("p"))
     word, before = F.substring_index("p", " ", -1), F.substring_index("p", " ", 1)
     clean = F.regexp_replace(word, r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$", "")
-    seen = seen.select(clean.alias("word"), before.alias("before"), "toxic").where(F.length("word").between(3, 24)).distinct()
+    seen = seen.select(clean.alias("word"), before.alias("before"), "toxic").where(F.length("word").between(3, MAX_LETTERS)).distinct()
     table = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     chance = F.col("bad") * -math.log10(base)
     table = materialize(table.where((F.col("n") > F.col("bad")) | (chance >= 2)).withColumn("evidence", chance), "toxic-words")

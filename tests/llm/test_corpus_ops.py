@@ -208,6 +208,37 @@ def test_codec():
         assert (tokens.decode(control, data, counts) == ranks).all()
 
 
+def brute_kernel(a, b):
+    """Weights of all common three-letter subsequences of two words, ends marked, by enumeration."""
+
+    def weights(word):
+        c = [0, *toxicity._codes(word)[0].tolist(), 0]
+        found = {}
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    if c[i] or c[k]:
+                        found[c[i], c[j], c[k]] = found.get((c[i], c[j], c[k]), 0.0) + toxicity.DECAY ** (k - i + 1)
+        return found
+
+    x, y = weights(a), weights(b)
+    size = lambda w: sum(max(len(w) + 2 - (g - 1), 0) * toxicity.DECAY ** (2 * g) * (g - 2) for g in range(3, toxicity.SPAN + 1))
+    return sum(v * y.get(k, 0.0) for k, v in x.items()) / np.sqrt(size(a) * size(b))
+
+
+def test_subsequence_kernel_against_enumeration():
+    words = ["idiot", "id1ot", "i-d-i-o-t", "idxiot", "banana", "abab", "été", "abc", "zzzzzz"]
+    for a in words:
+        for b in words:
+            x, y = toxicity.features(a), toxicity.features(b)
+            plain = ["".join(ch for ch in w if toxicity.CODE_OF[min(ord(ch), 0xFFFF)] > 0) for w in (a, b)]
+            assert abs(sum(v * y.get(k, 0.0) for k, v in x.items()) - brute_kernel(*plain)) < 1e-9
+    rng = np.random.default_rng(15)  # a text's word values are its words' kernel expansions
+    machine = toxicity.Machine(rng.standard_normal(toxicity.LETTERS**3), 0.25, np.zeros(3))
+    want = [sum(v * machine.weights[k] for k, v in toxicity.features(w).items()) + 0.25 for w in words]
+    assert np.allclose(machine.words(" ".join(words))[: len(words)], want, atol=1e-4) or np.allclose(machine.words(" ".join(words))[-len(words) - 1 : -1], want, atol=1e-4)
+
+
 def test_toxicity_learns_gapped_insults(spark):
     rng = np.random.default_rng(6)
     syllables = ["tha", "ner", "ion", "ble", "sto", "wer", "ing", "ou", "re", "li"]
