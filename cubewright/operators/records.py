@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cubewright.functions.text import table_number
+from cubewright.functions.text import strip_html, table_number
 
 from .view import coverage_bounds, index_rebase, layer_dates, pct_change, window_bounds
 
@@ -36,10 +36,26 @@ def table_kind(tables: DataFrame) -> DataFrame:
 
 
 def order_check(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key isn't above the previous row's, by table; windows are within a leading key, so no table comes to one task."""
-    own = Window.partitionBy("pid", keys[0]).orderBy("row_index")
-    now = F.struct(*keys[1:])
-    return rows.withColumn("bad", F.coalesce(F.lag(now).over(own) >= now, F.lit(False))).groupBy("pid").agg(F.count_if("bad").alias("n_bad"))
+    """Rows whose key isn't strictly above that of the row before them in their file, by table.
+
+    ``rows`` has ``pid, part, row_index``, where ``part`` numbers a file's pieces in order, such as its byte ranges: rows
+    are compared within a piece, and each piece's first key with the last one before it, one row a piece, so that a large
+    file is never one window.
+    """
+    key = F.struct(*keys)
+    own = Window.partitionBy("pid", "part").orderBy("row_index")
+    inside = rows.withColumn("bad", F.coalesce(F.lag(key).over(own) >= key, F.lit(False))).groupBy("pid", "part").agg(
+        F.count_if("bad").alias("n"), F.min_by(key, "row_index").alias("first"), F.max_by(key, "row_index").alias("last")
+    )
+    between = inside.withColumn("bad", F.coalesce(F.lag("last").over(Window.partitionBy("pid").orderBy("part")) >= F.col("first"), F.lit(False)))
+    return between.groupBy("pid").agg((F.sum("n") + F.count_if("bad")).alias("n_bad"))
+
+
+def corrections(own: DataFrame, inventory: DataFrame) -> DataFrame:
+    """A table's corrections from its metadata and then from the inventory, in that order, without tags."""
+    first = own.select("pid", F.lit(1).alias("source"), F.col("correction_date").alias("date"), strip_html(F.col("correction_note")).alias("text"))
+    second = inventory.select("pid", F.lit(2).alias("source"), F.col("correction_date").alias("date"), strip_html(F.col("note_en")).alias("text"))
+    return first.unionByName(second)
 
 
 def place_detail(places: DataFrame, mapped: DataFrame, tables: DataFrame) -> DataFrame:
