@@ -78,11 +78,13 @@ def lookback_join(spark, sf_dir):
 
 
 @add("""
-WITH p AS (SELECT event_type AS series, CAST(ts AS DATE) AS period_start, sum(CAST(value AS DECIMAL(18, 2))) AS v FROM events GROUP BY 1, 2)
-SELECT 1 AS layer, a.series, a.period_start, CAST(NULL AS DOUBLE) AS value FROM p a
+WITH p AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS period_start, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
+SELECT 1 AS layer, a.series, a.period_start, (a.value / nullif(b.value, 0) - 1) * 100 AS value
+FROM p a LEFT JOIN p b ON b.series = a.series AND b.period_start = a.period_start - INTERVAL 1 YEAR AND strftime(a.period_start, '%m-%d') = strftime(b.period_start, '%m-%d')
 """)
 def daily_yoy(spark, sf_dir):
-    daily = tables(spark, sf_dir)["events"].groupBy(F.lit(1).alias("layer"), F.col("event_type").alias("series"), F.to_date("ts").alias("period_start")).agg(F.sum("value").alias("value"))
+    """Daily orders of each priority against the same day a year earlier; the last of February in leap years has no partner."""
+    daily = tables(spark, sf_dir)["orders"].groupBy(F.lit(1).alias("layer"), F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("period_start")).agg(F.count("*").cast("double").alias("value"))
     return view.pct_change_daily_yoy(daily)
 
 
@@ -111,17 +113,6 @@ def group_ratio(spark, sf_dir):
     return rounded(view.group_ratio(parts, ["m1", "ref_date"], "discount", "price", 100.0, 3))
 
 
-METHOD = ", g AS (SELECT m1, m2, m1 <= 6 AS published, count(DISTINCT uom_id) AS units, true AS additive, count(*) FILTER (WHERE value_num IS NULL) AS missing, m2 = 2 AS ratio FROM obs WHERE m3 = 1 GROUP BY m1, m2)"
-
-
-@add(oracle(ORDERS, METHOD + " SELECT *, CASE WHEN published THEN 'published' WHEN units = 1 AND additive AND missing = 0 THEN 'sum' WHEN ratio THEN 'ratio' ELSE 'members' END AS method FROM g"))
-def group_method_choice(spark, sf_dir):
-    obs = cube(spark, sf_dir, ORDERS, "obs").where("m3 = 1")
-    groups = obs.groupBy("m1", "m2").agg(
-        (F.first("m1") <= 6).alias("published"), F.count_distinct("uom_id").alias("units"), F.lit(True).alias("additive"), F.count_if(F.col("value_num").isNull()).alias("missing"), (F.first("m2") == 2).alias("ratio")
-    )
-    return view.choose_group_method(groups)
-
 
 @add(oracle(ORDERS, NATIONS + " SELECT 1 AS layer, series, min(CASE WHEN value IS NOT NULL THEN period_start END) AS first, max(CASE WHEN value IS NOT NULL THEN period_start END) AS last, count(value) = 0 AS unpublished FROM points GROUP BY series"))
 def coverage_bounds(spark, sf_dir):
@@ -210,4 +201,4 @@ def own_cadence(spark, sf_dir):
 @add(oracle(ORDERS, REGIONS + """, x AS (SELECT *, lag(value, 12) OVER w AS y, lag(value, 1) OVER w AS p, row_number() OVER (PARTITION BY series ORDER BY period_start DESC) AS rn, count(*) OVER (PARTITION BY series) AS n FROM points WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY period_start))
 SELECT 1 AS layer, series, period_start, value, round((value / y - 1) * 100, 6) AS yoy, round((value / p - 1) * 100, 6) AS step, CASE WHEN (value / y - 1) * 100 > 0 THEN 'up' WHEN (value / y - 1) * 100 < 0 THEN 'down' ELSE 'flat' END AS direction, least(n, 60) AS n_points FROM x WHERE rn = 1"""))
 def kpi_cards(spark, sf_dir):
-    return rounded(view.kpi_cards(points(spark, sf_dir, REGIONS), 12), "yoy", "step")
+    return rounded(view.kpi_cards(points(spark, sf_dir, REGIONS), 12), "yoy", "step").drop("points")
