@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cubewright.functions.text import strip_html
+
 
 def join_period(obs: DataFrame, period: DataFrame) -> DataFrame:
     return obs.join(F.broadcast(period), ["pid", "ref_date"])
@@ -89,6 +91,110 @@ def member_roles(member: DataFrame) -> DataFrame:
     return flagged.select(*key, "member_id", F.array_join(roles, ",").alias("roles"))
 
 
+def derive_member_roles(member: DataFrame, territories: tuple[str, ...] = ("60", "61", "62")) -> DataFrame:
+    """``pid, dimension_id, member_id, roles, own_code``: what a member is by its hierarchy and its place.
+
+    ``member`` has ``parent_member_id, level, geo_code, place_id``. A root with children is a total, a member without any a
+    leaf; a parent that isn't a member counts as none. Levels give country, province, territory (provinces of the given
+    codes) and region; a province found only by its code is a region where another member of the dimension has the same
+    code by its id. ``own_code`` is the code of provinces and territories found by id.
+    """
+    key = ["pid", "dimension_id"]
+    parents = member.select(*key, F.col("parent_member_id").alias("member_id")).where("member_id is not null").distinct().withColumn("has_children", F.lit(True))
+    known = member.select(*key, F.col("member_id").alias("parent_member_id"), F.lit(True).alias("has_parent"))
+    joined = member.join(parents, [*key, "member_id"], "left").join(known, [*key, "parent_member_id"], "left")
+    by_code, province = F.coalesce(F.col("place_id").startswith("code:"), F.lit(False)), F.coalesce(F.col("level") == "province", F.lit(False))
+    twin = F.max(F.when(province & ~by_code, True)).over(Window.partitionBy(*key, "geo_code"))
+    level = F.when(F.col("level") == "country", "country").when(province & by_code & F.coalesce("twin", F.lit(False)), "region")
+    level = level.when(province, F.when(F.coalesce(F.col("geo_code").isin(*territories), F.lit(False)), "territory").otherwise("province")).when(F.col("level").isNotNull(), "region")
+    flagged = joined.withColumn("twin", twin).withColumn("level_role", level)
+    total = F.when(F.col("has_parent").isNull() & F.coalesce("has_children", F.lit(False)), "total")
+    roles = F.array_compact(F.array(total, F.col("level_role"), F.when(F.col("has_children").isNull(), "leaf")))
+    own = F.when(F.col("level_role").isin("province", "territory") & F.col("place_id").isNotNull() & ~by_code, F.col("geo_code"))
+    return flagged.select(*key, "member_id", roles.alias("roles"), own.alias("own_code"))
+
+
+def selectable(member: DataFrame, roles: DataFrame, paths: DataFrame) -> DataFrame:
+    """Members with all that ``selection`` asks about: roles, own code, and the ids and names of what is above them.
+
+    ``paths`` has ``pid, dimension_id, member_id, ancestor, distance``, each member itself included.
+    """
+    key = ["pid", "dimension_id"]
+    names = member.select(*key, F.col("member_id").alias("ancestor"), F.lower("member_name").alias("name"))
+    up = paths.where("distance > 0").join(names, [*key, "ancestor"]).groupBy(*key, "member_id").agg(F.collect_list(F.struct(F.col("ancestor").alias("id"), "name", "distance")).alias("above"))
+    none = F.expr("cast(array() as array<struct<id:int,name:string,distance:int>>)")
+    return member.join(roles, [*key, "member_id"]).join(up, [*key, "member_id"], "left").withColumn("above", F.coalesce("above", none))
+
+
+def selection(rule: dict, regions: dict[str, list[str]] | None = None) -> Column:
+    """A test of ``selectable`` members by a rule: eq and in (id or label), role, region, contains, all, childrenOf,
+    descendantsOf, any, and, not. Labels agree without case, whole."""
+    (kind, value), *_ = rule.items()
+    is_ref = lambda ref, id_, name: id_ == ref if isinstance(ref, int) else name == ref.lower()
+    name = F.lower("member_name")
+    if kind == "all":
+        return F.lit(True)
+    if kind == "eq":
+        return is_ref(value, F.col("member_id"), name)
+    if kind == "in":
+        return reduce(Column.__or__, [is_ref(v, F.col("member_id"), name) for v in value], F.lit(False))
+    if kind == "role":
+        return F.array_contains("roles", value)
+    if kind == "region":
+        return F.coalesce(F.col("own_code").isin(*(regions or {}).get(value, [])), F.lit(False))
+    if kind == "contains":
+        return name.contains(value.lower())
+    if kind == "childrenOf":
+        return F.exists("above", lambda a: (a["distance"] == 1) & is_ref(value, a["id"], a["name"]))
+    if kind == "descendantsOf":
+        return F.exists("above", lambda a: is_ref(value, a["id"], a["name"])) & ~is_ref(value, F.col("member_id"), name)
+    if kind == "not":
+        return ~selection(value, regions)
+    parts = [selection(v, regions) for v in value]
+    return reduce(Column.__or__ if kind == "any" else Column.__and__, parts)
+
+
+def references(rule: dict) -> list:
+    """The ids and labels that a rule names."""
+    (kind, value), *_ = rule.items()
+    if kind in ("eq", "childrenOf", "descendantsOf"):
+        return [value]
+    if kind == "in":
+        return list(value)
+    return [r for part in (value if kind in ("any", "and") else [value] if kind == "not" else []) for r in references(part)]
+
+
+def missing_references(member: DataFrame, rule: dict) -> DataFrame:
+    """``pid, dimension_id, reference`` of ids and labels that a rule names and a dimension lacks."""
+    wanted = F.array(*[F.lit(str(r).lower()) for r in references(rule)])
+    have = F.array_distinct(F.flatten(F.collect_list(F.array(F.lower("member_name"), F.col("member_id").cast("string")))))
+    return member.groupBy("pid", "dimension_id").agg(F.explode(F.array_except(wanted, have)).alias("reference"))
+
+
+def ranked_default(obs: DataFrame, ranks: DataFrame, dates: DataFrame, dimensions: int) -> DataFrame:
+    """``pid, m1..``: the first published recent coordinate, by each dimension's rank in turn: its default member, its
+    other roots, the rest, then the id. ``ranks`` has ``pid, dimension_id, member_id, rank``; ``dates`` the recent
+    ``pid, ref_date``, such as a monthly table's last twelve or another's latest."""
+    there = obs.where("value_num is not null").join(dates, ["pid", "ref_date"], "left_semi")
+    order = []
+    for k in range(1, dimensions + 1):
+        own = ranks.where(F.col("dimension_id") == k).select("pid", F.col("member_id").alias(f"m{k}"), F.col("rank").alias(f"r{k}"))
+        there = there.join(own, ["pid", f"m{k}"])
+        order += [F.col(f"r{k}"), F.col(f"m{k}")]
+    return there.groupBy("pid").agg(F.min(F.struct(*order)).alias("c")).select("pid", *[f"c.m{k}" for k in range(1, dimensions + 1)])
+
+
+def default_ranks(member: DataFrame, roles: DataFrame) -> DataFrame:
+    """The rank of each member as its dimension's default: 0 for the only total, else the first root, 1 for other roots, 2 else."""
+    key = ["pid", "dimension_id"]
+    known = member.select(*key, F.col("member_id").alias("parent_member_id"), F.lit(True).alias("has_parent"))
+    own = Window.partitionBy(*key)
+    rows = member.join(known, [*key, "parent_member_id"], "left").join(roles, [*key, "member_id"])
+    root, total = F.col("has_parent").isNull(), F.array_contains("roles", "total")
+    first = F.when(F.count_if(total).over(own) == 1, F.min(F.when(total, F.col("member_id"))).over(own)).otherwise(F.coalesce(F.min(F.when(root, F.col("member_id"))).over(own), F.min("member_id").over(own)))
+    return rows.withColumn("first", first).select(*key, "member_id", F.when(F.col("member_id") == F.col("first"), 0).when(root, 1).otherwise(2).alias("rank"))
+
+
 def dimension_roles(member: DataFrame, mapped: DataFrame, measures: DataFrame) -> DataFrame:
     """Geography where at least half of the members have a place, else measure if the dimension carries units, else category."""
     has = mapped.where("place_id is not null").select("pid", F.lit(1).alias("dimension_id"), "member_id", F.lit(True).alias("placed"))
@@ -115,8 +221,8 @@ def table_detail(member: DataFrame) -> DataFrame:
 
 
 def ordered_text(df: DataFrame, key: str, order: str, column: str) -> DataFrame:
-    """Labels by id, joined by `` | ``."""
-    return df.groupBy(key).agg(F.listagg(column, F.lit(" | ")).alias("unordered"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), " | ").alias("text")).drop("unordered")
+    """Labels by id without tags, joined by `` | ``."""
+    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: strip_html(x[column])), " | ").alias("text"))
 
 
 def note_scope(notes: DataFrame, references: DataFrame) -> DataFrame:

@@ -137,13 +137,6 @@ def region_groups(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     return spans.withColumn("covered", F.max("end").over(reach)).where("covered is null or at >= covered").select("question_id", "region", "at")
 
 
-def display_unit(unit: Column, scale: Column, scaled: Column) -> Column:
-    """The unit without its scale's name where values are scaled, and never with it twice."""
-    plain = F.trim(F.regexp_replace(unit, r"(?i)\b(?:thousands|millions) of\b|,? ?\(?\b(?:in )?(?:thousands|millions)\b\)?", ""))
-    named = F.lower(unit).contains(F.lower(scale))
-    return F.when(scaled, plain).when(named | (scale == "units"), unit).otherwise(F.concat_ws(" ", scale, F.lit("of"), unit))
-
-
 def period_label(start: Column, grain: Column) -> Column:
     quarter = F.concat(F.lit("Q"), F.quarter(start).cast("string"), F.lit(" "), F.year(start).cast("string"))
     return F.when(grain == "year", F.date_format(start, "yyyy")).when(grain == "quarter", quarter).when(grain == "month", F.date_format(start, "MMM yyyy")).otherwise(F.date_format(start, "d MMM yyyy"))
