@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 _DGUID = r"\A(\d{4})([AS])(\d{4})(\S+)\z"
@@ -47,13 +49,13 @@ def note_ids(text: Column) -> Column:
 
 
 def short_place(name: Column) -> Column:
-    """The part before `` (``, with en dashes between names."""
-    return F.replace(F.substring_index(name, " (", 1), F.lit("-"), F.lit("–"))
+    """The part before `` (``, with en dashes for hyphens that stand between blanks."""
+    return F.replace(F.substring_index(name, " (", 1), F.lit(" - "), F.lit(" – "))
 
 
 def unique_parts(text: Column) -> Column:
-    """Parts of a `` | `` list without repeats, in order."""
-    return F.array_distinct(F.split(text, r" \| "))
+    """Parts of a `` | `` list, trimmed, without blanks and repeats, in order."""
+    return F.filter(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r" \| "), F.trim)), lambda x: x != "")
 
 
 def dimension_band(count: Column) -> Column:
@@ -84,21 +86,54 @@ def split_marks(marks: Column) -> Column:
 
 
 def words(text: Column, stop: list[str]) -> Column:
-    """Lower-case tokens of more than two characters without stop words and years."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*stop) & ~t.rlike(r"\A(19|20)\d\d\z"))
+    """Lower-case tokens of more than two characters without stop words and years, in order."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ0-9]+"), F.lit(0))
+    return F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*stop) & ~t.rlike(r"\A(?:19|20)\d\d\z"))
 
 
 def singular(word: Column) -> Column:
-    return F.when(word.rlike("ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y")).when(
-        word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")
-    ).otherwise(word)
+    """A word without its plural's ending."""
+    short = F.when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(?:sses|xes|ches|shes)$"), F.regexp_replace(word, "es$", ""))
+    return short.when((F.length(word) > 3) & word.endswith("s"), F.regexp_replace(word, "s$", "")).otherwise(word)
+
+
+def token_hits(label: Column, tokens: Column) -> Column:
+    """How many of the tokens are whole words of a label; repeated tokens count each."""
+    own = F.regexp_extract_all(F.lower(label), F.lit(r"\w+"), F.lit(0))
+    return F.size(F.filter(tokens, lambda t: F.array_contains(own, t)))
+
+
+def compact_document(title: Column, lists: dict[str, Column], details: dict[str, Column], limit: int) -> Column:
+    """A titled text of bounded length: lines of ``lists`` whole, then of ``details`` as far as they fit, each list's
+    parts once."""
+    once = lambda c: F.array_join(F.filter(F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), r" \| "), F.trim)), lambda x: x != ""), "; ")
+    text = F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), *[F.concat(F.lit(f"{k}: "), once(c)) for k, c in lists.items()])
+    for name, c in details.items():
+        rest = F.lit(limit - len(name) - 3) - F.length(text)
+        content = F.when(rest > 0, F.substring(once(c), F.lit(1), F.greatest(rest, F.lit(0)))).otherwise("")
+        text = F.when(content != "", F.concat(text, F.lit(f"\n{name}: "), content)).otherwise(text)
+    return F.substring(text, 1, limit)
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are a letter with marks, and those letters, by their Unicode decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
 def fold_accents(text: Column) -> Column:
-    """Lower case, with the marks of Latin letters removed."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, without the marks of letters, whether written apart or with them."""
+    return F.lower(F.regexp_replace(F.translate(text, *_PLAIN), r"\p{Mn}", ""))
+
+
+def view_hash(spec: Column, length: int = 10) -> Column:
+    """A short name of a resolved specification, given as a structure: its JSON's SHA-256."""
+    return F.substring(F.sha2(F.to_json(spec), 256), 1, length)
 
 
 def content_hash(text: Column, length: int = 64) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
+
+
+_PLAIN = _plain_letters()

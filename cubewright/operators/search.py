@@ -1,33 +1,58 @@
 """Batch search and retrieval over catalogue and document tables, and question cues.
 
-Queries are a stated set and are broadcast; documents are read once, whatever the number of queries, and ranked by
-windows within a query, never over the whole table.
+Queries are a stated set; documents are read once, whatever their number, meet them on words or in blocks of vectors,
+and are ranked by windows within a query, never over the whole table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cubewright.functions.text import content_hash
 
 
-def rewrite_query(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, to in rules:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+#: Phrases that a search takes for a table's own words, parts of the price index, and its name. Fixed values.
+SYNONYMS = ((r"(?i)\bquality\s+of\s+life\b", "life satisfaction"), (r"(?i)\bwell[-\s]?being\b", "life satisfaction"), (r"(?i)\binflation\b", "consumer price index all-items"), (r"(?i)\bcost\s+of\s+living\b", "consumer price index all-items"), (r"(?i)\bcpi\b", "consumer price index"))
+PRICE_PARTS = r"(?i)\b(all[-\s]?items|food|shelter|housing|rent|mortgage|energy|gas|gasoline|transport|clothing|footwear|health|recreation|education|alcohol|tobacco|goods|services|excluding)\b"
+
+
+def rewrite_query(text: Column) -> Column:
+    """A search in the tables' own words; the price index without a part is its all-items."""
+    found = F.trim(text)
+    for pattern, to in SYNONYMS:
+        found = F.regexp_replace(found, pattern, to)
+    bare = found.rlike(r"(?i)\bconsumer\s+price\s+index\b") & ~found.rlike(PRICE_PARTS)
+    return F.when(bare, F.concat(found, F.lit(" all-items"))).otherwise(found)
+
+
+def query_terms(query: Column, most_terms: int = 8) -> Column:
+    return F.slice(F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda t: t != ""), 1, most_terms)
 
 
 def table_search(records: DataFrame, queries: DataFrame, most_terms: int = 8) -> DataFrame:
-    """Tables in which every term of a query occurs, by title hits, text hits, title and id.
+    """Tables in which every term of a query occurs, with hits by title, dimensions, members and notes, and their rank.
 
-    ``records`` has ``pid, title, text``; ``queries`` has ``query_id, query``. Terms are literal texts without case.
+    ``records`` has ``pid, cansim_id, queryable, title, dimensions, members, notes``; ``queries`` has ``query_id, query``.
+    Terms are literal texts without case, or a whole id. A record is read once whatever the number of queries, which is a
+    stated set; each distinct term is looked for once in a record, and only terms that occur are joined to their queries.
     """
-    terms = F.slice(F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != "")), 1, most_terms)
-    asked = F.broadcast(queries.select("query_id", terms.alias("terms")))
-    title, text = F.lower("title"), F.lower("text")
-    rows = records.join(asked, F.forall("terms", lambda t: title.contains(t) | text.contains(t) | (F.col("pid") == t)))
-    hits = lambda c: F.size(F.filter("terms", lambda t: c.contains(t)))
-    return rows.select("query_id", "pid", "title", hits(title).alias("title_hits"), hits(text).alias("text_hits"))
+    fields = ("title", "dimensions", "members", "notes")
+    asked = queries.select("query_id", query_terms(F.col("query"), most_terms).alias("terms")).where(F.size("terms") > 0)
+    each = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("position", "term"))
+    terms = each.select("term").distinct()
+    low = records.select("pid", "cansim_id", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields])
+    hit = [F.col(f).contains(F.col("term")).cast("int") for f in fields]
+    found = low.join(F.broadcast(terms), reduce(Column.__or__, [F.col(f).contains(F.col("term")) for f in fields]) | (F.col("pid") == F.col("term")) | (F.lower("cansim_id") == F.col("term")))  # terms are as bounded as the queries
+    found = found.select("pid", "term", *[h.alias(f"{f}_hits") for h, f in zip(hit, fields, strict=True)])
+    sums = each.join(found, "term").groupBy("query_id", "pid").agg(F.count("*").alias("held"), F.max("n").alias("n"), *[F.sum(f"{f}_hits").alias(f"{f}_hits") for f in fields]).where("held = n")
+    rows = sums.join(records.select("pid", "title", "queryable"), "pid").withColumn("text_hits", F.col("dimensions_hits") + F.col("members_hits") + F.col("notes_hits"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("title_hits"), F.desc("queryable"), F.desc("text_hits"), "title", "pid")
+    return rows.select("query_id", "pid", "title", *[f"{f}_hits" for f in fields], "text_hits", F.row_number().over(order).alias("rank"))
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], top: int, name: str = "rank") -> DataFrame:
@@ -35,39 +60,55 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], top: int, name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= top)
 
 
-def series_search(series: DataFrame, words: list[str], least: int = 2) -> DataFrame:
-    """Series of which every word is in the title or a label, with at least ``least`` published points, ranked."""
-    every = F.lit(True)
-    for w in words:
-        every &= F.lower("title").contains(w) | _any_label(w)
-    return series.where(every & (F.col("n_published") >= least))
-
-
-def _any_label(word: str) -> Column:
-    return F.exists("labels", lambda x: F.lower(x).contains(word))
-
-
 def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Whole-word hits of each query's words, four times the title's and once the text's, of documents with any."""
-    asked = F.broadcast(queries.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")))
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    prepared = docs.select("pid", tokens("title").alias("t"), tokens("text").alias("x"))
-    hits = 4 * F.size(F.array_intersect("t", "words")) + F.size(F.array_intersect("x", "words"))
-    return prepared.join(asked).select("query_id", "pid", hits.alias("score")).where("score > 0")
+    """Whole-word hits of each query's words, four times the title's and once the text's, of documents with any.
 
+    Words of documents and queries meet in an equi-join, after the words that no query has are left out.
+    """
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    asked = queries.select("query_id", F.explode(tokens("query")).alias("word"))
+    own = docs.select("pid", F.explode(F.concat(F.transform(tokens("title"), lambda w: F.struct(w.alias("word"), F.lit(4).alias("weight"))), F.transform(tokens("text"), lambda w: F.struct(w.alias("word"), F.lit(1).alias("weight"))))).alias("w"))
+    return own.select("pid", "w.word", "w.weight").join(asked, "word").groupBy("query_id", "pid").agg(F.sum("weight").cast("int").alias("score"))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision, 0 where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / F.nullif(size, F.lit(0.0))).otherwise(0.0)
 
+def vector_topk(vectors: DataFrame, queries: DataFrame, top: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
+    """The ``top`` nearest vectors of each query vector by cosine (0 where a norm is 0) or dot product, itself left out.
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """The nearest vectors of each query vector; ``queries`` is a stated set, small beside the vectors."""
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
-    scored = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("vec_id")], top)
+    Queries are taken ``block`` at a time as one matrix; a task multiplies its vectors with it and keeps the best of each
+    query, so what is ranked at the end is at most ``top`` rows a query and batch. Null vectors are left out.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    parts, found = -(-asked.count() // block) or 1, []
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0) if metric == "cosine" else m
+
+    for k in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).collect()  # about a block
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], dtype=np.int64), unit(np.array([r["v"] for r in rows]))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column("vec_id").to_numpy()
+                v = unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+                score = np.round(matrix @ v.T, 9)
+                score[ids[:, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :top]
+                best = np.take_along_axis(score, order, axis=1)
+                keep = np.isfinite(best).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], ["query_id", "vec_id", "score"])
+
+        rows_ = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+        found.append(rows_.mapInArrow(run, "query_id long, vec_id long, score double"))
+    whole = reduce(DataFrame.union, found) if found else vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long"), F.lit(0.0).alias("score")).limit(0)
+    return ranked(whole, ["query_id"], [F.desc("score"), F.col("vec_id")], top)
 
 
 def rrf_fuse(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
@@ -79,18 +120,23 @@ def rrf_fuse(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     return whole.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
-def retrieval_eval(ranking: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 12, 100)) -> DataFrame:
-    """Recall at cuts and mean reciprocal rank of the first relevant hit of each query."""
-    hit = ranking.join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    every = relevant.select("query_id").distinct().join(hit, "query_id", "left")
+def retrieval_eval(ranking: DataFrame, queries: DataFrame, cuts: tuple[int, ...] = (1, 5, 12, 100)) -> DataFrame:
+    """Recall at cuts and mean reciprocal rank of the first ``relevant`` row of each query's ranking.
+
+    ``ranking`` has ``query_id, rank, relevant``; ``queries`` are those that have anything relevant at all.
+    """
+    hit = ranking.where("relevant").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    every = queries.select("query_id").distinct().join(hit, "query_id", "left")
     recall = [F.avg(F.when(F.col("rank") <= c, 1.0).otherwise(0.0)).alias(f"r{c}") for c in cuts]
     return every.agg(F.count("*").alias("n_queries"), *recall, F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
-def stale_documents(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Documents whose content hash differs from the stored one, or that the index lacks."""
-    now = docs.select("doc_id", content_hash(F.col("text")).alias("hash"))
-    return now.join(index, ["doc_id", "hash"], "left_anti")
+def stale_documents(docs: DataFrame, index: DataFrame, model: str, dimensions: int) -> DataFrame:
+    """Documents that the stored index lacks, or has with another content, model or number of dimensions, and why."""
+    now = docs.select("doc_id", content_hash(F.col("text")).alias("now"))
+    both = now.join(index, "doc_id", "left")
+    why = F.when(F.col("hash").isNull(), "missing").when(F.col("hash") != F.col("now"), "content").when(F.col("model") != model, "model").when(F.col("dimensions") != dimensions, "dimensions")
+    return both.withColumn("why", why).where("why is not null").select("doc_id", F.col("now").alias("hash"), "why")
 
 
 def concept_documents(concepts: DataFrame, tables: DataFrame) -> DataFrame:
@@ -101,11 +147,15 @@ def concept_documents(concepts: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def concept_match(questions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """The best concept of each question: twice its label's words and once its description's; a label word is needed and a score above 1."""
+    """The best concept of each question: twice its label's words and once its description's; a label word is needed and a score above 1.
+
+    Questions and concepts meet on their words.
+    """
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    both = questions.select("question_id", tokens("question").alias("q")).join(F.broadcast(concepts.select("concept_no", "label", tokens("label").alias("l"), tokens("description").alias("d"))))
-    label, rest = F.size(F.array_intersect("q", "l")), F.size(F.array_intersect("q", "d"))
-    scored = both.select("question_id", "label", "concept_no", label.alias("label_hits"), (2 * label + rest).alias("score")).where("label_hits > 0 and score > 1")
+    asked = questions.select("question_id", F.explode(tokens("question")).alias("word"))
+    weighted = lambda c, w: F.transform(tokens(c), lambda x: F.struct(x.alias("word"), F.lit(w).alias("weight")))
+    own = concepts.select("concept_no", "label", F.explode(F.concat(weighted("label", 2), weighted("description", 1))).alias("w")).select("concept_no", "label", "w.word", "w.weight")
+    scored = asked.join(own, "word").groupBy("question_id", "concept_no", "label").agg(F.sum("weight").cast("int").alias("score"), F.max("weight").alias("most")).where("most = 2 and score > 1")
     return scored.groupBy("question_id").agg(F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), F.col("concept_no"))).alias("c")).select("question_id", "c.label", "c.score")
 
 
@@ -119,14 +169,69 @@ def cluster_cut(scores: DataFrame, floor: float = 0.52, span: float = 0.27, drop
 
 
 def spell_fix(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Words of five or more letters replaced by the only known word at the least distance of 1 (2 from seven letters on)."""
-    known = F.broadcast(vocabulary.select(F.col("word").alias("known")).distinct())
-    limit = F.when(F.length("word") >= 7, 2).otherwise(1)
+    """Words of five or more letters replaced by the only known word at the least distance: 1, or 2 for places of seven
+    letters on. A misspelled place keeps its last letter, unless the place's is an s.
+
+    ``vocabulary`` has ``word, place``. Words meet on what is left of them without up to two letters: two words within that
+    distance share such a rest, so no word is compared with the whole vocabulary.
+    """
+    known = vocabulary.where(F.length("word") >= 5).groupBy(F.col("word").alias("known")).agg(F.max(F.col("place").cast("boolean")).alias("place"))
     words = tokens.select("word").where(F.length("word") >= 5).distinct().join(vocabulary, "word", "left_anti")
-    near = words.join(known, F.abs(F.length("word") - F.length("known")) <= limit).withColumn("d", F.levenshtein("word", "known")).where(F.col("d") <= limit)
-    best = near.groupBy("word").agg(F.min(F.struct("d", "known")).alias("b"), F.min("d").alias("d"))
-    ties = near.join(best.select("word", F.col("d").alias("least")), "word").where("d = least").groupBy("word").agg(F.count("*").alias("n"))
-    return best.join(ties.where("n = 1"), "word").select("word", F.col("b.known").alias("fixed"))
+
+    def rests(c: str) -> Column:
+        without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        one = F.concat(F.array(F.col(c)), without(F.col(c)))
+        two = F.flatten(F.transform(without(F.col(c)), without))
+        return F.explode(F.array_distinct(F.concat(one, two)))
+
+    met = words.select("word", rests("word").alias("rest")).join(known.select("known", "place", rests("known").alias("rest")), "rest").select("word", "known", "place").distinct()
+    limit = F.when(F.col("place") & (F.length("word") >= 7), 2).otherwise(1)
+    ends = ~F.col("place") | (F.right("word", F.lit(1)) == F.right("known", F.lit(1))) | F.col("known").endswith("s")
+    near = met.withColumn("d", F.levenshtein("word", "known")).where((F.col("d") <= limit) & ends)
+    best = near.groupBy("word", "d").agg(F.count("*").alias("n"), F.min("known").alias("known"))
+    return best.groupBy("word").agg(F.min(F.struct("d", "n", "known")).alias("b")).where("b.n = 1").select("word", F.col("b.known").alias("fixed"))
+
+
+#: Months by their first letters. Fixed values.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+BASE = r"\b(?:index(?:ed)?(?:\s+to)?|rebas(?:e|ed)\s+to|relative\s+to)\s+(?:" + MONTH + r"\s+)?((?:19|20)\d{2})(?:-(q[1-4]|(?:0[1-9]|1[0-2])(?:-(?:0[1-9]|[12]\d|3[01]))?))?\b"
+
+
+def question_cues(questions: DataFrame, this_year: int) -> DataFrame:
+    """``question_id, preset, from_year, to_year, months, geography, transform, index_base, chart, latest``: what a question
+    says of time, geography, transform, base and chart. Cues of time are read without the base's phrase."""
+    q = F.lower("question")
+    part = lambda text, pattern, i=1: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    phrase = part(q, BASE, 0)
+    meant = ~F.coalesce(phrase.startswith("relative"), F.lit(False)) | ~q.rlike(r"\b(?:percent(?:age)?|pct|growth|change|difference)\b|%") | q.rlike(r"\bindexed\b|\brebas(?:e|ed)\b|\bas an? index\b|\bbase\s*100\b|=\s*100\b")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.coalesce(part(q, BASE, 1), F.lit("")), 1, 3))
+    tail = F.when(month > 0, F.concat(F.lit("-"), F.lpad(month.cast("string"), 2, "0"))).otherwise(F.coalesce(F.concat(F.lit("-"), F.upper(part(q, BASE, 3))), F.lit("")))
+    base = F.when(phrase.isNotNull() & meant, F.concat(part(q, BASE, 2), tail))
+    t = F.when(phrase.isNotNull(), F.regexp_replace(F.regexp_replace(q, BASE, " "), r"\b(?:19|20)\d{2}\s*=\s*100\b", " ")).otherwise(q)
+    span = r"\b(19\d{2}|20\d{2})\s*(?:–|—|-|to|through)\s*(19\d{2}|20\d{2})\b"
+    since, within, alone = part(t, r"\b(?:since|from|starting in|beginning in)\s*(19\d{2}|20\d{2})\b"), part(t, r"\bin\s+(19\d{2}|20\d{2})\b"), part(t, r"\b(19\d{2}|20\d{2})\b")
+    year = F.coalesce(within, F.when(~q.rlike(r"\b(?:past|last)\b"), alone))
+    ranged, now = part(t, span).isNotNull(), year == str(this_year)
+    first = F.when(ranged, part(t, span, 1)).when(since.isNotNull(), since).when(year.isNotNull() & ~now, year)
+    last = F.when(ranged, part(t, span, 2)).when(since.isNull() & year.isNotNull() & ~now, year)
+    long = r"\b(?:past|last)\s*(\d+)\s*(year|month)s?\b"
+    count = F.coalesce(part(q, long).try_cast("int") * F.when(part(q, long, 2) == "month", 1).otherwise(12), part(q, r"\b(\d+)\s*(?:y|yr|yrs)\b").try_cast("int") * 12)
+    free = first.isNull() & ~F.coalesce(now, F.lit(False))
+    round_ = count.isin(12, 24, 60, 120, 240)
+    latest = q.rlike(r"\b(?:latest|most recent|current|now|today|snapshot|ranking|rank)\b")
+    preset = F.when(~free & F.coalesce(now, F.lit(False)) & first.isNull(), "1Y").when(free & round_, F.concat((count / 12).cast("int").cast("string"), F.lit("Y"))).when(free & count.isNull() & q.rlike(r"\b(?:past|last|this)\s+year\b"), "1Y").when(free & count.isNull() & latest, "latest").otherwise("max")
+    months = F.when(free & ~F.coalesce(round_, F.lit(False)) & count.between(1, 1199), count)
+    geography = F.when(q.rlike(r"\bby region\b"), "regions").when(q.rlike(r"\bprovinces?\s+(?:vs|versus|and)\s+territories\b"), "provinces_and_territories").when(q.rlike(r"\bterritor(?:y|ies)\b"), "territories")
+    geography = geography.when(q.rlike(r"\b(?:by|across|each)\s+(?:cities|city|cmas?)\b"), "cities").when(q.rlike(r"\bprovinces?\b|\bprovincial\b"), "provinces").when(q.rlike(r"\bacross canada\b"), "provinces_and_territories").otherwise("one")
+    index = base.isNotNull() | q.rlike(r"\bindexed\b|\brebas(?:e|ed)\b|\bindex\s+(?:to\s+100|first\s*=\s*100)\b")
+    change = q.rlike(r"\b(?:inflation|growth|grow|grew|grown|change|rate of|go up|gone up|went up|increas(?:e|ed))\b|\b(?:yoy|y\s*/\s*y|year[- ]over[- ]year|annual change|12[- ]month change)\b|%\s*change\b")
+    transform = F.when(index, "index_first").when(change, "pct_change_yoy").when(q.rlike(r"\bshare\b|\bcomposition\b"), "share_of_x").otherwise("level")
+    chart = F.lit(None).cast("string")
+    for name, pattern in reversed([("pie", r"\bpie\b"), ("table", r"\b(?:as (?:a )?table|table view|tabular)\b"), ("stacked_area", r"\bstacked\s+area\b"), ("stacked_bar", r"\bstacked\s+(?:bar|column)s?\b"), ("bar", r"\b(?:horizontal\s+bar|bar|column)\b"), ("area", r"\barea\b"), ("line", r"\bline\b")]):
+        chart = F.when(q.rlike(pattern), name).otherwise(chart)
+    chart = F.coalesce(chart, F.when(q.rlike(r"\b(?:share|breakdown|composition)\b"), "stacked_bar"))
+    return questions.select("question_id", preset.alias("preset"), first.alias("from_year"), last.alias("to_year"), months.alias("months"), geography.alias("geography"), transform.alias("transform"), base.alias("index_base"), chart.alias("chart"), latest.alias("latest"))
 
 
 def extract_cues(questions: DataFrame) -> DataFrame:
@@ -139,10 +244,12 @@ def extract_cues(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", years.alias("years"), F.array_min(bounds).alias("from_year"), F.array_max(bounds).alias("to_year"), change.alias("transform"), chart.alias("chart"))
 
 
-def strip_phrases(text: Column) -> Column:
-    """The question without its time phrases."""
-    gone = F.regexp_replace(F.lower(text), r"\b(?:(?:over|in|for|during) )?(?:the )?(?:last|past) \d+ years?\b|\b(?:since|from|to|until|in) (?:19|20)\d\d\b", " ")
-    return F.trim(F.regexp_replace(gone, r"\s+", " "))
+def strip_phrases(text: Column, places: list[str] | None = None) -> Column:
+    """The question without its time phrases, and without the given places at word boundaries."""
+    gone = F.regexp_replace(F.lower(text), r"\b(?:(?:over|in|for|during) )?(?:the )?(?:last|past) (?:\d+ )?(?:years?|months?)\b|\b(?:from )?(?:19|20)\d\d\s*(?:to|through|[-–—])\s*(?:19|20)\d\d\b|\b(?:since|starting in|beginning in|from|to|until|in) (?:19|20)\d\d\b", " ")
+    for place in sorted(places or [], key=len, reverse=True):
+        gone = F.regexp_replace(gone, rf"(?<![\p{{L}}\p{{N}}])\Q{place.lower()}\E(?![\p{{L}}\p{{N}}])", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(gone, r"\s+", " "), r",\s*$", ""))
 
 
 def scorecard(results: DataFrame) -> DataFrame:

@@ -13,14 +13,19 @@ from .registering import Registry
 REGISTRY = Registry()
 add = REGISTRY.add
 
-RECORD = "SELECT CAST(doc_id AS VARCHAR) AS pid, substr(split_part(text, chr(10), 1), 1, 80) AS title, text FROM documents WHERE text IS NOT NULL"
-QUESTIONS = ["the and", "la que", "license version", "zzz", "Der %", "e_t"]
+RECORD = "SELECT CAST(doc_id AS VARCHAR) AS pid, 'c' || CAST(doc_id % 97 AS VARCHAR) AS cansim_id, doc_id % 2 = 0 AS queryable, substr(split_part(text, chr(10), 1), 1, 80) AS title, coalesce(source, '') || ' ' || coalesce(lang, '') AS dimensions, text AS members, CASE WHEN doc_id % 3 = 0 THEN 'Note on license ' || coalesce(source, '') ELSE '' END AS notes FROM documents WHERE text IS NOT NULL"
+QUESTIONS = ["the and", "la que", "license version", "zzz", "Der %", "e_t", "SRC1 en", "c13", "17 the"]
 ASKED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
 
 
 def records(spark, sf_dir):
     docs = tables(spark, sf_dir)["documents"].where("text is not null")
-    return docs.select(F.col("doc_id").cast("string").alias("pid"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), "text")
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("string").alias("pid"), F.concat(F.lit("c"), (F.col("doc_id") % 97).cast("string")).alias("cansim_id"), (F.col("doc_id") % 2 == 0).alias("queryable"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.concat_ws(" ", source, lang).alias("dimensions"), F.col("text").alias("members"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Note on license "), source)).otherwise("").alias("notes"), "text",
+    )
 
 
 def asked(spark):
@@ -29,15 +34,17 @@ def asked(spark):
 
 @add(f"""
 WITH r AS ({RECORD}), q AS (SELECT query_id, unnest(string_split(lower(query), ' ')) AS term FROM (VALUES {ASKED}) q(query_id, query)),
-h AS (SELECT query_id, pid, title, contains(lower(title), term) AS t, contains(lower(text), term) AS x, pid = term AS i FROM r, q)
-SELECT query_id, pid, title, CAST(count(*) FILTER (WHERE t) AS INT) AS title_hits, CAST(count(*) FILTER (WHERE x) AS INT) AS text_hits FROM h GROUP BY 1, 2, 3 HAVING bool_and(t OR x OR i)
+h AS (SELECT query_id, pid, title, queryable, contains(lower(title), term) AS t, contains(lower(dimensions), term) AS d, contains(lower(members), term) AS m, contains(lower(notes), term) AS n, pid = term OR cansim_id = term AS i FROM r, q),
+s AS (SELECT query_id, pid, title, queryable, CAST(count(*) FILTER (WHERE t) AS BIGINT) AS title_hits, CAST(count(*) FILTER (WHERE d) AS BIGINT) AS dimensions_hits, CAST(count(*) FILTER (WHERE m) AS BIGINT) AS members_hits, CAST(count(*) FILTER (WHERE n) AS BIGINT) AS notes_hits FROM h GROUP BY 1, 2, 3, 4 HAVING bool_and(t OR d OR m OR n OR i))
+SELECT query_id, pid, title, title_hits, dimensions_hits, members_hits, notes_hits, dimensions_hits + members_hits + notes_hits AS text_hits,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY title_hits DESC, queryable DESC, dimensions_hits + members_hits + notes_hits DESC, title, pid) AS INT) AS rank FROM s
 """)
 def table_search(spark, sf_dir):
     return search.table_search(records(spark, sf_dir), asked(spark))
 
 
 @add(f"""
-WITH r AS (SELECT pid, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM ({RECORD})), q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM (VALUES {ASKED}) q(query_id, query)),
+WITH r AS (SELECT pid, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t, list_distinct(regexp_extract_all(lower(members), '[a-z0-9]+')) AS x FROM ({RECORD})), q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM (VALUES {ASKED}) q(query_id, query)),
 s AS (SELECT query_id, pid, CAST(4 * len(list_intersect(t, w)) + len(list_intersect(x, w)) AS INT) AS score FROM r, q)
 SELECT query_id, pid, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid) AS rank FROM s WHERE score > 0) WHERE rank <= 20
 """)
@@ -45,43 +52,48 @@ def lexical_rank(spark, sf_dir):
     return search.ranked(search.lexical_scores(records(spark, sf_dir), asked(spark)), ["query_id"], [F.desc("score"), F.col("pid")], 20)
 
 
-COSINE = """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id, e.label, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS score FROM e q, e WHERE q.vec_id < 10 AND q.vec_id <> e.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+#: Every vector whose id is divisible by 20 against all others, ranked by cosine and by dot product.
+NEAREST = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id, e.label, list_dot_product(q.v, e.v) AS dot, sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)) AS size FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, round(CASE WHEN size > 0 THEN dot / size ELSE 0 END, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN size > 0 THEN dot / size ELSE 0 END, 9) DESC, vec_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 9) DESC, vec_id) AS dot_rank FROM p)
 """
 
 
-def nearest(spark, sf_dir, top):
+def nearest(spark, sf_dir, top, metric="cosine"):
     e = tables(spark, sf_dir)["embeddings"]
-    return search.cosine_topk(e, e.where("vec_id < 10"), top)
+    return search.vector_topk(e, e.where("vec_id % 20 = 0"), top, metric)
 
 
-@add(COSINE + "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@add(NEAREST + "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def cosine_topk(spark, sf_dir):
     return nearest(spark, sf_dir, 20).withColumn("score", F.round("score", 6))
 
 
-@add(COSINE + ", f AS (SELECT query_id, vec_id AS id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 50 UNION ALL SELECT q, vec_id, 0.5 / (60 + vec_id) FROM embeddings, (SELECT unnest(range(0, 10)) AS q) WHERE vec_id BETWEEN 1 AND 30) SELECT query_id, id, round(sum(part), 9) AS score FROM f GROUP BY 1, 2")
+@add(NEAREST + ", f AS (SELECT query_id, vec_id AS id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, 0.5 / (60 + dot_rank) FROM r WHERE dot_rank <= 50) SELECT query_id, id, round(sum(part), 9) AS score FROM f GROUP BY 1, 2")
 def rrf_fuse(spark, sf_dir):
-    first = nearest(spark, sf_dir, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
-    other = tables(spark, sf_dir)["embeddings"].where("vec_id between 1 and 30").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("query_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"))
-    return search.rrf_fuse([(first, 1.0), (other, 0.5)]).withColumn("score", F.round("score", 9))
+    ranking = lambda metric: nearest(spark, sf_dir, 50, metric).select("query_id", F.col("vec_id").alias("id"), "rank")
+    return search.rrf_fuse([(ranking("cosine"), 1.0), (ranking("dot"), 0.5)]).withColumn("score", F.round("score", 9))
 
 
-@add(COSINE + ", h AS (SELECT query_id, min(rank) AS rank FROM r WHERE rank <= 100 AND ql = label GROUP BY 1), a AS (SELECT DISTINCT query_id FROM s WHERE ql = label) SELECT count(*) AS n_queries, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS r5, avg(CASE WHEN rank <= 12 THEN 1.0 ELSE 0 END) AS r12, avg(CASE WHEN rank <= 100 THEN 1.0 ELSE 0 END) AS r100, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM a LEFT JOIN h USING (query_id)")
+@add(NEAREST + ", h AS (SELECT query_id, min(rank) AS rank FROM r WHERE rank <= 100 AND ql = label GROUP BY 1), a AS (SELECT DISTINCT query_id FROM p WHERE ql = label) SELECT count(*) AS n_queries, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS r5, avg(CASE WHEN rank <= 12 THEN 1.0 ELSE 0 END) AS r12, avg(CASE WHEN rank <= 100 THEN 1.0 ELSE 0 END) AS r100, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM a LEFT JOIN h USING (query_id)")
 def retrieval_eval(spark, sf_dir):
-    e = tables(spark, sf_dir)["embeddings"]
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = e.join(F.broadcast(queries), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
-    return search.retrieval_eval(nearest(spark, sf_dir, 100).select("query_id", F.col("vec_id").alias("id"), "rank"), relevant).withColumn("mrr", F.round("mrr", 9))
+    """Each query's own label is what it should find; the ranking's rows get their labels, so no list of all relevant rows is made."""
+    e = tables(spark, sf_dir)["embeddings"].select("vec_id", "label")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    several = e.groupBy("label").agg(F.count("*").alias("n")).where("n > 1 and label is not null").select(F.col("label").alias("own"))
+    ranking = nearest(spark, sf_dir, 100).join(e, "vec_id").join(queries, "query_id").withColumn("relevant", F.coalesce(F.col("label") == F.col("own"), F.lit(False)))
+    return search.retrieval_eval(ranking, queries.join(several, "own", "left_semi").select("query_id")).withColumn("mrr", F.round("mrr", 9))
 
 
-@add("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0")
+@add("SELECT doc_id, sha256(text) AS hash, CASE WHEN doc_id % 3 <> 0 THEN 'missing' WHEN doc_id % 6 = 0 THEN 'content' WHEN doc_id % 9 = 0 THEN 'model' ELSE 'dimensions' END AS why FROM documents WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR doc_id % 6 = 0 OR doc_id % 9 = 0 OR doc_id % 5 = 0)")
 def stale_documents(spark, sf_dir):
-    docs = tables(spark, sf_dir)["documents"]
-    index = docs.where("doc_id % 3 = 0").select("doc_id", text.content_hash(F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))).alias("hash"))
-    return search.stale_documents(docs, index)
+    docs = tables(spark, sf_dir)["documents"].where("text is not null")
+    index = docs.where("doc_id % 3 = 0").select(
+        "doc_id", text.content_hash(F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))).alias("hash"),
+        F.when(F.col("doc_id") % 9 == 0, "small").otherwise("large").alias("model"), F.when(F.col("doc_id") % 5 == 0, 256).otherwise(512).alias("dimensions"),
+    )
+    return search.stale_documents(docs, index, "large", 512)
 
 
 @add("SELECT l_orderkey AS query_id, l_linenumber AS id, l_discount * 10 AS score FROM lineitem WHERE false UNION ALL SELECT * FROM (WITH s AS (SELECT l_orderkey AS query_id, l_linenumber AS id, max(l_discount * 10) AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER w AS n, coalesce(lag(score) OVER w - score >= 0.15, false) AS cut FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)), x AS (SELECT *, bool_or(cut) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM k) SELECT query_id, id, score FROM x WHERE score >= 0.52 AND top - score <= 0.27 AND n <= 12 AND NOT after)")
@@ -113,28 +125,45 @@ def concept_match(spark, sf_dir):
 
 
 @add(r"""
-WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS word FROM part),
-t AS (SELECT DISTINCT word || 'x' AS word FROM v UNION SELECT DISTINCT substr(word, 2) FROM v),
-n AS (SELECT t.word, v.word AS known, levenshtein(t.word, v.word) AS d FROM t, v WHERE length(t.word) >= 5 AND t.word NOT IN (SELECT word FROM v) AND levenshtein(t.word, v.word) <= CASE WHEN length(t.word) >= 7 THEN 2 ELSE 1 END)
+WITH v AS (SELECT DISTINCT w AS word, length(w) % 2 = 1 AS place FROM (SELECT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS w FROM part)),
+t AS (SELECT DISTINCT word || 'x' AS word FROM v UNION SELECT DISTINCT substr(word, 2) FROM v UNION SELECT DISTINCT 'q' || substr(word, 3) FROM v),
+n AS (SELECT t.word, v.word AS known, levenshtein(t.word, v.word) AS d FROM t, v WHERE length(t.word) >= 5 AND length(v.word) >= 5 AND t.word NOT IN (SELECT word FROM v) AND levenshtein(t.word, v.word) <= CASE WHEN place AND length(t.word) >= 7 THEN 2 ELSE 1 END
+  AND (NOT place OR right(t.word, 1) = right(v.word, 1) OR v.word LIKE '%s'))
 SELECT word, min(known) AS fixed FROM (SELECT *, min(d) OVER (PARTITION BY word) AS least FROM n) WHERE d = least GROUP BY word HAVING count(*) = 1
 """)
 def spell_fix(spark, sf_dir):
+    """Words of odd length stand for places."""
     v = tables(spark, sf_dir)["part"].select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    tokens = v.select(F.concat("word", F.lit("x")).alias("word")).union(v.select(F.expr("substring(word, 2)"))).distinct()
-    return search.spell_fix(tokens, v)
+    tokens = v.select(F.concat("word", F.lit("x")).alias("word")).union(v.select(F.expr("substring(word, 2)"))).union(v.select(F.expr("concat('q', substring(word, 3))"))).distinct()
+    return search.spell_fix(tokens, v.withColumn("place", F.length("word") % 2 == 1))
 
 
 ASK = "CASE o_orderkey % 4 WHEN 0 THEN 'Orders over the last ' || CAST(1 + o_orderkey % 9 AS VARCHAR) || ' years as a bar chart' WHEN 1 THEN 'Share of orders from 1996 to 1999' WHEN 2 THEN 'Year over year change since ' || CAST(1990 + o_orderkey % 9 AS VARCHAR) ELSE 'Index of price' END"
 ASK_SPARK = ASK.replace("VARCHAR", "STRING")
 
 
-@add(f"""
-WITH q AS (SELECT o_orderkey AS question_id, o_orderkey % 4 AS k, lower({ASK}) AS q FROM orders)
-SELECT question_id, CASE WHEN k = 0 THEN CAST(1 + question_id % 9 AS INT) END AS years, CASE k WHEN 1 THEN '1996' WHEN 2 THEN CAST(1990 + question_id % 9 AS VARCHAR) END AS from_year, CASE k WHEN 1 THEN '1999' WHEN 2 THEN CAST(1990 + question_id % 9 AS VARCHAR) END AS to_year,
-  CASE k WHEN 0 THEN 'level' WHEN 1 THEN 'share_of_x' WHEN 2 THEN 'pct_change_yoy' ELSE 'index_first' END AS transform, CASE k WHEN 0 THEN 'bar' ELSE 'line' END AS chart FROM q
-""")
+#: Questions and what they say: text, preset, years from and to, months, geography, transform, base, chart, latest.
+CUES = [
+    ("Orders over the last 5 years as a bar chart", "5Y", None, None, None, "one", "level", None, "bar", False), ("Share of orders from 1996 to 1999 by province", "max", "1996", "1999", None, "provinces", "share_of_x", None, "stacked_bar", False),
+    ("Year over year change since 1994", "max", "1994", None, None, "one", "pct_change_yoy", None, None, False), ("Prices indexed to March 2010, by region", "max", None, None, None, "regions", "index_first", "2010-03", None, False),
+    ("index to 2015-Q2 = 100 in 2020", "max", "2020", "2020", None, "one", "index_first", "2015-Q2", None, False), ("latest prices in the territories", "latest", None, None, None, "territories", "level", None, None, True),
+    ("growth relative to 2012 in percent", "max", None, None, None, "one", "pct_change_yoy", None, None, False), ("prices over the past 18 months by city as a table", "max", None, None, 18, "cities", "level", None, "table", False),
+    ("last year in provinces and territories", "1Y", None, None, None, "provinces_and_territories", "level", None, None, False), ("stacked area of sales across canada in 2021", "1Y", None, None, None, "provinces_and_territories", "level", None, "stacked_area", False),
+]
+PICK = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(CUES)) + " END"
+
+
+@add("WITH c(k, t, preset, from_year, to_year, months, geography, transform, index_base, chart, latest) AS (VALUES " + ", ".join("(" + str(i) + ", " + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'" for v in c) + ")" for i, c in enumerate(CUES)) + ") SELECT o_orderkey AS question_id, preset, from_year, to_year, CAST(months AS INT) AS months, geography, transform, index_base, chart, latest FROM orders JOIN c ON k = o_orderkey % 10")
 def extract_cues(spark, sf_dir):
-    return search.extract_cues(tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(ASK_SPARK).alias("question")))
+    return search.question_cues(tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(PICK).alias("question")), 2021)
+
+
+@add("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'life satisfaction of ' || p_name WHEN 1 THEN 'consumer price index all-items' WHEN 2 THEN 'consumer price index of food' WHEN 3 THEN 'consumer price index all-items' WHEN 4 THEN p_name ELSE 'consumer price index all-items by year' END AS rewritten FROM part
+""")
+def rewrite_query(spark, sf_dir):
+    asked_ = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('Quality  of life of ', p_name) WHEN 1 THEN ' Inflation ' WHEN 2 THEN 'CPI of food' WHEN 3 THEN 'cpi' WHEN 4 THEN p_name ELSE 'cost of living by year' END")
+    return tables(spark, sf_dir)["part"].select("p_partkey", search.rewrite_query(asked_).alias("rewritten"))
 
 
 @add("SELECT o_orderkey AS question_id, CASE o_orderkey % 4 WHEN 0 THEN 'orders as a bar chart' WHEN 1 THEN 'share of orders' WHEN 2 THEN 'year over year change' ELSE 'index of price' END AS stripped FROM orders")
