@@ -21,8 +21,7 @@ def inventory(spark, sf_dir):
         F.array(dimension(1, "Geography", F.lit(False)), dimension(2, "Size", F.col("p_size") > 20)).alias("dimensions"),
     )
     path = storage.work_path(spark, "inventory")
-    # a catalogue file is one JSON array
-    part.agg(F.to_json(F.collect_list(record)).alias("value")).write.text(path)
+    part.select(F.to_json(record).alias("value")).write.text(path)  # a record a line, so that tasks share the work
     return archives.read_inventory(spark, path)
 
 
@@ -37,9 +36,15 @@ def inventory_dimension(spark, sf_dir):
     return inventory(spark, sf_dir)["inventory_dimension"]
 
 
-@add("SELECT CAST(p_partkey - 3 AS VARCHAR) AS pid, 'productId' AS problem FROM part WHERE p_partkey <= 3 UNION ALL SELECT CAST(p_partkey - 3 AS VARCHAR), 'title' FROM part WHERE p_size <= 1")
+BAD = "SELECT p_partkey, CASE p_partkey % 50 WHEN 7 THEN '-4' WHEN 8 THEN '\"12\"' WHEN 9 THEN '12.5' WHEN 11 THEN '77' ELSE CAST(p_partkey + 100 AS STRING) END AS id, CASE p_partkey % 50 WHEN 10 THEN '\"\"' ELSE concat('\"', p_name, '\"') END AS title, CASE p_partkey % 50 WHEN 12 THEN 'null' WHEN 13 THEN '\"6\"' ELSE '6' END AS freq, p_partkey % 50 = 14 AS bare FROM {part}"
+
+
+@add("WITH b AS (" + BAD.format(part="part") + """), p AS (SELECT p_partkey % 50 AS k, replace(id, '"', '') AS pid FROM b)
+SELECT pid, 'productId' AS problem FROM p WHERE k IN (7, 8, 9) UNION ALL SELECT pid, 'title' FROM p WHERE k = 10 UNION ALL SELECT pid, 'frequencyCode' FROM p WHERE k IN (12, 13) UNION ALL SELECT pid, 'dimensions' FROM p WHERE k = 14 UNION ALL SELECT pid, 'repeated' FROM p GROUP BY pid HAVING count(*) > 1""")
 def check_inventory(spark, sf_dir):
-    return archives.check_inventory(inventory(spark, sf_dir)["cube"])
+    rows = spark.sql(BAD, part=tables(spark, sf_dir)["part"])
+    dimension = F.when(F.col("bare"), "[]").otherwise('[{"dimensionPositionId": 1}]')
+    return archives.check_inventory(rows.select(F.concat(F.lit('{"productId": '), "id", F.lit(', "cubeTitleEn": '), "title", F.lit(', "frequencyCode": '), "freq", F.lit(', "dimensions": '), dimension, F.lit("}")).alias("record")))
 
 
 HEADERS = ["Cube", "Members", "Notes"]
@@ -70,7 +75,7 @@ def fold_loose_records(spark, sf_dir):
 def member_lines(spark, sf_dir):
     c = tables(spark, sf_dir)["customer"]
     line = F.concat(F.lit('1,"'), "c_mktsegment", F.lit(' "old" x",['), F.col("c_nationkey").cast("string"), F.lit("],"), F.col("c_custkey").cast("string"), F.lit(","), F.when(F.col("c_custkey") % 2 == 0, "1").otherwise(""), F.lit(",f"))
-    return archives.parse_members(c.select(F.col("c_custkey").cast("string").alias("pid"), line.alias("line")))
+    return archives.parse_members(c.select(F.col("c_custkey").cast("string").alias("pid"), line.alias("line")))[0]
 
 
 TYPES = "SELECT p_type, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT DISTINCT p_type FROM part)"
@@ -86,19 +91,33 @@ def unpivot_wide(spark, sf_dir):
     return archives.unpivot_wide(rows.withColumnRenamed("brand", "brand"), ["brand"], list(range(1, len(types) + 1)), "v", "s")
 
 
-@add("SELECT n_nationkey AS position, CAST(n_nationkey AS INT) AS member_id, CASE WHEN n_nationkey % 3 = 0 THEN 'other' ELSE n_name END AS label, n_nationkey % 3 <> 0 AS known FROM nation")
+@add("SELECT n_nationkey AS position, CAST(CASE WHEN n_nationkey = 9 THEN 3 WHEN n_nationkey = 12 THEN 99 ELSE n_nationkey END AS INT) AS member_id, CASE WHEN n_nationkey % 3 = 1 THEN 'other' WHEN n_nationkey % 3 = 2 THEN n_name || ' (1)' ELSE n_name END AS label, CASE WHEN n_nationkey = 9 THEN 'not ascending' WHEN n_nationkey = 12 THEN 'unknown id' WHEN n_nationkey = 13 THEN 'not ascending' WHEN n_nationkey % 3 = 1 THEN 'another name' ELSE '' END AS problem FROM nation")
 def decode_wide_header(spark, sf_dir):
     nation = tables(spark, sf_dir)["nation"]
-    name = F.concat(F.lit("Geo (25):"), F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise(F.col("n_name")), F.lit("["), F.col("n_nationkey").cast("string"), F.lit("]"))
-    return archives.decode_wide_header(nation.select(F.col("n_nationkey").alias("position"), name.alias("name")), nation.select(F.col("n_nationkey").alias("member_id"), F.col("n_name").alias("member_name")))
+    id_ = F.when(F.col("n_nationkey") == 9, 3).when(F.col("n_nationkey") == 12, 99).otherwise(F.col("n_nationkey"))
+    label = F.when(F.col("n_nationkey") % 3 == 1, "other").when(F.col("n_nationkey") % 3 == 2, F.concat("n_name", F.lit(" (1)"))).otherwise(F.col("n_name"))
+    name = F.concat(F.lit("Geo (25):"), label, F.lit("["), id_.cast("string"), F.lit("]"))
+    return archives.decode_wide_header(nation.select(F.col("n_nationkey").alias("position"), name.alias("name")), nation.select(F.col("n_nationkey").cast("int").alias("member_id"), F.col("n_name").alias("member_name")))
 
 
-@add("SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS en, CASE WHEN n_nationkey % 2 = 0 THEN 'x' END AS representation FROM nation")
+@add("SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS en, 'fr ' || n_name AS fr, CASE WHEN n_nationkey % 2 = 0 THEN 'x' END AS representation FROM nation")
 def code_sets(spark, sf_dir):
-    record = F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("en"), F.when(F.col("n_nationkey") % 2 == 0, "x").alias("representation"))
+    return storage.read_code_set(spark, code_set(spark, sf_dir, False))[0]
+
+
+def code_set(spark, sf_dir, mixed):
+    """A code set is one small JSON document: the nations, one row each."""
+    text = F.when(F.lit(mixed) & (F.col("n_nationkey") > 20), F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('"'))).otherwise(F.col("n_nationkey").cast("string"))
+    mark = F.when(F.col("n_nationkey") % 2 == 0, '"x"').otherwise("null")
+    record = F.concat(F.lit('{"code": '), text, F.lit(', "en": "'), "n_name", F.lit('", "fr": "fr '), "n_name", F.lit('", "representation": '), mark, F.lit("}"))
     path = storage.work_path(spark, "codes")
-    tables(spark, sf_dir)["nation"].agg(F.to_json(F.struct(F.collect_list(record).alias("object"))).alias("value")).write.text(path)
-    return storage.read_code_set(spark, path)
+    tables(spark, sf_dir)["nation"].agg(F.concat(F.lit('{"object": ['), F.array_join(F.collect_list(record), ", "), F.lit("]}")).alias("value")).write.text(path)
+    return path
+
+
+@add("SELECT 'codes of two types' AS problem, count(*) AS n FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'another checksum', 1 FROM region WHERE r_regionkey = 0")
+def code_set_problems(spark, sf_dir):
+    return storage.read_code_set(spark, code_set(spark, sf_dir, True), "0" * 64)[1].groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @add("SELECT r_name AS name, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY CAST(n_nationkey AS VARCHAR)) AS codes FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
@@ -156,24 +175,54 @@ def write_sorted_parquet(spark, sf_dir):
     return spark.read.parquet(path).select("m1", "m2", "m3", "ref_date", "value", "status")
 
 
-@add(oracle(LINES, "SELECT m1, m2, m3, ref_date, value FROM obs WHERE m1 = 4"))
+@add(oracle(LINES, "SELECT m1, m2, m3, ref_date, value FROM obs"))
 def write_series_parts(spark, sf_dir):
     path = storage.work_path(spark, "parts")
     storage.write_parts(cube(spark, sf_dir, LINES, "obs"), path, "m1")
-    return spark.read.parquet(path).where("m1 = 4").select("m1", "m2", "m3", "ref_date", "value")
+    return spark.read.parquet(path).select("m1", "m2", "m3", "ref_date", "value")
 
 
-@add(oracle(LINES, "SELECT m1, count(*) AS rows FROM obs GROUP BY m1"))
+@add(oracle(LINES, "SELECT m1, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(coordinate || '|' || ref_date || '|' || value), 1, 15) AS BIGINT)) AS VARCHAR) AS hash FROM obs GROUP BY m1"))
 def write_manifest(spark, sf_dir):
-    return storage.manifest(cube(spark, sf_dir, LINES, "obs"), "m1").select("m1", "rows")
+    found = storage.manifest(cube(spark, sf_dir, LINES, "obs"), "m1", ["coordinate", "ref_date", "value"])
+    return found.withColumn("hash", F.col("hash").cast("string"))
+
+
+@add(oracle(LINES, "SELECT count(DISTINCT m1) AS tables, true AS hashed, true AS sized FROM obs"))
+def file_manifest(spark, sf_dir):
+    """A file or more for each part; every one has its size and its SHA-256."""
+    path = storage.work_path(spark, "hashed")
+    storage.write_parts(cube(spark, sf_dir, LINES, "obs"), path, "m1")
+    files = storage.file_manifest(spark, path).where(F.col("path").contains("/m1="))
+    return files.agg(F.count_distinct(F.regexp_extract("path", r"/m1=(\d+)/", 1)).alias("tables"), F.bool_and(F.length("sha256") == 64).alias("hashed"), F.bool_and(F.col("bytes") > 0).alias("sized"))
+
+
+@add("""SELECT c_custkey AS pid, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AS reuse, CASE WHEN c_custkey % 7 = 0 THEN 'inputs' WHEN c_custkey % 5 = 0 THEN 'tool' WHEN c_custkey % 3 = 0 THEN 'proof' ELSE '' END AS why FROM customer""")
+def reuse_builds(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("part"))
+    path = F.concat_ws("/", F.col("pid").cast("string"), "part")
+    expected = c.select("pid", path.alias("path"), F.sha2(path, 256).alias("hash"), F.when((F.col("pid") % 5 == 0) & (F.col("part") == "b"), "1").otherwise("2").alias("tool"))
+    actual = c.where("NOT (pid % 7 = 0 AND part = 'a')").select(path.alias("path"), F.sha2(path, 256).alias("hash"))
+    return storage.reuse(expected, actual, "2", c.select("pid", (F.col("pid") % 3 != 0).alias("proved")).distinct().where("pid % 6 <> 0"))
+
+
+@add("SELECT CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS tables, CAST(sum(c_nationkey) AS BIGINT) AS rows FROM customer GROUP BY 1")
+def merged_summary(spark, sf_dir):
+    c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"), F.when(F.col("c_custkey") % 4 == 0, "failed").otherwise("ok").alias("status"), F.col("c_nationkey").cast("long").alias("rows"))
+    return storage.merged_summary(c.where("pid % 3 = 0"), c.where("pid % 3 <> 0"))
 
 
-@add("SELECT CAST(o_custkey AS VARCHAR) AS series, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS points FROM orders GROUP BY 1")
+@add("SELECT CAST(o_custkey AS VARCHAR) AS series, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS points, CAST(len(list(o_orderkey)) AS INT) AS typed, 'orders' AS source FROM orders GROUP BY 1")
 def export_view(spark, sf_dir):
+    """Once as CSV, with lists as JSON text, and once as Parquet, with typed lists, each beside its provenance."""
     path = storage.work_path(spark, "export")
     rows = tables(spark, sf_dir)["orders"].groupBy(F.col("o_custkey").cast("string").alias("series")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("points"))
-    storage.export_csv(rows, path)
-    return spark.read.csv(path, header=True, schema="series string, points string")
+    for kind in ("csv", "parquet"):
+        storage.export_view(rows, f"{path}/{kind}", kind, spark.createDataFrame([("orders", kind)], "source string, kind string"))
+    text = spark.read.csv(f"{path}/csv/points", header=True, schema="series string, points string")
+    typed = spark.read.parquet(f"{path}/parquet/points").select("series", F.size("points").alias("typed"))
+    source = spark.read.json(f"{path}/parquet/provenance").select("source")
+    return text.join(typed, "series").join(F.broadcast(source))  # one row
 
 
 @add(oracle(LINES, "SELECT concat('1000', lpad(CAST(m1 AS VARCHAR), 4, '0')) AS pid, count(*) AS n_rows, min(ref_date) AS first, max(value) AS most FROM obs GROUP BY m1"))

@@ -15,21 +15,30 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 INVENTORY = "productId long, cansimId string, cubeTitleEn string, frequencyCode int, subjectCode array<string>, dimensions array<struct<dimensionNameEn:string,dimensionPositionId:int,hasUOM:boolean>>, corrections array<struct<correctionDate:string,correctionNoteEn:string>>"
 
 
-def read_inventory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The catalogue's JSON records as ``cube``, ``inventory_dimension`` and ``inventory_correction``."""
-    raw = spark.read.schema(INVENTORY).json(path, multiLine=True).withColumn("pid", F.col("productId").cast("string"))
+def read_inventory(spark: SparkSession, path: str, one_array: bool = False) -> dict[str, DataFrame]:
+    """The catalogue's JSON records, a line each or all in ``one_array`` as published, as ``cube``, ``inventory_dimension`` and ``inventory_correction``."""
+    raw = spark.read.schema(INVENTORY).json(path, multiLine=one_array).withColumn("pid", F.col("productId").cast("string"))
     cube = raw.select("pid", "productId", F.col("cubeTitleEn").alias("title"), F.col("frequencyCode").alias("frequency_code"), F.col("subjectCode").alias("subject_codes"), F.coalesce(F.size("dimensions"), F.lit(0)).alias("n_dimensions"))
     dimension = raw.select("pid", F.explode("dimensions").alias("d")).select("pid", F.col("d.dimensionPositionId").alias("dimension_id"), F.col("d.dimensionNameEn").alias("name"), F.col("d.hasUOM").alias("has_uom"))
     correction = raw.select("pid", F.explode("corrections").alias("c")).select("pid", F.col("c.correctionDate").alias("date"), F.col("c.correctionNoteEn").alias("note"))
     return {"cube": cube, "inventory_dimension": dimension, "inventory_correction": correction}
 
 
-def check_inventory(cube: DataFrame) -> DataFrame:
-    """``pid, problem`` of records without a positive id or a title, and of repeated ids."""
-    bad = cube.where(F.col("productId").isNull() | (F.col("productId") <= 0)).select("pid", F.lit("productId").alias("problem"))
-    untitled = cube.where(F.coalesce("title", F.lit("")) == "").select("pid", F.lit("title").alias("problem"))
-    twice = cube.groupBy("pid").count().where("count > 1").select("pid", F.lit("repeated").alias("problem"))
-    return bad.union(untitled).union(twice)
+def check_inventory(raw: DataFrame) -> DataFrame:
+    """``pid, problem`` over the inventory's records as texts, ``record``: ids that aren't positive whole numbers or are
+    repeated, fields that are missing or of another type, no dimensions, and an inventory without records."""
+    kinds = "productId string, cubeTitleEn string, frequencyCode string, dimensions array<struct<dimensionPositionId:string>>"
+    rows = raw.select("record", F.from_json("record", kinds).alias("r")).select("record", "r.*")
+    typed = lambda field, pattern: F.col("record").rlike(rf'"{field}"\s*:\s*{pattern}')
+    tests = [
+        ("productId", ~typed("productId", r"[1-9]\d*\s*[,}]")), ("title", ~typed("cubeTitleEn", '"[^"]')), ("frequencyCode", ~typed("frequencyCode", r"\d+\s*[,}]")),
+        ("dimensions", F.coalesce(F.size("dimensions"), F.lit(0)) < 1),
+    ]
+    pid = F.coalesce("productId", F.lit(""))
+    bad = rows.select(pid.alias("pid"), F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in tests]))).alias("problem"))
+    twice = rows.groupBy(pid.alias("pid")).count().where("count > 1").select("pid", F.lit("repeated").alias("problem"))
+    none = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("").alias("pid"), F.lit("empty").alias("problem"))
+    return bad.union(twice).union(none)
 
 
 def split_blocks(lines: DataFrame, headers: list[str]) -> DataFrame:
@@ -55,17 +64,21 @@ def fold_records(lines: DataFrame, start: str) -> DataFrame:
     return numbered.groupBy("pid", "record").agg(joined.alias("text"))
 
 
-def parse_members(lines: DataFrame) -> DataFrame:
-    """Member rows whose names may hold unescaped quotes, anchored at both ends by the numeric fields."""
+def parse_members(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Member rows whose names may hold unescaped quotes, anchored at both ends by the numeric fields; and the lines,
+    ``pid, line``, that aren't such rows."""
     pattern = r'^(\d+),"?(.*?)"?,"?(\[[^\]]*\]|)"?,(\d+),(\d*),([^,]*)$'
     part = lambda i: F.regexp_extract("line", pattern, i)
-    return lines.where(F.col("line").rlike(pattern)).select("pid", part(1).cast("int").alias("dimension_id"), part(2).alias("member_name"), part(3).alias("code"), part(4).cast("int").alias("member_id"), part(5).try_cast("int").alias("parent_member_id"))
+    fits = F.col("line").rlike(pattern)
+    rows = lines.where(fits).select("pid", part(1).cast("int").alias("dimension_id"), part(2).alias("member_name"), part(3).alias("code"), part(4).cast("int").alias("member_id"), part(5).try_cast("int").alias("parent_member_id"))
+    return rows, lines.where(~fits).select("pid", "line")
 
 
 class StatZip(DataSource):
     """``spark.read.format("statzip").option("paths", "a.zip,b.zip")``: rows of the observation member of each archive.
 
-    Yields ``pid, row_index, line``; the member must be ``<pid>.csv``. One partition an archive; the file is streamed.
+    Yields ``pid, row_index, line``. An archive ``<pid>.zip`` or ``<pid>-eng.zip`` must hold just ``<pid>.csv`` and
+    ``<pid>_MetaData.csv``. One partition an archive; the file is streamed. Paths are of folders mounted on all executors.
     """
 
     @classmethod
@@ -92,10 +105,10 @@ class _Reader(DataSourceReader):
         import pyarrow as pa
 
         with zipfile.ZipFile(partition.value) as archive:
-            names = [n for n in archive.namelist() if n.endswith(".csv") and not n.endswith("_MetaData.csv")]
-            if len(names) != 1:
-                raise ValueError(f"{partition.value}: {len(names)} observation files")
-            pid = names[0].removesuffix(".csv")
+            pid = partition.value.rsplit("/", 1)[-1].removesuffix(".zip").removesuffix("-eng")
+            names, wanted = sorted(archive.namelist()), [f"{pid}.csv", f"{pid}_MetaData.csv"]
+            if names != wanted:
+                raise ValueError(f"{partition.value}: holds {names}, not {wanted}")
             with archive.open(names[0]) as raw:
                 lines = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="\n")
                 held, first = [], 1
@@ -116,8 +129,12 @@ def unpivot_wide(rows: DataFrame, keys: list[str], ids: list[int], values: str,
 
 
 def decode_wide_header(header: DataFrame, member: DataFrame) -> DataFrame:
-    """Value columns ``<dimension>:<member>[id]`` with whether the catalogue knows the id by that name."""
+    """Value columns ``<dimension>:<member>[id]`` in order, with what is wrong with each: an id that the catalogue lacks or
+    that isn't above the one before it, or a name that is neither the member's nor that with a note in brackets."""
     pattern = r"^(.*?):(.*)\[(\d+)\]$"
     part = lambda i: F.regexp_extract("name", pattern, i)
-    columns = header.where(F.col("name").rlike(pattern)).select("position", part(2).alias("label"), part(3).cast("int").alias("member_id"))
-    return columns.join(F.broadcast(member), "member_id", "left").select("position", "member_id", "label", (F.coalesce("member_name", F.lit("")) == F.col("label")).alias("known"))
+    columns = header.where(F.col("name").rlike(pattern)).select("position", F.trim(part(2)).alias("label"), part(3).cast("int").alias("member_id"))
+    rows = columns.withColumn("before", F.lag("member_id").over(Window.orderBy("position"))).join(member, "member_id", "left")  # one file's header
+    named = (F.col("label") == F.col("member_name")) | (F.startswith("label", F.concat("member_name", F.lit(" ("))) & F.endswith("label", F.lit(")")))
+    wrong = F.when(F.col("member_name").isNull(), "unknown id").when(F.col("before") >= F.col("member_id"), "not ascending").when(~named, "another name")
+    return rows.select("position", "member_id", "label", F.coalesce(wrong, F.lit("")).alias("problem"))

@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where the session names none."""
+    """A new path in the folder that driver and executors share; a local one only in a local session that names none."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='cubewright-')).rstrip('/')}/builds/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="cubewright-")
+    return f"{shared.rstrip('/')}/builds/{name}-{uuid.uuid4().hex}"
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int) -> None:
-    """Range-partitioned and sorted within, so that readers skip row groups by the leading keys."""
-    df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Range-partitioned and sorted within, in row groups of about 8 MB, so that readers skip by the leading keys. Spark's
+    committer writes under temporary names and renames at the end, so a reader sees all files or none."""
+    rows = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def write_parts(df: DataFrame, path: str, key: str) -> None:
@@ -29,10 +35,17 @@ def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
-def read_code_set(spark: SparkSession, path: str) -> DataFrame:
-    """``code, en, representation`` of a code set's JSON; codes as text."""
-    raw = spark.read.schema("object array<struct<code:string,en:string,representation:string>>").json(path, multiLine=True)
-    return raw.select(F.explode("object").alias("o")).select("o.*")
+def read_code_set(spark: SparkSession, path: str, sha256: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``code, en, fr, representation`` of a code set's JSON, codes as text; and its ``problem`` rows.
+
+    Codes must all be numbers or all be texts, and the file's SHA-256 the expected one where that is given.
+    """
+    text = spark.read.text(path, wholetext=True)
+    each = text.select(F.explode(F.from_json("value", "object array<string>")["object"]).alias("o"))
+    rows = each.select(F.from_json("o", "code string, en string, fr string, representation string").alias("r"), F.col("o").rlike(r'"code"\s*:\s*"').alias("is_text"))
+    kinds = rows.agg(F.count_distinct("is_text").alias("n")).where("n > 1").select(F.lit("codes of two types").alias("problem"))
+    bad = text.where(F.sha2("value", 256) != F.lit(sha256 or "")).select(F.lit("another checksum").alias("problem")) if sha256 else kinds.limit(0)
+    return rows.select("r.*"), kinds.union(bad)
 
 
 def union_builds(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -45,14 +58,34 @@ def union_builds(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return once, counts.select("rows", "kept", (F.col("rows") - F.col("kept")).alias("repeats"))
 
 
-def content_hash(df: DataFrame) -> Column:
-    """An order-free 64-bit hash aggregate of all rows."""
-    return F.expr("bit_xor(xxhash64(" + ", ".join(f"`{c}`" for c in df.columns) + "))")
+def content_hash(columns: list[str]) -> Column:
+    """An order-free hash of all rows: the sum of 60-bit digests of their texts, so that repeated rows count each."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
+def manifest(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows and content hash of each table, over the given columns or all others."""
+    chosen = columns or [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.count("*").alias("rows"), content_hash(chosen).alias("hash"))
 
 
-def manifest(df: DataFrame, key: str) -> DataFrame:
-    """Rows and content hash of each table."""
-    return df.groupBy(key).agg(F.count("*").alias("rows"), content_hash(df).alias("hash"))
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``path, bytes, sha256`` of every file under ``path``, each hashed where it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def reuse(expected: DataFrame, actual: DataFrame, tool: str, proofs: DataFrame) -> DataFrame:
+    """``pid, reuse, why``: a build is reused only where its inputs' hashes, its tool and its proofs of null units all hold.
+
+    ``expected`` has ``pid, path, hash, tool``; ``actual`` the files' ``path, hash``; ``proofs`` ``pid, proved``.
+    """
+    both = expected.join(actual.select("path", F.col("hash").alias("found")), "path", "left")
+    inputs = both.groupBy("pid").agg(F.bool_and(F.col("hash").eqNullSafe(F.col("found"))).alias("same"), F.bool_and(F.col("tool") == tool).alias("tool"))
+    rows = inputs.join(proofs, "pid", "left")
+    why = F.when(~F.col("same"), "inputs").when(~F.col("tool"), "tool").when(~F.coalesce("proved", F.lit(False)), "proof")
+    return rows.select("pid", why.isNull().alias("reuse"), F.coalesce(why, F.lit("")).alias("why"))
 
 
 def pending_tables(requested: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
@@ -74,6 +107,11 @@ def merge_manifests(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.join(twice, "pid", "left_anti"), twice
 
 
+def merged_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``status, tables, rows``: two builds' summaries added, each ``pid, status, rows``."""
+    return a.unionByName(b).groupBy("status").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"))
+
+
 def assemble_catalogue(rows: DataFrame, reports: DataFrame, order: list[str]) -> DataFrame:
     """Metadata rows of the tables whose report is ok, in order within each."""
     return rows.join(reports.where("status = 'ok'").select("pid"), "pid", "left_semi").sortWithinPartitions("pid", *order)
@@ -83,3 +121,13 @@ def export_csv(df: DataFrame, path: str) -> None:
     """Rows as CSV, lists and structures as JSON text."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").csv(path, header=True)
+
+
+def export_view(df: DataFrame, path: str, kind: str, provenance: DataFrame) -> None:
+    """A view's points under ``path/points`` as Parquet, lists typed, or CSV; and where they come from under
+    ``path/provenance`` as JSON lines."""
+    if kind == "csv":
+        export_csv(df, f"{path}/points")
+    else:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/points")
+    provenance.write.mode("overwrite").json(f"{path}/provenance")
