@@ -55,7 +55,7 @@ def short_place(name: Column) -> Column:
 
 def unique_parts(text: Column) -> Column:
     """Parts of a `` | `` list, trimmed, without blanks and repeats, in order."""
-    return F.filter(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r" \| "), F.trim)), lambda x: x != "")
+    return F.filter(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r" \| "), lambda x: F.trim(x))), lambda x: x != "")
 
 
 def dimension_band(count: Column) -> Column:
@@ -78,7 +78,7 @@ def value_error(text: Column) -> Column:
 
 def split_marks(marks: Column) -> Column:
     """``struct(status, symbol)`` of comma-joined marks; p and r are symbols, the rest statuses."""
-    parts = F.filter(F.transform(F.split(F.coalesce(marks, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(marks, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(
         F.array_join(F.filter(parts, lambda x: ~x.isin("p", "r")), ",").alias("status"),
         F.array_join(F.filter(parts, lambda x: x.isin("p", "r")), ",").alias("symbol"),
@@ -106,7 +106,7 @@ def token_hits(label: Column, tokens: Column) -> Column:
 def compact_document(title: Column, lists: dict[str, Column], details: dict[str, Column], limit: int) -> Column:
     """A titled text of bounded length: lines of ``lists`` whole, then of ``details`` as far as they fit, each list's
     parts once."""
-    once = lambda c: F.array_join(F.filter(F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), r" \| "), F.trim)), lambda x: x != ""), "; ")
+    once = lambda c: F.array_join(F.filter(F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), r" \| "), lambda x: F.trim(x))), lambda x: x != ""), "; ")
     text = F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), *[F.concat(F.lit(f"{k}: "), once(c)) for k, c in lists.items()])
     for name, c in details.items():
         rest = F.lit(limit - len(name) - 3) - F.length(text)
