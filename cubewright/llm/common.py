@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Let Arrow batches hold at most ``size`` of rows from now on, where the session has Spark's default: tasks that read
     whole texts hold a batch several times over."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
