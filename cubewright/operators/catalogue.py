@@ -10,7 +10,7 @@ from cubewright.functions.text import strip_html
 
 
 def join_period(obs: DataFrame, period: DataFrame) -> DataFrame:
-    return obs.join(F.broadcast(period), ["pid", "ref_date"])
+    return obs.join(period, ["pid", "ref_date"])
 
 
 def join_labels(obs: DataFrame, member: DataFrame, dimensions: int) -> DataFrame:
@@ -18,17 +18,17 @@ def join_labels(obs: DataFrame, member: DataFrame, dimensions: int) -> DataFrame
     out = obs
     for k in range(1, dimensions + 1):
         own = member.where(F.col("dimension_id") == k).select("pid", F.col("member_id").alias(f"m{k}"), F.col("member_name").alias(f"label_{k}"))
-        out = out.join(F.broadcast(own), ["pid", f"m{k}"], "left")
+        out = out.join(own, ["pid", f"m{k}"], "left")
     return out
 
 
 def label_codes(df: DataFrame, codes: DataFrame, column: str, label: str) -> DataFrame:
-    return df.join(F.broadcast(codes.select(F.col("code").alias(column), F.col("en").alias(label))), column, "left")
+    return df.join(codes.select(F.col("code").alias(column), F.col("en").alias(label)), column, "left")
 
 
 def label_lists(df: DataFrame, key: str, column: str, codes: DataFrame) -> DataFrame:
     """A list of codes as the list of their labels, in the same order; a missing code is a null slot."""
-    each = df.select(key, F.posexplode(column).alias("position", "code")).join(F.broadcast(codes), "code", "left")
+    each = df.select(key, F.posexplode(column).alias("position", "code")).join(codes, "code", "left")
     lists = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "en"))), lambda x: x["en"]).alias("labels"))
     return df.select(key).join(lists, key, "left")
 
@@ -199,7 +199,7 @@ def dimension_roles(member: DataFrame, mapped: DataFrame, measures: DataFrame) -
     """Geography where at least half of the members have a place, else measure if the dimension carries units, else category."""
     has = mapped.where("place_id is not null").select("pid", F.lit(1).alias("dimension_id"), "member_id", F.lit(True).alias("placed"))
     joined = member.join(has, ["pid", "dimension_id", "member_id"], "left").groupBy("pid", "dimension_id").agg(F.count("*").alias("n"), F.count("placed").alias("placed"))
-    unit = F.broadcast(measures.withColumn("has_uom", F.lit(True)))
+    unit = measures.withColumn("has_uom", F.lit(True))
     role = F.when(F.col("placed") * 2 >= F.col("n"), "geography").when(F.col("has_uom"), "measure").otherwise("category")
     return joined.join(unit, ["pid", "dimension_id"], "left").select("pid", "dimension_id", role.alias("role"))
 
@@ -209,7 +209,7 @@ def default_coordinate(obs: DataFrame, recent: int) -> DataFrame:
     ids = F.struct("m1", "m2", "m3")
     order = Window.partitionBy("pid").orderBy(F.desc("ref_date"))
     dates = obs.select("pid", "ref_date").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= recent).drop("n")
-    there = obs.where("value_num is not null").join(F.broadcast(dates), ["pid", "ref_date"])
+    there = obs.where("value_num is not null").join(dates, ["pid", "ref_date"])
     return there.groupBy("pid").agg(F.min(ids).alias("c")).select("pid", "c.*")
 
 
@@ -236,7 +236,7 @@ def note_scope(notes: DataFrame, references: DataFrame) -> DataFrame:
 def marks_legend(points: DataFrame, legend: DataFrame) -> DataFrame:
     """Distinct marks of shown points with their meaning, the mark itself where there is none."""
     marks = points.where("status <> ''").select("status").distinct()
-    return marks.join(F.broadcast(legend), "status", "left").select("status", F.coalesce("meaning", "status").alias("meaning"))
+    return marks.join(legend, "status", "left").select("status", F.coalesce("meaning", "status").alias("meaning"))
 
 
 def reconcile(inventory: DataFrame, captured: DataFrame, built: DataFrame, failures: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def reconcile(inventory: DataFrame, captured: DataFrame, built: DataFrame, failu
 def series_slice(obs: DataFrame, member: DataFrame) -> DataFrame:
     """Coordinates with their number of points and a name from the labels that differ among them."""
     labelled = join_labels(obs, member, 3)
-    spread = F.broadcast(labelled.groupBy("pid").agg(*[(F.count_distinct(f"m{k}") > 1).alias(f"v{k}") for k in (1, 2, 3)]))
+    spread = labelled.groupBy("pid").agg(*[(F.count_distinct(f"m{k}") > 1).alias(f"v{k}") for k in (1, 2, 3)])
     name = F.concat_ws(" · ", *[F.when(F.col(f"v{k}"), F.col(f"label_{k}")) for k in (1, 2, 3)])
     return labelled.join(spread, "pid").groupBy("pid", "m1", "m2", "m3", name.alias("name")).agg(F.count("*").alias("n_points"), F.count("value_num").alias("n_published"))
 

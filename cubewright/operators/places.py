@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cubewright.functions.text import bracket_code, fold_accents, parse_dguid, place_level
 
+from .sized import short_list
+
 MAX_DEPTH = 50
 
 
@@ -20,13 +22,13 @@ def map_places(members: DataFrame, alias: DataFrame) -> DataFrame:
     code = bracket_code(F.col("code"))
     base = members.withColumn("d", d).withColumn("c", code)
     by_id = F.col("d").isNotNull() & ((F.col("c") == "") | (F.col("c") == F.col("d.geo_code")))
-    first = base.join(F.broadcast(alias), F.col("c") == F.col("alias_code"), "left").withColumn(
+    first = base.join(alias, F.col("c") == F.col("alias_code"), "left").withColumn(
         "place_id", F.when(by_id, F.col("dguid")).when(F.col("alias_code").isNotNull(), F.concat_ws(":", F.lit("code"), "alias_schema", "alias_geo"))
     ).withColumn("match", F.when(by_id, "dguid").when(F.col("alias_code").isNotNull(), "code"))
     schema = F.coalesce(F.col("d.schema"), F.col("alias_schema"))
     named = first.where(F.col("place_id").isNotNull() & place_level(schema).isin("country", "province")).groupBy(F.lower("member_name").alias("name_key"))
     named = named.agg(F.collect_set("place_id").alias("ids")).where(F.size("ids") == 1).select("name_key", F.col("ids")[0].alias("name_place"))
-    joined = first.join(F.broadcast(named), F.lower("member_name") == F.col("name_key"), "left")
+    joined = first.join(named, F.lower("member_name") == F.col("name_key"), "left")
     return joined.select("pid", "member_id", "member_name", "parent_member_id", F.coalesce("place_id", "name_place").alias("place_id"), F.coalesce("match", F.when(F.col("name_place").isNotNull(), "name"), F.lit("none")).alias("match"))
 
 
@@ -98,7 +100,7 @@ def member_depth(members: DataFrame) -> DataFrame:
 def descendants(members: DataFrame, start: DataFrame) -> DataFrame:
     """All below the members ``start`` (``pid, dimension_id, member_id``), the start left out."""
     own = start.select("pid", "dimension_id", F.col("member_id").alias("ancestor"))
-    below = ancestors(members).where("distance > 0").join(F.broadcast(own), ["pid", "dimension_id", "ancestor"], "left_semi")
+    below = ancestors(members).where("distance > 0").join(own, ["pid", "dimension_id", "ancestor"], "left_semi")
     return below.select("pid", "dimension_id", "member_id").distinct().join(start, ["pid", "dimension_id", "member_id"], "left_anti")
 
 
@@ -119,15 +121,17 @@ def group_coverage(regions: DataFrame, members: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("n_codes"), F.count("there").alias("n_present"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("code")))), ",").alias("missing"))
 
 
-def place_search(places: DataFrame, query: str) -> DataFrame:
-    """Places whose name holds every term, or whose id or code is the query: countries, provinces, then the rest."""
+def place_search(places: DataFrame, query: str, most: int = 1000) -> DataFrame:
+    """Places whose name holds every term, or whose id or code is the query: countries, provinces, then the rest, newest
+    vintage first, with their position; at most ``most``, as a page has. Spark keeps only so many a task."""
     name = fold_accents(F.col("name"))
     every = F.lit(True)
     for term in query.lower().split():
         every &= name.contains(term)
     rank = F.when(F.col("level") == "country", 0).when(F.col("level") == "province", 1).otherwise(2)
-    hit = places.where(every | (F.col("place_id") == query) | (F.col("geo_code") == query))
-    return hit.withColumn("position", F.row_number().over(Window.orderBy(rank, "name", F.col("vintage").desc_nulls_last(), "place_id")))
+    order = [rank, F.col("name"), F.col("vintage").desc_nulls_last(), F.col("place_id")]
+    hit = places.where(every | (F.col("place_id") == query) | (F.col("geo_code") == query)).orderBy(*order).limit(most)
+    return hit.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # one page
 
 
 def place_table_counts(places: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def place_table_counts(places: DataFrame, mapped: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Place names found in texts at word boundaries, by position and then length. ``names`` is a short list."""
     folded = fold_accents(F.col("text"))
-    pairs = texts.join(F.broadcast(names), folded.contains(fold_accents(F.col("name"))))
+    pairs = texts.join(short_list(names), folded.contains(fold_accents(F.col("name"))))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.lit(r"\Q"), fold_accents(F.col("name")), F.lit(r"\E"), F.lit(r"(?![\p{L}\p{N}])"))
     at = F.regexp_instr(folded, pattern)
     return pairs.withColumn("at", at).where("at > 0").select("text_id", "name", "at")
@@ -148,4 +152,4 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 def table_place_join(series: DataFrame, mapped: DataFrame) -> DataFrame:
     """Observations or series with the place of their first dimension's member."""
     own = mapped.select("pid", F.col("member_id").alias("m1"), "place_id")
-    return series.join(F.broadcast(own), ["pid", "m1"], "left")
+    return series.join(own, ["pid", "m1"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cubewright.functions.text import strip_html, table_number
 
 from .view import coverage_bounds, index_rebase, layer_dates, pct_change, window_bounds
+from .sized import short_list
 
 
 def check_labels(rows: DataFrame, member: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def check_labels(rows: DataFrame, member: DataFrame) -> DataFrame:
 
     A label may be the name, the name and its code, or either once quotes and white space are removed.
     """
-    known = F.broadcast(member.select("pid", "member_id", "member_name", "code"))
+    known = member.select("pid", "member_id", "member_name", "code")
     bare = lambda c: F.regexp_replace(c, r'["\s]', "")
     full = F.concat_ws(" ", "member_name", "code")
     label = F.col("label")
@@ -26,7 +27,7 @@ def check_labels(rows: DataFrame, member: DataFrame) -> DataFrame:
 def check_legend(obs: DataFrame, legend: DataFrame) -> DataFrame:
     """Marks that a table's own legend lacks."""
     used = obs.where("status <> ''").select("pid", "status").distinct()
-    return used.join(F.broadcast(legend), ["pid", "status"], "left_anti")
+    return used.join(legend, ["pid", "status"], "left_anti")
 
 
 def table_kind(tables: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def corrections(own: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def place_detail(places: DataFrame, mapped: DataFrame, tables: DataFrame) -> DataFrame:
     """Each place with the tables that cover it, counted by subject."""
-    rows = mapped.where("place_id is not null").select("place_id", "pid").distinct().join(F.broadcast(tables), "pid")
+    rows = mapped.where("place_id is not null").select("place_id", "pid").distinct().join(tables, "pid")
     counted = rows.groupBy("place_id", "subject").agg(F.count_distinct("pid").alias("n"))
     lists = counted.groupBy("place_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "subject", F.col("n").cast("string")))), ",").alias("subjects"))
     return places.join(lists, "place_id", "left").select("place_id", "name", "subjects")
@@ -152,7 +153,7 @@ def requested_measures(questions: DataFrame, members: DataFrame) -> DataFrame:
 def region_groups(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Longest aliases named in each question that don't lie inside a longer one. ``aliases`` is a short list."""
     text = F.lower("question")
-    found = questions.join(F.broadcast(aliases), text.contains(F.col("alias"))).select("question_id", "region", "alias", F.expr("instr(lower(question), alias)").alias("at"))
+    found = questions.join(short_list(aliases), text.contains(F.col("alias"))).select("question_id", "region", "alias", F.expr("instr(lower(question), alias)").alias("at"))
     spans = found.withColumn("end", F.col("at") + F.length("alias"))
     reach = Window.partitionBy("question_id").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("covered", F.max("end").over(reach)).where("covered is null or at >= covered").select("question_id", "region", "at")
@@ -253,9 +254,9 @@ def run_view(obs: DataFrame, spec: dict) -> DataFrame:
     else:
         made = points.select("layer", "series", "period_start", "value")
     shown = window_bounds(made, spec.get("years"), spec.get("from"), spec.get("to"), changes)
-    grid = shown.select("layer", "series").distinct().join(F.broadcast(layer_dates(shown).drop("position")), "layer")
+    grid = shown.select("layer", "series").distinct().join(layer_dates(shown).drop("position"), "layer")
     full = grid.join(shown, ["layer", "series", "period_start"], "left")
-    bare = F.broadcast(coverage_bounds(full).select("layer", "series", "unpublished"))
+    bare = coverage_bounds(full).select("layer", "series", "unpublished")
     return full.join(bare, ["layer", "series"]).select("series", "period_start", "value", "unpublished")
 
 
@@ -280,7 +281,7 @@ def member_sets(a: DataFrame, b: DataFrame, every: DataFrame) -> DataFrame:
 
 def order_by_mention(questions: DataFrame, members: DataFrame) -> DataFrame:
     """Members named in each question, by first mention. ``members`` is a short list."""
-    found = questions.join(F.broadcast(members), F.expr("instr(lower(question), lower(member_name)) > 0"))
+    found = questions.join(short_list(members), F.expr("instr(lower(question), lower(member_name)) > 0"))
     at = found.withColumn("at", F.expr("instr(lower(question), lower(member_name))"))
     return at.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_name"))), lambda x: x["member_name"]), ",").alias("members"))
 

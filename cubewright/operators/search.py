@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cubewright.functions.text import content_hash
 
+from .sized import short_list
+
 
 #: Phrases that a search takes for a table's own words, parts of the price index, and its name. Fixed values.
 SYNONYMS = ((r"(?i)\bquality\s+of\s+life\b", "life satisfaction"), (r"(?i)\bwell[-\s]?being\b", "life satisfaction"), (r"(?i)\binflation\b", "consumer price index all-items"), (r"(?i)\bcost\s+of\s+living\b", "consumer price index all-items"), (r"(?i)\bcpi\b", "consumer price index"))
@@ -47,7 +49,7 @@ def table_search(records: DataFrame, queries: DataFrame, most_terms: int = 8) ->
     terms = each.select("term").distinct()
     low = records.select("pid", "cansim_id", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields])
     hit = [F.col(f).contains(F.col("term")).cast("int") for f in fields]
-    found = low.join(F.broadcast(terms), reduce(Column.__or__, [F.col(f).contains(F.col("term")) for f in fields]) | (F.col("pid") == F.col("term")) | (F.lower("cansim_id") == F.col("term")))  # terms are as bounded as the queries
+    found = low.join(short_list(terms), reduce(Column.__or__, [F.col(f).contains(F.col("term")) for f in fields]) | (F.col("pid") == F.col("term")) | (F.lower("cansim_id") == F.col("term")))  # terms are as bounded as the queries
     found = found.select("pid", "term", *[h.alias(f"{f}_hits") for h, f in zip(hit, fields, strict=True)])
     sums = each.join(found, "term").groupBy("query_id", "pid").agg(F.count("*").alias("held"), F.max("n").alias("n"), *[F.sum(f"{f}_hits").alias(f"{f}_hits") for f in fields]).where("held = n")
     rows = sums.join(records.select("pid", "title", "queryable"), "pid").withColumn("text_hits", F.col("dimensions_hits") + F.col("members_hits") + F.col("notes_hits"))
@@ -280,7 +282,7 @@ def stratified_sample(df: DataFrame, stratum: list[str], key: str, size: int, se
     alloc = first.withColumn("extra", (F.row_number().over(order) <= rest - given).cast("int"))
     alloc = alloc.select(*stratum, F.least(F.col("n"), 1 + F.col("base") + F.col("extra")).alias("take"))
     ranked_rows = df.withColumn("position", F.row_number().over(Window.partitionBy(*stratum).orderBy(stable_rank(seed, F.col(key)), key)))
-    return ranked_rows.join(F.broadcast(alloc), stratum).where("position <= take").drop("take", "position")
+    return ranked_rows.join(alloc, stratum).where("position <= take").drop("take", "position")
 
 
 def size_percentiles(df: DataFrame, by: str, size: str) -> DataFrame:

@@ -33,7 +33,7 @@ def build_series(obs: DataFrame, period: DataFrame) -> DataFrame:
 def series_labels(series: DataFrame, family: DataFrame) -> DataFrame:
     """Series with their unit's family, and ``other`` where the period kind is mixed."""
     kind = F.when(F.col("kind_min") == F.col("kind_max"), F.col("kind_min")).otherwise("other")
-    return series.join(F.broadcast(family), F.col("uom_id_min") == F.col("uom_code"), "left").select(*KEY, "family", kind.alias("period_kind"), "n_obs", "n_published", "last_status")
+    return series.join(family, F.col("uom_id_min") == F.col("uom_code"), "left").select(*KEY, "family", kind.alias("period_kind"), "n_obs", "n_published", "last_status")
 
 
 def direct_series(obs: DataFrame, period: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def series_count_check(series: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def table_stats(series: DataFrame, family: DataFrame) -> DataFrame:
-    joined = series.join(F.broadcast(family), F.col("uom_id_min") == F.col("uom_code"), "left")
+    joined = series.join(family, F.col("uom_id_min") == F.col("uom_code"), "left")
     return joined.groupBy("pid").agg(
         F.sum("n_obs").alias("n_rows"), F.count("*").alias("n_series"), F.min("period_min").alias("period_min"), F.max("period_max").alias("period_max"),
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"),
@@ -89,7 +89,7 @@ def distinct_units(series: DataFrame) -> DataFrame:
 
 def code_coverage(used: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Used codes that a code set lacks."""
-    return used.select(column).distinct().join(F.broadcast(known.select(column).distinct()), column, "left_anti")
+    return used.select(column).distinct().join(known.select(column).distinct(), column, "left_anti")
 
 
 def null_columns(df: DataFrame, columns: list[str]) -> DataFrame:

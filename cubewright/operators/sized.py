@@ -1,0 +1,17 @@
+"""Broadcasts behind a check of size.
+
+Equi-joins in this library carry no hints: Spark broadcasts a side by its statistics, and again by the sizes it meets at run
+time. Where two sides meet by containment instead of a key, the short list is broadcast only while it is short.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+#: Rows that a list may have to be sent to every task.
+SHORT = 20_000
+
+
+def short_list(df: DataFrame, most: int = SHORT) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, so that both sides stay distributed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -21,7 +21,7 @@ def layer_dates(points: DataFrame) -> DataFrame:
 
 def densify(points: DataFrame, keys: list[str]) -> DataFrame:
     """Every series at every date of its layer, missing cells as null values."""
-    dates = F.broadcast(layer_dates(points).drop("position"))
+    dates = layer_dates(points).drop("position")
     grid = points.select(*keys).distinct().join(dates, "layer")
     return grid.join(points, [*keys, "period_start"], "left")
 
@@ -34,7 +34,7 @@ def lookback(points: DataFrame, lag: int) -> DataFrame:
 
 def pct_change(points: DataFrame, lag: int) -> DataFrame:
     """Percentage change against the layer's date ``lag`` positions earlier, for the same series."""
-    steps = F.broadcast(lookback(points, lag))
+    steps = lookback(points, lag)
     before = points.select("layer", "series", F.col("period_start").alias("prior"), F.col("value").alias("before"))
     joined = points.join(steps, ["layer", "period_start"]).join(before, ["layer", "series", "prior"], "left")
     return joined.select("layer", "series", "period_start", pct(F.col("value"), F.col("before")).alias("value"))
@@ -95,7 +95,7 @@ def window_bounds(points: DataFrame, preset_years: int | None = None, from_: str
 
 def pct_change_window(points: DataFrame) -> DataFrame:
     """One value a series: the window's last date against its first, null where either is missing."""
-    ends = F.broadcast(points.groupBy("layer").agg(F.min("period_start").alias("first"), F.max("period_start").alias("last")))
+    ends = points.groupBy("layer").agg(F.min("period_start").alias("first"), F.max("period_start").alias("last"))
     at = lambda c: F.max(F.when(F.col("period_start") == F.col(c), F.col("value")))
     joined = points.join(ends, "layer").groupBy("layer", "series").agg(at("first").alias("a"), at("last").alias("b"), F.first("last").alias("period_start"))
     return joined.select("layer", "series", "period_start", pct(F.col("b"), F.col("a")).alias("value"))
@@ -261,7 +261,7 @@ def series_cap(series: DataFrame, cap: int = 40) -> DataFrame:
 
 def repeat_over_categories(single: DataFrame, categories: DataFrame) -> DataFrame:
     """A series without a category dimension has its value in every category."""
-    return single.drop("category").join(F.broadcast(categories.select("category").distinct()))
+    return single.drop("category").join(categories.select("category").distinct())
 
 
 def last_published(points: DataFrame) -> DataFrame:
