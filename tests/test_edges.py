@@ -3,10 +3,11 @@
 import datetime as dt
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from cubewright.operators import places, view
-from cubewright.sources import archives
+from cubewright.operators import places, records, view, view_run
+from cubewright.sources import archives, metadata
 
 POINTS = "layer int, series string, period_start date, value double, status string"
 D = dt.date
@@ -39,11 +40,11 @@ def test_loop_in_a_hierarchy_ends(spark):
 
 
 def test_archive_source(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+    with zipfile.ZipFile(tmp_path / "10000001.zip", "w") as z:
         z.writestr("10000001.csv", "﻿REF_DATE,VALUE\r\n1992-01,83.0\r\n1992-02,\r\n")
         z.writestr("10000001_MetaData.csv", "x")
     spark.dataSource.register(archives.StatZip)
-    rows = spark.read.format("statzip").option("paths", str(tmp_path / "a.zip")).load().orderBy("row_index").collect()
+    rows = spark.read.format("statzip").option("paths", str(tmp_path / "10000001.zip")).load().orderBy("row_index").collect()
     assert [r["line"] for r in rows] == ["REF_DATE,VALUE", "1992-01,83.0", "1992-02,"]
     assert {r["pid"] for r in rows} == {"10000001"}
 
@@ -52,3 +53,43 @@ def test_wide_rows_keep_blanks(spark):
     df = spark.createDataFrame([("1.1", ["100", "", None], ["", "r", ".."])], "coordinate string, v array<string>, s array<string>").withColumn("k", F.lit(1))
     got = archives.unpivot_wide(df, ["k"], [1, 2, 3], "v", "s").orderBy("coordinate").collect()
     assert [(r["coordinate"], r["value"], r["symbol"]) for r in got] == [("1.1.1", "100", ""), ("1.1.2", "", "r"), ("1.1.3", None, "..")]
+
+
+def test_archive_with_other_members_is_refused(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "10000002.zip", "w") as z:
+        z.writestr("10000001.csv", "REF_DATE\r\n")
+        z.writestr("10000001_MetaData.csv", "x")
+    spark.dataSource.register(archives.StatZip)
+    with pytest.raises(Exception, match="10000002"):
+        spark.read.format("statzip").option("paths", str(tmp_path / "10000002.zip")).load().collect()
+
+
+def test_order_is_checked_across_keys_and_pieces(spark):
+    keys = [("p", 0, 1, 1, 5), ("p", 0, 2, 2, 1), ("p", 0, 3, 1, 9), ("p", 1, 4, 1, 9), ("p", 1, 5, 3, 0), ("q", 0, 1, 1, 1), ("q", 1, 2, 2, 0)]
+    rows = spark.createDataFrame(keys, "pid string, part int, row_index int, a int, b int")
+    assert {r["pid"]: r["n_bad"] for r in records.order_check(rows, ["a", "b"]).collect()} == {"p": 2, "q": 0}
+
+
+def test_a_repeated_cell_does_not_stand_in_for_a_missing_one(spark):
+    obs = spark.createDataFrame([(1, 2.0, 0), (1, 2.0, 0), (2, 3.0, 1)], "m int, value_num double, scalar_id int")
+    group = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 3)], "group_name string, member int")
+    assert {r["group_name"]: r["value"] for r in view.group_sum(obs, group, "m", [], "scalar_id").collect()} == {"a": 32.0, "b": None}
+
+
+def test_metadata_with_faults_yields_problems_and_no_rows(spark):
+    text = ["Cube Title,Product Id,Total number of dimensions", "T,1,1", "Dimension ID,Dimension name", "1,Geo", "Note ID,Note", "early", "1,one", "more"]
+    lines = spark.createDataFrame([("1", i, t) for i, t in enumerate(text)], "pid string, line_no int, line string")
+    tables, problems = metadata.read_metadata(lines)
+    found = {r["problem"] for r in problems.collect()}
+    assert "text before the first record" in found and "missing block member" in found and tables["cube"].count() == 0
+    tables, problems = metadata.read_metadata(lines.where("line <> 'early'"), ("member", "symbol", "survey", "subject", "correction", "attribute"))
+    assert problems.count() == 0 and [tuple(r) for r in tables["note"].collect()] == [("1", 1, "one\nmore")]
+
+
+def test_view_of_one_series_in_two_units_and_with_gaps(spark):
+    rows = [(1, D(2020, m, 1), v, s, 0, u) for m, v, s, u in [(1, 1.0, "", 7), (2, None, "x", 7), (3, 4.0, "E", 7), (4, 5.0, "", 7)]] + [(2, D(2020, m, 1), 2.0, "", 0, 8) for m in (1, 2, 3, 4)]
+    obs = spark.createDataFrame(rows, "m1 int, period_start date, value_num double, status string, scalar_id int, uom_id int")
+    layer = {"obs": obs, "kind": "month", "dims": {"m1": {"use": "series", "members": [1, 2, 3]}}}
+    found = view_run.run_view([layer])
+    assert [(r["from"].month, r["to"].month, r["mark"]) for r in found["gaps"].collect()] == [(2, 2, "x")]
+    assert {(r["series"], r["unit"], r["axis"], r["total"]) for r in found["series"].collect()} == {("m1=1", "7", 0, 2), ("m1=2", "8", 1, 2)}

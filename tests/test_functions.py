@@ -10,24 +10,30 @@ from cubewright.functions import periods, text
 D = dt.date
 
 
-@pytest.mark.parametrize(
-    "ref,frequency,expected",
-    [
-        ("2015", 12, (D(2015, 1, 1), D(2015, 12, 31), "year")),
-        ("2015-04", 6, (D(2015, 4, 1), D(2015, 4, 30), "month")),
-        ("2015-11", 9, (D(2015, 11, 1), D(2016, 1, 31), "quarter")),
-        ("2015-10", 11, (D(2015, 10, 1), D(2016, 3, 31), "half_year")),
-        ("2016-02-29", 2, (D(2016, 2, 29), D(2016, 3, 6), "week")),
-        ("2016-02-29", 1, (D(2016, 2, 29), D(2016, 2, 29), "day")),
-        ("2015/2016", 12, (D(2015, 4, 1), D(2016, 3, 31), "fiscal_year")),
-        ("2007/2010", 12, (D(2007, 1, 1), D(2010, 12, 31), "multi_year")),
-        *[(bad, 6, (None, None, "other")) for bad in ("0000", "2015-13", "2015-02-29", "2015/16", "2015/2015", "2015\n", " 2015", "", None, "2015-4", "2016/2015")],
-    ],
-)
-def test_period(spark, ref, frequency, expected):
-    p = periods.period(F.col("r"), F.lit(frequency))
-    row = spark.createDataFrame([(ref,)], "r string").select(p["start"], p["end"], p["kind"]).first()
-    assert tuple(row) == expected
+PLAIN, EVERY_MONTH, EVERY_QUARTER, HALF_YEARS, WEEKS = 1, 6, 9, 11, 2
+
+
+@pytest.mark.parametrize("year", [1971, 1988, 2031])
+def test_period_of_every_kind(spark, year):
+    """Each kind's end follows from its start by the calendar's own arithmetic."""
+    leap = year % 4 == 0
+    shown = {
+        (f"{year}", PLAIN): (D(year, 1, 1), D(year, 12, 31), "year"), (f"{year}-02", EVERY_MONTH): (D(year, 2, 1), D(year, 2, 29 if leap else 28), "month"),
+        (f"{year}-12", EVERY_QUARTER): (D(year, 12, 1), D(year + 1, 3, 1) - dt.timedelta(days=1), "quarter"), (f"{year}-07", HALF_YEARS): (D(year, 7, 1), D(year, 12, 31), "half_year"),
+        (f"{year}-12-28", WEEKS): (D(year, 12, 28), D(year, 12, 28) + dt.timedelta(days=6), "week"), (f"{year}-06-17", PLAIN): (D(year, 6, 17), D(year, 6, 17), "day"),
+        (f"{year}/{year + 1}", PLAIN): (D(year, 4, 1), D(year + 1, 3, 31), "fiscal_year"), (f"{year}/{year + 5}", PLAIN): (D(year, 1, 1), D(year + 5, 12, 31), "multi_year"),
+        (f"{year}-02-29", PLAIN): (D(year, 2, 29), D(year, 2, 29), "day") if leap else (None, None, "other"),
+    }
+    shown |= {(bad, EVERY_MONTH): (None, None, "other") for bad in (f"{year}-00", f"{year}-1", f"{year}/{year}", f"{year}/{year - 3}", f"{year}/72", f"{year} ", f"x{year}", "0000", "", f"{year}-06-31")}
+    rows = spark.createDataFrame([(r, f) for r, f in shown], "r string, f int")
+    p = periods.period(F.col("r"), F.col("f"))
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in rows.select("r", "f", p["start"], p["end"], p["kind"]).collect()}
+    assert got == shown
+
+
+def test_period_of_nothing(spark):
+    p = periods.period(F.col("r"), F.lit(PLAIN))
+    assert tuple(spark.createDataFrame([(None,)], "r string").select(p["start"], p["end"], p["kind"]).first()) == (None, None, "other")
 
 
 def test_years_before_leap_day(spark):
