@@ -12,15 +12,16 @@ from .registering import Registry
 REGISTRY = Registry()
 add = REGISTRY.add
 
-START = F.to_date(F.concat("ref_date", F.lit("-01")))
+def dated(df):
+    return df.withColumn("period_start", F.to_date(F.concat("ref_date", F.lit("-01"))))
 
 
 def orders(spark, sf_dir):
-    return cube(spark, sf_dir, ORDERS, "obs").withColumn("period_start", START).withColumn("scalar_id", F.lit(0))
+    return dated(cube(spark, sf_dir, ORDERS, "obs")).withColumn("scalar_id", F.lit(0))
 
 
 def lines(spark, sf_dir):
-    return cube(spark, sf_dir, LINES, "obs").withColumn("period_start", START)
+    return dated(cube(spark, sf_dir, LINES, "obs"))
 
 
 def two_layers(spark, sf_dir):
@@ -43,7 +44,7 @@ def view_of_layers(spark, sf_dir):
     return found.select("layer", "series", "period_start", F.round("value", 6).alias("value"))
 
 
-@add(oracle(BOTH, "s AS (SELECT layer, series, min(d) FILTER (WHERE v IS NOT NULL) AS first, max(d) FILTER (WHERE v IS NOT NULL) AS last, count(v) = 0 AS unpublished FROM p GROUP BY 1, 2) SELECT layer, series, CASE layer WHEN 0 THEN '223' ELSE '17' END AS unit, first, last, unpublished, CAST(layer AS INT) AS axis, CAST(5 AS BIGINT) AS total FROM s"))
+@add(oracle(BOTH, "s AS (SELECT layer, series, min(d) FILTER (WHERE v IS NOT NULL) AS first, max(d) FILTER (WHERE v IS NOT NULL) AS last, count(v) = 0 AS unpublished FROM p GROUP BY 1, 2) SELECT layer, series, CASE layer WHEN 0 THEN '223' ELSE '17' END AS unit, first, last, unpublished, CAST(layer AS INT) AS axis, (SELECT count(*) FROM k) AS total FROM s"))
 def view_series(spark, sf_dir):
     return view_run.run_view(two_layers(spark, sf_dir))["series"]
 
