@@ -162,3 +162,98 @@ def source_rank(sources: list[DataFrame], tables: DataFrame, terms: DataFrame, c
     best = rows.groupBy("question_id", "pid").agg(F.max(score).alias("score"), F.max(F.col("preferred").cast("int")).alias("preferred"), F.max((F.col("current") & (F.year("period_max") >= current_year - 3)).cast("int")).alias("active"))
     own = Window.partitionBy("question_id").orderBy(F.desc_nulls_last("active"), F.desc("preferred"), F.desc("score"), "pid")
     return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top).select("question_id", "pid", "score", "rank")
+
+
+def find_series(series: DataFrame, tables: DataFrame, words: list[str], vectors: list[str], filters: dict[str, str], top: int, least: int = 2) -> DataFrame:
+    """Series with at least ``least`` published points that have every word in their table's title or in a label, every
+    vector, and the given place, table or unit family; by phrase, a title's word, points, recency, not terminated, key.
+
+    Tables are cut down first: queryable, two periods or more, and every word somewhere in their search text.
+    """
+    low = F.lower("search_text")
+    known = reduce(DataFrame.where, [low.contains(w) for w in words], tables.where("queryable and n_periods >= 2"))
+    if "pid" in filters:
+        known = known.where(F.col("pid") == filters["pid"])
+    title = F.lower("title")
+    phrase, hits = title.contains(" ".join(words)) if words else F.lit(False), [title.contains(w) for w in words]
+    known = known.select("pid", phrase.alias("phrase"), *[h.alias(f"w{i}") for i, h in enumerate(hits)])
+    rows = series.where(F.col("n_published") >= least)
+    for v in vectors:
+        rows = rows.where(F.col("vector") == v)
+    for column, value in filters.items():
+        rows = rows.where(F.col(column) == value)
+    rows = rows.join(known, "pid")
+    labelled = lambda word: F.exists("labels", lambda x: F.lower(x).contains(word))
+    for i, w in enumerate(words):
+        rows = rows.where(F.col(f"w{i}") | labelled(w))
+    any_title = reduce(Column.__or__, [F.col(f"w{i}") for i in range(len(words))], F.lit(False))
+    found = rows.withColumn("in_title", any_title).orderBy(F.desc("phrase"), F.desc("in_title"), F.desc("n_published"), F.desc("period_max"), "terminated", "pid", "series_key").limit(top)
+    return found.select("pid", "series_key", "phrase", "in_title", "n_published")
+
+
+def slice_series(obs: DataFrame, labels: DataFrame, dimensions: int) -> DataFrame:
+    """``pid, coordinate, name, kind, n_points, n_published, points``: each coordinate with a name from the labels that
+    differ within its table, its kind of period, other where it has several, and its points as ``date=value``.
+
+    ``obs`` has ``m1.., ref_date, value, period_kind``; ``labels`` ``pid, dimension_id, member_id, member_name``.
+    """
+    rows = obs
+    for k in range(1, dimensions + 1):
+        own = labels.where(F.col("dimension_id") == k).select("pid", F.col("member_id").alias(f"m{k}"), F.col("member_name").alias(f"label_{k}"))
+        rows = rows.join(own, ["pid", f"m{k}"], "left")
+    text = F.concat_ws("=", "ref_date", "value")
+    each = rows.groupBy("pid", *[f"m{k}" for k in range(1, dimensions + 1)], *[f"label_{k}" for k in range(1, dimensions + 1)]).agg(
+        F.count("*").alias("n_points"), F.count_if(F.col("value") != "").alias("n_published"),
+        F.when(F.min("period_kind") == F.max("period_kind"), F.min("period_kind")).otherwise("other").alias("kind"), F.array_join(F.array_sort(F.collect_list(text)), ",").alias("points"),
+    )
+    varies = each.groupBy("pid").agg(*[(F.count_distinct(f"m{k}") > 1).alias(f"v{k}") for k in range(1, dimensions + 1)])
+    name = F.concat_ws(" · ", *[F.when(F.col(f"v{k}"), F.col(f"label_{k}")) for k in range(1, dimensions + 1)])
+    return each.join(varies, "pid").select("pid", F.concat_ws(".", *[F.col(f"m{k}").cast("string") for k in range(1, dimensions + 1)]).alias("coordinate"), name.alias("name"), "kind", "n_points", "n_published", "points")
+
+
+def asked_regions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``question_id, region, at``: regions that a question names by their longest aliases, each once, without those inside a
+    longer one; all regions where it says "by region"; and none where a comparison names just one.
+
+    ``questions`` has ``question_id, question, compares``. Aliases and questions meet on the alias's first word.
+    """
+    text = F.lower("question")
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    every = questions.where(text.rlike(r"\bby region\b")).select("question_id").crossJoin(aliases.select("region").distinct()).select("question_id", "region", F.lit(0).alias("at"))  # a question's own list of all regions
+    rows = questions.where(~text.rlike(r"\bby region\b")).select("question_id", "compares", text.alias("t"), F.explode(tokens).alias("word"))
+    named = aliases.withColumn("word", F.regexp_extract(F.lower("alias"), r"[\p{L}\p{N}]+", 0)).withColumn("alias", F.lower("alias"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}])"))
+    met = rows.join(named, "word").withColumn("at", F.regexp_instr("t", pattern)).where("at > 0").withColumn("end", F.col("at") + F.length("alias"))
+    reach = Window.partitionBy("question_id").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = met.withColumn("covered", F.max("end").over(reach)).where("covered is null or at >= covered")
+    once = outer.groupBy("question_id", "compares", "region").agg(F.min("at").alias("at"))
+    counted = once.withColumn("n", F.count("*").over(Window.partitionBy("question_id"))).where("not compares or n > 1")
+    return counted.select("question_id", "region", F.col("at").cast("int").alias("at")).union(every)
+
+
+def starter_views(dimensions: DataFrame) -> DataFrame:
+    """``pid, view, spec``: starter views of each table by its dimensions' roles, as resolved specifications in JSON.
+
+    ``dimensions`` has ``pid, dimension_id, role, default_member, provinces, parts`` (how many provinces and parts it has):
+    a headline line of the defaults over the longest time; a line by province where there are two or more; components where
+    a category has two parts or more, and the latest of them as a bar.
+    """
+    own = F.struct("dimension_id", "role", "default_member", "provinces", "parts")
+    tables = dimensions.groupBy("pid").agg(F.array_sort(F.collect_list(own)).alias("d"))
+    fixed = lambda d: F.struct(F.lit("fixed").alias("use"), F.struct(d["default_member"].cast("string").alias("eq"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("boolean").alias("all")).alias("members"))
+    by = lambda use, role: F.struct(F.lit(use).alias("use"), F.struct(F.lit(None).cast("string").alias("eq"), F.lit(role).cast("string").alias("role"), F.when(F.lit(role is None), True).alias("all")).alias("members"))
+
+    def spec(chosen: Column | None, use: str, role: str | None, preset: str, chart: str) -> Column:
+        one = lambda d: F.when(d["dimension_id"] == chosen, by(use, role)).otherwise(fixed(d)) if chosen is not None else fixed(d)
+        dims = F.map_from_arrays(F.transform("d", lambda d: d["dimension_id"].cast("string")), F.transform("d", one))
+        return F.to_json(F.struct(F.lit(1).alias("v"), F.array(F.struct("pid", dims.alias("dims"))).alias("layers"), F.struct(F.lit(preset).alias("preset")).alias("time"), F.lit("level").alias("transform"), F.struct(F.lit(chart).alias("type")).alias("chart")))
+
+    places = F.get(F.filter("d", lambda d: (d["role"] == "geography") & (d["provinces"] >= 2)), F.lit(0))["dimension_id"]
+    category = F.get(F.filter("d", lambda d: (d["role"] == "category") & (d["parts"] >= 2)), F.lit(0))["dimension_id"]
+    rows = tables.withColumn("place", places).withColumn("category", category)
+    views = [
+        ("headline", F.lit(True), spec(None, "", None, "max", "line")), ("by_province", F.col("place").isNotNull(), spec(F.col("place"), "series", "province", "max", "line")),
+        ("components", F.col("category").isNotNull(), spec(F.col("category"), "series", "leaf", "max", "line")), ("latest", F.col("category").isNotNull(), spec(F.col("category"), "x", "leaf", "latest", "bar")),
+    ]
+    each = F.explode(F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("view"), made.alias("spec"))) for name, test, made in views])))
+    return rows.select("pid", each.alias("v")).select("pid", "v.*")

@@ -185,3 +185,53 @@ def source_rank(spark, sf_dir):
     known = t["part"].select(F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("current"), F.when(F.col("p_partkey") % 4 != 0, F.make_date(2010 + F.col("p_size") % 15, F.lit(6), F.lit(1))).alias("period_max"))
     terms = t["supplier"].where("s_suppkey <= 25").select(F.col("s_nationkey").alias("question_id"), F.explode(F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("red"), F.lit("widget"))).otherwise(F.array(F.lit("red")))).alias("word")).distinct()
     return detail.source_rank([first, second], known, terms, 2024, 12).withColumn("score", F.col("score").cast("long"))
+
+
+@add(oracle(LINES, """, s AS (SELECT CAST(m1 % 4 AS VARCHAR) AS pid, coordinate AS series_key, max(vector) AS vector, count(*) AS n_published, max(ref_date) AS period_max, CASE WHEN m2 = 1 THEN 't' ELSE '' END AS terminated, CASE m2 WHEN 1 THEN 'Returned' WHEN 2 THEN 'New goods' ELSE 'Rest' END AS a, CASE WHEN m3 = 1 THEN 'filled' ELSE 'open' END AS b FROM obs GROUP BY coordinate, m1, m2, m3),
+t AS (SELECT CAST(i AS VARCHAR) AS pid, CASE i WHEN 0 THEN 'Goods filled by nation' WHEN 1 THEN 'Filled goods' WHEN 2 THEN 'All line items' ELSE 'Other' END AS title, i <> 3 AS queryable FROM (SELECT unnest([0, 1, 2, 3]) AS i)),
+f AS (SELECT s.*, contains(lower(title), 'goods filled') AS phrase, contains(lower(title), 'goods') AS w0, contains(lower(title), 'filled') AS w1 FROM s JOIN t USING (pid) WHERE queryable AND n_published >= 2)
+SELECT pid, series_key, phrase, w0 OR w1 AS in_title, n_published FROM f WHERE (w0 OR lower(a) LIKE '%goods%' OR lower(b) LIKE '%goods%') AND (w1 OR lower(a) LIKE '%filled%' OR lower(b) LIKE '%filled%') AND (pid <> '2' OR true)
+ORDER BY phrase DESC, w0 OR w1 DESC, n_published DESC, period_max DESC, terminated, pid, series_key LIMIT 60"""))
+def find_series(spark, sf_dir):
+    obs = cube(spark, sf_dir, LINES, "obs")
+    label = F.array(F.when(F.col("m2") == 1, "Returned").when(F.col("m2") == 2, "New goods").otherwise("Rest"), F.when(F.col("m3") == 1, "filled").otherwise("open"))
+    series = obs.groupBy((F.col("m1") % 4).cast("string").alias("pid"), F.col("coordinate").alias("series_key"), "m2", "m3").agg(F.max("vector").alias("vector"), F.count("*").alias("n_published"), F.max("ref_date").alias("period_max"))
+    series = series.withColumns({"terminated": F.when(F.col("m2") == 1, "t").otherwise(""), "labels": label})
+    titles = ["Goods filled by nation", "Filled goods", "All line items", "Other"]
+    known = spark.createDataFrame([(str(i), t, f"{t} goods filled", i != 3, 80) for i, t in enumerate(titles)], "pid string, title string, search_text string, queryable boolean, n_periods int")
+    return detail.find_series(series, known, ["goods", "filled"], [], {}, 60)
+
+
+@add(oracle(ORDERS, """, o AS (SELECT *, CASE WHEN m1 = 9 AND ref_date < '1996-06' THEN 'quarter' ELSE 'month' END AS period_kind FROM obs WHERE m1 > 1 AND m2 = 1), l AS (SELECT o.*, a.member_name AS n1, c.member_name AS n3 FROM o LEFT JOIN member a ON a.dimension_id = 1 AND a.member_id = m1 LEFT JOIN member c ON c.dimension_id = 3 AND c.member_id = m3)
+SELECT pid, m1 || '.' || m2 || '.' || m3 AS coordinate, n1 || ' · ' || n3 AS name, CASE WHEN min(period_kind) = max(period_kind) THEN min(period_kind) ELSE 'other' END AS kind, count(*) AS n_points, count(*) FILTER (WHERE value <> '') AS n_published, string_agg(ref_date || '=' || value, ',' ORDER BY ref_date || '=' || value) AS points FROM l GROUP BY pid, m1, m2, m3, n1, n3"""))
+def slice_series(spark, sf_dir):
+    kind = F.when((F.col("m1") == 9) & (F.col("ref_date") < "1996-06"), "quarter").otherwise("month")
+    obs = cube(spark, sf_dir, ORDERS, "obs").where("m1 > 1 and m2 = 1").withColumn("period_kind", kind)
+    return detail.slice_series(obs, cube(spark, sf_dir, ORDERS, "member"), 3)
+
+
+REGION_ASKS = [("Prairies vs Atlantic Canada rents", [("prairies", 1), ("atlantic", 13)]), ("Rents in the maritimes", [("maritimes", 14)]), ("compare Atlantic", []), ("jobs by region", [("atlantic", 0), ("prairies", 0), ("maritimes", 0)]), ("transatlantic flights", []), ("maritimes, prairies and the prairie provinces", [("maritimes", 1), ("prairies", 12)])]
+
+
+@add("WITH a(k, region, p) AS (VALUES " + ", ".join(f"({k}, '{r}', {p})" for k, (_, rs) in enumerate(REGION_ASKS) for r, p in rs) + ") SELECT p_partkey AS question_id, region, CAST(p AS INT) AS \"at\" FROM part JOIN a ON k = p_partkey % 6")
+def asked_regions(spark, sf_dir):
+    aliases = spark.createDataFrame([("prairies", "Prairies"), ("prairies", "prairie provinces"), ("atlantic", "Atlantic"), ("atlantic", "Atlantic Canada"), ("maritimes", "maritimes")], "region string, alias string")
+    text = F.element_at(F.array(*[F.lit(q) for q, _ in REGION_ASKS]), (F.col("p_partkey") % 6).cast("int") + 1)
+    asked = tables(spark, sf_dir)["part"].select(F.col("p_partkey").alias("question_id"), text.alias("question"), (F.col("p_partkey") % 6).isin(0, 2, 5).alias("compares"))
+    return detail.asked_regions(asked, aliases)
+
+
+@add("""
+WITH r AS (SELECT CAST(r_regionkey AS VARCHAR) AS pid, r_regionkey AS k, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 8) AS provinces, r_regionkey % 3 AS parts FROM region),
+d AS (SELECT *, '{"use":"fixed","members":{"eq":"1"}}' AS f FROM r),
+v AS (SELECT pid, 'headline' AS view, '{"1":' || f || ',"2":' || f || '}' AS dims, 'max' AS preset, 'line' AS chart FROM d UNION ALL SELECT pid, 'by_province', '{"1":{"use":"series","members":{"role":"province"}},"2":' || f || '}', 'max', 'line' FROM d WHERE provinces >= 2
+  UNION ALL SELECT pid, 'components', '{"1":' || f || ',"2":{"use":"series","members":{"role":"leaf"}}}', 'max', 'line' FROM d WHERE parts >= 2 UNION ALL SELECT pid, 'latest', '{"1":' || f || ',"2":{"use":"x","members":{"role":"leaf"}}}', 'latest', 'bar' FROM d WHERE parts >= 2)
+SELECT pid, view, '{"v":1,"layers":[{"pid":"' || pid || '","dims":' || dims || '}],"time":{"preset":"' || preset || '"},"transform":"level","chart":{"type":"' || chart || '"}}' AS spec FROM v
+""")
+def starter_views(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    provinces = t["nation"].where("n_nationkey < 8").groupBy("n_regionkey").agg(F.count("*").alias("provinces"))
+    base = t["region"].join(provinces, F.col("r_regionkey") == F.col("n_regionkey"), "left").withColumn("pid", F.col("r_regionkey").cast("string"))
+    rows = [base.select("pid", F.lit(1).alias("dimension_id"), F.lit("geography").alias("role"), F.lit(1).alias("default_member"), F.coalesce("provinces", F.lit(0)).cast("int").alias("provinces"), F.lit(0).alias("parts")),
+            base.select("pid", F.lit(2).alias("dimension_id"), F.lit("category").alias("role"), F.lit(1).alias("default_member"), F.lit(0).alias("provinces"), (F.col("r_regionkey") % 3).cast("int").alias("parts"))]
+    return detail.starter_views(rows[0].union(rows[1]))
