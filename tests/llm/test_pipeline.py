@@ -35,3 +35,22 @@ def test_oracles(name, spark, sf_dir):
     names = [d[0] for d in result.description]
     df = queries.QUERIES[name](spark, sf_dir).select(*names)
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_stages_of_empty_documents(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns and found.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Labels that were never trained on: rank, precision and recall of what is called toxic."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = queries.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = queries.op5_toxicity(spark, sf_dir).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    called = [r["toxic"] for r in rows if r["predicted"]]
+    assert above > 0.8 and sum(called) / len(called) > 0.9 and sum(called) / len(bad) > 0.6
