@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, lines, mixing, pages, pii, secrets, simhash, tokens, toxicity
+from . import decontaminate, divergence, embeddings, fingerprints, lines, mixing, pages, pii, secrets, simhash, tokens, toxicity, vectorcodes
 from .common import small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,7 +81,62 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(report("base"), 256).alias("base_sha256"), report("found").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_lines, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op9_pages, op10_secrets)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_simhash, op3_lines, op4_token_ids, op5_toxicity, op6_decontaminate, op7_pii, op8_embeddings, op9_pages, op10_secrets,
+        op11_vector_codes, op12_divergence, op13_fingerprints,
+    )
+}
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after another, every part against every entry."""
+    steps = [f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT id, part, x[1 + part * (len(x) // {parts}) : (part + 1) * (len(x) // {parts})] AS x FROM v, range({parts}) AS r(part)
+), c0 AS (
+  SELECT part, id - 1 AS entry, x FROM s WHERE id <= {entries}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT id, s.part, min(list_sum(list_transform(list_zip(s.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {entries} + c.entry) AS best, any_value(s.x) AS x
+  FROM s JOIN c{k} AS c ON s.part = c.part GROUP BY id, s.part
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS x FROM (
+    SELECT part, best % {entries} AS entry, place, sum(x[place]) AS total, count(*) AS n FROM a{k}, range(1, len(x) + 1) AS r(place) GROUP BY ALL
+  ) GROUP BY ALL
+), c{k + 1} AS (
+  SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} AS c LEFT JOIN m{k} AS m ON c.part = m.part AND c.entry = m.entry
+)""")
+    steps.append(f"""e AS (
+  SELECT id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY id
+), l AS (
+  SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM v JOIN e USING (id) GROUP BY label
+), h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN e USING (id) JOIN l ON v.label IS NOT DISTINCT FROM l.label, h""")
+    return ", ".join(steps)
+
 
 ORACLES = {
     "op1_mixing": r"""
@@ -154,5 +209,37 @@ WITH RECURSIVE v AS (
 )
 SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
+""",
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), v AS (
+  SELECT lang, count(*) AS terms, sum(n) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(o.n, 0) AS n
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) AS o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), p AS (
+  SELECT c.lang, source, term, c.n, 1 + (1000000000::HUGEINT * (c.n + 2)) // (sum(c.n) OVER (PARTITION BY c.lang, source) + 2 * terms) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 2)) // (total + 2 * terms) AS q
+  FROM c JOIN v ON c.lang = v.lang
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item,
+         coalesce((SELECT sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term WHERE a.lang = g.lang AND a.source = g.source AND b.source = h.source), 0) AS value
+  FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
 """,
 }
