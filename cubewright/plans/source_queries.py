@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cubewright.sources import archives, storage
+from cubewright.sources import archives, observations, storage
 
 from .cubes import LINES, ORDERS, cube, oracle, tables
 from .registering import Registry
@@ -225,28 +225,84 @@ def export_view(spark, sf_dir):
     return text.join(typed, "series").join(F.broadcast(source))  # one row
 
 
-@add(oracle(LINES, "SELECT concat('1000', lpad(CAST(m1 AS VARCHAR), 4, '0')) AS pid, count(*) AS n_rows, min(ref_date) AS first, max(value) AS most FROM obs GROUP BY m1"))
-def scan_archives(spark, sf_dir):
-    """Archives are written by the tasks to the shared folder, which this query needs to be a mounted one."""
+def packed(spark, sf_dir):
+    """An archive for each nation's observations, written by the tasks to the shared folder, which has to be a mounted one.
+
+    A unit holds a line end, one dimension's name quotes and a comma, labels a line end or a code. Nations divisible by 5
+    have another header, by 7 a wider last row, by 11 a label that isn't the member's, by 13 a second value that is no number.
+    """
     import pandas as pd
 
     folder = storage.work_path(spark, "archives").removeprefix("file://")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        import csv
+        import io
         import os
         import zipfile
 
         os.makedirs(folder, exist_ok=True)
-        pid = f"1000{int(frame.m1.iloc[0]):04d}"
+        nation = int(frame.m1.iloc[0])
+        pid, text = f"1000{nation:04d}", io.StringIO(newline="")
+        out = csv.writer(text)
+        place = "PLACE" if nation % 5 == 0 else "GEO"
+        out.writerow(["REF_DATE", place, "DGUID", 'Flag, "own"', "Status", "UOM", "UOM_ID", "SCALAR_FACTOR", "SCALAR_ID", "VECTOR", "COORDINATE", "VALUE", "STATUS", "SYMBOL", "TERMINATED", "DECIMALS"])
+        rows = frame.sort_values(["m2", "m3", "ref_date"]).reset_index(drop=True)
+        for k, r in rows.iterrows():
+            geo = "Elsewhere" if nation % 11 == 0 and k == 0 else f"Nation {nation}"
+            flag = f'Flag "{r.m2}"' + ("\n" if r.m2 == 3 else "")
+            value = "1e3" if nation % 13 == 0 and k == 1 else r.value
+            extra = ["more"] if nation % 7 == 0 and k == len(rows) - 1 else []
+            out.writerow([r.ref_date, geo, r.dguid, flag, f"Status {r.m3} [{r.m3}]" if r.m3 == 2 else "Status 1", "Dollars,\nall", r.uom_id, "units", r.scalar_id, r.vector, r.coordinate, value, r.status, "", r.terminated, r.decimals, *extra])
         with zipfile.ZipFile(f"{folder}/{pid}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(f"{pid}.csv", "﻿REF_DATE,COORDINATE,VALUE\r\n" + "".join(f"{d},{c},{v}\r\n" for d, c, v in zip(frame.ref_date, frame.coordinate, frame.value, strict=True)))
+            z.writestr(f"{pid}.csv", "\ufeff" + text.getvalue())
             z.writestr(f"{pid}_MetaData.csv", "")
         return pd.DataFrame({"path": [f"{folder}/{pid}.zip"]})
 
-    made = cube(spark, sf_dir, LINES, "obs").select("m1", "ref_date", "coordinate", "value").groupBy("m1").applyInPandas(pack, "path string")
+    chosen = ["m1", "m2", "m3", "ref_date", "dguid", "uom_id", "scalar_id", "vector", "coordinate", "value", "status", "terminated", "decimals"]
+    made = cube(spark, sf_dir, LINES, "obs").select(*chosen).groupBy("m1").applyInPandas(pack, "path string")
     paths = sorted(r["path"] for r in made.collect())  # one an archive
     spark.dataSource.register(archives.StatZip)
-    lines = spark.read.format("statzip").option("paths", ",".join(paths)).load()
-    cells = F.split("line", ",")
-    rows = lines.where("row_index > 1").select("pid", cells[0].alias("ref_date"), cells[2].alias("value"))
+    return spark.read.format("statzip").option("paths", ",".join(paths))
+
+
+def read_packed(spark, sf_dir):
+    records = packed(spark, sf_dir).load()
+    pids = cube(spark, sf_dir, LINES, "obs").select(F.format_string("1000%04d", "m1").alias("pid"), "m1").distinct()
+    dimension = pids.selectExpr("pid", "stack(3, 1, 'Geography', 2, 'Flag, \"own\"', 3, 'Status') AS (dimension_id, dimension_name)")
+    flags = ", ".join(f"2, {k}, '{name}', ''" for k, name in ((1, 'Flag "1"'), (2, 'Flag "2"'), (3, "Flag 3")))
+    member = pids.selectExpr("pid", f"stack(6, 1, m1, concat('Nation ', m1), '', {flags}, 3, 1, 'Status 1', '', 3, 2, 'Status 2', '[2]') AS (dimension_id, member_id, member_name, classification_code)")
+    return observations.read_observations(records, dimension, member)
+
+
+NUMBERED = ", numbered AS (SELECT *, concat('1000', lpad(CAST(m1 AS VARCHAR), 4, '0')) AS file, row_number() OVER (PARTITION BY m1 ORDER BY m2, m3, ref_date) AS k, count(*) OVER (PARTITION BY m1) AS n FROM obs) "
+WHOLE_FILES = "m1 % 5 <> 0 AND m1 % 7 <> 0 AND m1 % 11 <> 0 AND NOT (m1 % 13 = 0 AND n > 1)"
+
+
+@add(oracle(LINES, NUMBERED + f"SELECT file AS pid, k AS row_index, ref_date, dguid, 'Dollars,' || chr(10) || 'all' AS uom, uom_id, vector, coordinate, value, value_num, status, m1 AS member_id_1, m2 AS member_id_2, m3 AS member_id_3, CAST(NULL AS INT) AS member_id_4 FROM numbered WHERE {WHOLE_FILES}"))
+def archive_observations(spark, sf_dir):
+    found = read_packed(spark, sf_dir)[0]
+    return found.select("pid", "row_index", "ref_date", "dguid", "uom", "uom_id", "vector", "coordinate", "value", "value_num", "status", "member_id_1", "member_id_2", "member_id_3", "member_id_4")
+
+
+@add(oracle(LINES, NUMBERED + """
+SELECT file AS pid, 0::BIGINT AS row_index, 'another header: REF_DATE,PLACE,DGUID,Flag, "own",Status,UOM,UOM_ID,SCALAR_FACTOR,SCALAR_ID,VECTOR,COORDINATE,VALUE,STATUS,SYMBOL,TERMINATED,DECIMALS' AS problem FROM numbered WHERE m1 % 5 = 0 AND k = 1
+UNION ALL SELECT file, k, 'width 17, expected 16' FROM numbered WHERE m1 % 7 = 0 AND k = n
+UNION ALL SELECT file, k, 'dimension 1 member ' || m1 || ' is Nation ' || m1 || ', labelled Elsewhere' FROM numbered WHERE m1 % 11 = 0 AND k = 1
+UNION ALL SELECT file, k, 'not a number: 1e3' FROM numbered WHERE m1 % 13 = 0 AND k = 2"""))
+def archive_problems(spark, sf_dir):
+    return read_packed(spark, sf_dir)[1]
+
+
+@add(oracle(LINES, NUMBERED + "SELECT file AS pid, count(*) AS n_rows, CAST(0 AS BIGINT) AS blank_values, count(*) FILTER (m2 = 3 AND NOT (m1 % 7 = 0 AND k = n) AND NOT (m1 % 13 = 0 AND k = 2)) AS loose_labels FROM numbered GROUP BY file"))
+def archive_report(spark, sf_dir):
+    return read_packed(spark, sf_dir)[2]
+
+
+@add(oracle(LINES, "SELECT concat('1000', lpad(CAST(m1 AS VARCHAR), 4, '0')) AS pid, count(*) AS n_rows, min(ref_date) AS first, max(value) AS most FROM obs WHERE m1 % 13 <> 0 GROUP BY m1"))
+def scan_archives(spark, sf_dir):
+    """Only the tables asked for are opened."""
+    reader = packed(spark, sf_dir).option("pids", ",".join(f"1000{m:04d}" for m in range(1, 26) if m % 13))
+    wide = F.size("cells") - F.size("cells") % 16 - 16  # a wider row has its cell more at the end
+    rows = reader.load().where("row_index > 0").select("pid", F.get("cells", F.lit(0)).alias("ref_date"), F.get("cells", wide + 11).alias("value"))
     return rows.groupBy("pid").agg(F.count("*").alias("n_rows"), F.min("ref_date").alias("first"), F.max("value").alias("most"))

@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 INVENTORY = "productId long, cansimId string, cubeTitleEn string, frequencyCode int, subjectCode array<string>, dimensions array<struct<dimensionNameEn:string,dimensionPositionId:int,hasUOM:boolean>>, corrections array<struct<correctionDate:string,correctionNoteEn:string>>"
 
@@ -75,10 +75,13 @@ def parse_members(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class StatZip(DataSource):
-    """``spark.read.format("statzip").option("paths", "a.zip,b.zip")``: rows of the observation member of each archive.
+    """``spark.read.format("statzip").option("paths", "a.zip,b.zip")``: CSV records of the observation member of each archive.
 
-    Yields ``pid, row_index, line``. An archive ``<pid>.zip`` or ``<pid>-eng.zip`` must hold just ``<pid>.csv`` and
-    ``<pid>_MetaData.csv``. One partition an archive; the file is streamed. Paths are of folders mounted on all executors.
+    Yields ``pid, row_index, cells, problem``: the header is row 0, a quoted cell may hold line ends, and a file that can't
+    be read to its end has a last row without cells that says why. An archive ``<pid>.zip`` or ``<pid>-eng.zip`` must hold
+    just ``<pid>.csv`` and ``<pid>_MetaData.csv``. One partition an archive; the file is streamed. ``option("pids", "1,2")``
+    opens only these tables' archives, and so does a filter on ``pid`` with ``option("pushdown", "true")``, for which Spark
+    wants ``spark.sql.python.filterPushdown.enabled`` in the session. Paths are of folders mounted on all executors.
     """
 
     @classmethod
@@ -86,39 +89,72 @@ class StatZip(DataSource):
         return "statzip"
 
     def schema(self) -> str:
-        return "pid string, row_index long, line string"
+        return "pid string, row_index long, cells array<string>, problem string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["paths"].split(","))
+        pids = self.options.get("pids")
+        kind = _FilteredReader if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["paths"].split(","), None if pids is None else pids.split(","))
+
+
+def _pid(path: str) -> str:
+    return path.rsplit("/", 1)[-1].removesuffix(".zip").removesuffix("-eng")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], pids: list[str] | None):
+        self.paths = [p for p in paths if pids is None or _pid(p) in pids]
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator:
+        import csv
         import io
 
         import pyarrow as pa
 
+        if partition is None:  # Spark's stand-in where there is nothing to read
+            return
+        csv.field_size_limit(1 << 30)
+        kinds = {"pid": pa.string(), "row_index": pa.int64(), "cells": pa.list_(pa.string()), "problem": pa.string()}
+        schema = pa.schema(list(kinds.items()))
+
+        def batch(first: int, rows: list, problem: str | None = None) -> pa.RecordBatch:
+            n = len(rows)
+            return pa.RecordBatch.from_pydict({"pid": [pid] * n, "row_index": list(range(first, first + n)), "cells": rows, "problem": [problem] * n}, schema=schema)
+
         with zipfile.ZipFile(partition.value) as archive:
-            pid = partition.value.rsplit("/", 1)[-1].removesuffix(".zip").removesuffix("-eng")
+            pid = _pid(partition.value)
             names, wanted = sorted(archive.namelist()), [f"{pid}.csv", f"{pid}_MetaData.csv"]
             if names != wanted:
                 raise ValueError(f"{partition.value}: holds {names}, not {wanted}")
             with archive.open(names[0]) as raw:
-                lines = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="\n")
-                held, first = [], 1
-                for line in lines:
-                    held.append(line.rstrip("\r\n"))
-                    if len(held) == 50_000:
-                        yield pa.RecordBatch.from_pydict({"pid": [pid] * len(held), "row_index": list(range(first, first + len(held))), "line": held})
-                        first, held = first + len(held), []
-                if held:
-                    yield pa.RecordBatch.from_pydict({"pid": [pid] * len(held), "row_index": list(range(first, first + len(held))), "line": held})
+                records = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
+                held, size, first = [], 0, 0
+                try:
+                    for record in records:
+                        held.append(record)
+                        size += sum(map(len, record))
+                        if len(held) == 20_000 or size > 8 << 20:
+                            yield batch(first, held)
+                            first, held, size = first + len(held), [], 0
+                except (UnicodeDecodeError, csv.Error) as error:
+                    yield batch(first, held)
+                    yield batch(first + len(held), [None], f"unreadable: {error}")
+                else:
+                    if held:
+                        yield batch(first, held)
+
+
+class _FilteredReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            wanted = [f.value] if isinstance(f, EqualTo) else f.value if isinstance(f, In) else None
+            if wanted is None or f.attribute != ("pid",):
+                yield f
+            else:
+                self.paths = [p for p in self.paths if _pid(p) in wanted]
 
 
 def unpivot_wide(rows: DataFrame, keys: list[str], ids: list[int], values: str, symbols: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .storage import stored
+
 #: Blocks by the column names of their files. Fixed values.
 COLUMNS = {
     "cube": {"Cube Title": "cube_title", "Product Id": "product_id", "CANSIM Id": "cansim_id", "URL": "url", "Cube Notes": "cube_notes", "Archive Status": "archive_status", "Frequency": "frequency", "Start Reference Period": "start_reference_period", "End Reference Period": "end_reference_period", "Total number of dimensions": "total_dimensions", "Universe": "universe", "Variable List": "variable_list"},
@@ -22,34 +24,73 @@ COLUMNS = {
 }
 OPTIONAL = ("correction", "attribute")
 INTEGERS = ("total_dimensions", "dimension_id", "member_id", "parent_member_id", "note_id")
-#: Where a record of free text starts: id, and for corrections a date.
-STARTS = {"note": r'^"?([0-9]+)"?,(.*)$', "correction": r'^"?([0-9]+)"?,"?([0-9-]+)"?,(.*)$'}
+#: Blocks of free text by the number of cells before a record's text: an id, and for corrections a date.
+LOOSE = {"note": 1, "correction": 2}
+LEGEND = "Symbol Legend"
+#: A member line begins with its dimension and the quote before its name, and ends with a code without quotes, its id, a
+#: parent's id or none, the mark of an ended member or none, and whatever fields the file has besides.
+MEMBER_START, MEMBER_END = r'\A"?[0-9]+"?,"', r'\A("[^"]*"|[^",]*),"?[0-9]+"?,("[0-9]*"|[0-9]*),(t|"t"|""|)(,|\z)'
+
+
+def _found(line: Column) -> Column:
+    """The commas of a record that begins before ``line``, each with the cell after it; what belongs to no cell is left out."""
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*|[^",][^,]*|)'), F.lit(0))
 
 
 def csv_cells(line: Column) -> Column:
-    """The cells of a CSV line, outer quotes removed and doubled ones halved."""
-    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    quoted = lambda c: (F.length(c) > 1) & c.startswith('"') & c.endswith('"')
-    return F.transform(found, lambda c: F.when(quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    """The cells of a CSV record: a quoted cell's outer quotes removed and doubled ones halved; what follows the closing
+    quote, and quotes within a cell that has none at its start, are text."""
+    quoted = r'(?s)\A,"([^"]*+(?:""[^"]*+)*+)"(.*)\z'
+    plain = lambda c: F.substring(c, F.lit(2), F.length(c))
+    unquoted = lambda c: F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))
+    return F.transform(_found(line), lambda c: F.when(F.substring(c, 2, 1) == '"', unquoted(c)).otherwise(plain(c)))
+
+
+def is_open(line: Column) -> Column:
+    """Whether a record that begins with ``line`` goes on in the next one, inside quotes."""
+    return F.array_join(_found(line), "") != F.concat(F.lit(","), line)
 
 
 def named_blocks(lines: DataFrame) -> DataFrame:
-    """Lines with their block's name, its header's cells and whether they are a header. Windows are within one file.
+    """``pid, line_no, line, cells, block, header, is_header, record``: lines with their block and its header's cells, and
+    the line that their CSV record begins with. Windows are within one file.
 
-    A header is a line that begins with its block's first two columns, in either order.
+    A block starts at a line whose first cell, or first two, name it; the symbols' also at a bare ``Symbol Legend``, which
+    is left out, and then has its header in the next line. A line is a function of whether it begins inside quotes: it ends
+    there or not whatever came before, or keeps that state, or turns it over. So the state is the last fixed one, turned
+    over as often as lines since then do. A byte-order mark and carriage returns are taken off.
     """
     own = Window.partitionBy("pid").orderBy("line_no")
-    cells = csv_cells(F.col("line"))
+    text = F.regexp_replace("line", r"\r\z", "")
+    rows = lines.withColumn("line", F.when(F.lag("line_no").over(own).isNull(), F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text))
+    rows = rows.withColumn("cells", csv_cells(F.col("line")))
+    one, two = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
     name = F.lit(None).cast("string")
     for block, columns in COLUMNS.items():
-        a, b = list(columns)[:2]
-        one, two = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
-        found = (one == a) & (F.get("cells", F.lit(2)) == "Attribute Key") if block == "attribute" else ((one == a) & (two == b)) | ((one == b) & (two == a))
+        first, second = list(columns)[:2]
+        if block == "symbol":
+            found = ((one == first) & (two == second)) | ((one == second) & (two == first))
+        else:
+            found = (one == first) & (two == second) if first == "Dimension ID" else one == first
         name = F.when(found, block).otherwise(name)
-    rows = lines.withColumn("cells", cells).withColumn("starts", name)
-    block = F.last("starts", ignorenulls=True).over(own)
-    header = F.last(F.when(F.col("starts").isNotNull(), F.col("cells")), ignorenulls=True).over(own)
-    return rows.select("pid", "line_no", "line", "cells", block.alias("block"), header.alias("header"), F.col("starts").isNotNull().alias("is_header"))
+    rows = rows.withColumn("name", name).withColumn("legend", F.coalesce(one == LEGEND, F.lit(False)))
+    after = F.coalesce(F.lag("legend").over(own), F.lit(False)) & F.coalesce(F.col("name") == "symbol", F.lit(True))
+    rows = rows.withColumn("is_header", F.coalesce(after | F.col("name").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("name", F.when(F.col("is_header"), F.coalesce("name", F.lit("symbol"))))
+    rows = rows.withColumn("block", F.last("name", ignorenulls=True).over(own)).withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(own))
+    rows = rows.withColumn("number", F.sum(F.col("is_header").cast("int")).over(own)).where("not legend")
+
+    within = Window.partitionBy("pid", "number").orderBy("line_no")
+    rows = rows.withColumn("fresh", is_open(F.col("line"))).withColumn("inside", is_open(F.concat(F.lit('"'), F.col("line"))))
+    fixed = F.col("fresh") == F.col("inside")
+    rows = rows.withColumn("since", F.sum(fixed.cast("int")).over(within))
+    span = Window.partitionBy("pid", "number", "since").orderBy("line_no")
+    begun = F.when(F.col("since") > 0, F.first("fresh").over(span)).otherwise(False).cast("int")
+    turns = F.sum((F.col("fresh") & ~F.col("inside")).cast("int")).over(span)
+    rows = rows.withColumn("ends_open", (begun + turns) % 2 == 1)
+    begins = ~F.coalesce(F.lag("ends_open").over(within), F.lit(False))
+    rows = rows.withColumn("record", F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(within))
+    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record")
 
 
 def block_problems(blocks: DataFrame) -> DataFrame:
@@ -69,28 +110,56 @@ def parse_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """A rectangular block's rows by mapped column names, and its problems.
 
     Columns that a file's header lacks are null, rows of blanks are dropped, integers are cast. A row is refused where
-    it has non-empty cells beyond its header or an integer that isn't one.
+    it has non-empty cells beyond its header, an integer that isn't one, or quotes that never close. A quoted cell may
+    hold line ends, which are dropped, as its lines are one record. A file's member rows are a line each, unless one that
+    ``with_anchored`` can't read has an odd number of quotes: then they are records like the other blocks'.
     """
-    rows = blocks.where((F.col("block") == name) & ~F.col("is_header") & F.exists("cells", lambda c: c != ""))
+    rows = blocks.where((F.col("block") == name) & ~F.col("is_header")).select("pid", "line_no", "line", "header", "record")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    if name == "member":
+        rows = with_anchored(rows)
+        odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
+        rows = rows.withColumn("spans", F.max(odd & F.col("anchored").isNull()).over(Window.partitionBy("pid")))
+        rows = rows.withColumn("record", F.when(F.col("spans"), F.col("record")).otherwise(F.col("line_no"))).withColumn("anchored", F.when(~F.col("spans"), F.col("anchored")))
+    else:
+        rows = rows.withColumn("anchored", F.lit(None).cast("array<string>"))
+    rows = rows.groupBy("pid", "record").agg(F.array_join(lines, "").alias("line"), F.any_value("header").alias("header"), F.any_value("anchored").alias("anchored"))
+    rows = rows.withColumn("cells", F.coalesce("anchored", csv_cells(F.col("line"))))
     if name == "member":
-        rows = rows.withColumn("cells", member_cells(F.col("line"), F.col("cells"), F.col("header")))
+        rows = rows.withColumn("cells", member_cells(F.col("cells"), F.col("header")))
+    rows = rows.where(F.exists("cells", lambda c: c != ""))
     wide = F.exists(F.slice("cells", F.size("header") + 1, F.greatest(F.size("cells") - F.size("header"), F.lit(0))), lambda c: c != "")
     at = lambda h: F.get("cells", (F.array_position("header", h) - 1).cast("int"))
     cell = lambda h: F.when(F.array_position("header", h) > 0, at(h))
     whole = [(c, cell(h)) for h, c in COLUMNS[name].items()]
     bad = F.array_compact(F.array(*[F.when((v != "") & ~v.rlike(r"\A[0-9]+\z"), F.lit(c)) for c, v in whole if c in INTEGERS] or [F.lit(None).cast("string")]))
-    checked = rows.withColumn("problem", F.when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ","))))
+    unclosed = F.col("anchored").isNull() & is_open(F.col("line"))
+    problem = F.when(unclosed, "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
+    checked = rows.withColumn("problem", problem)
     good = checked.where("problem is null").select("pid", *[(v.try_cast("int") if c in INTEGERS else v).alias(c) for c, v in whole])
-    return good, checked.where("problem is not null").select("pid", "line_no", "problem")
+    return good, checked.where("problem is not null").select("pid", F.col("record").alias("line_no"), "problem")
 
 
-def member_cells(line: Column, cells: Column, header: Column) -> Column:
-    """Cells of a member row: names may hold unescaped quotes, so the row is anchored at both ends by its numeric fields;
-    note ids that stand unquoted, ``2,3``, are one field, ``2;3``, and a trailing comma is no field."""
-    pattern = r'^"?([0-9]+)"?,"(.*)","?(\[[^\]"]*\]|)"?,"?([0-9]+)"?,"?([0-9]*)"?(?:,(.*))?$'
-    part = lambda i: F.regexp_extract(line, pattern, i)
-    anchored = F.concat(F.array(part(1), F.replace(part(2), F.lit('""'), F.lit('"')), part(3), part(4), part(5)), csv_cells(part(6)))
-    found = F.when(line.rlike(pattern), anchored).otherwise(cells)
+def with_anchored(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``anchored``: the cells of a member line whose name stands in quotes, and may hold quotes and commas
+    itself; null for any other line, and for one that begins without a quote and has an odd number of them.
+
+    What follows the line's start is cut wherever a quote stands before a comma; the name ends at the first such cut after
+    which the line goes on as a member line ends.
+    """
+    rest = lambda k: F.array_join(F.slice("pieces", k + 1, F.size("pieces")), '",')
+    cut = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda k: rest(k).rlike(MEMBER_END))
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
+    start = F.col("line").rlike(MEMBER_START) & ~(odd & ~F.col("line").startswith('"'))
+    rows = rows.withColumn("pieces", F.when(start, F.split(F.regexp_replace("line", MEMBER_START, ""), '",'))).withColumn("at", F.get(cut, F.lit(0)))
+    name = F.replace(F.array_join(F.slice("pieces", 1, F.col("at")), '",'), F.lit('""'), F.lit('"'))
+    cells = F.concat(F.array(F.regexp_extract("line", "[0-9]+", 0), name), csv_cells(rest(F.col("at"))))
+    return rows.withColumn("anchored", F.when(F.col("at").isNotNull(), cells)).drop("pieces", "at")
+
+
+def member_cells(found: Column, header: Column) -> Column:
+    """A member row's cells under its header: a trailing comma is no field, and note ids that stand unquoted, ``2,3``, are
+    one field, ``2;3``."""
     trimmed = F.when((F.size(found) > F.size(header)) & (F.element_at(found, -1) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
     at = F.array_position(header, "Member Notes").cast("int")
     tail = F.slice(trimmed, at, F.greatest(F.size(trimmed) - at + 1, F.lit(0)))
@@ -101,38 +170,46 @@ def member_cells(line: Column, cells: Column, header: Column) -> Column:
 def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Records of free text: one starts at each line with an id (and a date), and following lines belong to it.
 
-    The outer pair of quotes is trimmed and nothing is unescaped. Text before the first record is a problem.
+    The outer pair of quotes is trimmed and nothing is unescaped. Text before the first record is a problem, and a header
+    that doesn't begin with the block's own columns.
     """
     own = Window.partitionBy("pid").orderBy("line_no")
-    part = lambda i: F.regexp_extract("line", STARTS[name], i)
-    starts = F.col("line").rlike(STARTS[name])
-    rows = blocks.where((F.col("block") == name) & ~F.col("is_header")).withColumn("record", F.sum(starts.cast("int")).over(own))
-    last = 2 if name == "note" else 3
-    text = F.when(starts, part(last)).otherwise(F.col("line"))
-    each = rows.where("record > 0").groupBy("pid", "record").agg(
-        F.min(F.when(starts, part(1))).alias("id"), F.min(F.when(starts, part(2))).alias("date"),
+    n, columns = LOOSE[name], list(COLUMNS[name])
+    raw, cell = _found(F.col("line")), lambda k: F.get("cells", F.lit(k))
+    starts = (F.size("cells") > n) & cell(0).rlike(r"\A[0-9]+\z")
+    if n > 1:
+        starts = starts & cell(1).rlike(r"\A[0-9-]+\z")
+    rest = F.substring("line", sum((F.length(F.get(raw, F.lit(k))) for k in range(n)), F.lit(1)), F.length("line"))
+    mine = blocks.where(F.col("block") == name)
+    rows = mine.where(~F.col("is_header")).withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("number", F.sum(F.col("starts").cast("int")).over(own))
+    text = F.when(F.col("starts"), rest).otherwise(F.col("line"))
+    each = rows.where("number > 0").groupBy("pid", "number").agg(
+        *[F.min(F.when(F.col("starts"), cell(k))).alias(f"cell_{k}") for k in range(n)],
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))), lambda x: x["text"]), "\n").alias("text"),
     )
     plain = F.regexp_replace("text", r"\n+\z", "")
     plain = F.regexp_replace(plain, r'",\z', '"')
     plain = F.regexp_replace(plain, r'(?s)\A"(.*)"\z', "$1")
-    columns = list(COLUMNS[name].values())
-    good = each.select("pid", (F.col("id").cast("int") if columns[0] in INTEGERS else F.col("id")).alias(columns[0]), *([F.col("date").alias(columns[1])] if last == 3 else []), plain.alias(columns[-1]))
-    early = rows.where("(record is null or record = 0) and trim(line) <> ''").select("pid", "line_no", F.lit("text before the first record").alias("problem"))
-    return good, early
+    named = list(COLUMNS[name].values())
+    good = each.select("pid", *[(F.col(f"cell_{k}").cast("int") if named[k] in INTEGERS else F.col(f"cell_{k}")).alias(named[k]) for k in range(n)], plain.alias(named[-1]))
+    early = rows.where("number = 0 and trim(line) <> ''").select("pid", "line_no", F.lit("text before the first record").alias("problem"))
+    headed = F.slice("cells", 1, len(columns)) == F.array(*map(F.lit, columns))
+    other = mine.where(F.col("is_header") & ~headed).select("pid", "line_no", F.lit(f"unexpected header of {name}").alias("problem"))
+    return good, early.union(other)
 
 
 def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tuple[dict[str, DataFrame], DataFrame]:
     """All blocks as tables, of the files without a problem, and the problems of the others.
 
     Besides what the blocks refuse, a file needs exactly one cube row, and as many dimensions as that declares. Files of
-    another family may lack further blocks: give them in ``optional``.
+    another family may lack further blocks: give them in ``optional``. A cube's row also has the block of its notes as it
+    stands, ``note_block_raw``. The lines are read once: the named blocks are stored, and all tables come from there.
     """
-    blocks = named_blocks(lines)
+    blocks = stored(named_blocks(lines), "blocks")
     allowed = [f"missing block {b}" for b in optional]
     tables, problems = {}, block_problems(blocks).where(~F.col("problem").isin(*allowed))
     for name in COLUMNS:
-        tables[name], bad = loose_block(blocks, name) if name in STARTS else parse_block(blocks, name)
+        tables[name], bad = loose_block(blocks, name) if name in LOOSE else parse_block(blocks, name)
         problems = problems.union(bad)
     declared = tables["cube"].groupBy("pid").agg(F.count("*").alias("n"), F.max("total_dimensions").alias("declared"))
     found = tables["dimension"].groupBy("pid").agg(F.count("*").alias("dimensions"))
@@ -141,6 +218,9 @@ def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tup
     differ = F.when((F.col("n") == 1) & ~F.col("declared").eqNullSafe(F.coalesce("dimensions", F.lit(0)).cast("int")), F.concat(F.coalesce("dimensions", F.lit(0)).cast("string"), F.lit(" dimensions of "), F.coalesce(F.col("declared").cast("string"), F.lit("none"))))
     counts = whole.select("pid", F.lit(None).cast("int").alias("line_no"), F.coalesce(several, differ).alias("problem")).where("problem is not null")
     problems = problems.union(counts)
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    tables["cube"] = tables["cube"].join(blocks.where("block = 'note'").groupBy("pid").agg(raw.alias("note_block_raw")), "pid", "left")
+    problems = stored(problems, "metadata-problems")
     bad = problems.select("pid").distinct()
     return {name: t.join(bad, "pid", "left_anti") for name, t in tables.items()}, problems
 

@@ -18,6 +18,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/builds/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is derived from it reads that, and lost executors take nothing with them."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int) -> None:
     """Range-partitioned and sorted within, in row groups of about 8 MB, so that readers skip by the leading keys. Spark's
     committer writes under temporary names and renames at the end, so a reader sees all files or none."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubewright.operators import places, records, view, view_run
-from cubewright.sources import archives, metadata
+from cubewright.sources import archives, metadata, observations
 
 POINTS = "layer int, series string, period_start date, value double, status string"
 D = dt.date
@@ -45,8 +45,63 @@ def test_archive_source(spark, tmp_path):
         z.writestr("10000001_MetaData.csv", "x")
     spark.dataSource.register(archives.StatZip)
     rows = spark.read.format("statzip").option("paths", str(tmp_path / "10000001.zip")).load().orderBy("row_index").collect()
-    assert [r["line"] for r in rows] == ["REF_DATE,VALUE", "1992-01,83.0", "1992-02,"]
-    assert {r["pid"] for r in rows} == {"10000001"}
+    assert [r["cells"] for r in rows] == [["REF_DATE", "VALUE"], ["1992-01", "83.0"], ["1992-02", ""]]
+    assert {r["pid"] for r in rows} == {"10000001"} and [r["row_index"] for r in rows] == [0, 1, 2]
+
+
+def test_archive_records_over_lines_and_only_asked_for(spark, tmp_path):
+    for pid, text in (("10000001", b'A,B\r\n"one\r\nrecord, of ""two"" lines",2\r\n3,"4"\r\n'), ("10000002", b"A\n1\n\xff\n"), ("10000003", b"")):
+        with zipfile.ZipFile(tmp_path / f"{pid}-eng.zip", "w") as z:
+            z.writestr(f"{pid}.csv", text)
+            z.writestr(f"{pid}_MetaData.csv", "x")
+    spark.dataSource.register(archives.StatZip)
+    reader = spark.read.format("statzip").option("paths", ",".join(str(p) for p in sorted(tmp_path.iterdir())))
+    rows = reader.load().orderBy("pid", "row_index").collect()
+    assert [r["cells"] for r in rows if r["pid"] == "10000001"] == [["A", "B"], ['one\r\nrecord, of "two" lines', "2"], ["3", "4"]]
+    assert "unreadable" in [r for r in rows if r["pid"] == "10000002"][-1]["problem"] and not any(r["pid"] == "10000003" for r in rows)
+    assert {r["pid"] for r in reader.option("pids", "10000001").load().collect()} == {"10000001"}
+    assert reader.option("pids", "9").load().collect() == []
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = reader.option("pids", "10000001,10000002").option("pushdown", "true").load().where("pid = '10000001'")
+        assert pushed.rdd.getNumPartitions() == 1 and pushed.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_tables_without_header_or_metadata_have_problems(spark):
+    records = spark.createDataFrame([("1", 0, None, "unreadable: x"), ("2", 0, ["A"], None), ("2", 1, ["b"], None)], "pid string, row_index long, cells array<string>, problem string")
+    dimension = spark.createDataFrame([("1", 1, "Geo"), ("3", 1, "Geo")], "pid string, dimension_id int, dimension_name string")
+    member = spark.createDataFrame([], "pid string, dimension_id int, member_id int, member_name string, classification_code string")
+    rows, problems, report = observations.read_observations(records, dimension, member)
+    assert sorted((r["pid"], r["problem"]) for r in problems.collect()) == [("1", "unreadable: x"), ("2", "no dimensions in the metadata"), ("3", "no header")]
+    assert rows.count() == 0 and report.count() == 1
+    nothing = observations.read_observations(records.limit(0), dimension.limit(0), member)
+    assert [t.count() for t in nothing] == [0, 0, 0]
+
+
+NAMES = ['plain', 'a, comma', '"very good" or "excellent"', 'Total, "very good"', '6" pipe', 'ends in a quote"', '"', 'a","b', 'codes [1]', '']
+
+
+def test_member_names_come_back_whole(spark):
+    """Names written as published, in quotes that are not doubled, are read as they were; so are proper CSV names."""
+    head = "Dimension ID,Member Name,Classification Code,Member ID,Parent Member ID,Terminated,Member Notes"
+    published = [f'"1","{n}","11-21","{k + 1}","",t,1;2,' for k, n in enumerate(NAMES)]
+    doubled = ['1,"{}",11-21,{},,t,1;2'.format(n.replace('"', '""'), k + 1) for k, n in enumerate(NAMES)]
+    for text in (published, doubled):
+        lines = spark.createDataFrame([("1", i, t) for i, t in enumerate([head, *text])], "pid string, line_no int, line string")
+        rows, problems = metadata.parse_block(metadata.named_blocks(lines), "member")
+        assert [(r["member_name"], r["classification_code"], r["terminated"], r["member_notes"]) for r in rows.orderBy("member_id").collect()] == [(n, "11-21", "t", "1;2") for n in NAMES]
+        assert problems.count() == 0
+
+
+def test_quotes_that_never_close_are_a_problem(spark):
+    head = "Dimension ID,Dimension name,Dimension Notes"
+    text = [head, '1,"Geo', 'graphy" all "",x', '2,6" pipe,', '3,"open,', "4,more,"]
+    lines = spark.createDataFrame([("1", i, t) for i, t in enumerate(text)], "pid string, line_no int, line string")
+    rows, problems = metadata.parse_block(metadata.named_blocks(lines), "dimension")
+    assert sorted((r["dimension_id"], r["dimension_name"]) for r in rows.collect()) == [(1, 'Geography all ""'), (2, '6" pipe')]
+    assert [(r["line_no"], r["problem"]) for r in problems.collect()] == [(4, "quotes never close")]
 
 
 def test_wide_rows_keep_blanks(spark):
