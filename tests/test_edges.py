@@ -147,4 +147,72 @@ def test_view_of_one_series_in_two_units_and_with_gaps(spark):
     layer = {"obs": obs, "kind": "month", "dims": {"m1": {"use": "series", "members": [1, 2, 3]}}}
     found = view_run.run_view([layer])
     assert [(r["from"].month, r["to"].month, r["mark"]) for r in found["gaps"].collect()] == [(2, 2, "x")]
-    assert {(r["series"], r["unit"], r["axis"], r["total"]) for r in found["series"].collect()} == {("m1=1", "7", 0, 2), ("m1=2", "8", 1, 2)}
+    assert {(r["series"], r["unit"], r["axis"], r["unpublished"], r["total"]) for r in found["series"].collect()} == {("m1=1", "7", 0, False, 3), ("m1=2", "8", 1, False, 3), ("m1=3", "7", 0, True, 3)}
+    assert found["points"].where("series = 'm1=3'").count() == 4
+
+
+OBS = "m1 int, period_start date, value_num double, status string, scalar_id int, uom_id int"
+
+
+def one(obs, members, **more):
+    return {"obs": obs, "kind": "month", "dims": {"m1": {"use": "series", "members": members, **more}}}
+
+
+def test_axes_follow_the_selection_not_the_text(spark):
+    rows = [(m, D(2020, 1, 1), 1.0, "", 0, u) for m, u in ((2, 7), (10, 8), (3, 9))]
+    found = view_run.run_view([one(spark.createDataFrame(rows, OBS), [2, 10, 3])])["series"]
+    assert {(r["series"], r["unit"], r["axis"]) for r in found.collect()} == {("m1=2", "7", 0), ("m1=10", "8", 1)}
+    scaled = spark.createDataFrame([(1, D(2020, 1, 1), 1.0, "", 0, 7), (2, D(2020, 1, 1), 1.0, "", 3, 7)], OBS)
+    assert {(r["series"], r["scale"], r["axis"]) for r in view_run.run_view([one(scaled, [1, 2])])["series"].collect()} == {("m1=1", "0", 0), ("m1=2", "3", 1)}
+
+
+def test_the_first_forty_of_forty_five(spark):
+    rows = [(m, D(2020, 1, 1), float(m), "", 0, 7) for m in range(1, 46)]
+    found = view_run.run_view([one(spark.createDataFrame(rows, OBS), list(range(1, 46)))])
+    assert sorted(int(r["series"][3:]) for r in found["series"].collect()) == list(range(1, 41)) and found["series"].first()["total"] == 45
+    assert found["points"].count() == 40
+
+
+def test_a_change_of_a_published_value_has_no_mark(spark):
+    rows = [(1, D(2020, m, 1), v, s, 0, 7) for m, v, s in [(1, 5.0, "E"), (2, None, "x"), (3, 6.0, "A"), (4, 9.0, "B")]]
+    found = view_run.run_view([one(spark.createDataFrame(rows, OBS), [1])], transform="pct_change_period")["points"]
+    assert [(r["period_start"].month, r["value"], r["status"]) for r in found.orderBy("period_start").collect()] == [(1, None, ""), (2, None, "x"), (3, None, ""), (4, 50.0, "B")]
+
+
+def test_tables_own_periods_fill_the_dates_and_the_window_is_shared(spark):
+    rows = [(1, D(2020, m, 1), 1.0 * m, "", 0, 7) for m in (1, 2, 4, 5)]
+    layer = one(spark.createDataFrame(rows, OBS), [1]) | {"periods": spark.createDataFrame([(D(2020, m, 1),) for m in (1, 2, 3, 5, 9)], "period_start date")}
+    found = view_run.run_view([layer])
+    assert [r["period_start"].month for r in found["points"].orderBy("period_start").collect()] == [1, 2, 3, 4, 5]
+    assert [(r["from"].month, r["mark"]) for r in found["gaps"].collect()] == [(3, "")]
+    latest = view_run.run_view([layer], {"preset": "latest"})["points"].collect()
+    assert [(r["period_start"].month, r["value"]) for r in latest] == [(5, 5.0)]
+
+
+def test_index_includes_the_cut_off_and_window_changes_use_the_shared_ends(spark):
+    rows = [(1, D(y, 1, 1), float(v), "", 0, 7) for y, v in ((2017, 8), (2018, 5), (2019, 10), (2020, 20))] + [(2, D(2019, 1, 1), 4.0, "p", 0, 7)]
+    layer = one(spark.createDataFrame(rows, OBS), [1, 2]) | {"kind": "year"}
+    found = view_run.run_view([layer], {"preset": "2Y"}, "index_first")["points"].where("series = 'm1=1'")
+    assert [r["value"] for r in found.orderBy("period_start").collect()] == [100.0, 200.0, 400.0]
+    change = view_run.run_view([layer], transform="pct_change_window")["points"].collect()
+    assert {(r["series"], r["value"]) for r in change} == {("m1=1", 150.0), ("m1=2", None)}
+
+
+def test_views_of_nothing(spark):
+    obs = spark.createDataFrame([(1, D(2020, 1, 1), 1.0, "", 0, 7)], OBS)
+    empty = view_run.run_view([one(obs, [])])
+    assert [empty[k].count() for k in ("points", "series", "gaps")] == [0, 0, 0]
+    absent = view_run.run_view([one(obs.limit(0), [1, 2])])
+    assert absent["points"].count() == 0 and [r["unpublished"] for r in absent["series"].collect()] == [True, True]
+    x = {"obs": obs, "kind": "month", "dims": {"m1": {"use": "x", "members": [1]}}}
+    with pytest.raises(ValueError, match="only one"):
+        view_run.run_view([x, x])
+    with pytest.raises(ValueError, match="begins with 1999"):
+        view_run.run_view([x], {"at": "1999"})
+
+
+def test_a_plan_reads_each_layer_once(spark, sf_dir):
+    from cubewright.plans import run_queries
+
+    found = run_queries.view_of_layers(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert found.count("FileScan") + found.count("Scan parquet") <= 10
