@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cubewright.functions.text import fold_accents, parse_dguid, table_number
 
+from .matching import contained
 from .search import stable_rank
-from .sized import short_list
 
 
 def label_codes(df: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -112,9 +112,9 @@ def place_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     longer ones first. A part counts where it has four letters or more."""
     parts = F.filter(F.split("name", r"\s*[-–]\s*"), lambda p: F.length(p) >= 4)
     written = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), parts))).alias("form")).withColumn("form", fold_accents(F.col("form")))
-    folded = texts.select("text_id", fold_accents(F.col("text")).alias("t"))
+    folded = texts.select("text_id", fold_accents(F.col("text")).alias("text"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("form"), F.lit(r"\E(?![\p{L}\p{N}])"))
-    met = folded.join(short_list(written), F.col("t").contains(F.col("form"))).withColumn("at", F.regexp_instr("t", pattern)).where("at > 0")
+    met = contained(folded, ["text_id"], written, pattern="form").withColumnRenamed("pattern", "form").join(written, "form").withColumn("at", F.regexp_instr("text", pattern)).where("at > 0")
     return met.groupBy("text_id", "name").agg(F.min(F.struct("at", (-F.length("form")).alias("short"))).alias("m")).select("text_id", "name", "m.at", (-F.col("m.short")).alias("length"))
 
 

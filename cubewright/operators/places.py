@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cubewright.functions.text import bracket_code, fold_accents, parse_dguid, place_level
+from cubewright.sources.storage import stored
 
-from .sized import short_list
+from .matching import contained
 
 MAX_DEPTH = 50
 
@@ -73,21 +74,21 @@ def ancestors(members: DataFrame) -> DataFrame:
     """``pid, dimension_id, member_id, ancestor, distance``: each member with itself and all above it.
 
     Doubling joins: each round composes the paths found so far, so a tree of depth d takes log d rounds; loops end at
-    MAX_DEPTH. A parent that isn't a member counts as none.
+    MAX_DEPTH. Each round is stored, so that the next one reads it and no plan grows with the depth. A parent that isn't a
+    member counts as none.
     """
     key = ["pid", "dimension_id"]
     known = members.select(*key, F.col("member_id").alias("parent_member_id"))
     step = members.join(known, [*key, "parent_member_id"], "left_semi").select(*key, "member_id", F.col("parent_member_id").alias("ancestor"))
     paths = members.select(*key, "member_id", F.col("member_id").alias("ancestor"), F.lit(0).alias("distance")).union(step.withColumn("distance", F.lit(1)))
-    reach = 1
+    paths, reach = stored(paths, "ancestors"), 1
     while reach < MAX_DEPTH:
         low = paths.select(*key, "member_id", F.col("ancestor").alias("mid"), F.col("distance").alias("d1"))
         high = paths.select(*key, F.col("member_id").alias("mid"), "ancestor", F.col("distance").alias("d2"))
         longer = low.join(high, [*key, "mid"]).groupBy(*key, "member_id", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("distance"))
-        before = reach
+        before, paths = reach, stored(longer, "ancestors")
         reach *= 2
-        paths = longer
-        if not paths.where(F.col("distance") > before).limit(1).count():
+        if paths.where(F.col("distance") > before).isEmpty():
             break
     return paths
 
@@ -141,12 +142,11 @@ def place_table_counts(places: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Place names found in texts at word boundaries, by position and then length. ``names`` is a short list."""
-    folded = fold_accents(F.col("text"))
-    pairs = texts.join(short_list(names), folded.contains(fold_accents(F.col("name"))))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.lit(r"\Q"), fold_accents(F.col("name")), F.lit(r"\E"), F.lit(r"(?![\p{L}\p{N}])"))
-    at = F.regexp_instr(folded, pattern)
-    return pairs.withColumn("at", at).where("at > 0").select("text_id", "name", "at")
+    """Place names found in texts at word boundaries, with their first position."""
+    forms = names.select("name", fold_accents(F.col("name")).alias("pattern"))
+    met = contained(texts.select("text_id", fold_accents(F.col("text")).alias("text")), ["text_id"], forms).join(forms, "pattern")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("pattern"), F.lit(r"\E(?![\p{L}\p{N}])"))
+    return met.select("text_id", "name", F.regexp_instr("text", pattern).alias("at")).where("at > 0")
 
 
 def table_place_join(series: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cubewright.functions.text import strip_html, table_number
 
+from .matching import contained
 from .view import coverage_bounds, index_rebase, layer_dates, pct_change, window_bounds
-from .sized import short_list
 
 
 def check_labels(rows: DataFrame, member: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def requested_measures(questions: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def region_groups(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Longest aliases named in each question that don't lie inside a longer one. ``aliases`` is a short list."""
-    text = F.lower("question")
-    found = questions.join(short_list(aliases), text.contains(F.col("alias"))).select("question_id", "region", "alias", F.expr("instr(lower(question), alias)").alias("at"))
+    """Longest aliases named in each question that don't lie inside a longer one."""
+    met = contained(questions.select("question_id", F.lower("question").alias("text")), ["question_id"], aliases, pattern="alias").withColumnRenamed("pattern", "alias")
+    found = met.join(aliases, "alias").select("question_id", "region", "alias", F.instr("text", F.col("alias")).alias("at"))
     spans = found.withColumn("end", F.col("at") + F.length("alias"))
     reach = Window.partitionBy("question_id").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("covered", F.max("end").over(reach)).where("covered is null or at >= covered").select("question_id", "region", "at")
@@ -280,9 +280,10 @@ def member_sets(a: DataFrame, b: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def order_by_mention(questions: DataFrame, members: DataFrame) -> DataFrame:
-    """Members named in each question, by first mention. ``members`` is a short list."""
-    found = questions.join(short_list(members), F.expr("instr(lower(question), lower(member_name)) > 0"))
-    at = found.withColumn("at", F.expr("instr(lower(question), lower(member_name))"))
+    """Members named in each question, by first mention."""
+    names = members.select("member_name", F.lower("member_name").alias("pattern"))
+    met = contained(questions.select("question_id", F.lower("question").alias("text")), ["question_id"], names).join(names, "pattern")
+    at = met.select("question_id", "member_name", F.instr("text", F.col("pattern")).alias("at"))
     return at.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_name"))), lambda x: x["member_name"]), ",").alias("members"))
 
 

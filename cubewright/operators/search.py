@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cubewright.functions.text import content_hash
 
-from .sized import short_list
+from .matching import contained
 
 
 #: Distinct words of all queries up to which documents' other words are left out before the join.
@@ -42,17 +42,17 @@ def table_search(records: DataFrame, queries: DataFrame, most_terms: int = 8) ->
     """Tables in which every term of a query occurs, with hits by title, dimensions, members and notes, and their rank.
 
     ``records`` has ``pid, cansim_id, queryable, title, dimensions, members, notes``; ``queries`` has ``query_id, query``.
-    Terms are literal texts without case, or a whole id. A record is read once whatever the number of queries, which is a
-    stated set; each distinct term is looked for once in a record, and only terms that occur are joined to their queries.
+    Terms are literal texts without case, or a whole id. Records and terms meet on grams and on ids, so no record is
+    compared with all terms; only terms that occur are joined to their queries.
     """
     fields = ("title", "dimensions", "members", "notes")
     asked = queries.select("query_id", query_terms(F.col("query"), most_terms).alias("terms")).where(F.size("terms") > 0)
     each = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("position", "term"))
-    terms = each.select("term").distinct()
-    low = records.select("pid", "cansim_id", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields])
-    hit = [F.col(f).contains(F.col("term")).cast("int") for f in fields]
-    found = low.join(short_list(terms), reduce(Column.__or__, [F.col(f).contains(F.col("term")) for f in fields]) | (F.col("pid") == F.col("term")) | (F.lower("cansim_id") == F.col("term")))  # terms are as bounded as the queries
-    found = found.select("pid", "term", *[h.alias(f"{f}_hits") for h, f in zip(hit, fields, strict=True)])
+    terms = each.select(F.col("term").alias("pattern")).distinct()
+    texts = records.select("pid", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("text")) for f in fields])).alias("x")).select("pid", "x.*")
+    inside = contained(texts, ["pid", "field"], terms).select("pid", "pattern", "field")
+    ids = records.select("pid", F.explode(F.array_distinct(F.array_compact(F.array("pid", F.lower("cansim_id"))))).alias("pattern")).join(terms, "pattern").select("pid", "pattern", F.lit("").alias("field"))
+    found = inside.union(ids).groupBy("pid", F.col("pattern").alias("term")).agg(*[F.max((F.col("field") == f).cast("int")).alias(f"{f}_hits") for f in fields])
     sums = each.join(found, "term").groupBy("query_id", "pid").agg(F.count("*").alias("held"), F.max("n").alias("n"), *[F.sum(f"{f}_hits").alias(f"{f}_hits") for f in fields]).where("held = n")
     rows = sums.join(records.select("pid", "title", "queryable"), "pid").withColumn("text_hits", F.col("dimensions_hits") + F.col("members_hits") + F.col("notes_hits"))
     order = Window.partitionBy("query_id").orderBy(F.desc("title_hits"), F.desc("queryable"), F.desc("text_hits"), "title", "pid")
@@ -82,39 +82,48 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """The ``top`` nearest vectors of each query vector by cosine (0 where a norm is 0) or dot product, itself left out.
 
-    Queries are taken ``block`` at a time as one matrix; a task multiplies its vectors with it and keeps the best of each
-    query, so what is ranked at the end is at most ``top`` rows a query and batch. Null vectors are left out.
+    Queries are taken ``block`` at a time as one matrix a length; a task multiplies its vectors of that length with it and
+    keeps the best of each query, so what is ranked at the end is at most ``top`` rows a query and batch. Null and empty
+    vectors are left out, and vectors of different lengths are not compared.
     """
     spark = vectors.sparkSession
-    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    usable = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0")
+    asked = usable(queries)
     parts, found = -(-asked.count() // block) or 1, []
 
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0) if metric == "cosine" else m
 
+    def by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        lists: dict[int, tuple[list, list]] = {}
+        for i, v in zip(ids, vectors, strict=True):
+            both = lists.setdefault(len(v), ([], []))
+            both[0].append(i)
+            both[1].append(v)
+        return {n: (np.array(i, dtype=np.int64), unit(np.array(v, dtype=np.float64))) for n, (i, v) in lists.items()}
+
     for k in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).collect()  # about a block
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], dtype=np.int64), unit(np.array([r["v"] for r in rows]))))
+        shared = spark.sparkContext.broadcast(by_length([r["vec_id"] for r in rows], [r["v"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column("vec_id").to_numpy()
-                v = unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
-                score = np.round(matrix @ v.T, 9)
-                score[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :top]
-                best = np.take_along_axis(score, order, axis=1)
-                keep = np.isfinite(best).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], ["query_id", "vec_id", "score"])
-
-        rows_ = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-        found.append(rows_.mapInArrow(run, "query_id long, vec_id long, score double"))
+                lists = [v.values.to_numpy(zero_copy_only=False) for v in b.column("v")]
+                for length, (own, v) in by_length(b.column("vec_id").to_pylist(), lists).items():
+                    if length not in shared.value:
+                        continue
+                    ids, matrix = shared.value[length]
+                    score = np.round(matrix @ v.T, 9)
+                    score[ids[:, None] == own[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :top]
+                    best = np.take_along_axis(score, order, axis=1)
+                    keep = np.isfinite(best).reshape(-1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], ["query_id", "vec_id", "score"])
+
+        found.append(usable(vectors).mapInArrow(run, "query_id long, vec_id long, score double"))
     whole = reduce(DataFrame.union, found) if found else vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long"), F.lit(0.0).alias("score")).limit(0)
     return ranked(whole, ["query_id"], [F.desc("score"), F.col("vec_id")], top)
 
@@ -242,16 +251,6 @@ def question_cues(questions: DataFrame, this_year: int) -> DataFrame:
     return questions.select("question_id", preset.alias("preset"), first.alias("from_year"), last.alias("to_year"), months.alias("months"), geography.alias("geography"), transform.alias("transform"), base.alias("index_base"), chart.alias("chart"), latest.alias("latest"))
 
 
-def extract_cues(questions: DataFrame) -> DataFrame:
-    """Time, transform and chart cues of questions."""
-    q = F.lower("question")
-    years = F.regexp_extract(q, r"(?:last|past) (\d+) years?", 1).try_cast("int")
-    bounds = F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1))
-    change = F.when(q.rlike(r"year[- ]over[- ]year|from a year|annual(ly)? change"), "pct_change_yoy").when(q.rlike(r"month[- ]over[- ]month|from the previous"), "pct_change_period").when(q.rlike(r"\bindex(ed)?\b"), "index_first").when(q.rlike(r"\bshare\b|percent of"), "share_of_x").otherwise("level")
-    chart = F.when(q.rlike(r"\bbar\b"), "bar").when(q.rlike(r"\bpie\b"), "pie").otherwise("line")
-    return questions.select("question_id", years.alias("years"), F.array_min(bounds).alias("from_year"), F.array_max(bounds).alias("to_year"), change.alias("transform"), chart.alias("chart"))
-
-
 def strip_phrases(text: Column, places: list[str] | None = None) -> Column:
     """The question without its time phrases, and without the given places at word boundaries."""
     gone = F.regexp_replace(F.lower(text), r"\b(?:(?:over|in|for|during) )?(?:the )?(?:last|past) (?:\d+ )?(?:years?|months?)\b|\b(?:from )?(?:19|20)\d\d\s*(?:to|through|[-–—])\s*(?:19|20)\d\d\b|\b(?:since|starting in|beginning in|from|to|until|in) (?:19|20)\d\d\b", " ")

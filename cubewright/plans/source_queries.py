@@ -197,6 +197,32 @@ def file_manifest(spark, sf_dir):
     return files.agg(F.count_distinct(F.regexp_extract("path", r"/m1=(\d+)/", 1)).alias("tables"), F.bool_and(F.length("sha256") == 64).alias("hashed"), F.bool_and(F.col("bytes") > 0).alias("sized"))
 
 
+@add(oracle(LINES, "SELECT m1, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(coordinate || '|' || ref_date || '|' || value), 1, 15) AS BIGINT)) AS VARCHAR) AS hash, CASE WHEN m1 % 3 = 0 THEN '1' ELSE '2' END AS tool FROM obs GROUP BY m1"))
+def resumed_parts(spark, sf_dir):
+    """A build of every third nation by one tool, and of all by the next in batches, which keeps none of the other's rows."""
+    path = storage.work_path(spark, "resumed")
+    obs = cube(spark, sf_dir, LINES, "obs").select("m1", "coordinate", "ref_date", "value")
+    storage.build_parts(obs.where("m1 % 3 = 0"), path, "m1", "1")
+    storage.build_parts(obs.where("m1 % 3 = 1"), path, "m1", "2")
+    found = storage.build_parts(obs.where("m1 % 3 <> 0"), path, "m1", "2", batches=3)
+    return found.select("m1", "rows", F.col("hash").cast("string").alias("hash"), "tool")
+
+
+@add(oracle(LINES, "SELECT CASE WHEN m1 % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, count(DISTINCT m1) AS tables, count(*) AS rows, true AS sized, CAST(count(DISTINCT CASE WHEN m1 % 4 = 0 THEN m1 END) AS BIGINT) AS warnings FROM obs GROUP BY 1"))
+def build_summary(spark, sf_dir):
+    """The parts' files by hash, with a report for each table."""
+    path = storage.work_path(spark, "recorded")
+    obs = cube(spark, sf_dir, LINES, "obs")
+    storage.write_parts(obs, path, "m1")
+    files = storage.file_manifest(spark, path).withColumn("pid", F.regexp_extract("path", r"/m1=(\d+)/", 1))
+    bad = F.col("m1") % 4 == 0
+    reports = obs.groupBy("m1").agg(F.count("*").alias("rows")).select(F.col("m1").cast("string").alias("pid"), F.when(bad, "failed").otherwise("ok").alias("status"), "rows", F.when(bad, F.array(F.lit("odd"))).alias("warnings"))
+    inputs = files.select("pid", F.concat(F.lit("in/"), "pid").alias("path"), "bytes", "sha256")
+    rows, summary = storage.build_record(reports, files, inputs, {"script": "build", "spark": "4"})
+    sized = rows.select("status", (F.size("files") > 0).alias("s")).groupBy("status").agg(F.bool_and("s").alias("sized"))
+    return summary.join(sized, "status").select("status", "tables", "rows", "sized", "warnings")
+
+
 @add("""SELECT c_custkey AS pid, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AS reuse, CASE WHEN c_custkey % 7 = 0 THEN 'inputs' WHEN c_custkey % 5 = 0 THEN 'tool' WHEN c_custkey % 3 = 0 THEN 'proof' ELSE '' END AS why FROM customer""")
 def reuse_builds(spark, sf_dir):
     c = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("pid"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("part"))

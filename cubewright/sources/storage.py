@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -33,8 +35,41 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int) ->
 
 
 def write_parts(df: DataFrame, path: str, key: str) -> None:
-    """A directory for each ``key``; large tables are spread over files by AQE's rebalance, not gathered into one."""
-    df.hint("rebalance", key).write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(path)
+    """A directory for each ``key``; those of other keys stay. Large tables are spread over files by AQE's rebalance, not
+    gathered into one. The keys' directories are replaced when the job commits, all at once by rename."""
+    rows = df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.option("compression", "zstd").partitionBy(key).parquet(path)
+
+
+def done_parts(spark: SparkSession, path: str, key: str, kind: str = "string") -> DataFrame:
+    """``key, rows, hash, tool`` of the parts under ``path`` that are whole: those with a row in its manifest."""
+    schema = f"rows long, hash decimal(38,0), tool string, {key} {kind}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/manifest")
+
+
+def build_parts(df: DataFrame, path: str, key: str, tool: str, batches: int = 1) -> DataFrame:
+    """Write the parts of ``df`` that are not done yet, and return the manifest of all: parts under ``path/parts``, a row for
+    each under ``path/manifest``, which is what makes it done.
+
+    A run goes through ``batches`` of keys. Each batch writes its parts and then, from what was written, its rows of the
+    manifest; a run that ends in between loses no more than that batch, whose parts the next run replaces. A part whose
+    row names another ``tool`` is written again. Keys of earlier runs that ``df`` lacks stay as they are.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    columns = sorted(c for c in df.columns if c != key)
+    for k in range(batches):
+        done = done_parts(spark, path, key, kind).where(F.col("tool") == tool).select(key)
+        rows = df.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k).join(done, key, "left_anti")
+        keys = stored(rows.select(key).distinct(), "pending-parts")
+        if keys.isEmpty():
+            continue
+        write_parts(rows, f"{path}/parts", key)
+        written = spark.read.schema(df.schema).parquet(f"{path}/parts").join(keys, key, "left_semi")
+        write_parts(manifest(written, key, columns).withColumn("tool", F.lit(tool)), f"{path}/manifest", key)
+    return done_parts(spark, path, key, kind)
 
 
 def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,10 +112,81 @@ def manifest(df: DataFrame, key: str, columns: list[str] | None = None) -> DataF
     return df.groupBy(key).agg(F.count("*").alias("rows"), content_hash(chosen).alias("hash"))
 
 
+class FileHashes(DataSource):
+    """``spark.read.format("filehashes").option("path", folder)``: ``path, bytes, sha256`` of every file under a folder, which
+    Arrow's file systems can open (``file://`` or a plain path where it is mounted on all executors, ``hdfs://``, ``s3://``).
+
+    Files are read in pieces of ``PIECE`` bytes, so their size is no matter. Small files share a partition up to ``SHARE``
+    bytes; a larger one has its own. Names that begin with a dot or an underscore are left out.
+    """
+
+    PIECE, SHARE = 8 << 20, 256 << 20
+
+    @classmethod
+    def name(cls) -> str:
+        return "filehashes"
+
+    def schema(self) -> str:
+        return "path string, bytes long, sha256 string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HashReader(self.options["path"])
+
+
+class _HashReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+        groups, size = [], 0
+        for f in sorted(found, key=lambda f: (f.size, f.path)):
+            if not groups or size + f.size > FileHashes.SHARE:
+                groups.append([])
+                size = 0
+            groups[-1].append(f.path)
+            size += f.size
+        return [InputPartition(g) for g in groups]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import hashlib
+
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        for path in partition.value if partition else ():
+            digest, size = hashlib.sha256(), 0
+            with system.open_input_stream(path) as stream:
+                while piece := stream.read(FileHashes.PIECE):
+                    digest.update(piece)
+                    size += len(piece)
+            yield path, size, digest.hexdigest()
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``path, bytes, sha256`` of every file under ``path``, each hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``path, bytes, sha256`` of every file under ``path``, each streamed where it is read."""
+    spark.dataSource.register(FileHashes)
+    return spark.read.format("filehashes").option("path", path).load()
+
+
+def build_record(reports: DataFrame, files: DataFrame, inputs: DataFrame, tool: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """A build's manifest and its summary.
+
+    The manifest has a row for each table of ``reports`` (``pid, status, rows, warnings``): its written ``files`` and its
+    ``inputs``, each ``pid, path, bytes, sha256``, as lists by path, the tool's names and versions, and what went wrong or
+    was odd. A table without inputs or files has empty lists. The summary has ``status, tables, rows, bytes, warnings``.
+    """
+    listed = lambda df, name: df.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias(name))
+    nothing = F.expr("array() :: array<struct<path: string, bytes: bigint, sha256: string>>")
+    versions = F.create_map(*[F.lit(x) for kv in sorted(tool.items()) for x in kv]) if tool else F.expr("map() :: map<string, string>")
+    rows = reports.join(listed(files, "files"), "pid", "left").join(listed(inputs, "inputs"), "pid", "left")
+    rows = rows.select("pid", "status", "rows", *[F.coalesce(c, nothing).alias(c) for c in ("files", "inputs")], versions.alias("tool"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    size = F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["bytes"])
+    summary = rows.groupBy("status").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"), F.sum(size).alias("bytes"), F.sum(F.size("warnings")).alias("warnings"))
+    return rows, summary
 
 
 def reuse(expected: DataFrame, actual: DataFrame, tool: str, proofs: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from cubewright.operators import places, records, view, view_run
-from cubewright.sources import archives, metadata, observations
+from cubewright.operators import matching, places, records, search, view, view_run
+from cubewright.sources import archives, metadata, observations, storage
 
 POINTS = "layer int, series string, period_start date, value double, status string"
 D = dt.date
@@ -216,3 +216,53 @@ def test_a_plan_reads_each_layer_once(spark, sf_dir):
 
     found = run_queries.view_of_layers(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert found.count("FileScan") + found.count("Scan parquet") <= 10
+
+
+def test_an_interrupted_build_goes_on_with_what_is_pending(spark, tmp_path):
+    path = str(tmp_path / "build")
+    rows = spark.createDataFrame([(k, f"v{k}-{i}") for k in range(12) for i in range(3)], "pid int, value string")
+    failing = rows.withColumn("value", F.when(F.pmod(F.xxhash64("pid"), F.lit(4)) == 2, F.raise_error(F.lit("stopped")).cast("string")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="stopped"):
+        storage.build_parts(failing, path, "pid", "t1", batches=4)
+    first = {r["pid"] for r in storage.done_parts(spark, path, "pid", "int").collect()}
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "build" / "parts").rglob("*.parquet")}
+    assert 0 < len(first) < 12
+    done = storage.build_parts(rows, path, "pid", "t1", batches=4)
+    assert {r["pid"]: r["rows"] for r in done.collect()} == dict.fromkeys(range(12), 3)
+    assert all((tmp_path / f).stat().st_mtime_ns == t for f, t in files.items() if int(f.split("pid=")[1].split("/")[0]) in first)
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/parts").select("pid", "value").collect())) == sorted(map(tuple, rows.collect()))
+    again = storage.build_parts(rows.where("pid < 2").withColumn("value", F.lit("new")), path, "pid", "t2")
+    assert {r["pid"] for r in again.where("tool = 't2'").collect()} == {0, 1} and again.count() == 12
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    texts = {"a": b"", "b": b"x" * 100_000, "c": bytes(range(256)) * 1000}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    found = storage.file_manifest(spark, str(tmp_path)).collect()
+    assert {(r["path"].rsplit("/", 1)[-1], r["bytes"], r["sha256"]) for r in found} == {(n, len(t), hashlib.sha256(t).hexdigest()) for n, t in texts.items()}
+
+
+def test_patterns_are_found_as_a_nested_loop_would(spark, monkeypatch):
+    words = ["a", "ab", "abc", "bcd", "needle", "ne", "é", "𝄞x𝄞", "xx", "", None, "not there", "needle"]
+    texts = [(i, t) for i, t in enumerate(["", None, "abcd", "a needle é", "𝄞x𝄞x𝄞", "xxxx", "ABC", "needless needle"])]
+    expected = sorted((i, w) for i, t in texts for w in set(words) if w and t and w in t)
+    rows = spark.createDataFrame(texts, "id int, text string")
+    patterns = spark.createDataFrame([(w,) for w in words], "pattern string")
+    for sought in (2_000, 1):
+        monkeypatch.setattr(matching, "SOUGHT", sought)
+        found = matching.contained(rows, ["id"], patterns)
+        assert sorted((r["id"], r["pattern"]) for r in found.collect()) == expected
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert matching.contained(rows, ["id"], patterns.limit(0)).collect() == []
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.0]), (5, None), (6, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in search.vector_topk(v, v, 3).collect()}
+    assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
