@@ -287,14 +287,6 @@ def order_by_mention(questions: DataFrame, members: DataFrame) -> DataFrame:
     return at.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_name"))), lambda x: x["member_name"]), ",").alias("members"))
 
 
-def concept_fit(pairs: DataFrame) -> DataFrame:
-    """Question and table pairs whose title contradicts no frequency or metric that the question asks for."""
-    q, t = F.lower("question"), F.lower("title")
-    clash = lambda word, others: q.contains(word) & t.rlike("|".join(others))
-    bad = clash("monthly", ["annual", "quarterly"]) | clash("annual", ["monthly", "quarterly"]) | (q.contains("price") & t.contains("volume"))
-    return pairs.withColumn("fits", ~bad)
-
-
 def candidate_rank(sources: list[DataFrame], top: int) -> DataFrame:
     """Tables of several sources with their best score: three a title hit, one a member hit, one if curated."""
     whole = sources[0]

@@ -221,15 +221,6 @@ def order_by_mention(spark, sf_dir):
     return records.order_by_mention(questions, t["nation"].select(F.col("n_name").alias("member_name")).union(t["region"].select("r_name")))
 
 
-FIT = "CASE s_suppkey % 3 WHEN 0 THEN 'monthly sales' WHEN 1 THEN 'annual price' ELSE 'price of wheat' END"
-TITLE = "CASE s_suppkey % 4 WHEN 0 THEN 'Sales, annual' WHEN 1 THEN 'Prices, monthly' WHEN 2 THEN 'Trade volume' ELSE 'Sales' END"
-
-
-@add(f"SELECT s_suppkey, q AS question, t AS title, NOT ((s_suppkey % 3 = 0 AND s_suppkey % 4 = 0) OR (s_suppkey % 3 = 1 AND s_suppkey % 4 = 1) OR (s_suppkey % 3 > 0 AND s_suppkey % 4 = 2)) AS fits FROM (SELECT s_suppkey, {FIT} AS q, {TITLE} AS t FROM supplier)")
-def concept_fit(spark, sf_dir):
-    return records.concept_fit(tables(spark, sf_dir)["supplier"].select("s_suppkey", F.expr(FIT).alias("question"), F.expr(TITLE).alias("title")))
-
-
 @add("WITH s AS (SELECT l_orderkey AS question_id, l_suppkey AS pid, max(3 * CAST(l_quantity AS INT) + l_linenumber + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS score FROM lineitem GROUP BY 1, 2) SELECT question_id, pid, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pid) AS rank FROM s) WHERE rank <= 3")
 def candidate_rank(spark, sf_dir):
     rows = tables(spark, sf_dir)["lineitem"].select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("pid"), F.col("l_quantity").cast("int").alias("title_hits"), F.col("l_linenumber").alias("member_hits"), (F.col("l_returnflag") == "R").alias("curated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cubewright.functions import text
-from cubewright.operators import search
+from cubewright.operators import cues, search
 
 from .cubes import tables
 from .registering import Registry
@@ -155,7 +155,64 @@ PICK = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in
 
 @add("WITH c(k, t, preset, from_year, to_year, months, geography, transform, index_base, chart, latest) AS (VALUES " + ", ".join("(" + str(i) + ", " + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'" for v in c) + ")" for i, c in enumerate(CUES)) + ") SELECT o_orderkey AS question_id, preset, from_year, to_year, CAST(months AS INT) AS months, geography, transform, index_base, chart, latest FROM orders JOIN c ON k = o_orderkey % 10")
 def extract_cues(spark, sf_dir):
-    return search.question_cues(tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(PICK).alias("question")), 2021)
+    found = cues.question_cues(tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(PICK).alias("question")), 2021)
+    return found.select("question_id", "preset", "from_year", "to_year", "months", "geography", "transform", "index_base", "chart", "latest")
+
+
+#: Questions of places, and what they say: text, geography, places, horizontal, full history, a stretch of time.
+PLACED = [
+    ("population in Ontario and Quebec", "listed", "Ontario,Quebec", None, False, False), ("prices by census metropolitan areas over time", "cities", "", None, False, True), ("jobs in BC as a horizontal bar, full history", "listed", "British Columbia", True, True, True),
+    ("territories near yukon", "listed", "Yukon", None, False, False), ("trade across each census agglomeration, 5 yrs", "cities", "", None, False, True), ("a column chart for newfoundland and labrador since 2001", "listed", "Newfoundland and Labrador", False, False, True),
+    ("bc or ontario-wide prices 1996–1999", "listed", "Ontario", None, False, True), ("", "one", "", None, False, False),
+]
+PLACED_PICK = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(PLACED)) + " END"
+GAZETTEER = [("Ontario", "Ontario", False), ("Quebec", "quebec", False), ("British Columbia", "British Columbia", False), ("British Columbia", "BC", True), ("Yukon", "Yukon", False), ("Newfoundland and Labrador", "Newfoundland and Labrador", False)]
+
+
+@add("WITH c(k, geography, places, horizontal, full_history, ranged) AS (VALUES " + ", ".join(f"({i}, '{g}', '{p}', {'NULL' if h is None else str(h).lower()}, {str(a).lower()}, {str(r).lower()})" for i, (_, g, p, h, a, r) in enumerate(PLACED)) + ") SELECT o_orderkey AS question_id, geography, places, CAST(horizontal AS BOOLEAN) AS horizontal, full_history, ranged FROM orders JOIN c ON k = o_orderkey % 8")
+def place_cues(spark, sf_dir):
+    gazetteer = spark.createDataFrame([(*g, i) for i, g in enumerate(GAZETTEER)], "place string, form string, exact boolean, position int")
+    asked = tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), F.expr(PLACED_PICK).alias("question"))
+    found = cues.question_cues(asked, 2021, gazetteer)
+    return found.select("question_id", "geography", F.array_join("places", ",").alias("places"), "horizontal", "full_history", "ranged")
+
+
+#: A question, a table's title, families of units, the names and roles of its dimensions and members, and what is wrong.
+FITS = [
+    ("monthly prices", "Prices, annual", ["currency"], [("Geo", "geography", [("Canada", [], "")])], ["frequency"]),
+    ("sales of cars", "Registrations of cars", [], [("Kind", "measure", [("Average prices of sales", [], "")])], ["sales"]),
+    ("sales of cars", "Registrations of cars", [], [("Kind", "measure", [("Cars sold", [], "")])], []),
+    ("sales of cars", "New prices sold", [], [], ["prices, not sales"]),
+    ("resales by city", "Sold homes", [], [("M", "measure", [("Existing homes", [], "")])], []),
+    ("resales by city", "Sold homes", [], [("M", "other", [("Existing homes", [], "")])], ["resales"]),
+    ("restaurant sales", "Retail sales", [], [], ["restaurants"]),
+    ("average retail prices of milk", "Farm prices of milk", [], [], ["retail prices"]),
+    ("price of milk in dollars", "Prices of milk", ["index"], [], ["dollars"]),
+    ("price of milk in $", "Prices of milk", ["currency"], [], []),
+    ("litres of wine, sales", "Sales of wine", [], [("M", "other", [("Value", [], "")])], ["litres"]),
+    ("deaths by cause", "Deaths", [], [("Causes of death", "other", [])], []),
+    ("deaths by cause", "Deaths", [], [("Cause", "other", [])], ["causes of death"]),
+    ("jobs by province", "Jobs", [], [("Geo", "geography", [("Canada", [], ""), ("Yukon", ["territory"], "")])], ["provinces"]),
+    ("jobs in the territories", "Jobs", [], [("Geo", "geography", [("Ontario", ["province"], "")])], ["territories"]),
+    ("jobs by city", "Census jobs", [], [("Geo", "geography", [("Ontario", ["province"], "2021A000235")])], ["cities"]),
+    ("jobs by municipality", "Census jobs", [], [("Geo", "geography", [("Ajax", [], "2021A00053518005")])], []),
+    ("jobs in Ontario and Yukon", "Jobs", [], [("Geo", "geography", [("Ontario (a)", ["province"], "")])], ["places"]),
+    ("jobs in Ontario", "Jobs", [], [("Geo", "geography", [("Ontario", ["province"], "")])], []),
+    ("gas and food", "Trade", [], [("M", "other", [("Food", [], ""), ("Gasoline and oil", [], "")])], ["Gasoline"]),
+]
+
+
+@add("WITH c(k, reasons) AS (VALUES " + ", ".join(f"({i}, '{','.join(r)}')" for i, (*_, r) in enumerate(FITS)) + ") SELECT o_orderkey AS question_id, 't' || k AS pid, reasons FROM orders JOIN c ON k = o_orderkey % 20")
+def concept_fit(spark, sf_dir):
+    """Each question against its table, by cues read from it."""
+    schema = "k int, question string, title string, unit_families array<string>, dimensions array<struct<name: string, role: string, members: array<struct<label: string, roles: array<string>, place_id: string>>>>"
+    made = spark.createDataFrame([(i, *f[:4]) for i, f in enumerate(FITS)], schema)
+    asked = tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 20).cast("int").alias("k")).join(made, "k")
+    gazetteer = spark.createDataFrame([(*g, i) for i, g in enumerate(GAZETTEER)], "place string, form string, exact boolean, position int")
+    said = cues.question_cues(asked, 2021, gazetteer).select("question_id", "geography", "places")
+    census = F.when(F.col("title").startswith("Census"), "census_2021").otherwise("ordinary")
+    pairs = asked.join(said, "question_id").withColumn("pid", F.concat(F.lit("t"), F.col("k").cast("string"))).withColumn("family", census)
+    return cues.table_fit(pairs).select("question_id", "pid", F.array_join("reasons", ",").alias("reasons"))
 
 
 @add("""

@@ -332,3 +332,66 @@ def scan_archives(spark, sf_dir):
     wide = F.size("cells") - F.size("cells") % 16 - 16  # a wider row has its cell more at the end
     rows = reader.load().where("row_index > 0").select("pid", F.get("cells", F.lit(0)).alias("ref_date"), F.get("cells", wide + 11).alias("value"))
     return rows.groupBy("pid").agg(F.count("*").alias("n_rows"), F.min("ref_date").alias("first"), F.max("value").alias("most"))
+
+
+def wide_records(spark, sf_dir):
+    """Wide files' records: a file a brand, a row a size, a value column a container type of the brand; the last have notes.
+
+    Brands that end in 1 have a row too many cells, in 2 a row after a blank line, in 3 columns that don't ascend, in 4 rows
+    out of order.
+    """
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        brand, kinds = frame.pid.iloc[0], sorted(frame.kind.unique())
+        columns = list(enumerate(kinds, 1))
+        if brand.endswith("3") and len(columns) > 1:
+            columns[0], columns[1] = columns[1], columns[0]
+        header = ["REF_DATE", "GEO", "DGUID", "Coordinate"]
+        for i, kind in columns:
+            header += [f"Type: {kind}{f' ({i})' if i % 2 == 0 else ''}[{i}]", "Symbol" if i % 3 else "Symbols"]
+        counts = frame.set_index(["size", "kind"]).n.to_dict()
+        rows = []
+        for size in sorted(frame["size"].unique(), reverse=brand.endswith("4")):
+            row = ["2021", f'Size "{size}" ', f"g{size}", str(size)]
+            for _, kind in columns:
+                n = counts.get((size, kind))
+                row += ["" if n is None else str(n), "r,.." if n is None else ""]
+            rows.append(row)
+        if brand.endswith("1"):
+            rows[-1].append("more")
+        if brand.endswith("2"):
+            rows.insert(1, [])
+        rows += [[], []]
+        return pd.DataFrame({"pid": brand, "row_index": range(len(rows) + 1), "cells": [header, *rows], "problem": None})
+
+    part = tables(spark, sf_dir)["part"].groupBy(F.col("p_brand").alias("pid"), F.col("p_size").alias("size"), F.col("p_type").alias("kind")).agg(F.count("*").alias("n"))
+    return part, part.groupBy("pid").applyInPandas(pack, "pid string, row_index long, cells array<string>, problem string")
+
+
+def read_wide(spark, sf_dir):
+    part, records = wide_records(spark, sf_dir)
+    dimension = part.select("pid").distinct().selectExpr("pid", "stack(2, 1, 'Geography', 2, 'Type') AS (dimension_id, dimension_name)")
+    sizes = part.select("pid", F.lit(1).alias("dimension_id"), F.col("size").cast("int").alias("member_id"), F.concat(F.lit("Size "), F.col("size").cast("string")).alias("member_name"), F.lit("").alias("member_notes")).distinct()
+    kinds = part.groupBy("pid").agg(F.array_sort(F.collect_set("kind")).alias("k")).select("pid", F.posexplode("k").alias("i", "kind"))
+    kinds = kinds.select("pid", F.lit(2).alias("dimension_id"), (F.col("i") + 1).cast("int").alias("member_id"), F.col("kind").alias("member_name"), (F.col("i") + 1).cast("string").alias("member_notes"))
+    return observations.read_wide(records, dimension, sizes.union(kinds).withColumn("classification_code", F.lit("")))
+
+
+WIDE = """WITH c AS (SELECT p_brand AS pid, p_size AS size, p_type AS kind, count(*) AS n FROM part GROUP BY ALL), k AS (SELECT pid, kind, row_number() OVER (PARTITION BY pid ORDER BY kind) AS id, count(*) OVER (PARTITION BY pid) AS kinds FROM (SELECT DISTINCT pid, kind FROM c)),
+s AS (SELECT pid, size, row_number() OVER (PARTITION BY pid ORDER BY size) AS i, count(*) OVER (PARTITION BY pid) AS sizes FROM (SELECT DISTINCT pid, size FROM c)) """
+
+
+@add(WIDE + """SELECT pid, i AS row_index, 'g' || size AS dguid, size || '.' || id AS coordinate, coalesce(CAST(n AS VARCHAR), '') AS value, CAST(n AS DOUBLE) AS value_num, CASE WHEN n IS NULL THEN '..' ELSE '' END AS status, CASE WHEN n IS NULL THEN 'r' ELSE '' END AS symbol, CAST(size AS INT) AS member_id_1, CAST(id AS INT) AS member_id_2, CAST(NULL AS INT) AS member_id_3
+FROM s JOIN k USING (pid) LEFT JOIN c USING (pid, size, kind) WHERE right(pid, 1) NOT IN ('1', '2', '3', '4')""")
+def wide_observations(spark, sf_dir):
+    found = read_wide(spark, sf_dir)[0]
+    return found.select("pid", "row_index", "dguid", "coordinate", "value", "value_num", "status", "symbol", "member_id_1", "member_id_2", "member_id_3")
+
+
+@add(WIDE + """SELECT pid, sizes AS row_index, 'width ' || (5 + 2 * kinds) || ', expected ' || (4 + 2 * kinds) AS problem FROM s JOIN (SELECT DISTINCT pid, kinds FROM k) USING (pid) WHERE pid LIKE '%1' AND i = sizes
+UNION ALL SELECT pid, i + 1, 'data after a blank line' FROM s WHERE pid LIKE '%2' AND i > 1
+UNION ALL SELECT pid, 0, 'value column Type: ' || kind || '[1]: not ascending' FROM k WHERE pid LIKE '%3' AND id = 1 AND kinds > 1
+UNION ALL SELECT DISTINCT pid, CAST(NULL AS BIGINT), (sizes - 1) || ' rows not after the one before' FROM s WHERE pid LIKE '%4' AND sizes > 1""")
+def wide_problems(spark, sf_dir):
+    return read_wide(spark, sf_dir)[1]
