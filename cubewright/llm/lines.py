@@ -441,14 +441,15 @@ def _payload(rarity, wanted):
     return run
 
 
+#: Columns of words that two blocks of a cell are compared over at once.
+COLUMNS = 4_096
+
+
 def _verified(similarity: float):
     """Links and earliest linked line of each class of a cell, over the pairs whose first shared word is the cell's."""
 
-    def few(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sets = []
-        for r in rows:
-            words = _longer(r[6]).tolist()
-            sets.append((frozenset(words), frozenset(words[: words.index(r[1])])))
+    def few(rows: list[tuple], words: list[np.ndarray], at: list[int]) -> Iterator[tuple[int, int]]:
+        sets = [(frozenset(w.tolist()), frozenset(w[:k].tolist())) for w, k in zip(words, at, strict=True)]
         for i in range(len(rows)):
             for j in range(i):
                 if rows[i][4] == rows[i][5] or rows[i][4] != rows[j][4]:
@@ -457,43 +458,70 @@ def _verified(similarity: float):
                     if shared >= similarity * (len(a) + len(b) - shared) - 1e-6 and x.isdisjoint(y):
                         yield i, j
 
-    def many(rows: list[tuple]) -> np.ndarray:
-        word = rows[0][1]
-        sets = [_longer(r[6]) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        known, number = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        has = np.zeros((len(sets), len(known)), dtype=np.float32)
-        has[row, number] = 1
-        ahead = np.zeros_like(has)  # words that come before the cell's in their set
-        place = np.concatenate([np.arange(n) for n in sizes])
-        at = np.repeat([int(np.flatnonzero(s == word)[0]) for s in sets], sizes)
-        ahead[row[place < at], number[place < at]] = 1
-        shared = has @ has.T
-        linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
-        linked &= (ahead @ ahead.T) == 0
-        np.fill_diagonal(linked, False)
+    def blocks(rows: list[tuple], words: list[np.ndarray], at: list[int]) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Links between two blocks of rows at a time, over the words that both have, some columns at a time."""
+        sizes = np.array([len(w) for w in words])
+        ends = np.append(0, np.cumsum(sizes))
+        flat, row = np.concatenate(words), np.repeat(np.arange(len(words)), sizes)
+        early = np.arange(len(flat)) - np.repeat(ends[:-1], sizes) < np.repeat(at, sizes)  # words that come before the cell's in their set
         own = np.array([r[4] for r in rows])
-        if rows[0][4] != rows[0][5]:
-            linked &= own[:, None] != own[None, :]
-        return linked
+
+        def dense(block: slice, columns: np.ndarray, first_only: bool) -> np.ndarray:
+            inside = slice(ends[block.start], ends[min(block.stop, len(sizes))])
+            column = np.searchsorted(columns, flat[inside])
+            column[column == len(columns)] = 0
+            some = columns[column] == flat[inside]
+            if first_only:
+                some &= early[inside]
+            found = np.zeros((min(block.stop, len(sizes)) - block.start, len(columns)), dtype=np.float32)
+            found[row[inside][some] - block.start, column[some]] = 1
+            return found
+
+        for i in range(0, len(rows), BLOCK):
+            for j in range(i, len(rows), BLOCK):
+                a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                both = [flat[ends[x.start] : ends[min(x.stop, len(sizes))]] for x in (a, b)]
+                known = np.intersect1d(*both) if i != j else np.unique(both[0])
+                shared = np.zeros((len(sizes[a]), len(sizes[b])), dtype=np.float32)
+                before = np.zeros_like(shared)
+                for c in range(0, len(known), COLUMNS):
+                    some = known[c : c + COLUMNS]
+                    shared += dense(a, some, False) @ dense(b, some, False).T
+                    before += dense(a, some, True) @ dense(b, some, True).T
+                linked = (shared >= similarity * (sizes[a, None] + sizes[None, b] - shared) - 1e-6) & (before == 0)
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                if rows[0][4] != rows[0][5]:
+                    linked &= own[a, None] != own[None, b]
+                yield a, b, linked
 
     def found(rows: list[tuple]) -> Iterator[tuple]:
+        words = [_longer(r[6]) for r in rows]
+        at = [np.flatnonzero(w == r[1]) for w, r in zip(words, rows, strict=True)]
+        good = [i for i, k in enumerate(at) if len(k)]  # a row whose class only shares its short name with the posted one has not the word
+        rows, words, at = [rows[i] for i in good], [words[i] for i in good], [int(at[i][0]) for i in good]
+        if len(rows) < 2:
+            return
         places = [(r[7] is not None, r[7], r[8]) for r in rows]
         if len(rows) <= 8:
             count, least = [0] * len(rows), [None] * len(rows)
-            for i, j in few(rows):
+            for i, j in few(rows, words, at):
                 for a, b in ((i, j), (j, i)):
                     count[a] += 1
                     least[a] = places[b] if least[a] is None else min(least[a], places[b])
         else:
-            linked = many(rows)
             order = sorted(range(len(rows)), key=places.__getitem__)
             rank = np.empty(len(rows), dtype=np.int64)
             rank[order] = np.arange(len(rows))
-            count = linked.sum(axis=1).tolist()
-            first = np.where(linked, rank[None, :], len(rows)).min(axis=1).tolist()
-            least = [places[order[f]] if f < len(rows) else None for f in first]
+            counts, first = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), len(rows))
+            for a, b, linked in blocks(rows, words, at):
+                counts[a] += linked.sum(axis=1)
+                first[a] = np.minimum(first[a], np.where(linked, rank[None, b], len(rows)).min(axis=1))
+                if a != b:
+                    counts[b] += linked.sum(axis=0)
+                    first[b] = np.minimum(first[b], np.where(linked, rank[a, None], len(rows)).min(axis=0))
+            count = counts.tolist()
+            least = [places[order[f]] if f < len(rows) else None for f in first.tolist()]
         for r, n, p in zip(rows, count, least, strict=True):
             if n:
                 yield r[2], r[3], n, p[1], p[2]
