@@ -1,6 +1,6 @@
 """Main text of web pages by wrappers inferred per host: union-free regular expressions over pages' trees.
 
-A page is a tree of elements; runs of equal siblings fold into a repeated group. Pages of a host are aligned one
+A page is a tree of elements; siblings that repeat, one by one or as a sequence of several, fold into a repeated group. Pages of a host are aligned one
 after another: equal elements match, an element that only one side has becomes optional, texts that differ become a
 slot, and repeats stay repeated. Elements are equal by tag, class and role, digits aside; ids are a page's own. The
 result, a wrapper, tells the template (texts that never change) from the slots, and where most slot text lies: the
@@ -9,7 +9,7 @@ container. Only where no element holds most of it, or a host has a single page,
 A page's text is read from there, without the blocks that hold only the template's texts. Menus, headers, footers,
 sidebars, notices, adverts, forms and comments inside it are left out by their element, or by a class, id or role that
 names nothing else where they hold less than half of the container's text. Names never hide an element that has the
-container in it.
+container in it. Elements with other names are decided by what the host's pages have in them (``odd_groups``).
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ FEW = {1: 0.2, 2: 0.1}
 DEPTH, CELLS = 200, 1 << 20
 #: Distinct pages that must agree on a text before it counts as the template's; partial wrappers of a host merged by one task.
 AGREE, FAN_IN = 3, 64
+#: Elements that a repeated sequence may have; elements that hold an article's prose, digits aside.
+GROUP = 6
+FLOW = frozenset(["p", "h0", "ul", "ol", "dl", "pre", "blockquote", "table", "figure"])
+#: Shares of the container's text: what prose must have for others to be judged, and what a judged group may have at most, all
+#: pages' and a page's that has it.
+PROSE, SMALL, SHORT = 0.5, 0.3, 0.15
 
 
 class Node:
@@ -167,6 +173,22 @@ def identity(page: Node) -> int:
     return digest(" ".join(texts(page, lambda c: c.named < 2)) or " ".join(texts(page, lambda c: True)))
 
 
+def fold(children: list[dict], one: dict, pages: int = 0) -> None:
+    """Add an element after its siblings. Where the last elements repeat the ones before them, one by one or as a sequence
+    of up to GROUP, they are one group with these, whose elements are marked as repeated; a sequence holds no bare texts."""
+    children.append(one)
+    while True:
+        for size in range(1, min(GROUP, len(children) // 2) + 1):
+            tail, before = children[-size:], children[-2 * size : -size]
+            if all(x["k"] == y["k"] for x, y in zip(tail, before, strict=True)) and (size == 1 or all(x["k"] != "#" for x in tail)):
+                break
+        else:
+            return
+        del children[-size:]
+        for k, (x, y) in enumerate(zip(before, tail, strict=True)):
+            children[k - size] = merged(x, y, pages or max(x["n"], y["n"])) | {"r": 1}
+
+
 def shape(node: Node, page: int = 0) -> dict:
     """A page's own wrapper: key k, how plainly named m, pages n, slot characters t, length and digest of constant text c, up to AGREE
     identities of pages with a text d, repeated r, children ch."""
@@ -181,11 +203,7 @@ def shape(node: Node, page: int = 0) -> dict:
             one = {"k": child.key, "m": child.named, "n": 1, "t": 0, "c": "", "d": [], "r": 0, "ch": []}
         else:
             one = shape(child, page)
-        last = found["ch"][-1] if found["ch"] else None
-        if last and last["k"] == one["k"]:
-            found["ch"][-1] = merged(last, one, pages=1) | {"r": 1}
-        else:
-            found["ch"].append(one)
+        fold(found["ch"], one, pages=1)
     found["t"] = sum(c["t"] for c in found["ch"])
     return found
 
@@ -267,12 +285,7 @@ def merged(a: dict, b: dict, pages: int = 0) -> dict:
     """One wrapper for what both describe; ``pages`` fixes the count where both come from one page."""
     children = []
     for x, y in aligned(a["ch"], b["ch"]):
-        one = merged(x, y, pages) if x and y else (x or y)
-        last = children[-1] if children else None
-        if last and last["k"] == one["k"]:  # an optional element next to its like: the group repeats
-            children[-1] = merged(last, one, max(last["n"], one["n"])) | {"r": 1}
-        else:
-            children.append(one)
+        fold(children, merged(x, y, pages) if x and y else (x or y))  # optional elements next to their like repeat
     seen = sorted({*a["d"], *b["d"]})[:AGREE]
     return {"k": a["k"], "m": max(a["m"], b["m"]), "n": pages or a["n"] + b["n"], "t": a["t"] + b["t"], "c": a["c"] if a["c"] == b["c"] else "", "d": seen, "r": a["r"] | b["r"], "ch": children}
 
@@ -302,6 +315,40 @@ def template(wrapper: dict, path: list[str]) -> list[int]:
     return sorted(set(texts(wrapper, ())))
 
 
+def odd_groups(wrapper: dict, path: list[str]) -> list[int]:
+    """Places of the container's groups that are not its article's, whatever their names: adverts, notices, readers' comments.
+
+    Judged are children with a class or role that are no prose elements, on hosts of AGREE pages or more where prose
+    elements that stand in the container hold PROSE of its text, and that have less than SMALL of it themselves. Such a
+    group is left out where its own text is not in prose elements and, on a page that has it, is less than SHORT of the
+    mean page's; or where it follows the last prose element and is a list of repeated elements of its own.
+    """
+    here = wrapper
+    for key in path:
+        here = next((c for c in here["ch"] if c["k"] == key), None)
+        if here is None:
+            return []
+    if here["n"] < AGREE or not here["t"]:
+        return []
+    flows = [i for i, c in enumerate(here["ch"]) if c["k"].split(".", 1)[0] in FLOW]
+    if sum(here["ch"][i]["t"] for i in flows) < PROSE * here["t"]:
+        return []
+
+    def prose(w: dict) -> int:
+        return sum(c["t"] if c["k"].split(".", 1)[0] in FLOW else prose(c) for c in w["ch"])
+
+    def lists(w: dict) -> bool:
+        return any(c["k"].split(".", 1)[0] in ("div", "section", "article", "li") and (c["r"] or lists(c)) or c["k"].split(".", 1)[0] in ("ul", "ol") and lists(c) for c in w["ch"])
+
+    found = []
+    for i, c in enumerate(here["ch"]):
+        if "." in c["k"] and c["k"].split(".", 1)[0] in BLOCKS - FLOW and 0 < c["t"] < SMALL * here["t"]:
+            bare = 2 * prose(c) < c["t"] and c["t"] * here["n"] < SHORT * here["t"] * c["n"]
+            if bare or (i > flows[-1] and lists(c)):
+                found.append(place((*path, c["k"]), "group"))
+    return found
+
+
 def main_path(wrapper: dict) -> list[str]:
     """Keys from the page's root to the host's main container."""
 
@@ -362,7 +409,8 @@ def main_path(wrapper: dict) -> list[str]:
 def text_of(page: Node, path: list[str], constants: frozenset = frozenset()) -> str | None:
     """Blocks of the elements at ``path``, one a line; None where the page has no such element.
 
-    Blocks of which all texts are among the template's ``constants`` are left out, unless that leaves none.
+    Blocks of which all texts are among the template's ``constants`` are left out, unless that leaves none; and so are the
+    container's groups whose place is among them.
     """
     found = [page]
     for key in path:
@@ -387,6 +435,8 @@ def text_of(page: Node, path: list[str], constants: frozenset = frozenset()) ->
                     varied.add(len(blocks))
             elif c.tag in left_out or c.named > 1 and 2 * size(c) < whole:
                 blocks[-1].append(" ")
+            elif constants and len(at) == len(path) and place((*at, c.key), "group") in constants:
+                blocks.append([])
             elif c.tag == "br":
                 blocks[-1].append(" ")
             elif c.tag in BLOCKS:
@@ -411,7 +461,8 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, path, template``: the main container of every host and the template's texts in it, from the wrapper over all of its pages.
+    """``host, path, template``: the main container of every host, and the places of the template's texts and of odd groups in
+    it, from the wrapper over all of its pages.
 
     Each task aligns its own pages of a host first; partial wrappers are then merged FAN_IN at a time, so that a
     host with most of the pages never comes to one task whole.
@@ -438,7 +489,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for b in batches:
             whole = [json.loads(w) for w in b.column("wrapper").to_pylist()]
             found = [main_path(w) for w in whole]
-            fixed = [template(w, p) for w, p in zip(whole, found, strict=True)]
+            fixed = [template(w, p) + odd_groups(w, p) for w, p in zip(whole, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(found, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.int64()))], ["host", "path", "template"])
 
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
