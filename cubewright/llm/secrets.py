@@ -68,7 +68,8 @@ def undecided(word: str) -> bool:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Whole runs of LEAST or more characters of CLASS, of any length, that overlap none of the spans."""
+    """Whole runs of LEAST or more characters of CLASS, of any length; of a run that meets spans, what they leave of it on
+    each side and between them, where that is as long."""
     if len(text) < LEAST:
         return
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -84,7 +85,13 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
     for start, end in zip(edge[::2][long].tolist(), edge[1::2][long].tolist(), strict=True):
         while at < len(merged) and merged[at][1] <= start:
             at += 1
-        if at == len(merged) or merged[at][0] >= end:
+        k = at
+        while k < len(merged) and merged[k][0] < end:
+            if merged[k][0] - start >= LEAST:
+                yield start, merged[k][0]
+            start = max(start, merged[k][1])
+            k += 1
+        if end - start >= LEAST:
             yield start, end
 
 
