@@ -318,7 +318,8 @@ def template(wrapper: dict, path: list[str]) -> list[int]:
 def odd_groups(wrapper: dict, path: list[str]) -> list[int]:
     """Places of the container's groups that are not its article's, whatever their names: adverts, notices, readers' comments.
 
-    Judged are children with a class or role that are no prose elements, on hosts of AGREE pages or more where prose
+    Judged are children that are no prose elements and have a class or role without any of WORDS (what names say with these
+    is decided by the names), on hosts of AGREE pages or more where prose
     elements that stand in the container hold PROSE of its text, and that have less than SMALL of it themselves. Such a
     group is left out where its own text is not in prose elements and, on a page that has it, is less than SHORT of the
     mean page's; or where it follows the last prose element and is a list of repeated elements of its own.
@@ -342,7 +343,7 @@ def odd_groups(wrapper: dict, path: list[str]) -> list[int]:
 
     found = []
     for i, c in enumerate(here["ch"]):
-        if "." in c["k"] and c["k"].split(".", 1)[0] in BLOCKS - FLOW and 0 < c["t"] < SMALL * here["t"]:
+        if "." in c["k"] and not c["m"] and c["k"].split(".", 1)[0] in BLOCKS - FLOW and 0 < c["t"] < SMALL * here["t"]:
             bare = 2 * prose(c) < c["t"] and c["t"] * here["n"] < SHORT * here["t"] * c["n"]
             if bare or (i > flows[-1] and lists(c)):
                 found.append(place((*path, c["k"]), "group"))
