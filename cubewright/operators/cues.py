@@ -19,31 +19,31 @@ LONG_MONTHS = ("january", "february", "march", "april", "june", "july", "august"
 TOKEN = r"[\p{L}\p{N}]+|[%=/]|(?<=[0-9])\s*[-–—]\s*(?=[0-9qQ])"
 
 
-def _each(*choices: str) -> list[str]:
+def phrases(*choices: str) -> list[str]:
     """Every phrase that takes one of the ``|``-parted choices after another; an empty choice is left out."""
     return [" ".join(w for w in combo if w) for combo in itertools.product(*[c.split("|") for c in choices])]
 
 
 #: Phrases of each cue.
 CUES: dict[str, list[str]] = {
-    "base": _each("index|index to|indexed|indexed to|rebase to|rebased to", "|<month>", "<year>"),
-    "loose_base": _each("relative to", "|<month>", "<year>"),
+    "base": phrases("index|index to|indexed|indexed to|rebase to|rebased to", "|<month>", "<year>"),
+    "loose_base": phrases("relative to", "|<month>", "<year>"),
     "rate_word": ["percent", "percentage", "pct", "growth", "change", "difference", "%"],
     "index_word": ["indexed", "rebase", "rebased", "as an index", "as a index", "base 100", "= 100"],
     "year_is_100": ["<year> = 100"],
-    "range": _each("<year>", "-|to|through", "<year>"),
-    "since": _each("since|from|starting in|beginning in", "<year>"),
+    "range": phrases("<year>", "-|to|through", "<year>"),
+    "since": phrases("since|from|starting in|beginning in", "<year>"),
     "in_year": ["in <year>"],
     "year": ["<year>"],
     "past": ["past", "last"],
-    "span": _each("past|last", "<n>", "year|years|month|months"),
-    "short_span": [*_each("<n>", "y|yr|yrs"), "<n>y"],
+    "span": phrases("past|last", "<n>", "year|years|month|months"),
+    "short_span": [*phrases("<n>", "y|yr|yrs"), "<n>y"],
     "recent_year": ["past year", "last year", "this year"],
     "latest": ["latest", "most recent", "current", "now", "today", "snapshot", "ranking", "rank"],
     "by_region": ["by region"],
-    "both": _each("province|provinces", "vs|versus|and", "territories"),
+    "both": phrases("province|provinces", "vs|versus|and", "territories"),
     "territories": ["territory", "territories"],
-    "cities": _each("by|across|each", "city|cities|cma|cmas|census metropolitan area|census metropolitan areas|census agglomeration|census agglomerations"),
+    "cities": phrases("by|across|each", "city|cities|cma|cmas|census metropolitan area|census metropolitan areas|census agglomeration|census agglomerations"),
     "provinces": ["province", "provinces", "provincial"],
     "across": ["across canada"],
     "index": ["indexed", "rebase", "rebased", "index to 100", "index first = 100", "index first 100"],
@@ -53,7 +53,7 @@ CUES: dict[str, list[str]] = {
     "pie": ["pie"],
     "table": ["as table", "as a table", "table view", "tabular"],
     "stacked_area": ["stacked area"],
-    "stacked_bar": _each("stacked", "bar|bars|column|columns"),
+    "stacked_bar": phrases("stacked", "bar|bars|column|columns"),
     "bar": ["bar", "column"],
     "area": ["area"],
     "line": ["line"],
@@ -178,7 +178,8 @@ def question_cues(questions: DataFrame, this_year: int, places: DataFrame | None
     )
 
 
-def _padded(text: Column) -> Column:
+def padded(text: Column) -> Column:
+    """A text's tokens in lower case, with a blank before and after each."""
     return F.concat(F.lit(" "), F.array_join(F.transform(tokens(text), F.lower), " "), F.lit(" "))
 
 
@@ -195,14 +196,14 @@ SALES = ["sale", "sales", "receipt", "receipts", "turnover", "revenue", "transac
 SOLD = ["sales", "sold", "receipt", "receipts", "turnover", "revenue", "transaction", "transactions"]
 PRICED = ["price", "prices", "index", "indexes", "indices"]
 TAKINGS = ["sale", "sales", "receipt", "receipts", "revenue"]
-RESOLD = ["resale", "resales", "resold", *_each("existing", "home|homes|house|houses")]
+RESOLD = ["resale", "resales", "resold", *phrases("existing", "home|homes|house|houses")]
 HOMES = ["home", "homes", "house", "houses", "housing", "residential", "real estate", "property", "properties", "dwelling", "dwellings"]
 EATING = ["restaurant", "restaurants", "food service", "food services", "eating place", "eating places", "dining out"]
-RETAIL = [*_each("average retail", "price|prices"), *_each("retail", "price|prices", "in", "dollar|dollars"), *_each("dollar", "price|prices")]
+RETAIL = [*phrases("average retail", "price|prices"), *phrases("retail", "price|prices", "in", "dollar|dollars"), *phrases("dollar", "price|prices")]
 DEATHS = ["death", "deaths", "mortality"]
 OFTEN = {"monthly": ["annual", "quarterly"], "quarterly": ["annual", "monthly"], "annual": ["monthly", "quarterly"], "annually": ["monthly", "quarterly"]}
 #: What a question must find in a table's title or members if it asks for it.
-THINGS = {"Gasoline": ["gas", "gasoline"], "Food": ["food"], "United States": ["united states", *_each("to|with|from", "|the", "us|usa")]}
+THINGS = {"Gasoline": ["gas", "gasoline"], "Food": ["food"], "United States": ["united states", *phrases("to|with|from", "|the", "us|usa")]}
 
 
 def table_fit(pairs: DataFrame, allow_missing: bool = False) -> DataFrame:
@@ -215,8 +216,8 @@ def table_fit(pairs: DataFrame, allow_missing: bool = False) -> DataFrame:
     that the table does not have; kinds of places and named places that it lacks (with ``allow_missing``, only where it
     lacks all); two named places that are one member of a census table; and things that neither title nor members name.
     """
-    rows = pairs.withColumn("__q", _padded(F.col("question"))).withColumn("__t", _padded(F.col("title")))
-    rows = rows.withColumn("__m", F.flatten(F.transform("dimensions", lambda d: F.transform(d["members"], lambda m: F.struct(_padded(m["label"]).alias("label"), F.coalesce(d["role"] == "measure", F.lit(False)).alias("measure"))))))
+    rows = pairs.withColumn("__q", padded(F.col("question"))).withColumn("__t", padded(F.col("title")))
+    rows = rows.withColumn("__m", F.flatten(F.transform("dimensions", lambda d: F.transform(d["members"], lambda m: F.struct(padded(m["label"]).alias("label"), F.coalesce(d["role"] == "measure", F.lit(False)).alias("measure"))))))
     geo = F.flatten(F.transform(F.filter("dimensions", lambda d: d["role"] == "geography"), lambda d: d["members"]))
     rows = rows.withColumn("__geo", F.transform(geo, lambda m: F.struct(m["roles"].alias("roles"), F.substring(m["place_id"], 6, 4).alias("level"), F.lower(F.trim(F.regexp_extract(m["label"], r"\A[^(,]*", 0))).alias("name"))))
     q, t = F.col("__q"), F.col("__t")
@@ -238,10 +239,10 @@ def table_fit(pairs: DataFrame, allow_missing: bool = False) -> DataFrame:
         "prices, not sales": ask(SALES) & says(t, PRICED) & ~says(t, TAKINGS),
         "resales": ask(RESOLD) & (~says(t, HOMES) | (~says(t, RESOLD) & ~measure(RESOLD))),
         "restaurants": ask(EATING, SALES) & ~says(t, ["food services and drinking places"]),
-        "retail prices": ask(RETAIL) & ~says(t, _each("average retail", "price|prices")),
+        "retail prices": ask(RETAIL) & ~says(t, phrases("average retail", "price|prices")),
         "dollars": (ask(["dollar", "dollars"]) | F.contains("question", F.lit("$"))) & ask(["price", "prices"]) & ~F.array_contains("unit_families", "currency"),
         "litres": ask(["sale", "sales", "volume", "volumes"], ["litre", "litres", "liter", "liters"]) & ~member(["sale", "sales", "volume", "volumes"]),
-        "causes of death": ask(DEATHS, ["cause", "causes"]) & ~F.exists("dimensions", lambda d: says(_padded(d["name"]), _each("cause|causes", "of death"))),
+        "causes of death": ask(DEATHS, ["cause", "causes"]) & ~F.exists("dimensions", lambda d: says(padded(d["name"]), phrases("cause|causes", "of death"))),
         "provinces": F.col("geography").isin("provinces", "provinces_and_territories") & ~role("province"),
         "territories": F.col("geography").isin("territories", "provinces_and_territories") & ~role("territory"),
         "cities": census & (F.col("geography") == "cities") & ~level("0503", "0504"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cubewright.functions.periods import pct
 from cubewright.functions.text import parse_dguid, place_level
 
-from .cues import says, tokens
+from .cues import padded, says
 
 
 def observation_records(page: DataFrame, dimensions: int, member: DataFrame, period: DataFrame, member_place: DataFrame, unit_family: DataFrame, meanings: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def published_basis(chosen: DataFrame, member: DataFrame, published: DataFrame)
     MOST_BASES members are considered, unless the question names a basis of that kind itself.
     """
     small = member.groupBy("pid", "dimension_id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_BASES)
-    text = F.concat(F.lit(" "), F.array_join(F.transform(tokens(F.col("question")), F.lower), " "), F.lit(" "))
+    text = padded(F.col("question"))
     free = reduce(lambda a, b: a | b, [(F.col("dimension_name") == name) & ~says(text, said) for name, said in BASES.items()])
     rows = chosen.where(free).join(small.select("pid", "dimension_id"), ["pid", "dimension_id"], "left_semi").join(published, ["pid", "dimension_id", "member_id"], "left_anti")
     others = member.select("pid", "dimension_id", F.col("member_id").alias("other")).join(published.withColumnRenamed("member_id", "other"), ["pid", "dimension_id", "other"], "left_semi")
