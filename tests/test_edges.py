@@ -253,12 +253,14 @@ def test_patterns_are_found_as_a_nested_loop_would(spark, monkeypatch):
     expected = sorted((i, w) for i, t in texts for w in set(words) if w and t and w in t)
     rows = spark.createDataFrame(texts, "id int, text string")
     patterns = spark.createDataFrame([(w,) for w in words], "pattern string")
-    for sought in (2_000, 1):
+    for many, sought in ((20_000, 1), (1, 2_000), (1, 1)):
+        monkeypatch.setattr(matching, "MANY", many)
         monkeypatch.setattr(matching, "SOUGHT", sought)
         found = matching.contained(rows, ["id"], patterns)
         assert sorted((r["id"], r["pattern"]) for r in found.collect()) == expected
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
-    assert matching.contained(rows, ["id"], patterns.limit(0)).collect() == []
+    monkeypatch.setattr(matching, "MANY", 20_000)
+    assert matching.contained(rows, ["id"], patterns.limit(0)).collect() == [] and matching.contained(rows.limit(0), ["id"], patterns).collect() == []
 
 
 def test_vectors_of_several_lengths(spark):
