@@ -24,11 +24,18 @@ from .common import materialize, new_path
 
 END_ID = 2
 #: Pieces of text whose ids a task remembers, and documents or ids of a segment.
-MAX_PIECES, SEGMENT_DOCS, SEGMENT_IDS = 250_000, 2_000, 1_000_000
+MAX_PIECES, SEGMENT_DOCS, SEGMENT_IDS = 320_000, 2_000, 1_000_000
 
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
+#: What keeps a text from being cut at its blanks: white space beside white space, and special tokens' marks.
 UNSPLIT = re.compile(r"\s\s|<\|")
+DOUBLED, OTHER_BLANKS = ("  ", "\n\n", " \n", "\n ", "<|"), [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def unsplit(text: str) -> bool:
+    """Whether ``UNSPLIT`` is in the text; the pattern itself is needed only where there is white space of a rarer kind."""
+    return any(x in text for x in DOUBLED) or any(x in text for x in OTHER_BLANKS) and UNSPLIT.search(text) is not None
 
 
 class _Pieces(dict):
@@ -89,7 +96,7 @@ class Encoder:
         if word[-1:] in self.marks:
             word, last = word[:-1], self.marks[word[-1]]
         if word.isalpha():
-            return first + self._word("" if first else self.blank, word) + last
+            return first + self._word("", word) + last if first else self.known[word] + last
         text = piece if first else " " + piece
         if text.isascii() or max(text) < "\u0250":
             return array(self.code, [t.id for w in self.words(text) for t in self.tokenize(w.translate(self.shown))]).tobytes()
@@ -106,7 +113,7 @@ class Encoder:
         """Ids of the text, the end id included."""
         if not text:
             return np.frombuffer(self.end, dtype=self.width)
-        if text[0].isspace() or text[-1].isspace() or UNSPLIT.search(text):
+        if text[0].isspace() or text[-1].isspace() or unsplit(text):
             return np.frombuffer(self._whole(text) + self.end, dtype=self.width)
         # each piece starts at a blank or a line end; the first line end is put there and its id dropped
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
