@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -14,6 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 16 << 20
 
 
+@functools.lru_cache
+def _local_dir(application: str) -> str:
+    """The one local folder of a local session that names no shared one."""
+    return "file://" + tempfile.mkdtemp(prefix="cubewright-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -24,8 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cubewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, new_path
+from .common import discard, materialize, new_path
 
 END_ID = 2
 #: Pieces of text whose ids a task remembers, and documents or ids of a segment.
@@ -260,6 +260,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     rows = rows.mapInArrow(packed, "bucket int, at long, ids long, doc_ids array<long>, counts array<long>, control binary, data binary")
     rows.write.option("compression", "zstd").parquet(f"{path}/segments")
+    discard(tokens)
 
 
 def _decoded(spark, path: str, name: str, kind: pa.DataType, of) -> DataFrame:

@@ -562,3 +562,25 @@ def test_very_long_texts_and_null_ids(spark):
     scored = toxicity.score(frame, toxicity.Machine(np.zeros(toxicity.LETTERS**3), -1.0, np.array([0.0, 1.0, 0.0]))).collect()
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
     assert len(tokens.tokenize(frame, queries.tokenizer_path()).collect()) == len(rows) and len(mixing.mix(frame).collect()) == len(rows)
+
+
+def test_shared_folder_of_sessions_that_name_none():
+    from types import SimpleNamespace
+
+    from cubewright.llm.common import shared_dir
+
+    def session(master, app):
+        unset = SimpleNamespace(get=lambda *_: None)
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, master=master, applicationId=app), conf=unset)
+
+    assert shared_dir(session("local[2]", "a")) == shared_dir(session("local[2]", "a")) != shared_dir(session("local", "b"))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", "c"))
+
+
+def test_unsplit_is_its_pattern():
+    import itertools
+
+    for parts in itertools.product(["a", " ", "\n", "\t", " ", "　", " ", "<", "|"], repeat=4):
+        text = "".join(parts)
+        assert tokens.unsplit(text) == (tokens.UNSPLIT.search(text) is not None)
