@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, near duplicates, decontamination, source mixing, token ids.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each stage's rows as Parquet in
-the shared folder and reads them again as the next stage's documents.
+the shared folder and reads them again as the next stage's documents, and removes them once that stage's rows are written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cubewright.llm import decontaminate, mixing, simhash, tokens, toxicity
-from cubewright.llm.common import materialize
+from cubewright.llm.common import discard, materialize
 from cubewright.llm.queries import table, tokenizer_path, train_toxicity
 
 
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    given = docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not given:
+            discard(before)
     return docs
