@@ -180,10 +180,10 @@ PERIODS = ["Y", "YTN", "YTY", "qY", "Yq", "mY"]
 def label_shape(label: Column) -> Column:
     """A label as one letter for each number, word or sign, by ``SHAPE``; dollar signs are left out."""
     def letter(t: Column) -> Column:
-        found = F.when(t.rlike("^[12][0-9]{3}$"), "Y").when(t.rlike("^[0-9]"), F.when(t.rlike("^[1-4]q$"), "q").otherwise("N")).when(t.rlike("^q[1-4]$"), "q").when(F.substring(t, 1, 3).isin(*MONTHS), "m")
+        found = F.when(t.rlike("^[12][0-9]{3}$"), "Y").when(t.rlike("^[0-9]"), F.when(t.rlike("^[1-4]q$"), "q").otherwise("N")).when(t.rlike("^q[1-4]$"), "q")
         for kind, words in SHAPE.items():
             found = found.when(t.isin(*words), kind)
-        return found.otherwise("w")
+        return found.when(F.substring(t, 1, 3).isin(*MONTHS), "m").otherwise("w")  # after the words: a decile is no December
 
     parts = F.regexp_extract_all(F.lower(label), F.lit(r"[1-4]q\b|q[1-4]\b|[0-9][0-9,]*(?:\.[0-9]+)?|\p{L}+|[-–—/+%]"), F.lit(0))
     return F.array_join(F.transform(parts, letter), "")

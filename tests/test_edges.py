@@ -268,3 +268,10 @@ def test_vectors_of_several_lengths(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["vec_id"]) for r in search.vector_topk(v, v, 3).collect()}
     assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_a_decile_is_no_month(spark):
+    """With the lowest decile read as a month, only 2 of 3 labels are buckets."""
+    rows = [("a", 1, n) for n in ("Lowest decile", "2nd decile", "Jan 2025")] + [("b", 1, n) for n in ("Lowest decile", "Decimals", "Dec")]
+    member = spark.createDataFrame(rows, "pid string, dimension_id int, member_name string")
+    assert {r["pid"]: r["ordinal"] for r in records.ordinal_dimensions(member).collect()} == {"a": True, "b": False}
