@@ -136,10 +136,11 @@ def series_points(series: DataFrame, points: DataFrame) -> DataFrame:
     return series.join(listed, "series_key", "left").select("series_key", "n_obs", "points", F.col("n_obs").eqNullSafe(F.col("n_seen")).alias("consistent"))
 
 
-def table_list(tables: DataFrame, stats: DataFrame) -> DataFrame:
-    """Queryable tables with number, bounds, family and families of units."""
+def table_list(tables: DataFrame, stats: DataFrame, key: str = "pid") -> DataFrame:
+    """Queryable tables with number, bounds, family and families of units. ``key`` names a table in both frames, where its
+    published id may be another's too."""
     family = F.when(F.col("pid").startswith("98"), "census").otherwise("ordinary")
-    return tables.where("queryable").join(stats, "pid", "left").select("pid", table_number(F.col("pid")).alias("number"), "title", family.alias("family"), "period_min", "period_max", "families")
+    return tables.where("queryable").join(stats, key, "left").select("pid", table_number(F.col("pid")).alias("number"), "title", family.alias("family"), "period_min", "period_max", "families")
 
 
 def plan_scores(results: DataFrame) -> DataFrame:

@@ -299,3 +299,13 @@ def test_ids_of_large_part_keys(spark, tmp_path):
     con = _parts(spark, tmp_path, [1, 2499, 2500, 24_999, 1_200_001])
     expected = con.execute(registry.ORACLES["table_kind"]).fetchall()
     assert sorted(tuple(r) for r in registry.QUERIES["table_kind"](spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_tables_whose_ids_repeat_are_listed_once(spark, tmp_path):
+    """1,000,001 and 10,000,011 have the six digits of other keys: each row has its own bounds, and none is repeated."""
+    from cubewright.plans import registry
+
+    con = _parts(spark, tmp_path, [100_000, 1_000_001, 1_000_004, 1_000_007, 10_000_011, 5])
+    expected = con.execute(registry.ORACLES["table_list"]).fetchall()
+    found = [tuple(r) for r in registry.QUERIES["table_list"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
