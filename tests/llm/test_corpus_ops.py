@@ -376,6 +376,16 @@ def test_pii_adds_what_the_base_patterns_miss(spark):
         assert r["b"] == brute_pii(texts[r["doc_id"]]) and set(r["b"].split(",")) <= set(r["f"].split(","))
 
 
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    """No bound on texts or candidates: 4,200 of each label and more all reach the trees or the threshold."""
+    rows = [(i, f"write to u{i}@host{i % 50}.com today", "a") for i in range(4_200)]
+    frame, seen, own = docs(spark, rows + rows[:9]), [], pii.assembled
+    monkeypatch.setattr(pii, "assembled", lambda rows: seen.append(rows.count()) or own(rows))
+    assert pii.train(frame) is not None
+    expected = pii.labelled(docs(spark, rows)).groupBy("label").count().collect()
+    assert sum(seen) == sum(r["count"] for r in expected) and max(r["count"] for r in expected) > 4_000
+
+
 def test_pii_redacts_every_row_by_its_own_text(spark):
     rows = [(1, "mail a@b.com now", "s"), (1, "nothing but long words here", "s"), (None, "call x@y.org", "s"), (None, None, "s"), (2, "", "s"), (3, "x@y.org" + " a@b.com" * 3_000, "s")]
     got = sorted(((r["doc_id"], r["text"]) for r in pii.redact(docs(spark, rows), None).collect()), key=str)
