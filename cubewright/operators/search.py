@@ -20,6 +20,8 @@ from .matching import contained
 
 #: Distinct words of all queries up to which documents' other words are left out before the join.
 SOUGHT = 256
+#: Products of queries and vectors that a task holds at once.
+TILE = 1 << 20
 #: What people say, and what tables call it; what the price index has parts of.
 SAID = {"quality of life": "life satisfaction", "well being": "life satisfaction", "wellbeing": "life satisfaction", "inflation": "consumer price index all-items", "cost of living": "consumer price index all-items", "cpi": "consumer price index"}
 INDEX, WHOLE = "consumer price index", "all-items"
@@ -85,11 +87,49 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return own.select("pid", "w.word", "w.weight").join(asked, "word").groupBy("query_id", "pid").agg(F.sum("weight").cast("int").alias("score"))
 
 
+class Nearest:
+    """The ``top`` best of each query among the vectors seen so far, by score and then the smaller id."""
+
+    def __init__(self, ids: np.ndarray, top: int):
+        self.ids, self.top = ids, top
+        self.least = np.full(len(ids), -np.inf)  # what a vector's score must reach
+        self.rows = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        self.waiting: list[tuple] = []
+
+    def add(self, score: np.ndarray, own: np.ndarray) -> None:
+        """``score`` of all queries with the vectors ``own``; nothing that is not finite counts, nor a vector's own."""
+        with np.errstate(invalid="ignore"):
+            q, v = np.nonzero((score >= self.least[:, None] - 1e-8) & np.isfinite(score))
+        other = self.ids[q] != own[v]
+        q, v = q[other], v[other]
+        self.waiting.append((q, own[v], np.round(score[q, v], 9)))
+        if sum(len(w[0]) for w in self.waiting) > TILE // 4:
+            self.settle()
+
+    def settle(self) -> None:
+        q, own, score = (np.concatenate(c) for c in zip(self.rows, *self.waiting, strict=True))
+        order = np.lexsort((own, -score, q))
+        q, own, score = q[order], own[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.top
+        self.rows, self.waiting = (q[keep], own[keep], score[keep]), []
+        full = place == self.top - 1
+        self.least[q[full]] = score[full]
+
+    def batches(self, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        q, own, score = self.rows
+        for at in range(0, len(q), size):
+            part = slice(at, at + size)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[part]]), pa.array(own[part]), pa.array(score[part])], ["query_id", "vec_id", "score"])
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """The ``top`` nearest vectors of each query vector by cosine (0 where a norm is 0) or dot product, itself left out.
 
-    Queries are taken ``block`` at a time as one matrix a length; a task multiplies its vectors of that length with it and
-    keeps the best of each query, so what is ranked at the end is at most ``top`` rows a query and batch. Null and empty
+    Queries are taken ``block`` at a time as one matrix a length; a task multiplies its vectors of that length with it, TILE
+    products at a time, and keeps the best of each query, so what is ranked at the end is at most ``top`` rows a query and
+    task, and a task's memory is that of a block and a tile, whatever the rows. Null and empty
     vectors are left out, and vectors of different lengths are not compared.
     """
     spark = vectors.sparkSession
@@ -116,18 +156,18 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top: int, metric: str =
         shared = spark.sparkContext.broadcast(by_length([r["vec_id"] for r in rows], [r["v"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kept = {length: Nearest(ids, top) for length, (ids, _) in shared.value.items()}
             for b in batches:
                 lists = [v.values.to_numpy(zero_copy_only=False) for v in b.column("v")]
                 for length, (own, v) in by_length(b.column("vec_id").to_pylist(), lists).items():
-                    if length not in shared.value:
+                    if length not in kept:
                         continue
-                    ids, matrix = shared.value[length]
-                    score = np.round(matrix @ v.T, 9)
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :top]
-                    best = np.take_along_axis(score, order, axis=1)
-                    keep = np.isfinite(best).reshape(-1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], ["query_id", "vec_id", "score"])
+                    matrix = shared.value[length][1]
+                    step = max(1, TILE // len(matrix))
+                    for at in range(0, len(own), step):
+                        kept[length].add(matrix @ v[at : at + step].T, own[at : at + step])
+            for best in kept.values():
+                yield from best.batches()
 
         found.append(usable(vectors).mapInArrow(run, "query_id long, vec_id long, score double"))
     whole = reduce(DataFrame.union, found) if found else vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long"), F.lit(0.0).alias("score")).limit(0)

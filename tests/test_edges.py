@@ -309,3 +309,34 @@ def test_tables_whose_ids_repeat_are_listed_once(spark, tmp_path):
     expected = con.execute(registry.ORACLES["table_list"]).fetchall()
     found = [tuple(r) for r in registry.QUERIES["table_list"](spark, str(tmp_path)).collect()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_products_are_held_a_tile_at_a_time(spark, monkeypatch):
+    """However many rows a batch has, no more than TILE products are made at once; ties, repeats and marks as by brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    own = rng.integers(-2, 3, (300, 3)).astype(float)
+    own[7], own[8] = np.nan, np.inf
+    monkeypatch.setattr(search, "TILE", 4_000)
+    ids = np.arange(0, 300, 20)
+    for top in (1, 5, 400):
+        best = search.Nearest(ids, top)
+        for at in range(0, 300, 37):
+            with np.errstate(invalid="ignore"):
+                best.add(own[ids] @ own[at : at + 37].T, np.arange(at, min(at + 37, 300)))
+        got = [tuple(r.values()) for b in best.batches(7) for r in b.to_pylist()]
+        with np.errstate(invalid="ignore"):
+            expected = [r for q in ids for r in sorted(((int(q), v, float(own[q] @ own[v])) for v in range(300) if v != q and np.isfinite(own[q] @ own[v])), key=lambda r: (-r[2], r[1]))[:top]]
+        assert got == expected
+    made, add = [], search.Nearest.add
+    monkeypatch.setattr(search.Nearest, "add", lambda self, score, ids: made.append(score.size) or add(self, score, ids))
+    frame = spark.createDataFrame([(i, own[i].tolist()) for i in range(300) if i not in (7, 8)], "vec_id long, embedding array<double>").coalesce(1)
+    import pyspark.sql.dataframe as dataframe
+
+    tasks = []
+    monkeypatch.setattr(dataframe.DataFrame, "mapInArrow", lambda self, f, schema, *a, **k: tasks.append((self, f)) or self.sparkSession.createDataFrame([], schema), raising=False)
+    monkeypatch.setattr(type(frame), "mapInArrow", dataframe.DataFrame.mapInArrow, raising=False)
+    search.vector_topk(frame, frame, 3)
+    (rows, run), = tasks
+    assert sum(b.num_rows for b in run(iter(rows.toArrow().to_batches()))) == 298 * 3 and max(made) <= 4_000
