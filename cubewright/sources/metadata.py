@@ -32,6 +32,10 @@ LEGEND = "Symbol Legend"
 MEMBER_START, MEMBER_END = r'\A"?[0-9]+"?,"', r'\A("[^"]*"|[^",]*),"?[0-9]+"?,("[0-9]*"|[0-9]*),(t|"t"|""|)(,|\z)'
 
 
+#: Lines of whole files that a task sorts at once.
+LINES = 50_000
+
+
 def _found(line: Column) -> Column:
     """The commas of a record that begins before ``line``, each with the cell after it; what belongs to no cell is left out."""
     return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*|[^",][^,]*|)'), F.lit(0))
@@ -43,7 +47,13 @@ def csv_cells(line: Column) -> Column:
     quoted = r'(?s)\A,"([^"]*+(?:""[^"]*+)*+)"(.*)\z'
     plain = lambda c: F.substring(c, F.lit(2), F.length(c))
     unquoted = lambda c: F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))
-    return F.transform(_found(line), lambda c: F.when(F.substring(c, 2, 1) == '"', unquoted(c)).otherwise(plain(c)))
+    cells = F.transform(_found(line), lambda c: F.when(F.substring(c, 2, 1) == '"', unquoted(c)).otherwise(plain(c)))
+    return F.when(F.contains(line, F.lit('"')), cells).otherwise(F.split(line, ",", -1))
+
+
+def pieces(lines: DataFrame) -> int:
+    """In how many parts files are dealt out, so that a part has about LINES lines, however many there are in all."""
+    return -(-lines.count() // LINES) or 1
 
 
 def is_open(line: Column) -> Column:
@@ -51,9 +61,10 @@ def is_open(line: Column) -> Column:
     return F.array_join(_found(line), "") != F.concat(F.lit(","), line)
 
 
-def named_blocks(lines: DataFrame) -> DataFrame:
-    """``pid, line_no, line, cells, block, header, is_header, record``: lines with their block and its header's cells, and
-    the line that their CSV record begins with. Windows are within one file.
+def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
+    """``pid, line_no, line, cells, block, header, is_header, record, alone``: lines with their block and its header's cells,
+    the line that their CSV record begins with, and whether that is all of it. Windows are within one file; files are dealt
+    out in ``parts``, by the number of lines where none is given.
 
     A block starts at a line whose first cell, or first two, name it; the symbols' also at a bare ``Symbol Legend``, which
     is left out, and then has its header in the next line. A line is a function of whether it begins inside quotes: it ends
@@ -62,6 +73,7 @@ def named_blocks(lines: DataFrame) -> DataFrame:
     """
     own = Window.partitionBy("pid").orderBy("line_no")
     text = F.regexp_replace("line", r"\r\z", "")
+    lines = lines.repartition(parts or pieces(lines), "pid")
     rows = lines.withColumn("line", F.when(F.lag("line_no").over(own).isNull(), F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text))
     rows = rows.withColumn("cells", csv_cells(F.col("line")))
     one, two = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
@@ -81,7 +93,8 @@ def named_blocks(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("number", F.sum(F.col("is_header").cast("int")).over(own)).where("not legend")
 
     within = Window.partitionBy("pid", "number").orderBy("line_no")
-    rows = rows.withColumn("fresh", is_open(F.col("line"))).withColumn("inside", is_open(F.concat(F.lit('"'), F.col("line"))))
+    quotes = F.contains("line", F.lit('"'))  # without any, a line ends as it begins
+    rows = rows.withColumn("fresh", quotes & is_open(F.col("line"))).withColumn("inside", ~quotes | is_open(F.concat(F.lit('"'), F.col("line"))))
     fixed = F.col("fresh") == F.col("inside")
     rows = rows.withColumn("since", F.sum(fixed.cast("int")).over(within))
     span = Window.partitionBy("pid", "number", "since").orderBy("line_no")
@@ -90,7 +103,8 @@ def named_blocks(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("ends_open", (begun + turns) % 2 == 1)
     begins = ~F.coalesce(F.lag("ends_open").over(within), F.lit(False))
     rows = rows.withColumn("record", F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(within))
-    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record")
+    alone = (F.col("record") == F.col("line_no")) & ~F.coalesce("ends_open", F.lit(True))
+    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record", alone.alias("alone"))
 
 
 def block_problems(blocks: DataFrame) -> DataFrame:
@@ -114,27 +128,31 @@ def parse_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     hold line ends, which are dropped, as its lines are one record. A file's member rows are a line each, unless one that
     ``with_anchored`` can't read has an odd number of quotes: then they are records like the other blocks'.
     """
-    rows = blocks.where((F.col("block") == name) & ~F.col("is_header")).select("pid", "line_no", "line", "header", "record")
+    rows = blocks.where((F.col("block") == name) & ~F.col("is_header")).select("pid", "line_no", "line", "header", "record", "alone")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     if name == "member":
-        rows = with_anchored(rows)
         odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
-        rows = rows.withColumn("spans", F.max(odd & F.col("anchored").isNull()).over(Window.partitionBy("pid")))
+        rows = stored(with_anchored(rows).withColumn("odd", odd & F.col("anchored").isNull()), "member-lines")
+        rows = rows.join(rows.where("odd").select("pid", F.lit(True).alias("spans")).distinct(), "pid", "left").withColumn("spans", F.coalesce("spans", F.lit(False)))
         rows = rows.withColumn("record", F.when(F.col("spans"), F.col("record")).otherwise(F.col("line_no"))).withColumn("anchored", F.when(~F.col("spans"), F.col("anchored")))
+        rows = rows.withColumn("alone", F.col("alone") | ~F.col("spans"))
     else:
         rows = rows.withColumn("anchored", F.lit(None).cast("array<string>"))
-    rows = rows.groupBy("pid", "record").agg(F.array_join(lines, "").alias("line"), F.any_value("header").alias("header"), F.any_value("anchored").alias("anchored"))
-    rows = rows.withColumn("cells", F.coalesce("anchored", csv_cells(F.col("line"))))
+    # only the lines of records over several are gathered
+    several = rows.where("not alone").groupBy("pid", "record").agg(F.array_join(lines, "").alias("line"), F.any_value("header").alias("header"), F.any_value("anchored").alias("anchored"))
+    rows = rows.where("alone").select("pid", "record", "line", "header", "anchored").union(several)
+    rows = rows.withColumn("cells", F.coalesce("anchored", csv_cells(F.col("line")))).withColumn("unclosed", F.col("anchored").isNull() & F.contains("line", F.lit('"')) & is_open(F.col("line")))
     if name == "member":
         rows = rows.withColumn("cells", member_cells(F.col("cells"), F.col("header")))
+    # the cells are stored: every check and column below reads them, and none finds them again
+    rows = stored(rows.select("pid", "record", "header", "cells", "unclosed"), f"{name}-records")
     rows = rows.where(F.exists("cells", lambda c: c != ""))
     wide = F.exists(F.slice("cells", F.size("header") + 1, F.greatest(F.size("cells") - F.size("header"), F.lit(0))), lambda c: c != "")
     at = lambda h: F.get("cells", (F.array_position("header", h) - 1).cast("int"))
     cell = lambda h: F.when(F.array_position("header", h) > 0, at(h))
     whole = [(c, cell(h)) for h, c in COLUMNS[name].items()]
     bad = F.array_compact(F.array(*[F.when((v != "") & ~v.rlike(r"\A[0-9]+\z"), F.lit(c)) for c, v in whole if c in INTEGERS] or [F.lit(None).cast("string")]))
-    unclosed = F.col("anchored").isNull() & is_open(F.col("line"))
-    problem = F.when(unclosed, "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
+    problem = F.when(F.col("unclosed"), "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
     checked = rows.withColumn("problem", problem)
     good = checked.where("problem is null").select("pid", *[(v.try_cast("int") if c in INTEGERS else v).alias(c) for c, v in whole])
     return good, checked.where("problem is not null").select("pid", F.col("record").alias("line_no"), "problem")
@@ -167,11 +185,11 @@ def member_cells(found: Column, header: Column) -> Column:
     return F.when(loose, F.concat(F.slice(trimmed, 1, at - 1), F.array(F.array_join(tail, ";")), F.array_repeat(F.lit(""), F.greatest(F.size(header) - at, F.lit(0))))).otherwise(trimmed)
 
 
-def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def loose_block(blocks: DataFrame, name: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of free text: one starts at each line with an id (and a date), and following lines belong to it.
 
     The outer pair of quotes is trimmed and nothing is unescaped. Text before the first record is a problem, and a header
-    that doesn't begin with the block's own columns.
+    that doesn't begin with the block's own columns. Stored blocks are dealt out by file in ``parts``.
     """
     own = Window.partitionBy("pid").orderBy("line_no")
     n, columns = LOOSE[name], list(COLUMNS[name])
@@ -181,7 +199,8 @@ def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         starts = starts & cell(1).rlike(r"\A[0-9-]+\z")
     rest = F.substring("line", sum((F.length(F.get(raw, F.lit(k))) for k in range(n)), F.lit(1)), F.length("line"))
     mine = blocks.where(F.col("block") == name)
-    rows = mine.where(~F.col("is_header")).withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("number", F.sum(F.col("starts").cast("int")).over(own))
+    dealt = mine.repartition(parts, "pid") if parts else mine
+    rows = dealt.where(~F.col("is_header")).withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("number", F.sum(F.col("starts").cast("int")).over(own))
     text = F.when(F.col("starts"), rest).otherwise(F.col("line"))
     each = rows.where("number > 0").groupBy("pid", "number").agg(
         *[F.min(F.when(F.col("starts"), cell(k))).alias(f"cell_{k}") for k in range(n)],
@@ -205,11 +224,12 @@ def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tup
     another family may lack further blocks: give them in ``optional``. A cube's row also has the block of its notes as it
     stands, ``note_block_raw``. The lines are read once: the named blocks are stored, and all tables come from there.
     """
-    blocks = stored(named_blocks(lines), "blocks")
+    parts = pieces(lines)
+    blocks = stored(named_blocks(lines, parts), "blocks")
     allowed = [f"missing block {b}" for b in optional]
     tables, problems = {}, block_problems(blocks).where(~F.col("problem").isin(*allowed))
     for name in COLUMNS:
-        tables[name], bad = loose_block(blocks, name) if name in LOOSE else parse_block(blocks, name)
+        tables[name], bad = loose_block(blocks, name, -(-parts // 4)) if name in LOOSE else parse_block(blocks, name)
         problems = problems.union(bad)
     declared = tables["cube"].groupBy("pid").agg(F.count("*").alias("n"), F.max("total_dimensions").alias("declared"))
     found = tables["dimension"].groupBy("pid").agg(F.count("*").alias("dimensions"))
@@ -219,7 +239,8 @@ def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tup
     counts = whole.select("pid", F.lit(None).cast("int").alias("line_no"), F.coalesce(several, differ).alias("problem")).where("problem is not null")
     problems = problems.union(counts)
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    tables["cube"] = tables["cube"].join(blocks.where("block = 'note'").groupBy("pid").agg(raw.alias("note_block_raw")), "pid", "left")
+    notes = blocks.where("block = 'note'").select("pid", "line_no", "line").repartition(-(-parts // 4), "pid")
+    tables["cube"] = tables["cube"].join(notes.groupBy("pid").agg(raw.alias("note_block_raw")), "pid", "left")
     problems = stored(problems, "metadata-problems")
     bad = problems.select("pid").distinct()
     return {name: t.join(bad, "pid", "left_anti") for name, t in tables.items()}, problems

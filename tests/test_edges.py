@@ -340,3 +340,17 @@ def test_products_are_held_a_tile_at_a_time(spark, monkeypatch):
     search.vector_topk(frame, frame, 3)
     (rows, run), = tasks
     assert sum(b.num_rows for b in run(iter(rows.toArrow().to_batches()))) == 298 * 3 and max(made) <= 4_000
+
+
+def test_files_are_dealt_out_by_their_lines_and_cells_found_once(spark, monkeypatch):
+    """More lines make more parts, not larger ones; a block's good rows and problems read stored cells."""
+    text = ["Dimension ID,Dimension name,Dimension Notes", '1,"a ""b"", c",1', '2,"over', 'two",', "x,bad,", "3,wide,,,y"]
+    lines = spark.createDataFrame([(f"p{k}", i, t) for k in range(20) for i, t in enumerate(text)], "pid string, line_no int, line string")
+    monkeypatch.setattr(metadata, "LINES", 10)
+    blocks = metadata.named_blocks(lines)
+    assert blocks.rdd.getNumPartitions() == 12
+    good, bad = metadata.parse_block(blocks, "dimension")
+    for df in (good, bad):
+        assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["dimension_id"], r["dimension_name"]) for r in good.collect()} == {(1, 'a "b", c'), (2, "overtwo")} and good.count() == 40
+    assert sorted({(r["line_no"], r["problem"]) for r in bad.collect()}) == [(4, "not an integer: dimension_id"), (5, "row wider than its header")]
