@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cubewright.functions.periods import pct
 from cubewright.functions.text import parse_dguid, place_level
+from cubewright.sources.storage import handed_out, stored
 
 from .cues import padded, says
 
@@ -94,13 +95,13 @@ def place_matches(members: DataFrame, alias: DataFrame) -> DataFrame:
         F.when(F.size("ids") == 0, "member has no observations").when(F.size("ids") > 1, F.concat(F.lit("several ids on observations: "), F.array_join("ids", ", "))).when(F.col("id") == "", "no id on observations")
         .when(F.col("d").isNull(), F.concat(F.lit("not a well-formed id: "), "id")).when(differs, F.concat("id", F.lit(" disagrees with code "), "code"))
     )
-    rows = rows.withColumn("against", against).join(alias.select("code", F.col("schema").alias("a_schema"), F.col("geo_code").alias("a_geo")), "code", "left")
+    rows = rows.withColumn("against", against).join(handed_out(alias.select("code", F.col("schema").alias("a_schema"), F.col("geo_code").alias("a_geo"))), "code", "left")
     coded = F.when(F.col("a_schema").isNull(), F.when(F.col("code") == "", "no classification code").otherwise(F.concat(F.lit("no alias of code "), "code")))
     by_id = F.col("against").isNull()
     rows = rows.withColumn("schema", F.when(by_id, F.col("d.schema")).otherwise(F.col("a_schema"))).withColumn("geo", F.when(by_id, F.col("d.geo_code")).otherwise(F.col("a_geo")))
     rows = rows.withColumn("match", F.when(by_id, "dguid").when(F.col("a_schema").isNotNull(), "code")).withColumn("uncoded", F.when(~by_id, coded))
     named = rows.where(F.col("match").isNotNull() & place_level(F.col("schema")).isin("country", "province")).groupBy("member_name").agg(F.collect_set(F.struct("schema", "geo")).alias("places"))
-    rows = rows.join(named, "member_name", "left").withColumn("n", F.coalesce(F.size("places"), F.lit(0)))
+    rows = rows.join(handed_out(stored(named, "named-places")), "member_name", "left").withColumn("n", F.coalesce(F.size("places"), F.lit(0)))
     by_name = F.col("match").isNull() & (F.col("n") == 1)
     code_id = lambda p: F.concat_ws(":", F.lit("code"), p["schema"], p["geo"])
     place = F.when(F.col("match") == "dguid", F.col("id")).when(F.col("match") == "code", F.concat_ws(":", F.lit("code"), "schema", "geo")).when(by_name, code_id(F.get("places", F.lit(0))))

@@ -80,7 +80,7 @@ def _values(rows):
 @add(f"WITH m(k, place_id, match, reasons) AS (VALUES {_values([(i, *m[3:]) for i, m in enumerate(MATCHES)])}) SELECT o_custkey AS pid, o_orderkey AS member_id, place_id, match, reasons FROM orders JOIN m ON k = o_orderkey % 10")
 def place_matches(spark, sf_dir):
     made = spark.createDataFrame([(i, m[0], m[1], m[2]) for i, m in enumerate(MATCHES)], "k int, dguids array<string>, code string, member_name string")
-    members = tables(spark, sf_dir)["orders"].select(F.col("o_custkey").alias("pid"), F.col("o_orderkey").alias("member_id"), (F.col("o_orderkey") % 10).cast("int").alias("k")).join(made, "k")
+    members = tables(spark, sf_dir)["orders"].select(F.col("o_custkey").alias("pid"), F.col("o_orderkey").alias("member_id"), (F.col("o_orderkey") % 10).cast("int").alias("k")).join(F.broadcast(made), "k")
     alias = spark.createDataFrame([("[24]", "0002", "24")], "code string, schema string, geo_code string")
     return full_records.place_matches(members, alias).withColumn("reasons", F.array_join("reasons", "|"))
 

@@ -27,6 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def handed_out(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df``, stored or small, marked for broadcast if it has at most ``most`` rows: few keys then never gather another
+    table's rows in as few tasks. A larger one joins by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int) -> None:
     """Range-partitioned and sorted within, in row groups of about 8 MB, so that readers skip by the leading keys. Spark's
     committer writes under temporary names and renames at the end, so a reader sees all files or none."""

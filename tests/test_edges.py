@@ -354,3 +354,13 @@ def test_files_are_dealt_out_by_their_lines_and_cells_found_once(spark, monkeypa
         assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r["dimension_id"], r["dimension_name"]) for r in good.collect()} == {(1, 'a "b", c'), (2, "overtwo")} and good.count() == 40
     assert sorted({(r["line_no"], r["problem"]) for r in bad.collect()}) == [(4, "not an integer: dimension_id"), (5, "row wider than its header")]
+
+
+def test_few_codes_and_names_gather_no_members(spark):
+    """Members meet aliases and named places without being shuffled by these few keys."""
+    from cubewright.operators import full_records
+
+    members = spark.createDataFrame([(1, i, "Quebec", "[24]" if i % 2 else "", ["2021A000235"] if i % 3 else []) for i in range(60)], "pid int, member_id int, member_name string, code string, dguids array<string>")
+    found = full_records.place_matches(members, spark.createDataFrame([("[24]", "0002", "24")], "code string, schema string, geo_code string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and found.count() == 60
