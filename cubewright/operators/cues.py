@@ -12,6 +12,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cubewright.sources.storage import handed_out, stored
+
 LONGEST = 6
 #: Months by their first letters. Fixed values.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -114,8 +116,16 @@ def question_cues(questions: DataFrame, this_year: int, places: DataFrame | None
     Cues of time are read without the base's phrase. A range of years goes before a year to start from, that before one
     year, and this before spans back from now. ``geography`` is the kind asked for, ``listed`` where places are named, else
     ``one``; ``ranged`` says that a stretch of time was asked for. ``places`` is a gazetteer as in ``place_hits``. Null and
-    empty questions say nothing; question_ids name a question.
+    empty questions say nothing. Each different text is read once, and questions meet what their text says.
     """
+    asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("text"))
+    texts = asked.select(F.col("text").alias("question_id"), F.col("text").alias("question")).distinct()
+    found = stored(text_cues(texts, this_year, places), "text-cues")
+    return asked.join(handed_out(found.withColumnRenamed("question_id", "text")), "text").select("question_id", *found.columns[1:])
+
+
+def text_cues(questions: DataFrame, this_year: int, places: DataFrame | None = None) -> DataFrame:
+    """``question_cues`` of each row of ``questions``, whose question_ids name a question."""
     spark = questions.sparkSession
     words = questions.select("question_id", tokens(F.coalesce("question", F.lit(""))).alias("words")).withColumn("kinds", kinds(F.col("words")))
     table = _rows(spark, [{"cue": c, "phrase": p} for c, ps in CUES.items() for p in ps], "cue: string, phrase: string")

@@ -207,11 +207,11 @@ def concept_fit(spark, sf_dir):
     """Each question against its table, by cues read from it."""
     schema = "k int, question string, title string, unit_families array<string>, dimensions array<struct<name: string, role: string, members: array<struct<label: string, roles: array<string>, place_id: string>>>>"
     made = spark.createDataFrame([(i, *f[:4]) for i, f in enumerate(FITS)], schema)
-    asked = tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 20).cast("int").alias("k")).join(made, "k")
+    asked = tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 20).cast("int").alias("k"))
     gazetteer = spark.createDataFrame([(*g, i) for i, g in enumerate(GAZETTEER)], "place string, form string, exact boolean, position int")
-    said = cues.question_cues(asked, 2021, gazetteer).select("question_id", "geography", "places")
+    said = cues.question_cues(asked.join(F.broadcast(made.select("k", "question")), "k"), 2021, gazetteer).select("question_id", "geography", "places")
     census = F.when(F.col("title").startswith("Census"), "census_2021").otherwise("ordinary")
-    pairs = asked.join(said, "question_id").withColumn("pid", F.concat(F.lit("t"), F.col("k").cast("string"))).withColumn("family", census)
+    pairs = asked.join(said, "question_id").join(F.broadcast(made), "k").withColumn("pid", F.concat(F.lit("t"), F.col("k").cast("string"))).withColumn("family", census)
     return cues.table_fit(pairs).select("question_id", "pid", F.array_join("reasons", ",").alias("reasons"))
 
 

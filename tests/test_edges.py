@@ -364,3 +364,13 @@ def test_few_codes_and_names_gather_no_members(spark):
     found = full_records.place_matches(members, spark.createDataFrame([("[24]", "0002", "24")], "code string, schema string, geo_code string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and found.count() == 60
+
+
+def test_each_text_of_questions_is_read_once(spark, monkeypatch):
+    from cubewright.operators import cues
+
+    rows = [(i, ["prices since 2001", None, "jobs by province"][i % 3]) for i in range(30)]
+    read, own = [], cues.text_cues
+    monkeypatch.setattr(cues, "text_cues", lambda q, *a: read.append(q.count()) or own(q, *a))
+    got = {r["question_id"]: (r["from_year"], r["geography"]) for r in cues.question_cues(spark.createDataFrame(rows, "question_id int, question string"), 2021).collect()}
+    assert read == [3] and got == {i: [("2001", "one"), (None, "one"), (None, "provinces")][i % 3] for i in range(30)}
