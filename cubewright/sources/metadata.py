@@ -6,6 +6,8 @@ A file's lines come as ``pid, line_no, line``. Nothing is dropped silently: what
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import stored
@@ -27,6 +29,7 @@ INTEGERS = ("total_dimensions", "dimension_id", "member_id", "parent_member_id",
 #: Blocks of free text by the number of cells before a record's text: an id, and for corrections a date.
 LOOSE = {"note": 1, "correction": 2}
 LEGEND = "Symbol Legend"
+PROBLEMS = "array<struct<line_no: int, problem: string>>"
 #: A member line begins with its dimension and the quote before its name, and ends with a code without quotes, its id, a
 #: parent's id or none, the mark of an ended member or none, and whatever fields the file has besides.
 MEMBER_START, MEMBER_END = r'\A"?[0-9]+"?,"', r'\A("[^"]*"|[^",]*),"?[0-9]+"?,("[0-9]*"|[0-9]*),(t|"t"|""|)(,|\z)'
@@ -44,10 +47,16 @@ def _found(line: Column) -> Column:
 def csv_cells(line: Column) -> Column:
     """The cells of a CSV record: a quoted cell's outer quotes removed and doubled ones halved; what follows the closing
     quote, and quotes within a cell that has none at its start, are text."""
+    return _cells(line, _found(line))
+
+
+def _cells(line: Column, found: Column) -> Column:
     quoted = r'(?s)\A,"([^"]*+(?:""[^"]*+)*+)"(.*)\z'
     plain = lambda c: F.substring(c, F.lit(2), F.length(c))
+    inner = lambda c: F.substring(c, F.lit(3), F.length(c) - 3)
     unquoted = lambda c: F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))
-    cells = F.transform(_found(line), lambda c: F.when(F.substring(c, 2, 1) == '"', unquoted(c)).otherwise(plain(c)))
+    simple = lambda c: (F.length(c) > 2) & F.endswith(c, F.lit('"')) & ~F.contains(inner(c), F.lit('"'))
+    cells = F.transform(found, lambda c: F.when(F.substring(c, 2, 1) != '"', plain(c)).when(simple(c), inner(c)).otherwise(unquoted(c)))
     return F.when(F.contains(line, F.lit('"')), cells).otherwise(F.split(line, ",", -1))
 
 
@@ -58,24 +67,31 @@ def pieces(lines: DataFrame) -> int:
 
 def is_open(line: Column) -> Column:
     """Whether a record that begins with ``line`` goes on in the next one, inside quotes."""
-    return F.array_join(_found(line), "") != F.concat(F.lit(","), line)
+    return _open(line, _found(line))
+
+
+def _open(line: Column, found: Column) -> Column:
+    return F.array_join(found, "") != F.concat(F.lit(","), line)
 
 
 def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
-    """``pid, line_no, line, cells, block, header, is_header, record, alone``: lines with their block and its header's cells,
-    the line that their CSV record begins with, and whether that is all of it. Windows are within one file; files are dealt
-    out in ``parts``, by the number of lines where none is given.
+    """``pid, line_no, line, cells, block, header, is_header, record, alone, fresh``: lines with their block and its header's
+    cells, the line that their CSV record begins with, whether that is all of it, and whether a record that begins with the
+    line goes on in the next. Files are dealt out in ``parts``, by the number of lines where none is given, and sorted once:
+    all windows are over one file in its order.
 
     A block starts at a line whose first cell, or first two, name it; the symbols' also at a bare ``Symbol Legend``, which
     is left out, and then has its header in the next line. A line is a function of whether it begins inside quotes: it ends
     there or not whatever came before, or keeps that state, or turns it over. So the state is the last fixed one, turned
-    over as often as lines since then do. A byte-order mark and carriage returns are taken off.
+    over as often as lines since then do; a header begins outside. A byte-order mark and carriage returns are taken off.
     """
     own = Window.partitionBy("pid").orderBy("line_no")
-    text = F.regexp_replace("line", r"\r\z", "")
+    text = F.when(F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
     lines = lines.repartition(parts or pieces(lines), "pid")
     rows = lines.withColumn("line", F.when(F.lag("line_no").over(own).isNull(), F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text))
-    rows = rows.withColumn("cells", csv_cells(F.col("line")))
+    quotes = F.contains("line", F.lit('"'))  # without any, a line ends as it begins
+    rows = rows.withColumn("found", F.when(quotes, _found(F.col("line"))))
+    rows = rows.withColumns({"cells": _cells(F.col("line"), F.col("found")), "fresh": quotes & _open(F.col("line"), F.col("found")), "inside": ~quotes | is_open(F.concat(F.lit('"'), F.col("line")))}).drop("found")
     one, two = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
     name = F.lit(None).cast("string")
     for block, columns in COLUMNS.items():
@@ -89,77 +105,118 @@ def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     after = F.coalesce(F.lag("legend").over(own), F.lit(False)) & F.coalesce(F.col("name") == "symbol", F.lit(True))
     rows = rows.withColumn("is_header", F.coalesce(after | F.col("name").isNotNull(), F.lit(False)))
     rows = rows.withColumn("name", F.when(F.col("is_header"), F.coalesce("name", F.lit("symbol"))))
-    rows = rows.withColumn("block", F.last("name", ignorenulls=True).over(own)).withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(own))
-    rows = rows.withColumn("number", F.sum(F.col("is_header").cast("int")).over(own)).where("not legend")
+    rows = rows.withColumn("block", F.last("name", ignorenulls=True).over(own)).withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(own)).where("not legend")
 
-    within = Window.partitionBy("pid", "number").orderBy("line_no")
-    quotes = F.contains("line", F.lit('"'))  # without any, a line ends as it begins
-    rows = rows.withColumn("fresh", quotes & is_open(F.col("line"))).withColumn("inside", ~quotes | is_open(F.concat(F.lit('"'), F.col("line"))))
-    fixed = F.col("fresh") == F.col("inside")
-    rows = rows.withColumn("since", F.sum(fixed.cast("int")).over(within))
-    span = Window.partitionBy("pid", "number", "since").orderBy("line_no")
-    begun = F.when(F.col("since") > 0, F.first("fresh").over(span)).otherwise(False).cast("int")
-    turns = F.sum((F.col("fresh") & ~F.col("inside")).cast("int")).over(span)
-    rows = rows.withColumn("ends_open", (begun + turns) % 2 == 1)
-    begins = ~F.coalesce(F.lag("ends_open").over(within), F.lit(False))
-    rows = rows.withColumn("record", F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(within))
-    alone = (F.col("record") == F.col("line_no")) & ~F.coalesce("ends_open", F.lit(True))
-    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record", alone.alias("alone"))
-
-
-def block_problems(blocks: DataFrame) -> DataFrame:
-    """``pid, line_no, problem``: blocks that a file lacks or has twice, unknown columns, text before the first block."""
-    heads = blocks.where("is_header")
-    known = F.create_map(*[x for b, c in COLUMNS.items() for x in (F.lit(b), F.array(*map(F.lit, c)))])
-    unknown = heads.select("pid", "line_no", F.explode(F.array_except("cells", F.element_at(known, F.col("block")))).alias("c")).where("c <> ''")
-    counted = heads.groupBy("pid", "block").agg(F.count("*").alias("n"), F.max("line_no").alias("line_no"))
-    twice = counted.where("n > 1").select("pid", "line_no", F.concat(F.lit("repeated block "), "block").alias("problem"))
-    wanted = blocks.select("pid").distinct().withColumn("block", F.explode(F.array(*[F.lit(b) for b in COLUMNS if b not in OPTIONAL])))
-    missing = wanted.join(counted, ["pid", "block"], "left_anti").select("pid", F.lit(None).cast("int").alias("line_no"), F.concat(F.lit("missing block "), "block").alias("problem"))
-    early = blocks.where("block is null and trim(line) <> ''").select("pid", "line_no", F.lit("text before the first block").alias("problem"))
-    return unknown.select("pid", "line_no", F.concat(F.lit("unknown column "), "c").alias("problem")).union(twice).union(missing).union(early)
+    fixed = F.coalesce(F.col("fresh") == F.col("inside"), F.lit(False))
+    turn = F.coalesce((F.col("fresh") & ~F.col("inside")).cast("int"), F.lit(0))
+    rows = rows.withColumn("turns", F.sum(turn).over(own))
+    begun = F.when(fixed | F.col("is_header"), F.when(fixed, F.col("fresh").cast("int")).otherwise(0) + F.col("turns") - turn)
+    rows = rows.withColumn("ends_open", (F.coalesce(F.last(begun, ignorenulls=True).over(own), F.lit(0)) + F.col("turns")) % 2 == 1)
+    begins = F.col("is_header") | ~F.coalesce(F.lag("ends_open").over(own), F.lit(False))
+    rows = rows.withColumn("begins", begins).withColumn("record", F.last(F.when(F.col("begins"), F.col("line_no")), ignorenulls=True).over(own))
+    alone = (F.col("record") == F.col("line_no")) & ~F.col("ends_open")
+    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record", alone.alias("alone"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
+def _by_block(of: dict[str, list[str]]) -> Column:
+    """The list of a row's block."""
+    return F.element_at(F.create_map(*[x for b, v in of.items() for x in (F.lit(b), F.array(*map(F.lit, v)).cast("array<string>"))]), F.col("block"))
+
+
+def checked_records(blocks: DataFrame) -> DataFrame:
+    """``pid, line_no, block, kind, cells, values, problem, raw``: a row for each header (``head``, with its cells), each record
+    (``record``, with its values by the block's columns), each line that belongs to none (``stray``), and the first line
+    of a file where it is blank (``blank``); ``problem`` where a rule refuses it. A cube's rows have in ``raw`` the lines of
+    the file's notes.
+
+    Lines meet in their records where they are, as blocks are dealt out by file: they are sorted by record, not shuffled.
+    """
+    own = Window.partitionBy("pid").orderBy("line_no")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    block, head = F.col("block"), F.col("is_header")
+    loose, member = F.coalesce(block.isin(*LOOSE), F.lit(False)), F.coalesce(block == "member", F.lit(False)) & ~head
+    rows = with_anchored(blocks, member)
+    odd = member & F.col("anchored").isNull() & ((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
+    cell = lambda k: F.get("cells", F.lit(k))
+    starts, rest = F.lit(False), F.col("line")
+    for b, n in LOOSE.items():
+        mine = (block == b) & ~head & (F.size("cells") > n) & cell(0).rlike(r"\A[0-9]+\z")
+        mine = F.coalesce(mine & cell(1).rlike(r"\A[0-9-]+\z") if n > 1 else mine, F.lit(False))
+        raw = _found(F.col("line"))
+        rest = F.when(mine, F.substring("line", sum((F.length(F.get(raw, F.lit(k))) for k in range(n)), F.lit(1)), F.length("line"))).otherwise(rest)
+        starts = starts | mine
+    rows = rows.withColumn("starts", starts).withColumns(
+        {"spans": F.coalesce(F.max(odd).over(own.rowsBetween(*whole)), F.lit(False)), "first": F.lag("line_no").over(own).isNull()}
+        | {f"start_{b}": F.last(F.when(F.col("starts") & (block == b), F.col("line_no")), ignorenulls=True).over(own) for b in LOOSE}
+    )
+    start = functools.reduce(lambda c, b: F.when(block == b, F.col(f"start_{b}")).otherwise(c), LOOSE, F.lit(None).cast("int"))
+    stray = ~head & (block.isNull() | (loose & start.isNull()))
+    lone = head | stray | (~loose & F.col("alone")) | (member & ~F.col("spans"))
+    anchored = F.when(~F.col("spans"), F.col("anchored"))
+    rows = rows.withColumns({"stray": stray, "lone": lone, "anchored": anchored, "key": F.when(lone, F.col("line_no")).when(loose, start).otherwise(F.col("record"))})
+    rows = rows.withColumn("blank", ~head & F.col("lone") & F.when(F.col("stray"), F.trim("line") == "").otherwise(~F.exists("cells", lambda c: c != "")))
+    rows = rows.withColumn("blank", F.coalesce("blank", F.lit(True)))
+
+    # a line of the notes is in its record and in the notes as they stand, which are sorted beside the cube's own lines
+    rows = rows.withColumn("notes", F.explode(F.when(block == "note", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).where("notes or not blank or first")
+    notes = F.col("notes")
+    text = F.when(notes, F.col("line")).when(~F.col("lone"), rest)
+    cells = F.when(~notes, F.coalesce("anchored", F.when(F.col("lone") | F.col("starts"), F.col("cells"))))
+    keep = ["pid", "line_no", "block", "header", "is_header", "stray", "lone", "blank", "fresh", "notes"]
+    rows = rows.select(*keep, cells.alias("cells"), F.col("anchored").isNotNull().alias("anchored"), F.when(notes, -1).otherwise(F.col("key")).alias("key"), text.alias("text"))
+    rows = rows.withColumn("side", F.when((block == "cube") | F.col("notes"), 0).otherwise(1))
+    of = ["pid", "side", "key", F.col("is_header") & ~F.col("notes")]
+    span = Window.partitionBy(*of).orderBy("line_no")
+    rows = rows.withColumn("texts", F.collect_list("text").over(span.rowsBetween(*whole))).withColumn("nth", F.row_number().over(span)).where("nth = 1")
+    rows = rows.withColumn("text", F.when(loose, F.array_join("texts", "\n")).otherwise(F.array_join("texts", "")))
+    rows = rows.withColumn("raw", F.max(F.when(F.col("notes"), F.col("text"))).over(Window.partitionBy("pid", "side"))).where("not notes")
+
+    cells = F.when(F.col("lone") | loose, F.col("cells")).otherwise(csv_cells(F.col("text")))
+    unclosed = F.when(F.col("lone"), ~F.col("anchored") & F.col("fresh")).otherwise(F.contains("text", F.lit('"')) & is_open(F.col("text")))
+    rows = rows.withColumn("cells", cells).withColumn("cells", F.when((block == "member") & ~head, member_cells(F.col("cells"), F.col("header"))).otherwise(F.col("cells")))
+    kind = F.when(F.col("blank"), "blank").when(head, "head").when(F.col("stray"), "stray").when(loose | F.exists("cells", lambda c: c != ""), "record").otherwise("blank")
+    rows = rows.withColumn("kind", kind)
+    plain = F.regexp_replace("text", r"\n+\z", "")
+    plain = F.regexp_replace(plain, r'",\z', '"')
+    plain = F.regexp_replace(plain, r'(?s)\A"(.*)"\z', "$1")
+    own_cells = F.when(block == "note", F.array(cell(0), plain)).when(block == "correction", F.array(cell(0), cell(1), plain))
+    by_name = F.transform(_by_block({b: list(c) for b, c in COLUMNS.items()}), lambda h: F.get("cells", (F.array_position("header", h) - 1).cast("int")))
+    rows = rows.withColumn("values", F.when(F.col("kind") == "record", F.when(loose, own_cells).otherwise(by_name)))
+
+    names = _by_block({b: list(c.values()) for b, c in COLUMNS.items()})
+    whole_numbers = _by_block({b: [c for c in v.values() if c in INTEGERS] for b, v in COLUMNS.items()})
+    value = lambda c: F.get("values", (F.array_position(names, c) - 1).cast("int"))
+    bad = F.filter(whole_numbers, lambda c: (value(c) != "") & ~value(c).rlike(r"\A[0-9]+\z"))
+    wide = F.exists(F.slice("cells", F.size("header") + 1, F.greatest(F.size("cells") - F.size("header"), F.lit(0))), lambda c: c != "")
+    refused = F.when(unclosed, "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
+    headed = functools.reduce(lambda c, b: F.when(block == b, F.slice("cells", 1, len(COLUMNS[b])) == F.array(*map(F.lit, COLUMNS[b]))).otherwise(c), LOOSE, F.lit(True))
+    problem = F.when(F.col("kind") == "stray", F.when(loose, "text before the first record").otherwise("text before the first block"))
+    problem = problem.when((F.col("kind") == "head") & ~headed, F.concat(F.lit("unexpected header of "), block)).when((F.col("kind") == "record") & ~loose, refused)
+    return rows.select("pid", F.col("key").alias("line_no"), "block", "kind", F.when(F.col("kind") == "head", F.col("cells")).alias("cells"), "values", problem.alias("problem"), F.when(block == "cube", F.col("raw")).alias("raw"))
+
+
+def _table(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """A block's good records by column names, integers cast."""
+    value = [(F.get("values", F.lit(k)), c) for k, c in enumerate(COLUMNS[name].values())]
+    return rows.where((F.col("block") == name) & F.col("good")).select("pid", *[(v.try_cast("int") if c in INTEGERS else v).alias(c) for v, c in value], *more)
 
 
 def parse_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """A rectangular block's rows by mapped column names, and its problems.
+    """A block's rows by mapped column names, and its problems.
 
     Columns that a file's header lacks are null, rows of blanks are dropped, integers are cast. A row is refused where
     it has non-empty cells beyond its header, an integer that isn't one, or quotes that never close. A quoted cell may
     hold line ends, which are dropped, as its lines are one record. A file's member rows are a line each, unless one that
     ``with_anchored`` can't read has an odd number of quotes: then they are records like the other blocks'.
     """
-    rows = blocks.where((F.col("block") == name) & ~F.col("is_header")).select("pid", "line_no", "line", "header", "record", "alone")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    if name == "member":
-        odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
-        rows = stored(with_anchored(rows).withColumn("odd", odd & F.col("anchored").isNull()), "member-lines")
-        rows = rows.join(rows.where("odd").select("pid", F.lit(True).alias("spans")).distinct(), "pid", "left").withColumn("spans", F.coalesce("spans", F.lit(False)))
-        rows = rows.withColumn("record", F.when(F.col("spans"), F.col("record")).otherwise(F.col("line_no"))).withColumn("anchored", F.when(~F.col("spans"), F.col("anchored")))
-        rows = rows.withColumn("alone", F.col("alone") | ~F.col("spans"))
-    else:
-        rows = rows.withColumn("anchored", F.lit(None).cast("array<string>"))
-    # only the lines of records over several are gathered
-    several = rows.where("not alone").groupBy("pid", "record").agg(F.array_join(lines, "").alias("line"), F.any_value("header").alias("header"), F.any_value("anchored").alias("anchored"))
-    rows = rows.where("alone").select("pid", "record", "line", "header", "anchored").union(several)
-    rows = rows.withColumn("cells", F.coalesce("anchored", csv_cells(F.col("line")))).withColumn("unclosed", F.col("anchored").isNull() & F.contains("line", F.lit('"')) & is_open(F.col("line")))
-    if name == "member":
-        rows = rows.withColumn("cells", member_cells(F.col("cells"), F.col("header")))
-    # the cells are stored: every check and column below reads them, and none finds them again
-    rows = stored(rows.select("pid", "record", "header", "cells", "unclosed"), f"{name}-records")
-    rows = rows.where(F.exists("cells", lambda c: c != ""))
-    wide = F.exists(F.slice("cells", F.size("header") + 1, F.greatest(F.size("cells") - F.size("header"), F.lit(0))), lambda c: c != "")
-    at = lambda h: F.get("cells", (F.array_position("header", h) - 1).cast("int"))
-    cell = lambda h: F.when(F.array_position("header", h) > 0, at(h))
-    whole = [(c, cell(h)) for h, c in COLUMNS[name].items()]
-    bad = F.array_compact(F.array(*[F.when((v != "") & ~v.rlike(r"\A[0-9]+\z"), F.lit(c)) for c, v in whole if c in INTEGERS] or [F.lit(None).cast("string")]))
-    problem = F.when(F.col("unclosed"), "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
-    checked = rows.withColumn("problem", problem)
-    good = checked.where("problem is null").select("pid", *[(v.try_cast("int") if c in INTEGERS else v).alias(c) for c, v in whole])
-    return good, checked.where("problem is not null").select("pid", F.col("record").alias("line_no"), "problem")
-
-
-def with_anchored(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``anchored``: the cells of a member line whose name stands in quotes, and may hold quotes and commas
+    # all is stored before any is left out: rows and problems read that, and neither finds the cells again
+    rows = checked_records(blocks.where(F.col("block") == name)).withColumn("good", F.expr("kind = 'record' and problem is null"))
+    rows = stored(rows.select("pid", "line_no", "block", "values", "problem", "good"), f"{name}-records")
+    return _table(rows, name), rows.where("problem is not null").select("pid", "line_no", "problem")
+
+
+def with_anchored(rows: DataFrame, member: Column) -> DataFrame:
+    """``rows`` with ``anchored``: the cells of a ``member`` line whose name stands in quotes, and may hold quotes and commas
     itself; null for any other line, and for one that begins without a quote and has an odd number of them.
 
     What follows the line's start is cut wherever a quote stands before a comma; the name ends at the first such cut after
@@ -168,8 +225,8 @@ def with_anchored(rows: DataFrame) -> DataFrame:
     rest = lambda k: F.array_join(F.slice("pieces", k + 1, F.size("pieces")), '",')
     cut = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda k: rest(k).rlike(MEMBER_END))
     odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
-    start = F.col("line").rlike(MEMBER_START) & ~(odd & ~F.col("line").startswith('"'))
-    rows = rows.withColumn("pieces", F.when(start, F.split(F.regexp_replace("line", MEMBER_START, ""), '",'))).withColumn("at", F.get(cut, F.lit(0)))
+    start = member & F.col("line").rlike(MEMBER_START) & ~(odd & ~F.col("line").startswith('"'))
+    rows = rows.withColumn("pieces", F.when(start, F.split(F.regexp_replace("line", MEMBER_START, ""), '",'))).withColumn("at", F.when(F.col("pieces").isNotNull(), F.get(cut, F.lit(0))))
     name = F.replace(F.array_join(F.slice("pieces", 1, F.col("at")), '",'), F.lit('""'), F.lit('"'))
     cells = F.concat(F.array(F.regexp_extract("line", "[0-9]+", 0), name), csv_cells(rest(F.col("at"))))
     return rows.withColumn("anchored", F.when(F.col("at").isNotNull(), cells)).drop("pieces", "at")
@@ -185,65 +242,50 @@ def member_cells(found: Column, header: Column) -> Column:
     return F.when(loose, F.concat(F.slice(trimmed, 1, at - 1), F.array(F.array_join(tail, ";")), F.array_repeat(F.lit(""), F.greatest(F.size(header) - at, F.lit(0))))).otherwise(trimmed)
 
 
-def loose_block(blocks: DataFrame, name: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Records of free text: one starts at each line with an id (and a date), and following lines belong to it.
 
     The outer pair of quotes is trimmed and nothing is unescaped. Text before the first record is a problem, and a header
-    that doesn't begin with the block's own columns. Stored blocks are dealt out by file in ``parts``.
+    that doesn't begin with the block's own columns.
     """
-    own = Window.partitionBy("pid").orderBy("line_no")
-    n, columns = LOOSE[name], list(COLUMNS[name])
-    raw, cell = _found(F.col("line")), lambda k: F.get("cells", F.lit(k))
-    starts = (F.size("cells") > n) & cell(0).rlike(r"\A[0-9]+\z")
-    if n > 1:
-        starts = starts & cell(1).rlike(r"\A[0-9-]+\z")
-    rest = F.substring("line", sum((F.length(F.get(raw, F.lit(k))) for k in range(n)), F.lit(1)), F.length("line"))
-    mine = blocks.where(F.col("block") == name)
-    dealt = mine.repartition(parts, "pid") if parts else mine
-    rows = dealt.where(~F.col("is_header")).withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("number", F.sum(F.col("starts").cast("int")).over(own))
-    text = F.when(F.col("starts"), rest).otherwise(F.col("line"))
-    each = rows.where("number > 0").groupBy("pid", "number").agg(
-        *[F.min(F.when(F.col("starts"), cell(k))).alias(f"cell_{k}") for k in range(n)],
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))), lambda x: x["text"]), "\n").alias("text"),
-    )
-    plain = F.regexp_replace("text", r"\n+\z", "")
-    plain = F.regexp_replace(plain, r'",\z', '"')
-    plain = F.regexp_replace(plain, r'(?s)\A"(.*)"\z', "$1")
-    named = list(COLUMNS[name].values())
-    good = each.select("pid", *[(F.col(f"cell_{k}").cast("int") if named[k] in INTEGERS else F.col(f"cell_{k}")).alias(named[k]) for k in range(n)], plain.alias(named[-1]))
-    early = rows.where("number = 0 and trim(line) <> ''").select("pid", "line_no", F.lit("text before the first record").alias("problem"))
-    headed = F.slice("cells", 1, len(columns)) == F.array(*map(F.lit, columns))
-    other = mine.where(F.col("is_header") & ~headed).select("pid", "line_no", F.lit(f"unexpected header of {name}").alias("problem"))
-    return good, early.union(other)
+    return parse_block(blocks, name)
 
 
 def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tuple[dict[str, DataFrame], DataFrame]:
     """All blocks as tables, of the files without a problem, and the problems of the others.
 
-    Besides what the blocks refuse, a file needs exactly one cube row, and as many dimensions as that declares. Files of
-    another family may lack further blocks: give them in ``optional``. A cube's row also has the block of its notes as it
-    stands, ``note_block_raw``. The lines are read once: the named blocks are stored, and all tables come from there.
+    Besides what the blocks refuse, a file needs each block once, without unknown columns, exactly one cube row, and as many
+    dimensions as that declares. Files of another family may lack further blocks: give them in ``optional``. A cube's row
+    also has the block of its notes as it stands, ``note_block_raw``. Files are dealt out once and checked whole where they
+    are; records and problems are stored, and all tables come from there.
     """
-    parts = pieces(lines)
-    blocks = stored(named_blocks(lines, parts), "blocks")
-    allowed = [f"missing block {b}" for b in optional]
-    tables, problems = {}, block_problems(blocks).where(~F.col("problem").isin(*allowed))
-    for name in COLUMNS:
-        tables[name], bad = loose_block(blocks, name, -(-parts // 4)) if name in LOOSE else parse_block(blocks, name)
-        problems = problems.union(bad)
-    declared = tables["cube"].groupBy("pid").agg(F.count("*").alias("n"), F.max("total_dimensions").alias("declared"))
-    found = tables["dimension"].groupBy("pid").agg(F.count("*").alias("dimensions"))
-    whole = blocks.select("pid").distinct().join(declared, "pid", "left").join(found, "pid", "left")
-    several = F.when(F.coalesce("n", F.lit(0)) != 1, F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" cube rows")))
-    differ = F.when((F.col("n") == 1) & ~F.col("declared").eqNullSafe(F.coalesce("dimensions", F.lit(0)).cast("int")), F.concat(F.coalesce("dimensions", F.lit(0)).cast("string"), F.lit(" dimensions of "), F.coalesce(F.col("declared").cast("string"), F.lit("none"))))
-    counts = whole.select("pid", F.lit(None).cast("int").alias("line_no"), F.coalesce(several, differ).alias("problem")).where("problem is not null")
-    problems = problems.union(counts)
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    notes = blocks.where("block = 'note'").select("pid", "line_no", "line").repartition(-(-parts // 4), "pid")
-    tables["cube"] = tables["cube"].join(notes.groupBy("pid").agg(raw.alias("note_block_raw")), "pid", "left")
-    problems = stored(problems, "metadata-problems")
-    bad = problems.select("pid").distinct()
-    return {name: t.join(bad, "pid", "left_anti") for name, t in tables.items()}, problems
+    rows = checked_records(named_blocks(lines))
+    own = Window.partitionBy("pid")
+    block, head, good = F.col("block"), F.col("kind") == "head", F.expr("kind = 'record' and problem is null")
+    declared = F.get("values", F.lit(list(COLUMNS["cube"].values()).index("total_dimensions"))).try_cast("int")
+    cube, dimension = good & (block == "cube"), good & (block == "dimension")
+    counts = {"cubes": F.count_if(cube), "dimensions": F.count_if(dimension), "declared": F.max(F.when(cube, declared)), "leader": F.min(F.struct("line_no", (~head).alias("after")))}
+    counts |= {f"n_{b}": F.count_if(head & (block == b)) for b in COLUMNS} | {f"last_{b}": F.max(F.when(head & (block == b), F.col("line_no"))) for b in COLUMNS}
+    rows = rows.withColumns({c: v.over(own) for c, v in counts.items()})
+
+    at = lambda line, text: F.struct(F.lit(line).cast("int").alias("line_no") if line is None else F.col(line).alias("line_no"), text.alias("problem"))
+    found = [F.when(F.col("problem").isNotNull(), at("line_no", F.col("problem")))]
+    repeated = functools.reduce(lambda c, b: c | ((block == b) & (F.col(f"n_{b}") > 1) & (F.col("line_no") == F.col(f"last_{b}"))), COLUMNS, F.lit(False))
+    found.append(F.when(head & repeated, at("line_no", F.concat(F.lit("repeated block "), block))))
+    leads = F.col("leader").eqNullSafe(F.struct("line_no", (~head).alias("after")))
+    found += [F.when(leads & (F.col(f"n_{b}") == 0), at(None, F.lit(f"missing block {b}"))) for b in COLUMNS if b not in {*OPTIONAL, *optional}]
+    several = F.when(F.col("cubes") != 1, F.concat(F.col("cubes").cast("string"), F.lit(" cube rows")))
+    dimensions = F.col("dimensions").cast("int")
+    differ = F.when(~F.col("declared").eqNullSafe(dimensions), F.concat(dimensions.cast("string"), F.lit(" dimensions of "), F.coalesce(F.col("declared").cast("string"), F.lit("none"))))
+    number = F.coalesce(several, differ)
+    found.append(F.when(leads & number.isNotNull(), at(None, number)))
+    unknown = F.filter(F.array_except("cells", _by_block({b: list(c) for b, c in COLUMNS.items()})), lambda c: c != "")
+    other = F.when(head, F.transform(unknown, lambda c: F.struct(F.col("line_no").alias("line_no"), F.concat(F.lit("unknown column "), c).alias("problem"))))
+    rows = rows.withColumn("good", good).withColumn("problems", F.concat(F.array_compact(F.array(*found)), F.coalesce(other, F.array().cast(PROBLEMS))))
+    rows = rows.withColumn("good", F.col("good") & ~F.max(F.size("problems") > 0).over(own)).select("pid", "block", "values", "raw", "good", "problems")
+    rows = stored(rows.where(F.col("good") | (F.size("problems") > 0)), "metadata")
+    tables = {name: _table(rows, name, *([F.col("raw").alias("note_block_raw")] if name == "cube" else [])) for name in COLUMNS}
+    return tables, rows.where(F.size("problems") > 0).select("pid", F.explode("problems").alias("p")).select("pid", "p.line_no", "p.problem")
 
 
 def split_coordinate(coordinate: Column, dimensions: Column) -> Column:
