@@ -75,9 +75,10 @@ def _open(line: Column, found: Column) -> Column:
 
 
 def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
-    """``pid, line_no, line, cells, block, header, is_header, record, alone, fresh``: lines with their block and its header's
-    cells, the line that their CSV record begins with, whether that is all of it, and whether a record that begins with the
-    line goes on in the next. Files are dealt out in ``parts``, by the number of lines where none is given, and sorted once:
+    """``pid, line_no, line, block, places, width, is_header, record, alone, fresh``: lines with their block, where its header
+    has the block's columns (-1: nowhere) and how many cells, the line that their CSV record begins with, whether that is
+    all of it, and whether a record that begins with the line goes on in the next. Rows are narrow, as each window copies
+    them: no cells are carried. Files are dealt out in ``parts``, by the number of lines where none is given, and sorted once:
     all windows are over one file in its order.
 
     A block starts at a line whose first cell, or first two, name it; the symbols' also at a bare ``Symbol Legend``, which
@@ -90,8 +91,10 @@ def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     lines = lines.repartition(parts or pieces(lines), "pid")
     rows = lines.withColumn("line", F.when(F.lag("line_no").over(own).isNull(), F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text))
     quotes = F.contains("line", F.lit('"'))  # without any, a line ends as it begins
-    rows = rows.withColumn("found", F.when(quotes, _found(F.col("line"))))
-    rows = rows.withColumns({"cells": _cells(F.col("line"), F.col("found")), "fresh": quotes & _open(F.col("line"), F.col("found")), "inside": ~quotes | is_open(F.concat(F.lit('"'), F.col("line")))}).drop("found")
+    rows = rows.withColumns({"fresh": quotes & is_open(F.col("line")), "inside": ~quotes | is_open(F.concat(F.lit('"'), F.col("line")))})
+    # a first cell that names a block begins its line, but for quotes
+    named = F.replace("line", F.lit('"'), F.lit("")).rlike(r"\A(?:" + "|".join({c for v in COLUMNS.values() for c in list(v)[:2]} | {LEGEND}) + ")")
+    rows = rows.withColumn("cells", F.when(named, csv_cells(F.col("line"))))
     one, two = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
     name = F.lit(None).cast("string")
     for block, columns in COLUMNS.items():
@@ -102,10 +105,14 @@ def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
             found = (one == first) & (two == second) if first == "Dimension ID" else one == first
         name = F.when(found, block).otherwise(name)
     rows = rows.withColumn("name", name).withColumn("legend", F.coalesce(one == LEGEND, F.lit(False)))
+    rows = rows.drop("cells")
     after = F.coalesce(F.lag("legend").over(own), F.lit(False)) & F.coalesce(F.col("name") == "symbol", F.lit(True))
     rows = rows.withColumn("is_header", F.coalesce(after | F.col("name").isNotNull(), F.lit(False)))
     rows = rows.withColumn("name", F.when(F.col("is_header"), F.coalesce("name", F.lit("symbol"))))
-    rows = rows.withColumn("block", F.last("name", ignorenulls=True).over(own)).withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(own)).where("not legend")
+    rows = rows.withColumn("cells", F.when(F.col("is_header"), csv_cells(F.col("line"))))
+    places = F.transform(_by_block({b: list(c) for b, c in COLUMNS.items()}, F.col("name")), lambda h: (F.array_position("cells", h) - 1).cast("int"))
+    rows = rows.withColumns({"places": F.when(F.col("is_header"), places), "width": F.when(F.col("is_header"), F.size("cells"))}).drop("cells")
+    rows = rows.withColumns({c: F.last(n, ignorenulls=True).over(own) for c, n in (("block", "name"), ("places", "places"), ("width", "width"))}).where("not legend").drop("name", "legend")
 
     fixed = F.coalesce(F.col("fresh") == F.col("inside"), F.lit(False))
     turn = F.coalesce((F.col("fresh") & ~F.col("inside")).cast("int"), F.lit(0))
@@ -115,12 +122,12 @@ def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     begins = F.col("is_header") | ~F.coalesce(F.lag("ends_open").over(own), F.lit(False))
     rows = rows.withColumn("begins", begins).withColumn("record", F.last(F.when(F.col("begins"), F.col("line_no")), ignorenulls=True).over(own))
     alone = (F.col("record") == F.col("line_no")) & ~F.col("ends_open")
-    return rows.select("pid", "line_no", "line", "cells", "block", "header", "is_header", "record", alone.alias("alone"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    return rows.select("pid", "line_no", "line", "block", "places", "width", "is_header", "record", alone.alias("alone"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
 
 
-def _by_block(of: dict[str, list[str]]) -> Column:
+def _by_block(of: dict[str, list[str]], block: Column | None = None) -> Column:
     """The list of a row's block."""
-    return F.element_at(F.create_map(*[x for b, v in of.items() for x in (F.lit(b), F.array(*map(F.lit, v)).cast("array<string>"))]), F.col("block"))
+    return F.element_at(F.create_map(*[x for b, v in of.items() for x in (F.lit(b), F.array(*map(F.lit, v)).cast("array<string>"))]), F.col("block") if block is None else block)
 
 
 def checked_records(blocks: DataFrame) -> DataFrame:
@@ -135,8 +142,9 @@ def checked_records(blocks: DataFrame) -> DataFrame:
     whole = (Window.unboundedPreceding, Window.unboundedFollowing)
     block, head = F.col("block"), F.col("is_header")
     loose, member = F.coalesce(block.isin(*LOOSE), F.lit(False)), F.coalesce(block == "member", F.lit(False)) & ~head
-    rows = with_anchored(blocks, member)
-    odd = member & F.col("anchored").isNull() & ((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
+    odd = member & ((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
+    rows = with_anchored(blocks, odd).withColumn("odd", odd & F.col("anchored").isNull()).drop("anchored")
+    rows = rows.withColumn("cells", F.when(loose & ~head, csv_cells(F.col("line"))))
     cell = lambda k: F.get("cells", F.lit(k))
     starts, rest = F.lit(False), F.col("line")
     for b, n in LOOSE.items():
@@ -145,49 +153,49 @@ def checked_records(blocks: DataFrame) -> DataFrame:
         raw = _found(F.col("line"))
         rest = F.when(mine, F.substring("line", sum((F.length(F.get(raw, F.lit(k))) for k in range(n)), F.lit(1)), F.length("line"))).otherwise(rest)
         starts = starts | mine
-    rows = rows.withColumn("starts", starts).withColumns(
-        {"spans": F.coalesce(F.max(odd).over(own.rowsBetween(*whole)), F.lit(False)), "first": F.lag("line_no").over(own).isNull()}
+    rows = rows.withColumns({"starts": starts, "rest": rest}).withColumn("ids", F.when(F.col("starts"), F.slice("cells", 1, 2))).drop("cells").withColumns(
+        {"spans": F.coalesce(F.max("odd").over(own.rowsBetween(*whole)), F.lit(False)), "first": F.lag("line_no").over(own).isNull()}
         | {f"start_{b}": F.last(F.when(F.col("starts") & (block == b), F.col("line_no")), ignorenulls=True).over(own) for b in LOOSE}
     )
     start = functools.reduce(lambda c, b: F.when(block == b, F.col(f"start_{b}")).otherwise(c), LOOSE, F.lit(None).cast("int"))
     stray = ~head & (block.isNull() | (loose & start.isNull()))
     lone = head | stray | (~loose & F.col("alone")) | (member & ~F.col("spans"))
-    anchored = F.when(~F.col("spans"), F.col("anchored"))
-    rows = rows.withColumns({"stray": stray, "lone": lone, "anchored": anchored, "key": F.when(lone, F.col("line_no")).when(loose, start).otherwise(F.col("record"))})
-    rows = rows.withColumn("blank", ~head & F.col("lone") & F.when(F.col("stray"), F.trim("line") == "").otherwise(~F.exists("cells", lambda c: c != "")))
-    rows = rows.withColumn("blank", F.coalesce("blank", F.lit(True)))
+    rows = rows.withColumns({"stray": stray, "lone": lone, "key": F.when(lone, F.col("line_no")).when(loose, start).otherwise(F.col("record"))})
+    empty = (F.translate("line", ',"', "") == "") & ~F.exists(csv_cells(F.col("line")), lambda c: c != "")
+    rows = rows.withColumn("blank", F.coalesce(~head & F.col("lone") & F.when(F.col("stray"), F.trim("line") == "").otherwise(empty), F.lit(True)))
 
     # a line of the notes is in its record and in the notes as they stand, which are sorted beside the cube's own lines
     rows = rows.withColumn("notes", F.explode(F.when(block == "note", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).where("notes or not blank or first")
     notes = F.col("notes")
-    text = F.when(notes, F.col("line")).when(~F.col("lone"), rest)
-    cells = F.when(~notes, F.coalesce("anchored", F.when(F.col("lone") | F.col("starts"), F.col("cells"))))
-    keep = ["pid", "line_no", "block", "header", "is_header", "stray", "lone", "blank", "fresh", "notes"]
-    rows = rows.select(*keep, cells.alias("cells"), F.col("anchored").isNotNull().alias("anchored"), F.when(notes, -1).otherwise(F.col("key")).alias("key"), text.alias("text"))
+    keep = ["pid", "line_no", "block", "places", "width", "is_header", "stray", "lone", "blank", "fresh", "notes", "spans", "ids"]
+    rows = rows.select(*keep, F.when(notes, -1).otherwise(F.col("key")).alias("key"), F.when(notes, F.col("line")).otherwise(F.col("rest")).alias("text"))
     rows = rows.withColumn("side", F.when((block == "cube") | F.col("notes"), 0).otherwise(1))
     of = ["pid", "side", "key", F.col("is_header") & ~F.col("notes")]
     span = Window.partitionBy(*of).orderBy("line_no")
-    rows = rows.withColumn("texts", F.collect_list("text").over(span.rowsBetween(*whole))).withColumn("nth", F.row_number().over(span)).where("nth = 1")
-    rows = rows.withColumn("text", F.when(loose, F.array_join("texts", "\n")).otherwise(F.array_join("texts", "")))
-    rows = rows.withColumn("raw", F.max(F.when(F.col("notes"), F.col("text"))).over(Window.partitionBy("pid", "side"))).where("not notes")
-
-    cells = F.when(F.col("lone") | loose, F.col("cells")).otherwise(csv_cells(F.col("text")))
-    unclosed = F.when(F.col("lone"), ~F.col("anchored") & F.col("fresh")).otherwise(F.contains("text", F.lit('"')) & is_open(F.col("text")))
-    rows = rows.withColumn("cells", cells).withColumn("cells", F.when((block == "member") & ~head, member_cells(F.col("cells"), F.col("header"))).otherwise(F.col("cells")))
+    several = F.collect_list(F.when(notes | ~F.col("lone"), F.col("text"))).over(span.rowsBetween(*whole))
+    rows = rows.withColumns({"texts": several, "nth": F.row_number().over(span)}).where("nth = 1")
+    joined = F.when(loose, F.array_join("texts", "\n")).otherwise(F.array_join("texts", ""))
+    rows = rows.withColumn("line", F.when(notes | ~F.col("lone"), joined).otherwise(F.col("text"))).drop("texts", "text", "nth")
+    rows = rows.withColumn("raw", F.max(F.when(F.col("notes"), F.col("line"))).over(Window.partitionBy("pid", "side"))).where("not notes")
+
+    rows = with_anchored(rows, member & ~F.col("spans") & ~F.col("blank"))
+    cells = F.when(loose & ~head, F.col("ids")).otherwise(F.coalesce("anchored", csv_cells(F.col("line"))))
+    unclosed = F.col("anchored").isNull() & F.when(F.col("lone"), F.col("fresh")).otherwise(F.contains("line", F.lit('"')) & is_open(F.col("line")))
+    rows = rows.withColumn("cells", cells).withColumn("cells", F.when(member, member_cells(F.col("cells"), F.col("places"), F.col("width"))).otherwise(F.col("cells")))
     kind = F.when(F.col("blank"), "blank").when(head, "head").when(F.col("stray"), "stray").when(loose | F.exists("cells", lambda c: c != ""), "record").otherwise("blank")
     rows = rows.withColumn("kind", kind)
-    plain = F.regexp_replace("text", r"\n+\z", "")
+    plain = F.regexp_replace("line", r"\n+\z", "")
     plain = F.regexp_replace(plain, r'",\z', '"')
     plain = F.regexp_replace(plain, r'(?s)\A"(.*)"\z', "$1")
     own_cells = F.when(block == "note", F.array(cell(0), plain)).when(block == "correction", F.array(cell(0), cell(1), plain))
-    by_name = F.transform(_by_block({b: list(c) for b, c in COLUMNS.items()}), lambda h: F.get("cells", (F.array_position("header", h) - 1).cast("int")))
+    by_name = F.transform("places", lambda k: F.get("cells", k))
     rows = rows.withColumn("values", F.when(F.col("kind") == "record", F.when(loose, own_cells).otherwise(by_name)))
 
-    names = _by_block({b: list(c.values()) for b, c in COLUMNS.items()})
-    whole_numbers = _by_block({b: [c for c in v.values() if c in INTEGERS] for b, v in COLUMNS.items()})
-    value = lambda c: F.get("values", (F.array_position(names, c) - 1).cast("int"))
-    bad = F.filter(whole_numbers, lambda c: (value(c) != "") & ~value(c).rlike(r"\A[0-9]+\z"))
-    wide = F.exists(F.slice("cells", F.size("header") + 1, F.greatest(F.size("cells") - F.size("header"), F.lit(0))), lambda c: c != "")
+    numbers = {b: [(k, c) for k, c in enumerate(v.values()) if c in INTEGERS] for b, v in COLUMNS.items() if b not in LOOSE}
+    value = lambda k: F.get("values", F.lit(k))
+    wrong = lambda own: F.array_compact(F.array(*[F.when((value(k) != "") & ~value(k).rlike(r"\A[0-9]+\z"), c) for k, c in own]))
+    bad = functools.reduce(lambda c, b: F.when(block == b, wrong(numbers[b])).otherwise(c), [b for b in numbers if numbers[b]], F.array().cast("array<string>"))
+    wide = (F.size("cells") > F.col("width")) & F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: c != "")
     refused = F.when(unclosed, "quotes never close").when(wide, "row wider than its header").when(F.size(bad) > 0, F.concat(F.lit("not an integer: "), F.array_join(bad, ",")))
     headed = functools.reduce(lambda c, b: F.when(block == b, F.slice("cells", 1, len(COLUMNS[b])) == F.array(*map(F.lit, COLUMNS[b]))).otherwise(c), LOOSE, F.lit(True))
     problem = F.when(F.col("kind") == "stray", F.when(loose, "text before the first record").otherwise("text before the first block"))
@@ -232,14 +240,14 @@ def with_anchored(rows: DataFrame, member: Column) -> DataFrame:
     return rows.withColumn("anchored", F.when(F.col("at").isNotNull(), cells)).drop("pieces", "at")
 
 
-def member_cells(found: Column, header: Column) -> Column:
+def member_cells(found: Column, places: Column, width: Column) -> Column:
     """A member row's cells under its header: a trailing comma is no field, and note ids that stand unquoted, ``2,3``, are
     one field, ``2;3``."""
-    trimmed = F.when((F.size(found) > F.size(header)) & (F.element_at(found, -1) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
-    at = F.array_position(header, "Member Notes").cast("int")
+    trimmed = F.when((F.size(found) > width) & (F.element_at(found, -1) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    at = F.get(places, F.lit(list(COLUMNS["member"]).index("Member Notes"))) + 1
     tail = F.slice(trimmed, at, F.greatest(F.size(trimmed) - at + 1, F.lit(0)))
     loose = (at > 0) & (F.size(tail) > 1) & F.forall(tail, lambda c: c.rlike(r"\A[0-9]+\z"))
-    return F.when(loose, F.concat(F.slice(trimmed, 1, at - 1), F.array(F.array_join(tail, ";")), F.array_repeat(F.lit(""), F.greatest(F.size(header) - at, F.lit(0))))).otherwise(trimmed)
+    return F.when(loose, F.concat(F.slice(trimmed, 1, at - 1), F.array(F.array_join(tail, ";")), F.array_repeat(F.lit(""), F.greatest(width - at, F.lit(0))))).otherwise(trimmed)
 
 
 def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

@@ -374,3 +374,20 @@ def test_each_text_of_questions_is_read_once(spark, monkeypatch):
     monkeypatch.setattr(cues, "text_cues", lambda q, *a: read.append(q.count()) or own(q, *a))
     got = {r["question_id"]: (r["from_year"], r["geography"]) for r in cues.question_cues(spark.createDataFrame(rows, "question_id int, question string"), 2021).collect()}
     assert read == [3] and got == {i: [("2001", "one"), (None, "one"), (None, "provinces")][i % 3] for i in range(30)}
+
+
+def test_a_file_is_checked_where_it_lies(spark, monkeypatch):
+    """One table is stored for all blocks, and none of them is joined or shuffled again to leave faulty files out; a name
+    over two lines and the notes as they stand come from the same pass."""
+    from cubewright.plans import metadata_queries
+
+    stores, own = [], metadata.stored
+    monkeypatch.setattr(metadata, "stored", lambda df, name: stores.append(name) or own(df, name))
+    tables, problems = metadata.read_metadata(metadata_queries.published_lines(spark, "/root/testdata/sf0.001").where("pid in ('10', '11', '15')"))
+    assert stores == ["metadata"]
+    for df in (*tables.values(), problems):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    assert {(r["pid"], r["line_no"]) for r in problems.collect()} == {("15", 12)}
+    assert sorted(r["member_name"] for r in tables["member"].where("pid = '10' and member_id = 2").collect()) == ["Over two lines"]
+    assert {r["pid"]: r["note_block_raw"].count("\n") for r in tables["cube"].collect()} == {"10": 5, "11": 5}
