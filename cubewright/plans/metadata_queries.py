@@ -31,13 +31,19 @@ STACK = [
 FAULTY = " OR ".join(f"c_custkey % {n} = 0" for n in (11, 13, 17, 19, 23, 29))
 
 
-def lines(spark, sf_dir):
-    each = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").cast("string").alias("pid"), F.posexplode(F.array(*[F.expr(s) for s in STACK])).alias("line_no", "line"))
+def stacked(spark, sf_dir, texts):
+    """A file of ``texts`` for every customer. Customers are dealt out before their lines are made, as these are many times larger."""
+    files = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").cast("string").alias("pid"), "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    each = metadata.dealt_out(files, len(texts)).select("pid", F.posexplode(F.array(*[F.expr(s) for s in texts])).alias("line_no", "line"))
     return each.select("pid", F.col("line_no").cast("int"), "line")
 
 
+def lines(spark, sf_dir):
+    return stacked(spark, sf_dir, STACK)
+
+
 def block(name):
-    return lambda spark, sf_dir: metadata.read_metadata(lines(spark, sf_dir))[0][name]
+    return lambda spark, sf_dir: metadata.read_metadata(lines(spark, sf_dir), dealt=True)[0][name]
 
 
 @add(f"SELECT CAST(c_custkey AS VARCHAR) AS pid, 'Orders, \"all\" of ' || c_name AS cube_title, CAST(c_custkey AS VARCHAR) AS product_id, CAST(2 AS INT) AS total_dimensions, CAST(NULL AS VARCHAR) AS frequency FROM customer WHERE NOT ({FAULTY})")
@@ -56,7 +62,7 @@ UNION ALL SELECT pid, NULL, 'missing block survey' FROM c WHERE k % 23 = 0
 UNION ALL SELECT pid, NULL, '2 dimensions of 3' FROM c WHERE k % 29 = 0 AND k % 13 <> 0 AND k % 11 <> 0
 """)
 def read_metadata(spark, sf_dir):
-    return metadata.read_metadata(lines(spark, sf_dir))[1]
+    return metadata.read_metadata(lines(spark, sf_dir), dealt=True)[1]
 
 
 @add("""
@@ -64,7 +70,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(1 AS INT) AS dimension_id, 'Geogr
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 'Sex, age', '1;2', NULL FROM customer WHERE c_custkey % 13 <> 0
 """)
 def parse_blocks(spark, sf_dir):
-    rows = metadata.parse_block(metadata.named_blocks(lines(spark, sf_dir)), "dimension")[0]
+    rows = metadata.parse_block(metadata.named_blocks(lines(spark, sf_dir), dealt=True), "dimension")[0]
     return rows.select("pid", "dimension_id", "dimension_name", "dimension_notes", "dimension_definitions")
 
 
@@ -73,7 +79,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(1 AS INT) AS dimension_id, 'Total
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, c_mktsegment, '', 2, 1, 't', '1' FROM customer WHERE c_custkey % 17 <> 0
 """)
 def parse_member_lines(spark, sf_dir):
-    rows = metadata.parse_block(metadata.named_blocks(lines(spark, sf_dir)), "member")[0]
+    rows = metadata.parse_block(metadata.named_blocks(lines(spark, sf_dir), dealt=True), "member")[0]
     return rows.select("pid", "dimension_id", "member_name", "classification_code", "member_id", "parent_member_id", "terminated", "member_notes")
 
 
@@ -81,7 +87,7 @@ def parse_member_lines(spark, sf_dir):
 SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(1 AS INT) AS note_id, 'First "of" two' || chr(10) || chr(10) || 'lines' AS note FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 'plain' FROM customer
 """)
 def loose_notes(spark, sf_dir):
-    return metadata.loose_block(metadata.named_blocks(lines(spark, sf_dir)), "note")[0]
+    return metadata.loose_block(metadata.named_blocks(lines(spark, sf_dir), dealt=True), "note")[0]
 
 
 @add("""
@@ -89,7 +95,7 @@ WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS pid, c_mktsegmen
 SELECT pid, CAST(1 AS INT) AS source, '2020-01-02' AS date, 'Mended  ' || s || ' ' AS text FROM c UNION ALL SELECT pid, 2, '2021-05-0' || CAST(1 + k % 9 AS VARCHAR), 'Inventory' FROM c WHERE k % 2 = 0
 """)
 def corrections(spark, sf_dir):
-    own = metadata.loose_block(metadata.named_blocks(lines(spark, sf_dir)), "correction")[0]
+    own = metadata.loose_block(metadata.named_blocks(lines(spark, sf_dir), dealt=True), "correction")[0]
     customer = tables(spark, sf_dir)["customer"].where("c_custkey % 2 = 0")
     inventory = customer.select(F.col("c_custkey").cast("string").alias("pid"), F.concat(F.lit("2021-05-0"), (1 + F.col("c_custkey") % 9).cast("string")).alias("correction_date"), F.lit("Inventory").alias("note_en"))
     return records.corrections(own, inventory)
@@ -135,9 +141,7 @@ SOUND = "c_custkey % 15 <> 0"
 
 
 def published_lines(spark, sf_dir):
-    text = F.array(*[F.expr(s) for s in PUBLISHED])
-    each = tables(spark, sf_dir)["customer"].select(F.col("c_custkey").cast("string").alias("pid"), F.posexplode(text).alias("line_no", "line"))
-    return each.select("pid", F.col("line_no").cast("int"), F.concat("line", F.lit("\r")).alias("line"))
+    return stacked(spark, sf_dir, PUBLISHED).withColumn("line", F.concat("line", F.lit("\r")))
 
 
 @add(f"""
@@ -147,7 +151,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS pid, 'Orders, of ' || c_name AS cube_title,
 FROM customer WHERE {SOUND}
 """)
 def published_cubes(spark, sf_dir):
-    found = metadata.read_metadata(published_lines(spark, sf_dir))[0]["cube"]
+    found = metadata.read_metadata(published_lines(spark, sf_dir), dealt=True)[0]["cube"]
     return found.select("pid", "cube_title", "product_id", "cansim_id", "cube_notes", "archive_status", "total_dimensions", "universe", "note_block_raw")
 
 
@@ -163,7 +167,7 @@ FROM customer, (VALUES (1::INT, 1::INT), (2, 1), (2, 2)) v(i, m) WHERE {SOUND} A
 """)
 def published_members(spark, sf_dir):
     """A file with a name over two lines is read as CSV throughout, where a quote inside a quoted name ends the quoting."""
-    found = metadata.read_metadata(published_lines(spark, sf_dir))[0]["member"]
+    found = metadata.read_metadata(published_lines(spark, sf_dir), dealt=True)[0]["member"]
     return found.select("pid", "dimension_id", "member_id", "member_name", "classification_code", "parent_member_id", "terminated", "member_notes")
 
 
@@ -177,7 +181,7 @@ UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'correction', '3671 2023-07-18', '<
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'attribute', '1.1 key', 'A, label=v' FROM customer WHERE {SOUND} AND c_custkey % 2 = 1
 """)
 def published_blocks(spark, sf_dir):
-    t = metadata.read_metadata(published_lines(spark, sf_dir))[0]
+    t = metadata.read_metadata(published_lines(spark, sf_dir), dealt=True)[0]
     texts = {
         "symbol": ("symbol", "description"), "survey": ("survey_code", "survey_name"), "subject": ("subject_code", "subject_name"), "dimension": ("CAST(dimension_id AS STRING)", "dimension_name"), "note": ("CAST(note_id AS STRING)", "note"),
         "correction": ("concat(correction_id, ' ', correction_date)", "correction_note"), "attribute": ("concat(dimension_id, '.', member_id, ' ', attribute_key)", "concat(label, '=', value)"),
@@ -190,4 +194,4 @@ def published_blocks(spark, sf_dir):
 SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(CASE WHEN c_custkey % 10 = 0 THEN 12 ELSE 12 END AS INT) AS line_no, 'quotes never close' AS problem FROM customer WHERE c_custkey % 15 = 0
 """)
 def published_problems(spark, sf_dir):
-    return metadata.read_metadata(published_lines(spark, sf_dir))[1]
+    return metadata.read_metadata(published_lines(spark, sf_dir), dealt=True)[1]

@@ -74,7 +74,13 @@ def _open(line: Column, found: Column) -> Column:
     return F.array_join(found, "") != F.concat(F.lit(","), line)
 
 
-def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
+def dealt_out(files: DataFrame, lines: int) -> DataFrame:
+    """``files``, a narrow row each with its ``pid``, in parts of about LINES lines where each has ``lines`` of them: lines that
+    are made from these rows afterwards lie by file, and no task holds more of them, however many rows it has read."""
+    return files.repartition(-(-files.count() * lines // LINES) or 1, "pid")
+
+
+def named_blocks(lines: DataFrame, parts: int | None = None, dealt: bool = False) -> DataFrame:
     """``pid, line_no, line, block, places, width, is_header, record, alone, fresh``: lines with their block, where its header
     has the block's columns (-1: nowhere) and how many cells, the line that their CSV record begins with, whether that is
     all of it, and whether a record that begins with the line goes on in the next. Rows are narrow, as each window copies
@@ -88,7 +94,7 @@ def named_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """
     own = Window.partitionBy("pid").orderBy("line_no")
     text = F.when(F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
-    lines = lines.repartition(parts or pieces(lines), "pid")
+    lines = lines if dealt else lines.repartition(parts or pieces(lines), "pid")
     rows = lines.withColumn("line", F.when(F.lag("line_no").over(own).isNull(), F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text))
     quotes = F.contains("line", F.lit('"'))  # without any, a line ends as it begins
     rows = rows.withColumns({"fresh": quotes & is_open(F.col("line")), "inside": ~quotes | is_open(F.concat(F.lit('"'), F.col("line")))})
@@ -259,15 +265,15 @@ def loose_block(blocks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return parse_block(blocks, name)
 
 
-def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL) -> tuple[dict[str, DataFrame], DataFrame]:
+def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL, dealt: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """All blocks as tables, of the files without a problem, and the problems of the others.
 
     Besides what the blocks refuse, a file needs each block once, without unknown columns, exactly one cube row, and as many
     dimensions as that declares. Files of another family may lack further blocks: give them in ``optional``. A cube's row
-    also has the block of its notes as it stands, ``note_block_raw``. Files are dealt out once and checked whole where they
-    are; records and problems are stored, and all tables come from there.
+    also has the block of its notes as it stands, ``note_block_raw``. Files are dealt out once, unless they are ``dealt``, and
+    checked whole where they are; records and problems are stored, and all tables come from there.
     """
-    rows = checked_records(named_blocks(lines))
+    rows = checked_records(named_blocks(lines, dealt=dealt))
     own = Window.partitionBy("pid")
     block, head, good = F.col("block"), F.col("kind") == "head", F.expr("kind = 'record' and problem is null")
     declared = F.get("values", F.lit(list(COLUMNS["cube"].values()).index("total_dimensions"))).try_cast("int")

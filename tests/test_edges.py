@@ -391,3 +391,20 @@ def test_a_file_is_checked_where_it_lies(spark, monkeypatch):
     assert {(r["pid"], r["line_no"]) for r in problems.collect()} == {("15", 12)}
     assert sorted(r["member_name"] for r in tables["member"].where("pid = '10' and member_id = 2").collect()) == ["Over two lines"]
     assert {r["pid"]: r["note_block_raw"].count("\n") for r in tables["cube"].collect()} == {"10": 5, "11": 5}
+
+
+@pytest.mark.parametrize("name", ["parse_blocks", "published_cubes", "published_problems"])
+def test_files_are_dealt_out_before_their_lines_are_made(spark, sf_dir, monkeypatch, name):
+    """A task that deals out holds narrow rows of files, not all lines that it makes of them; lines then lie by file, in
+    as many parts as there are lines for, and nothing is shuffled after."""
+    from cubewright.plans import metadata_queries
+
+    seen, own = [], metadata.stored
+    monkeypatch.setattr(metadata, "LINES", 500)
+    monkeypatch.setattr(metadata, "stored", lambda df, at: seen.append(df) or own(df, at))
+    metadata_queries.REGISTRY.queries[name](spark, sf_dir)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("posexplode") < plan.index("Exchange")
+    files = metadata_queries.tables(spark, sf_dir)["customer"].count()
+    texts = metadata_queries.STACK if name == "parse_blocks" else metadata_queries.PUBLISHED
+    assert seen[0].rdd.getNumPartitions() == -(-files * len(texts) // 500)
