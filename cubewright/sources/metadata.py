@@ -7,6 +7,7 @@ A file's lines come as ``pid, line_no, line``. Nothing is dropped silently: what
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -137,10 +138,10 @@ def _by_block(of: dict[str, list[str]], block: Column | None = None) -> Column:
 
 
 def checked_records(blocks: DataFrame) -> DataFrame:
-    """``pid, line_no, block, kind, cells, values, problem, raw``: a row for each header (``head``, with its cells), each record
+    """``pid, line_no, block, kind, cells, values, problem, repeated, raw``: a row for each header (``head``, with its cells), each record
     (``record``, with its values by the block's columns), each line that belongs to none (``stray``), and the first line
-    of a file where it is blank (``blank``); ``problem`` where a rule refuses it. A cube's rows have in ``raw`` the lines of
-    the file's notes.
+    of a file where it is blank (``blank``); ``problem`` where a rule refuses it; ``repeated`` at the last
+    header of a block that has several. A cube's rows have in ``raw`` the lines of the file's notes.
 
     Lines meet in their records where they are, as blocks are dealt out by file: they are sorted by record, not shuffled.
     """
@@ -174,14 +175,17 @@ def checked_records(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("notes", F.explode(F.when(block == "note", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).where("notes or not blank or first")
     notes = F.col("notes")
     keep = ["pid", "line_no", "block", "places", "width", "is_header", "stray", "lone", "blank", "fresh", "notes", "spans", "ids"]
-    rows = rows.select(*keep, F.when(notes, -1).otherwise(F.col("key")).alias("key"), F.when(notes, F.col("line")).otherwise(F.col("rest")).alias("text"))
+    # a file's headers of a block have one key, so that they are counted
+    key = F.when(notes, -1).when(head, -2 - _by_number(block, lambda k: k)).otherwise(F.col("key"))
+    rows = rows.select(*keep, key.alias("key"), F.when(notes, F.col("line")).otherwise(F.col("rest")).alias("text"))
     rows = rows.withColumn("side", F.when((block == "cube") | F.col("notes"), 0).otherwise(1))
     of = ["pid", "side", "key", F.col("is_header") & ~F.col("notes")]
     span = Window.partitionBy(*of).orderBy("line_no")
     several = F.collect_list(F.when(notes | ~F.col("lone"), F.col("text"))).over(span.rowsBetween(*whole))
-    rows = rows.withColumns({"texts": several, "nth": F.row_number().over(span)}).where("nth = 1")
+    rows = rows.withColumns({"texts": several, "nth": F.row_number().over(span), "n": F.count("*").over(span.rowsBetween(*whole))}).where("nth = 1 or is_header and not notes")
+    rows = rows.withColumns({"repeated": head & ~notes & (F.col("n") > 1) & (F.col("nth") == F.col("n")), "key": F.when(head, F.col("line_no")).otherwise(F.col("key"))})
     joined = F.when(loose, F.array_join("texts", "\n")).otherwise(F.array_join("texts", ""))
-    rows = rows.withColumn("line", F.when(notes | ~F.col("lone"), joined).otherwise(F.col("text"))).drop("texts", "text", "nth")
+    rows = rows.withColumn("line", F.when(notes | ~F.col("lone"), joined).otherwise(F.col("text"))).drop("texts", "text", "nth", "n", "line_no")
     rows = rows.withColumn("raw", F.max(F.when(F.col("notes"), F.col("line"))).over(Window.partitionBy("pid", "side"))).where("not notes")
 
     rows = with_anchored(rows, member & ~F.col("spans") & ~F.col("blank"))
@@ -206,7 +210,12 @@ def checked_records(blocks: DataFrame) -> DataFrame:
     headed = functools.reduce(lambda c, b: F.when(block == b, F.slice("cells", 1, len(COLUMNS[b])) == F.array(*map(F.lit, COLUMNS[b]))).otherwise(c), LOOSE, F.lit(True))
     problem = F.when(F.col("kind") == "stray", F.when(loose, "text before the first record").otherwise("text before the first block"))
     problem = problem.when((F.col("kind") == "head") & ~headed, F.concat(F.lit("unexpected header of "), block)).when((F.col("kind") == "record") & ~loose, refused)
-    return rows.select("pid", F.col("key").alias("line_no"), "block", "kind", F.when(F.col("kind") == "head", F.col("cells")).alias("cells"), "values", problem.alias("problem"), F.when(block == "cube", F.col("raw")).alias("raw"))
+    return rows.select("pid", F.col("key").alias("line_no"), "block", "kind", F.when(F.col("kind") == "head", F.col("cells")).alias("cells"), "values", problem.alias("problem"), "repeated", F.when(block == "cube", F.col("raw")).alias("raw"))
+
+
+def _by_number(block: Column, of: Callable[[int], int]) -> Column:
+    """A number for each block, by its place among COLUMNS."""
+    return functools.reduce(lambda c, kb: F.when(block == kb[1], of(kb[0])).otherwise(c), enumerate(COLUMNS), F.lit(None).cast("int"))
 
 
 def _table(rows: DataFrame, name: str, *more: str) -> DataFrame:
@@ -278,25 +287,34 @@ def read_metadata(lines: DataFrame, optional: tuple[str, ...] = OPTIONAL, dealt:
     block, head, good = F.col("block"), F.col("kind") == "head", F.expr("kind = 'record' and problem is null")
     declared = F.get("values", F.lit(list(COLUMNS["cube"].values()).index("total_dimensions"))).try_cast("int")
     cube, dimension = good & (block == "cube"), good & (block == "dimension")
-    counts = {"cubes": F.count_if(cube), "dimensions": F.count_if(dimension), "declared": F.max(F.when(cube, declared)), "leader": F.min(F.struct("line_no", (~head).alias("after")))}
-    counts |= {f"n_{b}": F.count_if(head & (block == b)) for b in COLUMNS} | {f"last_{b}": F.max(F.when(head & (block == b), F.col("line_no"))) for b in COLUMNS}
-    rows = rows.withColumns({c: v.over(own) for c, v in counts.items()})
+    # a header comes before a record of the same line
+    place = F.col("line_no").cast("long") * 2 + (~head).cast("int")
+    unknown = F.array_except("cells", _by_block({b: [*c, ""] for b, c in COLUMNS.items()}))
+    wrong = F.col("problem").isNotNull() | F.col("repeated") | F.coalesce(head & (F.size(unknown) > 0), F.lit(False))
+    facts = {"cubes": F.count_if(cube), "dimensions": F.count_if(dimension), "declared": F.max(F.when(cube, declared)), "leader": F.min(place)}
+    # few facts of a file, as each row gets them all: its blocks are bits of one number
+    facts |= {"named": F.bit_or(F.when(head, _by_number(block, lambda k: 1 << k)).otherwise(0)), "wrong": F.max(wrong)}
+    rows = rows.withColumns({c: v.over(own) for c, v in facts.items()})
+
+    needed = [b for b in COLUMNS if b not in {*OPTIONAL, *optional}]
+    lacks = lambda b: F.col("named").bitwiseAND(F.lit(1 << list(COLUMNS).index(b))) == 0
+    dimensions = F.col("dimensions").cast("int")
+    differ = ~F.col("declared").eqNullSafe(dimensions)
+    faulty = F.col("wrong") | (F.col("cubes") != 1) | differ | functools.reduce(lambda c, b: c | lacks(b), needed, F.lit(False))
+    rows = rows.withColumn("faulty", faulty)
 
     at = lambda line, text: F.struct(F.lit(line).cast("int").alias("line_no") if line is None else F.col(line).alias("line_no"), text.alias("problem"))
     found = [F.when(F.col("problem").isNotNull(), at("line_no", F.col("problem")))]
-    repeated = functools.reduce(lambda c, b: c | ((block == b) & (F.col(f"n_{b}") > 1) & (F.col("line_no") == F.col(f"last_{b}"))), COLUMNS, F.lit(False))
-    found.append(F.when(head & repeated, at("line_no", F.concat(F.lit("repeated block "), block))))
-    leads = F.col("leader").eqNullSafe(F.struct("line_no", (~head).alias("after")))
-    found += [F.when(leads & (F.col(f"n_{b}") == 0), at(None, F.lit(f"missing block {b}"))) for b in COLUMNS if b not in {*OPTIONAL, *optional}]
-    several = F.when(F.col("cubes") != 1, F.concat(F.col("cubes").cast("string"), F.lit(" cube rows")))
-    dimensions = F.col("dimensions").cast("int")
-    differ = F.when(~F.col("declared").eqNullSafe(dimensions), F.concat(dimensions.cast("string"), F.lit(" dimensions of "), F.coalesce(F.col("declared").cast("string"), F.lit("none"))))
-    number = F.coalesce(several, differ)
+    found.append(F.when(F.col("repeated"), at("line_no", F.concat(F.lit("repeated block "), block))))
+    leads = F.col("leader").eqNullSafe(place)
+    found += [F.when(leads & lacks(b), at(None, F.lit(f"missing block {b}"))) for b in needed]
+    number = F.when(F.col("cubes") != 1, F.concat(F.col("cubes").cast("string"), F.lit(" cube rows")))
+    number = number.when(differ, F.concat(dimensions.cast("string"), F.lit(" dimensions of "), F.coalesce(F.col("declared").cast("string"), F.lit("none"))))
     found.append(F.when(leads & number.isNotNull(), at(None, number)))
-    unknown = F.filter(F.array_except("cells", _by_block({b: list(c) for b, c in COLUMNS.items()})), lambda c: c != "")
     other = F.when(head, F.transform(unknown, lambda c: F.struct(F.col("line_no").alias("line_no"), F.concat(F.lit("unknown column "), c).alias("problem"))))
-    rows = rows.withColumn("good", good).withColumn("problems", F.concat(F.array_compact(F.array(*found)), F.coalesce(other, F.array().cast(PROBLEMS))))
-    rows = rows.withColumn("good", F.col("good") & ~F.max(F.size("problems") > 0).over(own)).select("pid", "block", "values", "raw", "good", "problems")
+    nothing = F.array().cast(PROBLEMS)
+    problems = F.when(F.col("faulty"), F.concat(F.array_compact(F.array(*found)), F.coalesce(other, nothing))).otherwise(nothing)
+    rows = rows.select("pid", "block", "values", "raw", (good & ~F.col("faulty")).alias("good"), problems.alias("problems"))
     rows = stored(rows.where(F.col("good") | (F.size("problems") > 0)), "metadata")
     tables = {name: _table(rows, name, *([F.col("raw").alias("note_block_raw")] if name == "cube" else [])) for name in COLUMNS}
     return tables, rows.where(F.size("problems") > 0).select("pid", F.explode("problems").alias("p")).select("pid", "p.line_no", "p.problem")

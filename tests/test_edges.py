@@ -408,3 +408,19 @@ def test_files_are_dealt_out_before_their_lines_are_made(spark, sf_dir, monkeypa
     files = metadata_queries.tables(spark, sf_dir)["customer"].count()
     texts = metadata_queries.STACK if name == "parse_blocks" else metadata_queries.PUBLISHED
     assert seen[0].rdd.getNumPartitions() == -(-files * len(texts) // 500)
+
+
+def test_a_file_is_checked_by_few_facts(spark, monkeypatch):
+    """Each row of a file gets what is known of the whole, so that is little; a repeated block is told at its last header,
+    beside what else is wrong, and other files stay good."""
+    from cubewright.plans import metadata_queries
+
+    seen, own = [], metadata.stored
+    monkeypatch.setattr(metadata, "stored", lambda df, name: seen.append(df) or own(df, name))
+    survey = [("10", k, t) for k, t in enumerate(["Survey Code,Survey Name", "8,More", "Survey Code,Survey Name,Colour", "9,Most", "Subject Code,Subject Name"], 100)]
+    lines = metadata_queries.published_lines(spark, "/root/testdata/sf0.001").where("pid in ('10', '11')").union(spark.createDataFrame(survey, "pid string, line_no int, line string"))
+    tables, problems = metadata.read_metadata(lines)
+    windows = [p for p in seen[0]._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [" in p]
+    assert windows and max(p.count("windowspecdefinition(") for p in windows) <= 8
+    assert sorted((r["pid"], r["line_no"], r["problem"]) for r in problems.collect()) == [("10", 102, "repeated block survey"), ("10", 102, "unknown column Colour"), ("10", 104, "repeated block subject")]
+    assert [r["pid"] for r in tables["cube"].collect()] == ["11"] and {r["pid"] for r in tables["survey"].collect()} == {"11"}
